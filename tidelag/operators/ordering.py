@@ -40,7 +40,7 @@ def dense_rank_of(df: DataFrame, keys: list[str], value: str, tiebreak: str, nam
     Rows are split by value into stretches (equal width over the range of the group, then
     again over the range of the stretch; a stretch holding one value only is split by
     tiebreak), counted, and numbered inside their stretch plus the count of all earlier
-    ones. Missing values sort first. Both columns must be numbers, dates or timestamps."""
+    ones. Missing values sort first, NaN last. Both columns must be numbers, dates or timestamps."""
 
     def number(c: str) -> Column:
         dtype = dict(df.dtypes)[c]
@@ -60,21 +60,25 @@ def dense_rank_of(df: DataFrame, keys: list[str], value: str, tiebreak: str, nam
         ).cast("bigint")
 
     rows = df.withColumn("_v", number(value)).withColumn("_t", number(tiebreak))
+    finite = F.when(~F.isnan("_v"), F.col("_v"))
     whole = rows.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_rows")
+        F.min(finite).alias("_lo"), F.max(finite).alias("_hi"), F.count(F.lit(1)).alias("_rows")
     )
     first = rows.join(whole, keys).withColumn(
-        "_a", F.when(F.col("_v").isNull(), -1).otherwise(slot(F.col("_v"), "_lo", "_hi", "_rows"))
+        "_a",
+        F.when(F.col("_v").isNull(), -1)
+        .when(F.isnan("_v"), 1 << 62)
+        .otherwise(slot(F.col("_v"), "_lo", "_hi", "_rows")),
     ).drop("_lo", "_hi", "_rows")
     part = first.groupBy(*keys, "_a").agg(
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_rows"),
         F.min("_t").alias("_tlo"), F.max("_t").alias("_thi"),
+        F.min(value).eqNullSafe(F.max(value)).alias("_single"),
     )
-    single = F.col("_lo").eqNullSafe(F.col("_hi"))
     second = first.join(part, [*keys, "_a"]).withColumn(
         "_b",
-        F.when(single, slot(F.col("_t"), "_tlo", "_thi", "_rows")).otherwise(slot(F.col("_v"), "_lo", "_hi", "_rows")),
-    ).drop("_lo", "_hi", "_rows", "_tlo", "_thi")
+        F.when(F.col("_single"), slot(F.col("_t"), "_tlo", "_thi", "_rows")).otherwise(slot(F.col("_v"), "_lo", "_hi", "_rows")),
+    ).drop("_lo", "_hi", "_rows", "_tlo", "_thi", "_single")
     earlier = Window.partitionBy(*keys).orderBy("_a", "_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         second.groupBy(*keys, "_a", "_b").agg(F.count(F.lit(1)).alias("_rows"))

@@ -33,8 +33,8 @@ def read_skill(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
 
 def skill_to_json(skill: DataFrame, digits: int | None = None) -> DataFrame:
     """One JSON record per (series_id, E, tau, L): {"e", "tau", "l", "result": [rho, ...]}
-    with the values in sample order."""
-    rho = F.col("rho") if digits is None else F.round("rho", digits)
+    with the values in sample order, written with ``digits`` decimals if given."""
+    rho = F.col("rho") if digits is None else F.round("rho", digits).cast(f"decimal({digits + 3},{digits})")
     packed = skill.groupBy("series_id", "E", "tau", "L").agg(
         F.sort_array(F.collect_list(F.struct("sample", rho.alias("rho")))).alias("_r")
     )
