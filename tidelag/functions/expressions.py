@@ -1,82 +1,61 @@
+"""Spark SQL expressions, built as text: one text costs the driver one call, where the same
+thing put together from Column objects costs one per operator."""
+
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-_RANGE_STEP = 1 << 14
+RANGE_STEP = 1 << 14
+MIX_PRIME = 2147483647
 
 
-def seeded_hash(*parts) -> Column:
+def seeded_hash(*parts: str) -> str:
     """A 60-bit number that depends on the values alone, not on partitions or tasks."""
-    text = F.concat_ws(":", *[F.col(p) if isinstance(p, str) else p for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
-
-
-MIX_PRIME = 2147483647
+    return f"CAST(conv(substr(md5(concat_ws(':', {', '.join(parts)})), 1, 15), 16, 10) AS BIGINT)"
 
 
-def mix_start(ticket: Column, j: Column) -> Column:
-    """First half of a cheap hash of (ticket, j); finish with mix_end. Both are a few whole
-    number operations modulo a prime, far cheaper per draw than a digest of text."""
-    return (ticket % MIX_PRIME + j) * 48271 % MIX_PRIME
+def mix_start(ticket: str, j: str) -> str:
+    """First third of a cheap hash of (ticket, j): whole-number operations modulo a prime,
+    far cheaper per draw than a digest of text."""
+    return f"({ticket} % {MIX_PRIME} + {j}) * 48271 % {MIX_PRIME}"
 
 
-def mix_middle(ticket: Column, x: Column) -> Column:
-    return (x * x + F.shiftright(ticket, 31)) % MIX_PRIME * 69621 % MIX_PRIME
+def mix_middle(ticket: str, x: str) -> str:
+    return f"({x} * {x} + shiftright({ticket}, 31)) % {MIX_PRIME} * 69621 % {MIX_PRIME}"
 
 
-def mix_end(ticket: Column, x: Column) -> Column:
+def mix_end(ticket: str, x: str) -> str:
     """A number in [0, 2^47)."""
-    return (x * x + ticket % MIX_PRIME) % MIX_PRIME * 65536 + x % 65536
+    return f"({x} * {x} + {ticket} % {MIX_PRIME}) % {MIX_PRIME} * 65536 + {x} % 65536"
 
 
-def epoch_seconds(ts) -> Column:
+def epoch_seconds(ts: str) -> str:
     """Wall-clock seconds since 1970-01-01, whatever the session time zone."""
-    ts = F.col(ts) if isinstance(ts, str) else ts
-    return (
-        F.unix_date(F.to_date(ts)).cast("bigint") * 86400
-        + F.hour(ts) * 3600
-        + F.minute(ts) * 60
-        + F.second(ts)
-    )
+    return f"(unix_date(CAST({ts} AS DATE)) * 86400L + hour({ts}) * 3600 + minute({ts}) * 60 + CAST(second({ts}) AS INT))"
 
 
-def explode_range(df: DataFrame, name: str, count: Column) -> DataFrame:
+def explode_range(df: DataFrame, name: str, count: str) -> DataFrame:
     """One row per integer in [0, count). Two short sequences instead of one array of
     ``count`` elements keep each row small however long the range is."""
-    high, low = f"_{name}_high", f"_{name}_low"
+    step = RANGE_STEP
+    columns = [f"`{c}`" for c in df.columns]
     return (
-        df.withColumn("_count", count.cast("bigint"))
-        .where(F.col("_count") > 0)
-        .withColumn(high, F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_count - 1) div {_RANGE_STEP}"))))
-        .withColumn(
-            low,
-            F.explode(
-                F.sequence(
-                    F.lit(0).cast("bigint"),
-                    F.least(F.lit(_RANGE_STEP - 1).cast("bigint"), F.col("_count") - 1 - F.col(high) * _RANGE_STEP),
-                )
-            ),
-        )
-        .withColumn(name, F.col(high) * _RANGE_STEP + F.col(low))
-        .drop("_count", high, low)
+        df.where(f"({count}) > 0")
+        .selectExpr("*", f"explode(sequence(0L, (({count}) - 1) div {step})) AS _block")
+        .selectExpr(*columns, f"explode(sequence(_block * {step}, least(_block * {step} + {step - 1}, ({count}) - 1))) AS {name}")
     )
 
 
-def simplex_weight(d: Column, nearest: Column, floor: float) -> Column:
+def simplex_weight(d: str, nearest: str, floor: float) -> str:
     """exp(-d / nearest) but never under ``floor``; an exact match weighs 1."""
-    return (
-        F.when(d == 0, F.lit(1.0))
-        .when(nearest != 0, F.greatest(F.exp(-d / nearest), F.lit(float(floor))))
-        .otherwise(F.lit(float(floor)))
-    )
+    low = f"{float(floor)!r}D"
+    return f"CASE WHEN {d} = 0 THEN 1D WHEN {nearest} <> 0 THEN greatest(exp(-{d} / {nearest}), {low}) ELSE {low} END"
 
 
-def pearson(a: Column, b: Column) -> Column:
+def pearson(a: str, b: str) -> str:
     """Pearson correlation over rows where both values exist, 0.0 when one side does not
     vary. Spread below 1e-12 of the mean is rounding noise and counts as no variation."""
-    both = a.isNotNull() & b.isNotNull()
-    a, b = F.when(both, a), F.when(both, b)
-    sa, sb = F.stddev_pop(a), F.stddev_pop(b)
-    varies = (sa > F.abs(F.avg(a)) * 1e-12) & (sb > F.abs(F.avg(b)) * 1e-12)
-    return F.when(varies, F.try_divide(F.covar_pop(a, b), sa * sb)).otherwise(F.lit(0.0))
+    both = f"FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+    sa, sb = f"stddev_pop({a}) {both}", f"stddev_pop({b}) {both}"
+    varies = f"{sa} > abs(avg({a}) {both}) * 1e-12D AND {sb} > abs(avg({b}) {both}) * 1e-12D"
+    return f"CASE WHEN {varies} THEN try_divide(covar_pop({a}, {b}) {both}, {sa} * {sb}) ELSE 0D END"

@@ -29,23 +29,18 @@ def embed(series: DataFrame, pairs, drop_missing: bool = False, stretch: int = S
         "series_id", "n", "i", "y", "_own",
         *[(F.lag("x", lag).over(w) if lag else F.col("x")).alias(f"_x{lag}") for lag in lags],
     ).where("_own")
-    choices = F.array(*[
-        F.struct(
-            F.lit(E).alias("E"), F.lit(tau).alias("tau"),
-            F.array(*[F.col(f"_x{j * tau}") for j in range(E)]).alias("v"),
-        )
-        for E, tau in pairs
-    ])
-    first = (F.col("E") - 1) * F.col("tau")
-    points = valid_points(lagged.select("series_id", "n", "i", "y", F.inline(choices))).select(
-        "series_id", "E", "tau", (F.col("n") - first).alias("n"), "i", (F.col("i") - first).alias("pos"), "v", "y"
+    choices = ", ".join(
+        f"struct({E} AS E, {tau} AS tau, array({', '.join(f'_x{j * tau}' for j in range(E))}) AS v)" for E, tau in pairs
+    )
+    points = valid_points(lagged.selectExpr("series_id", "n", "i", "y", f"inline(array({choices}))")).selectExpr(
+        "series_id", "E", "tau", "n - (E - 1) * tau AS n", "i", "i - (E - 1) * tau AS pos", "v", "y"
     )
     return _renumber(drop_invalid(points), stretch) if drop_missing else points
 
 
 def valid_points(points: DataFrame) -> DataFrame:
     """Points whose lag vector reaches back no further than the start of the series."""
-    return points.where(F.col("i") >= (F.col("E") - 1) * F.col("tau"))
+    return points.where("i >= (E - 1) * tau")
 
 
 def drop_invalid(points: DataFrame) -> DataFrame:
@@ -75,11 +70,11 @@ def _renumber(points: DataFrame, stretch: int) -> DataFrame:
 
 def lengths(series: DataFrame, pairs) -> DataFrame:
     """Manifold sizes without building vectors: series_id, E, tau, series_n, n."""
-    grid = F.array(*[F.struct(F.lit(E).alias("E"), F.lit(tau).alias("tau")) for E, tau in pairs])
+    grid = ", ".join(f"struct({E} AS E, {tau} AS tau)" for E, tau in pairs)
     return (
         with_length(series).where("i = 0")
-        .select("series_id", F.col("n").alias("series_n"), F.inline(grid))
-        .withColumn("n", F.col("series_n") - (F.col("E") - 1) * F.col("tau"))
+        .selectExpr("series_id", "n AS series_n", f"inline(array({grid}))")
+        .selectExpr("*", "series_n - (E - 1) * tau AS n")
         .where("n > 0")
     )
 
@@ -104,22 +99,16 @@ def accumulate_vs_next(df: DataFrame, col: str, widths, ahead, stretch: int = ST
     widths, ahead = list(widths), list(ahead)
     counted = with_length(df).select("series_id", "n", "i", F.col(col).alias("_c"))
     rows, w = with_halo(counted, max(widths) - 1, max(ahead), stretch)
-    for a in ahead:
-        rows = rows.withColumn(f"_y{a}", F.lead("_c", a).over(w))
-    for width in widths:
-        rows = rows.withColumn(f"_s{width}", F.sum("_c").over(w.rowsBetween(-(width - 1), 0)))
-    choices = F.array(*[
-        F.struct(
-            F.lit(width).alias("width"), F.lit(a).alias("ahead"), F.col(f"_s{width}").alias("x"),
-            F.col(f"_y{a}").alias("y"),
-        )
-        for width in widths for a in ahead
-    ])
+    rows = rows.select(
+        "*",
+        *[F.lead("_c", a).over(w).alias(f"_y{a}") for a in ahead],
+        *[F.sum("_c").over(w.rowsBetween(1 - width, 0)).alias(f"_s{width}") for width in widths],
+    )
+    choices = ", ".join(
+        f"struct({width} AS width, {a} AS ahead, _s{width} AS x, _y{a} AS y)" for width in widths for a in ahead
+    )
     return (
-        rows.where("_own").select("series_id", "n", "i", F.inline(choices))
-        .where((F.col("i") >= F.col("width") - 1) & (F.col("i") + F.col("ahead") < F.col("n")))
-        .select(
-            "series_id", "width", "ahead", (F.col("n") - F.col("ahead") - F.col("width") + 1).alias("n"),
-            (F.col("i") - (F.col("width") - 1)).alias("i"), "x", "y",
-        )
+        rows.where("_own").selectExpr("series_id", "n", "i", f"inline(array({choices}))")
+        .where("i >= width - 1 AND i + ahead < n")
+        .selectExpr("series_id", "width", "ahead", "n - ahead - width + 1 AS n", "i - (width - 1) AS i", "x", "y")
     )

@@ -22,45 +22,28 @@ def library_grid(lengths: DataFrame, spec: Spec) -> DataFrame:
     points there are. The samples of a group share one distance tile: as many as fit when
     the whole manifold is a tile, fewer for long series, one for 'library_first'."""
     if isinstance(spec.L, LengthRange):
-        sizes = F.explode(F.expr(
-            f"CASE WHEN series_n >= {spec.L.start} THEN "
-            f"sequence({spec.L.start}, CAST(series_n AS INT), {spec.L.step}) ELSE array() END"
-        ))
+        start, step = spec.L.start, spec.L.step
+        sizes = f"CASE WHEN series_n >= {start} THEN sequence({start}, CAST(series_n AS INT), {step}) ELSE array() END"
     else:
-        sizes = F.explode(F.array(*[F.lit(L) for L in spec.L]))
+        sizes = f"array({', '.join(map(str, spec.L))})"
     if spec.strategy == "library_first":
-        per_group = F.lit(1).cast("bigint")
+        per_group = "1L"
     else:
-        room = F.when(F.col("n") <= TILE, F.lit(GROUP_ENTRIES)).otherwise(F.lit(TILE))
-        per_group = F.least(
-            F.lit(min(spec.samples, GROUP_DRAWS)).cast("bigint"),
-            F.greatest(F.lit(1).cast("bigint"), F.floor(room / F.col("size"))),
-        )
+        room = f"CASE WHEN n <= {TILE} THEN {GROUP_ENTRIES} ELSE {TILE} END"
+        per_group = f"least({min(spec.samples, GROUP_DRAWS)}L, greatest(1L, ({room}) div size))"
     grid = (
-        lengths.withColumn("L", sizes)
-        .withColumn("size", F.least(F.col("L").cast("bigint"), F.col("n")))
-        .withColumn("_per", per_group)
+        lengths.selectExpr("series_id", "E", "tau", "n", f"explode({sizes}) AS L")
+        .selectExpr("*", "least(CAST(L AS BIGINT), n) AS size", f"{per_group} AS _per")
     )
-    grid = explode_range(grid, "grp", F.ceil(F.lit(spec.samples) / F.col("_per")))
-    first = F.col("grp") * F.col("_per")
-    return grid.select(
+    return explode_range(grid, "grp", f"({spec.samples} + _per - 1) div _per").selectExpr(
         "series_id", "E", "tau", "n", "L", "size", "grp",
-        first.cast("int").alias("first_sample"),
-        F.least(F.col("_per"), F.lit(spec.samples) - first).cast("int").alias("sample_count"),
+        "CAST(grp * _per AS INT) AS first_sample",
+        f"CAST(least(_per, {spec.samples} - grp * _per) AS INT) AS sample_count",
     )
 
 
-def _ticket(spec: Spec, sample):
-    return seeded_hash(F.lit(spec.seed), "series_id", "E", "tau", "L", sample)
-
-
-def _mixed(rows: DataFrame) -> DataFrame:
-    ticket = F.col("_ticket")
-    return (
-        rows.withColumn("_mixed", mix_start(ticket, F.col("_j")))
-        .withColumn("_mixed", mix_middle(ticket, F.col("_mixed")))
-        .withColumn("_mixed", mix_end(ticket, F.col("_mixed")))
-    )
+def _ticket(spec: Spec, sample: str) -> str:
+    return seeded_hash(str(spec.seed), "series_id", "E", "tau", "L", sample)
 
 
 def draw_libraries(lengths: DataFrame, spec: Spec) -> DataFrame:
@@ -68,55 +51,41 @@ def draw_libraries(lengths: DataFrame, spec: Spec) -> DataFrame:
 
     Only the small grid rows are shuffled. The draws of a group are made and counted where
     its grid row landed, because the grouping keys contain the partition keys."""
-    spark = lengths.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = ["series_id", "E", "tau", "L", "grp"]
-    rows = explode_range(library_grid(lengths, spec).repartition(partitions, *spread), "_s", F.col("sample_count"))
-    rows = rows.withColumn("sample", F.col("first_sample") + F.col("_s").cast("int")).drop("_s")
-    rows = rows.withColumn("_ticket", _ticket(spec, F.col("sample")))
+    partitions = int(lengths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = library_grid(lengths, spec).repartition(partitions, "series_id", "E", "tau", "L", "grp")
+    rows = explode_range(rows, "_s", "sample_count").selectExpr(
+        *GROUP_KEYS, "CAST(first_sample + _s AS INT) AS sample", f"{_ticket(spec, 'sample')} AS _t"
+    )
+    mixed = explode_range(rows, "_j", "size" if spec.replacement else "n").selectExpr(
+        "*", f"{mix_start('_t', '_j')} AS _a", f"{mix_middle('_t', '_a')} AS _b", f"{mix_end('_t', '_b')} AS _mixed"
+    )
     if spec.replacement:
-        draws = _mixed(explode_range(rows, "_j", F.col("size")))
-        return (
-            # coalesce: never NULL, or a join on pos would test, and so compute, it twice.
-            draws.withColumn("pos", F.coalesce(F.col("_mixed") % F.col("n"), F.lit(0)))
-            .groupBy(*GROUP_KEYS, "sample", "pos").agg(F.count(F.lit(1)).cast("int").alias("m"))
-        )
-    # Without replacement: the ``size`` smallest tickets of all points.
-    points = _mixed(explode_range(rows, "_j", F.col("n")))
+        # coalesce: never NULL, or a join on pos would test, and so compute, it twice.
+        drawn = mixed.selectExpr(*GROUP_KEYS, "sample", "coalesce(_mixed % n, 0L) AS pos")
+        return drawn.groupBy(*GROUP_KEYS, "sample", "pos").agg(F.expr("CAST(count(*) AS INT) AS m"))
+    # Without replacement: the ``size`` smallest numbers of all points.
     best = Window.partitionBy("series_id", "E", "tau", "L", "grp", "sample").orderBy("_mixed", "_j")
-    ranked = points.withColumn("_rank", F.row_number().over(best))
+    ranked = mixed.withColumn("_rank", F.row_number().over(best))
     if not isinstance(spec.L, LengthRange):
         # A literal bound lets Spark drop rows before the sort.
         ranked = ranked.where(F.col("_rank") <= max(spec.L))
-    return (
-        ranked.where(F.col("_rank") <= F.col("size"))
-        .select(*GROUP_KEYS, "sample", F.col("_j").alias("pos"), F.lit(1).cast("int").alias("m"))
-    )
+    return ranked.where("_rank <= size").selectExpr(*GROUP_KEYS, "sample", "_j AS pos", "1 AS m")
 
 
 def drawn_positions(grid: DataFrame, spec: Spec) -> DataFrame:
     """The same draws as draw_libraries, as one array per sample inside the grid row:
     column ``draws`` ARRAY<ARRAY<INT>>. For manifolds of at most TILE points, where arrays
     stay small; no row is made per draw and nothing is shuffled."""
-
-    def upto(count):
-        return F.sequence(F.lit(0).cast("bigint"), count - 1)
-
-    def mixed(ticket, count, last):
-        half = F.transform(upto(count), lambda j: mix_start(ticket, j))
-        return F.transform(F.transform(half, lambda x: mix_middle(ticket, x)), last)
-
-    def with_replacement(ticket):
-        return mixed(ticket, F.col("size"), lambda x: (mix_end(ticket, x) % F.col("n")).cast("int"))
-
-    def without_replacement(ticket):
-        values = mixed(ticket, F.col("n"), lambda x: mix_end(ticket, x))
-        ranked = F.array_sort(F.transform(values, lambda x, j: F.struct(x.alias("mixed"), j.alias("pos"))))
-        return F.slice(ranked, F.lit(1), F.col("size").cast("int")).getField("pos")
-
-    samples = F.sequence(F.col("first_sample"), F.col("first_sample") + F.col("sample_count") - 1)
-    tickets = F.transform(samples, lambda sample: _ticket(spec, sample))
-    return grid.withColumn("draws", F.transform(tickets, with_replacement if spec.replacement else without_replacement))
+    count = "size" if spec.replacement else "n"
+    half = f"transform(sequence(0L, {count} - 1), j -> {mix_start('t', 'j')})"
+    most = f"transform({half}, x -> {mix_middle('t', 'x')})"
+    if spec.replacement:
+        one = f"transform({most}, x -> CAST(({mix_end('t', 'x')}) % n AS INT))"
+    else:
+        ranked = f"array_sort(transform({most}, (x, j) -> struct({mix_end('t', 'x')} AS mixed, j AS pos)))"
+        one = f"slice({ranked}, 1, CAST(size AS INT)).pos"
+    tickets = f"transform(sequence(first_sample, first_sample + sample_count - 1), s -> {_ticket(spec, 's')})"
+    return grid.selectExpr("*", f"transform({tickets}, t -> {one}) AS draws")
 
 
 def library_points(libraries: DataFrame, manifold: DataFrame) -> DataFrame:

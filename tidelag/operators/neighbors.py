@@ -11,6 +11,7 @@ from tidelag.operators.library import GROUP_KEYS, TILE, draw_libraries, drawn_po
 from tidelag.spec import LengthRange, Spec
 
 POINTS = 1024
+BLOCKS = f"(n + {POINTS - 1}) div {POINTS}"
 TASKS_PER_PARTITION = 2
 MANIFOLD = ["series_id", "E", "tau"]
 NEIGHBOURS = (
@@ -24,20 +25,20 @@ def pack_points(manifold: DataFrame, size: int = POINTS) -> DataFrame:
     """Points in blocks of at most ``size``, one row per block."""
     return (
         manifold.groupBy(*MANIFOLD, F.expr(f"pos div {size}").alias("block"))
-        .agg(F.collect_list(F.struct("i", "y", "v")).alias("points"))
+        .agg(F.expr("collect_list(struct(i, y, v)) AS points"))
     )
 
 
 def pack_libraries(libraries: DataFrame, manifold: DataFrame) -> DataFrame:
     """Drawn points of a group of samples in blocks of at most about TILE, with their
     vectors once each and the samples that hold them."""
-    drawn = libraries.groupBy(*GROUP_KEYS, "pos").agg(F.collect_list(F.struct("sample", "m")).alias("hits"))
-    parts = F.ceil(F.col("size") / F.lit(TILE))
+    drawn = libraries.groupBy(*GROUP_KEYS, "pos").agg(F.expr("collect_list(struct(sample, m)) AS hits"))
+    parts = f"((size + {TILE - 1}) div {TILE})"
     return (
         drawn.join(manifold.drop("n"), [*MANIFOLD, "pos"])
-        .withColumn("chunk", F.floor(F.col("pos") * parts / F.col("n")))
+        .selectExpr("*", f"pos * {parts} div n AS chunk")
         .groupBy(*GROUP_KEYS, "chunk")
-        .agg(F.collect_list(F.struct("i", "y", "v", "hits")).alias("lib"))
+        .agg(F.expr("collect_list(struct(i, y, v, hits)) AS lib"))
     )
 
 
@@ -51,7 +52,7 @@ def _spread(units: DataFrame, *keys: str) -> DataFrame:
 def _meet(libs: DataFrame, manifold: DataFrame) -> DataFrame:
     """Every candidate block with every point block of its manifold. The block number is
     part of the join key, so the blocks of one long series spread over all tasks."""
-    libs = explode_range(libs, "block", F.ceil(F.col("n") / F.lit(POINTS)))
+    libs = explode_range(libs, "block", BLOCKS)
     return _spread(libs, *MANIFOLD, "block").join(pack_points(manifold), [*MANIFOLD, "block"]).select(
         "series_id", "E", "tau", "L", "first_sample", "sample_count", "points", "lib"
     )
@@ -64,23 +65,23 @@ def knn_in_library(manifold: DataFrame, lengths: DataFrame, spec: Spec, k: int |
     q neighbour, d distance, m times counted, yq target of the neighbour. A point is never
     its own neighbour. A point drawn m times fills up to m of the k places."""
     options = (k, spec.ties == "include", spec.exclude_zero_distance, spec.distinct_library)
-    fits = F.col("n") <= TILE
+    fits, over = f"n <= {TILE}", f"n > {TILE}"
 
     # Manifolds of one tile meet their grid rows, and libraries are drawn on the spot.
     tile = (
         manifold.where(fits).groupBy(*MANIFOLD)
-        .agg(F.collect_list(F.struct("pos", "i", "y", "v")).alias("lib"))
+        .agg(F.expr("collect_list(struct(i, y, v)) AS lib"))
     )
     grid = library_grid(lengths.where(fits), spec)
-    units = explode_range(grid.join(tile, MANIFOLD), "block", F.ceil(F.col("n") / F.lit(POINTS)))
+    units = explode_range(grid.join(tile, MANIFOLD), "block", BLOCKS)
     units = _spread(units, *MANIFOLD, "L", "grp", "block")
     small = drawn_positions(units, spec).select(
         "series_id", "E", "tau", "L", "first_sample", "sample_count", "block", "lib", "draws"
     ).mapInArrow(tiles.tile_kernel(POINTS, *options), NEIGHBOURS)
 
     # Longer ones meet their libraries block by block.
-    points, kernel = manifold.where(~fits), tiles.block_kernel(*options)
-    libraries = draw_libraries(lengths.where(~fits), spec)
+    points, kernel = manifold.where(over), tiles.block_kernel(*options)
+    libraries = draw_libraries(lengths.where(over), spec)
 
     def search(part: DataFrame) -> DataFrame:
         return _meet(pack_libraries(part, points), points).mapInArrow(kernel, NEIGHBOURS)
@@ -88,8 +89,8 @@ def knn_in_library(manifold: DataFrame, lengths: DataFrame, spec: Spec, k: int |
     if not isinstance(spec.L, LengthRange) and max(spec.L) <= TILE:
         return small.unionByName(search(libraries))
     # A library over one tile is searched tile by tile and the answers merged.
-    one = search(libraries.where(F.col("size") <= TILE))
-    many = search(libraries.where(F.col("size") > TILE))
+    one = search(libraries.where(f"size <= {TILE}"))
+    many = search(libraries.where(f"size > {TILE}"))
     return small.unionByName(one).unionByName(_merge(many, k, spec.ties))
 
 
@@ -110,17 +111,17 @@ def _merge(found: DataFrame, k: int | None, ties: str) -> DataFrame:
 
 def explode_neighbors(found: DataFrame, outer: bool = False) -> DataFrame:
     """Neighbour arrays to rows: ..., p, y, r (1 = nearest), q, d, m, yq."""
-    explode = F.posexplode_outer if outer else F.posexplode
-    rows = found.select(*POINT, explode(F.arrays_zip("q", "d", "m", "yq")).alias("_r", "_n"))
-    return rows.select(*POINT, (F.col("_r") + 1).alias("r"), "_n.q", "_n.d", "_n.m", "_n.yq")
+    explode = "posexplode_outer" if outer else "posexplode"
+    rows = found.selectExpr(*POINT, f"{explode}(arrays_zip(q, d, m, yq)) AS (_r, _n)")
+    return rows.selectExpr(*POINT, "_r + 1 AS r", "_n.q", "_n.d", "_n.m", "_n.yq")
 
 
 def _self_candidates(manifold: DataFrame) -> DataFrame:
     """The whole manifold as one library, in blocks of TILE points."""
-    everyone = F.array(F.struct(F.lit(0).alias("sample"), F.lit(1).alias("m")))
+    hits = "array(struct(0 AS sample, 1 AS m)) AS hits"
     return (
         manifold.groupBy(*MANIFOLD, "n", F.expr(f"pos div {TILE}").alias("q_block"))
-        .agg(F.collect_list(F.struct("i", "y", "v", everyone.alias("hits"))).alias("lib"))
+        .agg(F.expr(f"collect_list(struct(i, y, v, {hits})) AS lib"))
     )
 
 
@@ -128,14 +129,14 @@ def rank_neighbors(manifold: DataFrame, k_max: int, exclude_zero_distance: bool
     """Rank table: the k_max nearest points of every point, in (distance, index) order.
     Columns series_id, E, tau, p, q, d, r. Each meeting keeps k_max per point, so what is
     shuffled for the final ranking grows with points x blocks x k_max, not with pairs."""
-    libs = _self_candidates(manifold).select(
-        *MANIFOLD, "n", F.lit(0).alias("L"), F.lit(0).alias("first_sample"), F.lit(1).alias("sample_count"), "lib"
+    libs = _self_candidates(manifold).selectExpr(
+        *MANIFOLD, "n", "0 AS L", "0 AS first_sample", "1 AS sample_count", "lib"
     )
     kernel = tiles.block_kernel(k_max, False, exclude_zero_distance, True)
     found = explode_neighbors(_meet(libs, manifold).mapInArrow(kernel, NEIGHBOURS)).drop("r")
     order = Window.partitionBy(*MANIFOLD, "p").orderBy("d", "q")
     return (
-        found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k_max)
+        found.withColumn("r", F.row_number().over(order)).where(f"r <= {k_max}")
         .select(*MANIFOLD, "p", "q", "d", "r")
     )
 
@@ -146,7 +147,7 @@ def pair_distances(
     """The all-pairs matrix as tiles: one row per point and block of TILE other points with
     arrays q and d. With ``summarise`` each such row holds pairs, total, low and high
     instead, and the cells never leave the task."""
-    libs = explode_range(_self_candidates(manifold), "block", F.ceil(F.col("n") / F.lit(POINTS)))
+    libs = explode_range(_self_candidates(manifold), "block", BLOCKS)
     met = _spread(libs, *MANIFOLD, "block").join(pack_points(manifold), [*MANIFOLD, "block"]).select(*MANIFOLD, "q_block", "points", "lib")
     cells = "pairs bigint, total double, low double, high double" if summarise else "q array<bigint>, d array<double>"
     schema = f"series_id string, E int, tau int, p bigint, q_block bigint, {cells}"

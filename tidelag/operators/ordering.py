@@ -18,19 +18,14 @@ def with_halo(df: DataFrame, before: int = 0, after: int = 0, stretch: int = STR
     Returns (rows with ``_stretch`` and ``_own``, window ordered by ``i``). Evaluate window
     functions reaching at most that far, then keep rows with ``_own``."""
     stretch = max(stretch, 2 * (before + after), 1)
-    home = F.expr(f"i div {stretch}")
-    place = F.col("i") % stretch
+    home, place = f"i div {stretch}", f"i % {stretch}"
     copies = [home]
     if before:
-        copies.append(F.when(place >= stretch - before, home + 1))
+        copies.append(f"CASE WHEN {place} >= {stretch - before} THEN {home} + 1 END")
     if after:
-        copies.append(F.when((place < after) & (home > 0), home - 1))
-    spread = (
-        df.withColumn("_stretch", F.explode(F.array_compact(F.array(*copies))))
-        if len(copies) > 1
-        else df.withColumn("_stretch", home)
-    )
-    spread = spread.withColumn("_own", F.col("_stretch") == home)
+        copies.append(f"CASE WHEN {place} < {after} AND i >= {stretch} THEN {home} - 1 END")
+    where = f"explode(array_compact(array({', '.join(copies)})))" if len(copies) > 1 else home
+    spread = df.selectExpr("*", f"{where} AS _stretch").selectExpr("*", f"_stretch = {home} AS _own")
     return spread, Window.partitionBy("series_id", "_stretch").orderBy("i")
 
 

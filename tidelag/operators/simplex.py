@@ -12,54 +12,40 @@ from tidelag.operators.neighbors import POINT
 def simplex_weights(found: DataFrame, floor: float = 1e-6, ties: str = "ignore", k: int | None = None) -> DataFrame:
     """Add array ``w`` beside the neighbours. With ties='include' the places left at the
     last distance are shared among all neighbours tied there."""
-    nearest = F.get("d", F.lit(0))
-    found = found.withColumn("w", F.transform("d", lambda d: simplex_weight(d, nearest, floor)))
+    found = found.selectExpr("*", f"transform(d, a -> {simplex_weight('a', 'get(d, 0)', floor)}) AS w")
     if ties != "include":
         return found
-    places = (F.col("E") + 1 if k is None else F.lit(k)).cast("double")
-    last = F.element_at("d", -1)
-    zipped = F.arrays_zip("d", "m")
-
-    def count(items):
-        return F.aggregate(items, F.lit(0.0), lambda acc, n: acc + n["m"])
-
-    total, tied = count(zipped), count(F.filter(zipped, lambda n: n["d"] == last))
-    share = F.when(total > places, (tied + places - total) / tied).otherwise(F.lit(1.0))
-    return found.withColumn(
-        "w",
-        F.when(F.size("d") > 0, F.zip_with("w", "d", lambda w, d: F.when(d == last, w * share).otherwise(w))).otherwise(F.col("w")),
+    places = "E + 1" if k is None else k
+    last = "d[size(d) - 1]"
+    tied = f"aggregate(filter(arrays_zip(d, m), a -> a.d = {last}), 0D, (acc, a) -> acc + a.m)"
+    total = "aggregate(m, 0D, (acc, a) -> acc + a)"
+    share = f"CASE WHEN size(d) > 0 AND {total} > {places} THEN ({tied} + {places} - {total}) / {tied} ELSE 1D END"
+    return (
+        found.selectExpr("*", f"{share} AS _share")
+        .withColumn("w", F.expr(f"zip_with(w, d, (w, d1) -> CASE WHEN d1 = {last} THEN w * _share ELSE w END)"))
+        .drop("_share")
     )
 
 
 def simplex_predict(weighted: DataFrame) -> DataFrame:
     """Weighted mean of the neighbours' targets: ..., p, y, y_hat. NULL without neighbours
     or when a neighbour's target is missing."""
-    zipped = F.arrays_zip("m", "w", "yq")
-    top = F.aggregate(zipped, F.lit(0.0), lambda acc, n: acc + n["m"] * n["w"] * n["yq"])
-    bottom = F.aggregate(zipped, F.lit(0.0), lambda acc, n: acc + n["m"] * n["w"])
-    return weighted.select(*POINT, F.try_divide(top, bottom).alias("y_hat"))
+    top = "aggregate(arrays_zip(m, w, yq), 0D, (acc, a) -> acc + a.m * a.w * a.yq)"
+    bottom = "aggregate(arrays_zip(m, w), 0D, (acc, a) -> acc + a.m * a.w)"
+    return weighted.selectExpr(*POINT, f"try_divide({top}, {bottom}) AS y_hat")
 
 
 def simplex_forecast(found: DataFrame, k_max: int, floor: float = 1e-6) -> DataFrame:
     """simplex_weights and simplex_predict in one projection for at most ``k_max``
     neighbours. Written out place by place it compiles to plain code, which array lambdas
     do not."""
-    nearest = F.get("d", F.lit(0))
-    top = bottom = F.lit(0.0)
-    slim = found.select(*POINT, F.size("d").alias("_size"), nearest.alias("_near"), *[
-        column
-        for j in range(k_max)
-        for column in (
-            F.get("d", F.lit(j)).alias(f"_d{j}"), F.get("m", F.lit(j)).alias(f"_m{j}"), F.get("yq", F.lit(j)).alias(f"_y{j}"),
-        )
-    ])
-    slim = slim.select(*POINT, "_size", *[
-        column
-        for j in range(k_max)
-        for column in ((F.col(f"_m{j}") * simplex_weight(F.col(f"_d{j}"), F.col("_near"), floor)).alias(f"_w{j}"), f"_y{j}")
-    ])
-    for j in range(k_max):
-        used = F.col("_size") > j
-        top = top + F.when(used, F.col(f"_w{j}") * F.col(f"_y{j}")).otherwise(0.0)
-        bottom = bottom + F.when(used, F.col(f"_w{j}")).otherwise(0.0)
-    return slim.select(*POINT, F.try_divide(top, bottom).alias("y_hat"))
+    places = range(k_max)
+    weighted = found.selectExpr(
+        *POINT, "size(d) AS _size",
+        *[f"get(d, {j}) AS _d{j}" for j in places],
+        *[f"get(m, {j}) * {simplex_weight(f'_d{j}', '_d0', floor)} AS _w{j}" for j in places],
+        *[f"get(yq, {j}) AS _y{j}" for j in places],
+    )
+    top = " + ".join(f"CASE WHEN _size > {j} THEN _w{j} * _y{j} ELSE 0D END" for j in places)
+    bottom = " + ".join(f"CASE WHEN _size > {j} THEN _w{j} ELSE 0D END" for j in places)
+    return weighted.selectExpr(*POINT, f"try_divide({top}, {bottom}) AS y_hat")

@@ -13,11 +13,10 @@ DRAW = ["series_id", "E", "tau", "L", "sample"]
 def skill(predictions: DataFrame) -> DataFrame:
     """series_id, E, tau, L, sample, n_pred, rho, rho_nonneg, mae. Pairs with a missing
     value are skipped; rho is 0 when there is nothing to correlate."""
-    y, y_hat = F.col("y"), F.col("y_hat")
-    both = y.isNotNull() & y_hat.isNotNull()
+    both = "y IS NOT NULL AND y_hat IS NOT NULL"
     out = predictions.groupBy(*DRAW).agg(
-        F.count(F.when(both, 1)).alias("n_pred"),
-        pearson(y, y_hat).alias("rho"),
-        F.avg(F.abs(y_hat - y)).alias("mae"),
+        F.expr(f"count(*) FILTER (WHERE {both}) AS n_pred"),
+        F.expr(f"{pearson('y', 'y_hat')} AS rho"),
+        F.expr("avg(abs(y_hat - y)) AS mae"),
     )
-    return out.select(*DRAW, "n_pred", "rho", F.greatest(F.lit(0.0), "rho").alias("rho_nonneg"), "mae")
+    return out.selectExpr(*DRAW, "n_pred", "rho", "greatest(0D, rho) AS rho_nonneg", "mae")

@@ -36,8 +36,9 @@ def make_series(
             return F.try_divide(total, F.count(value).cast("double"))
         raise ValueError(f"how must be sum, count or avg, got {how!r}")
 
-    def slot_of(time) -> Column:
-        return F.floor(epoch_seconds(time) / F.lit(step)).cast("bigint")
+    def slot_of(time: str) -> Column:
+        seconds = epoch_seconds(time)
+        return F.expr(f"({seconds} - pmod({seconds}, {step})) div {step}")
 
     binned = (
         df.where(F.col(ts).isNotNull())
@@ -47,10 +48,10 @@ def make_series(
     if bounds is None:
         span = binned.groupBy("series_id").agg(F.min("slot").alias("_first"), F.max("slot").alias("_last"))
     else:
-        first, last = (slot_of(F.lit(b).cast("timestamp_ntz")) for b in bounds)
+        first, last = (slot_of(f"TIMESTAMP_NTZ'{b}'") for b in bounds)
         span = binned.select("series_id").distinct().select("series_id", first.alias("_first"), last.alias("_last"))
-    spine = explode_range(span.withColumn("n", F.col("_last") - F.col("_first") + 1), "i", F.col("n"))
-    spine = spine.select("series_id", "n", "i", (F.col("_first") + F.col("i")).alias("slot"))
+    spine = explode_range(span.selectExpr("*", "_last - _first + 1 AS n"), "i", "n")
+    spine = spine.selectExpr("series_id", "n", "i", "_first + i AS slot")
 
     def filled(c: str) -> Column:
         return F.col(c) if fill is None else F.coalesce(c, F.lit(float(fill)))
