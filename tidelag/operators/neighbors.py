@@ -101,7 +101,7 @@ def _merge(found: DataFrame, k: int | None, ties: str) -> DataFrame:
     if ties == "include":
         whole = Window.partitionBy(*POINT[:-1])
         limit = F.max(F.when(F.col("_before") < places, F.col("d"))).over(whole)
-        rows = rows.where(F.col("d").isNull() | (F.col("d") <= limit))
+        rows = rows.withColumn("_limit", limit).where("d IS NULL OR d <= _limit")
     else:
         rows = rows.where(F.col("_before") < places).withColumn("m", F.least("m", places - F.col("_before")))
     item = F.when(F.col("q").isNotNull(), F.struct("d", "q", F.col("m").cast("int").alias("m"), "yq"))
