@@ -72,20 +72,10 @@ def draw_libraries(lengths: DataFrame, spec: Spec) -> DataFrame:
     return ranked.where("_rank <= size").selectExpr(*GROUP_KEYS, "sample", "_j AS pos", "1 AS m")
 
 
-def drawn_positions(grid: DataFrame, spec: Spec) -> DataFrame:
-    """The same draws as draw_libraries, as one array per sample inside the grid row:
-    column ``draws`` ARRAY<ARRAY<INT>>. For manifolds of at most TILE points, where arrays
-    stay small; no row is made per draw and nothing is shuffled."""
-    count = "size" if spec.replacement else "n"
-    half = f"transform(sequence(0L, {count} - 1), j -> {mix_start('t', 'j')})"
-    most = f"transform({half}, x -> {mix_middle('t', 'x')})"
-    if spec.replacement:
-        one = f"transform({most}, x -> CAST(({mix_end('t', 'x')}) % n AS INT))"
-    else:
-        ranked = f"array_sort(transform({most}, (x, j) -> struct({mix_end('t', 'x')} AS mixed, j AS pos)))"
-        one = f"slice({ranked}, 1, CAST(size AS INT)).pos"
-    tickets = f"transform(sequence(first_sample, first_sample + sample_count - 1), s -> {_ticket(spec, 's')})"
-    return grid.selectExpr("*", f"transform({tickets}, t -> {one}) AS draws")
+def with_tickets(grid: DataFrame, spec: Spec) -> DataFrame:
+    """Add column ``tickets``: one number per sample, from which its draws follow."""
+    samples = "sequence(first_sample, first_sample + sample_count - 1)"
+    return grid.selectExpr("*", f"transform({samples}, s -> {_ticket(spec, 's')}) AS tickets")
 
 
 def library_points(libraries: DataFrame, manifold: DataFrame) -> DataFrame:

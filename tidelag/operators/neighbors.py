@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelag.functions import explode_range
 from tidelag.operators import tiles
-from tidelag.operators.library import GROUP_KEYS, TILE, draw_libraries, drawn_positions, library_grid
+from tidelag.operators.library import GROUP_KEYS, TILE, draw_libraries, library_grid, with_tickets
 from tidelag.spec import LengthRange, Spec
 
 POINTS = 1024
@@ -72,12 +72,11 @@ def knn_in_library(manifold: DataFrame, lengths: DataFrame, spec: Spec, k: int |
         manifold.where(fits).groupBy(*MANIFOLD)
         .agg(F.expr("collect_list(struct(i, y, v)) AS lib"))
     )
-    grid = library_grid(lengths.where(fits), spec)
+    grid = with_tickets(library_grid(lengths.where(fits), spec), spec)
     units = explode_range(grid.join(tile, MANIFOLD), "block", BLOCKS)
-    units = _spread(units, *MANIFOLD, "L", "grp", "block")
-    small = drawn_positions(units, spec).select(
-        "series_id", "E", "tau", "L", "first_sample", "sample_count", "block", "lib", "draws"
-    ).mapInArrow(tiles.tile_kernel(POINTS, *options), NEIGHBOURS)
+    small = _spread(units, *MANIFOLD, "L", "grp", "block").select(
+        "series_id", "E", "tau", "L", "size", "first_sample", "block", "tickets", "lib"
+    ).mapInArrow(tiles.tile_kernel(POINTS, spec.replacement, *options), NEIGHBOURS)
 
     # Longer ones meet their libraries block by block.
     points, kernel = manifold.where(over), tiles.block_kernel(*options)

@@ -16,39 +16,52 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TILE_CELLS = 1 << 21
+CACHE_CELLS = 1 << 15
+MIX_PRIME = 2147483647
 SPARE = 8
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances, summed coordinate by coordinate in the given order."""
-    total = np.zeros((len(a), len(b)))
-    for j in range(a.shape[1]):
-        gap = a[:, j, None] - b[None, :, j]
-        gap *= gap
-        total += gap
-    return np.sqrt(total, out=total)
+    out = np.empty((len(a), len(b)))
+    columns = np.ascontiguousarray(b.T)
+    step = max(1, CACHE_CELLS // len(b))
+    gap = np.empty((step, len(b)))
+    for lo in range(0, len(a), step):
+        rows, total = a[lo : lo + step], out[lo : lo + step]
+        np.subtract(rows[:, 0, None], columns[0], out=total)
+        total *= total
+        for j in range(1, a.shape[1]):
+            part = np.subtract(rows[:, j, None], columns[j], out=gap[: len(rows)])
+            part *= part
+            total += part
+        np.sqrt(total, out=total)
+    return out
 
 
 def nearest_columns(d: np.ndarray, count: int):
     """The ``count`` nearest columns of each row in (distance, column) order."""
-    if 3 * count >= d.shape[1]:
-        order = np.argsort(d, axis=1, kind="stable")[:, :count]
+    if count == d.shape[1]:
+        order = np.argsort(d, axis=1, kind="stable")
         return order, np.take_along_axis(d, order, 1)
-    order = np.sort(np.argpartition(d, count - 1, axis=1)[:, :count], axis=1)
+    edge = np.partition(d, count - 1, axis=1)[:, count - 1 : count]
+    inside = d < edge
+    # Of the columns tied at the cut the first ones belong to the nearest.
+    tied = d == edge
+    room = count - inside.sum(1, keepdims=True)
+    many = tied.sum(1) > room[:, 0]
+    if many.any():
+        tied[many] &= np.cumsum(tied[many], axis=1, dtype=np.int32) <= room[many]
+    inside |= tied
+    order = np.nonzero(inside)[1].reshape(len(d), count)
     near = np.take_along_axis(d, order, 1)
     by_distance = np.argsort(near, axis=1, kind="stable")
-    order, near = np.take_along_axis(order, by_distance, 1), np.take_along_axis(near, by_distance, 1)
-    # A partition picks any of the columns tied at the cut, so sort those rows in full.
-    edge = near[:, -1:]
-    cut_ties = (d == edge).sum(1) > (near == edge).sum(1)
-    if cut_ties.any():
-        order[cut_ties] = np.argsort(d[cut_ties], axis=1, kind="stable")[:, :count]
-    return order, near
+    return np.take_along_axis(order, by_distance, 1), np.take_along_axis(near, by_distance, 1)
 
 
 def _slots(order, hits, k):
     """Walk each row's candidates; entry j is the column holding the j-th draw, or -1."""
-    seen = np.cumsum(hits, axis=1, dtype=np.int32)
+    seen = np.cumsum(hits, axis=1, dtype=hits.dtype)
     have = seen[:, -1]
     rows = np.arange(len(order))
     out = np.empty((len(order), k), dtype=np.int64)
@@ -73,6 +86,8 @@ def probe(d: np.ndarray, draws: np.ndarray, k: int, ties: bool):
     ``draws[s, c]`` says how often draw s holds column c. Columns are ranked once, as far
     as the thinnest draw is likely to need; a row that runs out of ranked columns is
     answered from its full distances, so the result is exact."""
+    if draws.sum(1).max() < 1 << 15:
+        draws = draws.astype(np.int16)
     width = d.shape[1]
     share = (draws > 0).sum(1).min() / width
     depth = width if ties or share == 0 else min(width, math.ceil((k + SPARE) / share))
@@ -113,12 +128,23 @@ def _sorted_block(block: pa.StructArray) -> pa.StructArray:
     return block.take(pa.array(np.argsort(_numbers(block, "i"), kind="stable")))
 
 
-def _from_arrays(draws: pa.Scalar, width: int, distinct: bool) -> np.ndarray:
-    samples = draws.values
-    flat = samples.flatten().to_numpy(zero_copy_only=False)
-    owner = np.repeat(np.arange(len(samples)), np.diff(samples.offsets.to_numpy()))
-    counts = np.bincount(owner * width + flat, minlength=len(samples) * width)
-    return np.minimum(counts, 1 if distinct else counts).astype(np.int32).reshape(-1, width)
+def draw_positions(ticket: int, size: int, n: int, replacement: bool) -> np.ndarray:
+    """Point numbers drawn for one sample; the same whole-number steps as the expressions
+    mix_start, mix_middle and mix_end."""
+    j = np.arange(size if replacement else n, dtype=np.int64)
+    a = (ticket % MIX_PRIME + j) * 48271 % MIX_PRIME
+    b = (a * a + (ticket >> 31)) % MIX_PRIME * 69621 % MIX_PRIME
+    mixed = (b * b + ticket % MIX_PRIME) % MIX_PRIME * 65536 + b % 65536
+    return mixed % n if replacement else np.argsort(mixed, kind="stable")[:size]
+
+
+def _from_tickets(row, n: int, replacement: bool, distinct: bool) -> np.ndarray:
+    size = row["size"].as_py()
+    tickets = row["tickets"].values.to_pylist()
+    draws = np.zeros((len(tickets), n), dtype=np.int32)
+    for s, ticket in enumerate(tickets):
+        draws[s] = np.bincount(draw_positions(ticket, size, n, replacement), minlength=n)
+    return np.minimum(draws, 1) if distinct else draws
 
 
 def _from_hits(lib: pa.StructArray, first: int, count: int, distinct: bool) -> np.ndarray:
@@ -150,14 +176,14 @@ def block_kernel(k: int | None, ties: bool, no_zero: bool, distinct: bool):
     return run
 
 
-def tile_kernel(points: int, k: int | None, ties: bool, no_zero: bool, distinct: bool):
+def tile_kernel(points: int, replacement: bool, k: int | None, ties: bool, no_zero: bool, distinct: bool):
     """As block_kernel, where the candidates are a whole manifold, the points a slice of
-    it, and the draws arrays of positions."""
+    it, and the libraries are drawn here from one number per sample."""
 
     def run(batches):
         for row in _rows(batches):
             lib = _sorted_block(row["lib"].values)
-            draws = _from_arrays(row["draws"], len(lib), distinct)
+            draws = _from_tickets(row, len(lib), replacement, distinct)
             part = lib.slice(row["block"].as_py() * points, points)
             yield from _meeting(row, part, lib, draws, k, ties, no_zero)
 
