@@ -15,7 +15,7 @@ import oracles as sql  # noqa: E402
 from tidelag import LengthRange, Spec, cross_map, forecasts, neighbours, param_values, scenario_sweep, stage  # noqa: E402
 from tidelag import operators as op  # noqa: E402
 from tidelag.plans import manifold_of  # noqa: E402
-from tidelag.sources import make_series, skill_to_json  # noqa: E402
+from tidelag.sources import bin_rows, fill_calendar, skill_to_json  # noqa: E402
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +26,7 @@ def _clicks_and_views(spark, sf_dir, every="hour", series_id=None, how="sum", fi
     """Click value against view value per step."""
     events = _table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "view"))
     x, y = (F.when(F.col("event_type") == kind, F.col("value")) for kind in ("click", "view"))
-    return make_series(events, "ts", x, y, every, series_id, how, fill)
+    return _series(bin_rows(events, "ts", x, y, every, series_id, how), fill)
 
 
 def _users(spark, sf_dir) -> DataFrame:
@@ -36,11 +36,16 @@ def _users(spark, sf_dir) -> DataFrame:
 
 def _event_counts(spark, sf_dir) -> DataFrame:
     """Whole numbers with many ties."""
-    return make_series(_table(spark, sf_dir, "events"), "ts", F.lit(1), F.lit(1), "hour", how="count")
+    return _series(bin_rows(_table(spark, sf_dir, "events"), "ts", F.lit(1), F.lit(1), "hour", how="count"))
 
 
 def _daily_orders(spark, sf_dir) -> DataFrame:
-    return make_series(_table(spark, sf_dir, "orders"), "o_orderdate", F.lit(1), F.lit(1), "day", how="count")
+    return _series(bin_rows(_table(spark, sf_dir, "orders"), "o_orderdate", F.lit(1), F.lit(1), "day", how="count"))
+
+
+def _series(binned: DataFrame, fill: float | None = 0.0) -> DataFrame:
+    """Binned rows are few; staged, the raw table is scanned once whatever is built on them."""
+    return fill_calendar(stage(binned), fill)
 
 
 def _tidy(df: DataFrame, *numbers: str) -> DataFrame:
@@ -64,30 +69,24 @@ SCENARIO = Spec(tau=(1,), L=LengthRange(50, 200), samples=2)
 SCENARIO_E, SCENARIO_WIDTHS = (2, 4), (7, 14, 30)
 
 
-def _xmap(series: DataFrame, spec: Spec) -> DataFrame:
-    """A run reads its series several times, so the raw rows are reduced to it just once."""
-    return cross_map(stage(series), spec)
-
-
 def _libraries(series: DataFrame, spec: Spec) -> DataFrame:
-    series = stage(series)
     points, sizes = manifold_of(series, spec)
     return op.library_points(op.draw_libraries(sizes, spec), points)
 
 
 def _knn_rows(series: DataFrame, spec: Spec) -> DataFrame:
-    rows = op.explode_neighbors(neighbours(stage(series), spec))
+    rows = op.explode_neighbors(neighbours(series, spec))
     return _tidy(rows.select("series_id", "E", "tau", "L", "sample", "p", "r", "q", "d", "m"), "d")
 
 
 def _weight_rows(series: DataFrame, spec: Spec) -> DataFrame:
-    found = op.simplex_weights(neighbours(stage(series), spec), spec.weight_floor, spec.ties)
+    found = op.simplex_weights(neighbours(series, spec), spec.weight_floor, spec.ties)
     rows = found.select("series_id", "E", "tau", "L", "sample", "p", F.inline(F.arrays_zip("q", "m", "w")))
     return _tidy(rows, "w")
 
 
 def _scenario(spark, sf_dir) -> DataFrame:
-    return scenario_sweep(stage(_event_counts(spark, sf_dir)), "x", SCENARIO_E, SCENARIO_WIDTHS, SCENARIO)
+    return scenario_sweep(_event_counts(spark, sf_dir), "x", SCENARIO_E, SCENARIO_WIDTHS, SCENARIO)
 
 
 def _scenario_means(spark, sf_dir) -> DataFrame:
@@ -117,7 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "param_grid": lambda s, d: op.library_grid(op.lengths(_users(s, d), USERS.pairs), USERS).select(
             "series_id", "E", "tau", "n", "L", "size", "first_sample", "sample_count"
         ),
-        "skill_json": lambda s, d: skill_to_json(_xmap(hourly(s, d), MULTI), 6),
+        "skill_json": lambda s, d: skill_to_json(cross_map(hourly(s, d), MULTI), 6),
         # Shaping
         "embed_e3_tau1": lambda s, d: _vector(op.embed(hourly(s, d), [(3, 1)]), 3),
         "embed_e2_tau2": lambda s, d: _vector(op.embed(_users(s, d), [(2, 2)]), 2),
@@ -153,34 +152,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # Forecasts and skill
         "simplex_weights": lambda s, d: _weight_rows(hourly(s, d), SINGLE),
         "simplex_weights_ties": lambda s, d: _weight_rows(_event_counts(s, d), TIES),
-        "simplex_predict": lambda s, d: _tidy(forecasts(stage(hourly(s, d)), SINGLE), "y_hat"),
-        "skill_rho": lambda s, d: _skill(_xmap(hourly(s, d), SINGLE)).select(
+        "simplex_predict": lambda s, d: _tidy(forecasts(hourly(s, d), SINGLE), "y_hat"),
+        "skill_rho": lambda s, d: _skill(cross_map(hourly(s, d), SINGLE)).select(
             "series_id", "E", "tau", "L", "sample", "n_pred", "rho"
         ),
-        "skill_rho_nonneg": lambda s, d: _skill(_xmap(hourly(s, d), MULTI)).select(
+        "skill_rho_nonneg": lambda s, d: _skill(cross_map(hourly(s, d), MULTI)).select(
             "series_id", "E", "tau", "L", "sample", "rho_nonneg"
         ),
-        "skill_mae": lambda s, d: _skill(_xmap(hourly(s, d), MULTI)).select(
+        "skill_mae": lambda s, d: _skill(cross_map(hourly(s, d), MULTI)).select(
             "series_id", "E", "tau", "L", "sample", "mae"
         ),
         # Whole runs
-        "xmap_single": lambda s, d: _skill(_xmap(hourly(s, d), SINGLE)),
-        "xmap_multi_l": lambda s, d: _skill(_xmap(hourly(s, d), MULTI)),
-        "xmap_sweep": lambda s, d: _skill(_xmap(hourly(s, d), SWEEP)),
-        "xmap_without_replacement": lambda s, d: _skill(_xmap(hourly(s, d), _without(MULTI))),
-        "xmap_ties": lambda s, d: _skill(_xmap(_event_counts(s, d), TIES)),
-        "xmap_by_user": lambda s, d: _skill(_xmap(_users(s, d), USERS)),
+        "xmap_single": lambda s, d: _skill(cross_map(hourly(s, d), SINGLE)),
+        "xmap_multi_l": lambda s, d: _skill(cross_map(hourly(s, d), MULTI)),
+        "xmap_sweep": lambda s, d: _skill(cross_map(hourly(s, d), SWEEP)),
+        "xmap_without_replacement": lambda s, d: _skill(cross_map(hourly(s, d), _without(MULTI))),
+        "xmap_ties": lambda s, d: _skill(cross_map(_event_counts(s, d), TIES)),
+        "xmap_by_user": lambda s, d: _skill(cross_map(_users(s, d), USERS)),
         "scenario_sweep": lambda s, d: _skill(_scenario(s, d)),
         # Analysis
         "convergence_curve": lambda s, d: _tidy(
-            op.convergence(_xmap(hourly(s, d), SWEEP)), "mean_rho", "std_rho", "mean_rho_nonneg", "mean_mae"
+            op.convergence(cross_map(hourly(s, d), SWEEP)), "mean_rho", "std_rho", "mean_rho_nonneg", "mean_mae"
         ),
-        "mean_rho_at_max_l": lambda s, d: _tidy(op.mean_at_max_l(_xmap(_users(s, d), USERS)), "mean_rho"),
-        "rho_density": lambda s, d: op.density(_skill(_xmap(hourly(s, d), SWEEP))),
+        "mean_rho_at_max_l": lambda s, d: _tidy(op.mean_at_max_l(cross_map(_users(s, d), USERS)), "mean_rho"),
+        "rho_density": lambda s, d: op.density(_skill(cross_map(hourly(s, d), SWEEP))),
         "scenario_pivot": lambda s, d: _tidy(op.pivot_mean(_scenario_means(s, d), SCENARIO_E), "E_2", "E_4"),
         "scenario_unpivot": lambda s, d: _tidy(op.unpivot_mean(op.pivot_mean(_scenario_means(s, d), SCENARIO_E)), "value"),
         "compare_skill": lambda s, d: _tidy(
-            op.compare_skill(*[cross_map(series, spec) for series in [stage(hourly(s, d))] for spec in (MULTI, _without(MULTI))]),
+            op.compare_skill(*[cross_map(series, spec) for series in [hourly(s, d)] for spec in (MULTI, _without(MULTI))]),
             "mean_a", "mean_b", "difference",
         ),
         # Vectors

@@ -179,8 +179,10 @@ def test_probe_equals_a_plain_walk(rows, cols, k, draws, seed, ties):
     d[rng.random((rows, cols)) < 0.1] = np.inf
     held = rng.integers(0, 3, (draws, cols)).astype(np.int32)
     held[rng.random((draws, cols)) < 0.6] = 0
-    for draw, (sizes, picked, mult) in zip(held, tiles.probe(d, held, k, ties), strict=True):
-        at = 0
+    sizes, picked, mult = tiles.probe(d, held, k, ties)
+    assert len(sizes) == draws * rows and sizes.sum() == len(picked) == len(mult)
+    ends = np.cumsum(sizes)
+    for s, draw in enumerate(held):
         for r in range(rows):
             want, places = [], k
             for c in sorted(range(cols), key=lambda c: (d[r, c], c)):
@@ -191,10 +193,9 @@ def test_probe_equals_a_plain_walk(rows, cols, k, draws, seed, ties):
                     places -= int(draw[c])
                 elif ties and d[r, c] == d[r, want[-1][0]]:
                     want.append((c, int(draw[c])))
-            end = at + sizes[r]
+            end = ends[s * rows + r]
+            at = end - sizes[s * rows + r]
             assert list(zip(picked[at:end].tolist(), mult[at:end].tolist())) == want
-            at = end
-        assert at == len(picked)
 
 
 def test_thin_draws_fall_back_to_all_distances():
@@ -203,8 +204,10 @@ def test_thin_draws_fall_back_to_all_distances():
     held = np.zeros((2, 4000), dtype=np.int32)
     held[0, rng.integers(0, 4000, 400)] = 1
     held[1, np.argsort(d[0])[-400:]] = 1
-    for draw, (sizes, picked, _) in zip(held, tiles.probe(d, held, 3, False)):
+    sizes, picked, _ = tiles.probe(d, held, 3, False)
+    assert (sizes == 3).all()
+    for s, draw in enumerate(held):
         members = np.flatnonzero(draw)
-        assert (sizes == 3).all()
         for r in range(50):
-            assert picked[3 * r : 3 * r + 3].tolist() == members[np.argsort(d[r, members], kind="stable")[:3]].tolist()
+            at = 3 * (50 * s + r)
+            assert picked[at : at + 3].tolist() == members[np.argsort(d[r, members], kind="stable")[:3]].tolist()

@@ -34,16 +34,17 @@ def epoch_seconds(ts: str) -> str:
     return f"(unix_date(CAST({ts} AS DATE)) * 86400L + hour({ts}) * 3600 + minute({ts}) * 60 + CAST(second({ts}) AS INT))"
 
 
-def explode_range(df: DataFrame, name: str, count: str) -> DataFrame:
+def explode_range(df: DataFrame, name: str, count: str, deal=None) -> DataFrame:
     """One row per integer in [0, count). Two short sequences instead of one array of
-    ``count`` elements keep each row small however long the range is."""
+    ``count`` elements keep each row small however long the range is. ``deal``, if given,
+    spreads the rows with column _block, one per RANGE_STEP integers, over the tasks."""
     step = RANGE_STEP
     columns = [f"`{c}`" for c in df.columns]
-    return (
-        df.where(f"({count}) > 0")
-        .selectExpr("*", f"explode(sequence(0L, (({count}) - 1) div {step})) AS _block")
-        .selectExpr(*columns, f"explode(sequence(_block * {step}, least(_block * {step} + {step - 1}, ({count}) - 1))) AS {name}")
-    )
+    blocks = df.where(f"({count}) > 0").selectExpr("*", f"explode(sequence(0L, (({count}) - 1) div {step})) AS _block")
+    if deal is not None:
+        blocks = deal(blocks)
+    last = f"least(_block * {step} + {step - 1}, ({count}) - 1)"
+    return blocks.selectExpr(*columns, f"explode(sequence(_block * {step}, {last})) AS {name}")
 
 
 def simplex_weight(d: str, nearest: str, floor: float) -> str:

@@ -52,19 +52,24 @@ def draw_libraries(lengths: DataFrame, spec: Spec) -> DataFrame:
     Only the small grid rows are shuffled. The draws of a group are made and counted where
     its grid row landed, because the grouping keys contain the partition keys."""
     partitions = int(lengths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = library_grid(lengths, spec).repartition(partitions, "series_id", "E", "tau", "L", "grp")
-    rows = explode_range(rows, "_s", "sample_count").selectExpr(
+    keys = ["series_id", "E", "tau", "L", "grp"]
+
+    def mix(rows: DataFrame) -> DataFrame:
+        return rows.selectExpr(
+            "*", f"{mix_start('_t', '_j')} AS _a", f"{mix_middle('_t', '_a')} AS _b", f"{mix_end('_t', '_b')} AS _mixed"
+        )
+
+    rows = explode_range(library_grid(lengths, spec).repartition(partitions, *keys), "_s", "sample_count").selectExpr(
         *GROUP_KEYS, "CAST(first_sample + _s AS INT) AS sample", f"{_ticket(spec, 'sample')} AS _t"
     )
-    mixed = explode_range(rows, "_j", "size" if spec.replacement else "n").selectExpr(
-        "*", f"{mix_start('_t', '_j')} AS _a", f"{mix_middle('_t', '_a')} AS _b", f"{mix_end('_t', '_b')} AS _mixed"
-    )
     if spec.replacement:
         # coalesce: never NULL, or a join on pos would test, and so compute, it twice.
-        drawn = mixed.selectExpr(*GROUP_KEYS, "sample", "coalesce(_mixed % n, 0L) AS pos")
+        drawn = mix(explode_range(rows, "_j", "size")).selectExpr(*GROUP_KEYS, "sample", "coalesce(_mixed % n, 0L) AS pos")
         return drawn.groupBy(*GROUP_KEYS, "sample", "pos").agg(F.expr("CAST(count(*) AS INT) AS m"))
-    # Without replacement: the ``size`` smallest numbers of all points.
-    best = Window.partitionBy("series_id", "E", "tau", "L", "grp", "sample").orderBy("_mixed", "_j")
+    # Without replacement: the ``size`` smallest numbers of all points. All points of a
+    # long series take part, so they are numbered, and first cut, all over the cluster.
+    mixed = mix(explode_range(rows, "_j", "n", lambda blocks: blocks.repartition(partitions, *keys, "sample", "_block")))
+    best = Window.partitionBy(*keys, "sample").orderBy("_mixed", "_j")
     ranked = mixed.withColumn("_rank", F.row_number().over(best))
     if not isinstance(spec.L, LengthRange):
         # A literal bound lets Spark drop rows before the sort.

@@ -17,6 +17,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TILE_CELLS = 1 << 21
 CACHE_CELLS = 1 << 15
+PROBE_CELLS = 1 << 17
+BATCH_ROWS = 1 << 14
 MIX_PRIME = 2147483647
 SPARE = 8
 
@@ -59,12 +61,12 @@ def nearest_columns(d: np.ndarray, count: int):
     return np.take_along_axis(order, by_distance, 1), np.take_along_axis(near, by_distance, 1)
 
 
-def _slots(order, hits, k):
-    """Walk each row's candidates; entry j is the column holding the j-th draw, or -1."""
+def _slots(order, rows, hits, k):
+    """Walk each row's candidates; entry j is the column holding the j-th draw, or -1.
+    ``rows`` says which row of ``order`` a row of ``hits`` goes with."""
     seen = np.cumsum(hits, axis=1, dtype=hits.dtype)
     have = seen[:, -1]
-    rows = np.arange(len(order))
-    out = np.empty((len(order), k), dtype=np.int64)
+    out = np.empty((len(hits), k), dtype=np.int64)
     for j in range(k):
         at = np.argmax(seen > j, axis=1)
         out[:, j] = np.where(have > j, order[rows, at], -1)
@@ -81,38 +83,51 @@ def _fold(slots):
 
 
 def probe(d: np.ndarray, draws: np.ndarray, k: int, ties: bool):
-    """k nearest drawn candidates of each row of ``d``, for each draw in turn.
+    """k nearest drawn candidates of each row of ``d``, for each draw in turn: neighbours
+    per (draw, row), their columns, and how often each counts.
 
     ``draws[s, c]`` says how often draw s holds column c. Columns are ranked once, as far
     as the thinnest draw is likely to need; a row that runs out of ranked columns is
     answered from its full distances, so the result is exact."""
     if draws.sum(1).max() < 1 << 15:
         draws = draws.astype(np.int16)
-    width = d.shape[1]
+    height, width = d.shape
     share = (draws > 0).sum(1).min() / width
     depth = width if ties or share == 0 else min(width, math.ceil((k + SPARE) / share))
     order, near = nearest_columns(d, depth)
     reachable = np.isfinite(near)
     partial = not reachable.all()
-    rows = np.arange(len(d))[:, None]
-    for draw in draws:
-        hits = draw[order]
+    at_once = max(1, PROBE_CELLS // order.size)
+    found = []
+    for lo in range(0, len(draws), at_once):
+        part = draws[lo : lo + at_once]
+        hits = part[:, order]
         if partial:
             hits *= reachable
-        slots, have = _slots(order, hits, k)
+        hits = hits.reshape(-1, depth)
+        rows = np.tile(np.arange(height), len(part))
+        slots, have = _slots(order, rows, hits, k)
         if ties:
-            limit = np.where(have >= k, d[rows, slots[:, -1:]][:, 0], np.inf)
-            keep = (hits > 0) & (near <= limit[:, None])
-            yield keep.sum(1), order[keep], hits[keep]
+            limit = np.where(have >= k, d[rows, slots[:, -1]], np.inf)
+            keep = (hits > 0) & (near[rows] <= limit[:, None])
+            found.append((keep.sum(1), order[rows][keep], hits[keep]))
             continue
-        short = np.flatnonzero(have < k) if depth < width else []
-        if len(short):
-            members = np.flatnonzero(draw)
-            full = d[np.ix_(short, members)]
-            by_distance = np.argsort(full, axis=1, kind="stable")
-            all_hits = draw[members][by_distance] * np.isfinite(np.take_along_axis(full, by_distance, 1))
-            slots[short] = _slots(members[by_distance], all_hits, k)[0]
-        yield _fold(slots)
+        if depth < width:
+            _complete(d, part, k, slots, np.flatnonzero(have < k))
+        found.append(_fold(slots))
+    return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+
+
+def _complete(d, draws, k, slots, short):
+    """Answer the ``short`` (draw, row) pairs from all distances to the draw's members."""
+    for s in np.unique(short // len(d)):
+        mine = short[short // len(d) == s]
+        members = np.flatnonzero(draws[s])
+        full = d[np.ix_(mine % len(d), members)]
+        order = np.argsort(full, axis=1, kind="stable")
+        hits = draws[s][members][order] * np.isfinite(np.take_along_axis(full, order, 1))
+        if len(members):
+            slots[mine] = _slots(members[order], np.arange(len(mine)), hits, k)[0]
 
 
 def _vectors(block: pa.StructArray, name: str = "v") -> np.ndarray:
@@ -125,7 +140,10 @@ def _numbers(block: pa.StructArray, name: str) -> np.ndarray:
 
 
 def _sorted_block(block: pa.StructArray) -> pa.StructArray:
-    return block.take(pa.array(np.argsort(_numbers(block, "i"), kind="stable")))
+    ids = _numbers(block, "i")
+    if (ids[1:] > ids[:-1]).all():
+        return block
+    return block.take(pa.array(np.argsort(ids, kind="stable")))
 
 
 def draw_positions(ticket: int, size: int, n: int, replacement: bool) -> np.ndarray:
@@ -162,32 +180,45 @@ def _rows(batches):
             yield {name: batch.column(name)[r] for name in batch.schema.names}
 
 
+def _gathered(batches):
+    """Small batches put together: sending one costs about as much as thousands of rows."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= BATCH_ROWS:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def block_kernel(k: int | None, ties: bool, no_zero: bool, distinct: bool):
     """For mapInArrow. Each input row pairs a block of points with a block of candidates
     that carry the samples holding them; each output row holds the neighbours of one point
     in one draw. ``k`` None stands for E + 1, the simplex around a point."""
 
-    def run(batches):
+    def meetings(batches):
         for row in _rows(batches):
             lib = _sorted_block(row["lib"].values)
             draws = _from_hits(lib, row["first_sample"].as_py(), row["sample_count"].as_py(), distinct)
             yield from _meeting(row, _sorted_block(row["points"].values), lib, draws, k, ties, no_zero)
 
-    return run
+    return lambda batches: _gathered(meetings(batches))
 
 
 def tile_kernel(points: int, replacement: bool, k: int | None, ties: bool, no_zero: bool, distinct: bool):
     """As block_kernel, where the candidates are a whole manifold, the points a slice of
     it, and the libraries are drawn here from one number per sample."""
 
-    def run(batches):
+    def meetings(batches):
         for row in _rows(batches):
             lib = _sorted_block(row["lib"].values)
             draws = _from_tickets(row, len(lib), replacement, distinct)
             part = lib.slice(row["block"].as_py() * points, points)
             yield from _meeting(row, part, lib, draws, k, ties, no_zero)
 
-    return run
+    return lambda batches: _gathered(meetings(batches))
 
 
 def _meeting(row, points, lib, draws, k, ties, no_zero):
@@ -208,10 +239,7 @@ def _meeting(row, points, lib, draws, k, ties, no_zero):
         at = np.minimum(np.searchsorted(cand_i, ids), len(cand_i) - 1)
         self_row = np.flatnonzero(cand_i[at] == ids)
         d[self_row, at[self_row]] = np.inf
-        found = list(probe(d, draws, k, ties))
-        sizes = np.concatenate([f[0] for f in found])
-        cols = np.concatenate([f[1] for f in found])
-        mult = np.concatenate([f[2] for f in found]).astype(np.int32)
+        sizes, cols, mult = probe(d, draws, k, ties)
         rows = np.repeat(np.tile(np.arange(len(part)), count), sizes)
         offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
         total = count * len(part)
@@ -227,7 +255,7 @@ def _meeting(row, points, lib, draws, k, ties, no_zero):
                 part.field("y").take(pa.array(np.tile(np.arange(len(part)), count))),
                 lists(pa.array(cand_i[cols])),
                 lists(pa.array(d[rows, cols])),
-                lists(pa.array(mult)),
+                lists(pa.array(mult.astype(np.int32))),
                 lists(cand_y.take(pa.array(cols))),
             ],
             names=["series_id", "E", "tau", "L", "sample", "p", "y", "q", "d", "m", "yq"],

@@ -13,52 +13,65 @@ from tidelag.spec import validate_grid
 SECONDS = {"minute": 60, "hour": 3600, "day": 86400}
 
 
-def make_series(
+def bin_rows(
     df: DataFrame, ts: str, x: Column, y: Column, every: str | int = "hour", series_id: Column | None = None,
-    how: str = "sum", fill: float | None = 0.0, bounds: tuple[str, str] | None = None,
+    how: str = "sum",
 ) -> DataFrame:
-    """Rows to evenly spaced series, one step per ``every``. Steps without rows are there
-    too, holding ``fill``. ``how`` is 'sum', 'count' or 'avg' of x and y per step. Each
-    series runs from its first to its last step, or over ``bounds`` (first and last time
-    stamp as text), which saves a pass over the rows.
-
-    Values are added as decimals, so the result does not depend on the order of rows."""
+    """The one pass over the raw rows: 'sum', 'count' or 'avg' of x and y per series and
+    step. Columns series_id, slot, x, y. Map-side sums keep a hot series from piling up,
+    and values are added as decimals, so the result does not depend on the order of rows."""
     step = SECONDS[every] if isinstance(every, str) else every
     key = F.lit("all") if series_id is None else series_id.cast("string")
 
-    def measure(value: Column) -> Column:
+    def measure(c: str) -> str:
+        total = f"CAST(sum(CAST({c} AS DECIMAL(24,6))) AS DOUBLE)"
         if how == "count":
-            return F.count(value).cast("double")
-        total = F.sum(value.cast("decimal(24,6)")).cast("double")
+            return f"CAST(count({c}) AS DOUBLE) AS {c}"
         if how == "sum":
-            return total
+            return f"{total} AS {c}"
         if how == "avg":
-            return F.try_divide(total, F.count(value).cast("double"))
+            return f"try_divide({total}, CAST(count({c}) AS DOUBLE)) AS {c}"
         raise ValueError(f"how must be sum, count or avg, got {how!r}")
 
-    def slot_of(time: str) -> Column:
-        seconds = epoch_seconds(time)
-        return F.expr(f"({seconds} - pmod({seconds}, {step})) div {step}")
-
-    binned = (
+    return (
         df.where(F.col(ts).isNotNull())
-        .select(key.alias("series_id"), slot_of(ts).alias("slot"), x.alias("x"), y.alias("y"))
-        .groupBy("series_id", "slot").agg(measure(F.col("x")).alias("x"), measure(F.col("y")).alias("y"))
+        .select(key.alias("series_id"), F.expr(_slot_of(ts, step)).alias("slot"), x.alias("x"), y.alias("y"))
+        .groupBy("series_id", "slot").agg(F.expr(measure("x")), F.expr(measure("y")))
     )
+
+
+def fill_calendar(
+    binned: DataFrame, fill: float | None = 0.0, every: str | int = "hour", bounds: tuple[str, str] | None = None
+) -> DataFrame:
+    """Evenly spaced series from bin_rows: steps without rows are there too, holding
+    ``fill``. Each series runs from its first to its last step, or over ``bounds`` (first
+    and last time stamp as text).
+
+    Without bounds the binned rows are read twice. On large inputs stage them first, so
+    that the raw rows are not."""
     if bounds is None:
-        span = binned.groupBy("series_id").agg(F.min("slot").alias("_first"), F.max("slot").alias("_last"))
+        span = binned.groupBy("series_id").agg(F.expr("min(slot) AS _first"), F.expr("max(slot) AS _last"))
     else:
-        first, last = (slot_of(f"TIMESTAMP_NTZ'{b}'") for b in bounds)
-        span = binned.select("series_id").distinct().select("series_id", first.alias("_first"), last.alias("_last"))
+        step = SECONDS[every] if isinstance(every, str) else every
+        first, last = (_slot_of(f"TIMESTAMP_NTZ'{b}'", step) for b in bounds)
+        span = binned.select("series_id").distinct().selectExpr("series_id", f"{first} AS _first", f"{last} AS _last")
     spine = explode_range(span.selectExpr("*", "_last - _first + 1 AS n"), "i", "n")
     spine = spine.selectExpr("series_id", "n", "i", "_first + i AS slot")
+    x, y = (c if fill is None else f"coalesce({c}, {float(fill)!r}D) AS {c}" for c in "xy")
+    return spine.join(binned, ["series_id", "slot"], "left").selectExpr("series_id", "n", "i", x, y)
 
-    def filled(c: str) -> Column:
-        return F.col(c) if fill is None else F.coalesce(c, F.lit(float(fill)))
 
-    return spine.join(binned, ["series_id", "slot"], "left").select(
-        "series_id", "n", "i", filled("x").alias("x"), filled("y").alias("y")
-    )
+def _slot_of(time: str, step: int) -> str:
+    seconds = epoch_seconds(time)
+    return f"({seconds} - pmod({seconds}, {step})) div {step}"
+
+
+def make_series(
+    df: DataFrame, ts: str, x: Column, y: Column, every: str | int = "hour", series_id: Column | None = None,
+    how: str = "sum", fill: float | None = 0.0, bounds: tuple[str, str] | None = None,
+) -> DataFrame:
+    """Rows to evenly spaced series: bin_rows, then fill_calendar."""
+    return fill_calendar(bin_rows(df, ts, x, y, every, series_id, how), fill, every, bounds)
 
 
 def read_series_csv(
