@@ -74,6 +74,10 @@ def _libraries(series: DataFrame, spec: Spec) -> DataFrame:
     return op.library_points(op.draw_libraries(sizes, spec), points)
 
 
+def _ranks(series: DataFrame, pair: tuple[int, int], k: int, **options) -> DataFrame:
+    return _tidy(op.rank_neighbors(op.embed(series, [pair]), op.lengths(series, [pair]), k, **options), "d")
+
+
 def _knn_rows(series: DataFrame, spec: Spec) -> DataFrame:
     rows = op.explode_neighbors(neighbours(series, spec))
     return _tidy(rows.select("series_id", "E", "tau", "L", "sample", "p", "r", "q", "d", "m"), "d")
@@ -134,10 +138,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             ),
             "mean", "low", "high",
         ),
-        "rank_neighbors_k10": lambda s, d: _tidy(op.rank_neighbors(op.embed(hourly(s, d), [(3, 1)]), 10), "d"),
-        "knn_exclude_zero": lambda s, d: _tidy(
-            op.rank_neighbors(op.embed(_daily_orders(s, d), [(2, 1)]), 5, exclude_zero_distance=True), "d"
-        ),
+        "rank_neighbors_k10": lambda s, d: _ranks(hourly(s, d), (3, 1), 10),
+        "knn_exclude_zero": lambda s, d: _ranks(_daily_orders(s, d), (2, 1), 5, exclude_zero_distance=True),
         "knn_library": lambda s, d: _knn_rows(hourly(s, d), SINGLE),
         "knn_library_first": lambda s, d: _knn_rows(hourly(s, d), Spec(samples=5, strategy="library_first")),
         "knn_library_distinct": lambda s, d: _knn_rows(hourly(s, d), Spec(samples=5, distinct_library=True)),

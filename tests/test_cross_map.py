@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidelag import Spec, cross_map, neighbours
-from tidelag.operators import embed, explode_neighbors, pair_distances, rank_neighbors, simplex_forecast
+from tidelag.operators import embed, explode_neighbors, lengths, pair_distances, rank_neighbors, simplex_forecast
 from tidelag.operators import simplex_predict, simplex_weights, tiles
 
 # The nine-point series of the reference's worked example.
@@ -129,10 +129,13 @@ def test_skill_grows_with_the_library(spark):
 
 def test_rank_table(spark, small_blocks):
     series = mixed_series()
-    points = embed(frame(spark, series), [(2, 1)])
+    rng = random.Random(8)
+    series["copies"] = ([1.0] * 40 + [float(rng.randrange(4)) for _ in range(60)] + [1.0] * 30, [0.0] * 130)
+    series["long"] = coupled(300)
+    points, sizes = embed(frame(spark, series), [(2, 1)]), lengths(frame(spark, series), [(2, 1)])
     for no_zero in (False, True):
         got = {}
-        for r in rank_neighbors(points, 5, no_zero).orderBy("p", "r").collect():
+        for r in rank_neighbors(points, sizes, 5, no_zero).orderBy("p", "r").collect():
             got.setdefault((r.series_id, r.p), []).append((r.q, r.d, r.r))
         for name, (x, _) in series.items():
             pts = brute.points([float(v) for v in x], 2, 1)

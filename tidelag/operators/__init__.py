@@ -3,7 +3,8 @@ from tidelag.operators.analysis import (
 )
 from tidelag.operators.embedding import accumulate_vs_next, drop_invalid, embed, lengths, rolling_sum, valid_points
 from tidelag.operators.library import draw_libraries, library_grid, library_points
-from tidelag.operators.neighbors import explode_neighbors, knn_in_library, pair_distances, rank_neighbors
+from tidelag.operators.neighbors import explode_neighbors, knn_in_library, pair_distances
+from tidelag.operators.ranking import rank_neighbors
 from tidelag.operators.simplex import simplex_forecast, simplex_predict, simplex_weights
 from tidelag.operators.skill import skill
 from tidelag.operators.vectors import argsort, array_pearson, pairwise_euclidean, pairwise_pearson, rowwise_pearson, summary_of

@@ -42,18 +42,18 @@ def pack_libraries(libraries: DataFrame, manifold: DataFrame) -> DataFrame:
     )
 
 
-def _spread(units: DataFrame, *keys: str) -> DataFrame:
+def deal_out(units: DataFrame, *keys: str) -> DataFrame:
     """Deal out units of work evenly. Their rows are few and small next to the work in
     them, so neither a broadcast join nor coalescing may decide how many tasks they get."""
     tasks = TASKS_PER_PARTITION * int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return units.repartition(tasks, *keys)
 
 
-def _meet(libs: DataFrame, manifold: DataFrame) -> DataFrame:
+def meet(libs: DataFrame, manifold: DataFrame) -> DataFrame:
     """Every candidate block with every point block of its manifold. The block number is
     part of the join key, so the blocks of one long series spread over all tasks."""
     libs = explode_range(libs, "block", BLOCKS)
-    return _spread(libs, *MANIFOLD, "block").join(pack_points(manifold), [*MANIFOLD, "block"]).select(
+    return deal_out(libs, *MANIFOLD, "block").join(pack_points(manifold), [*MANIFOLD, "block"]).select(
         "series_id", "E", "tau", "L", "first_sample", "sample_count", "points", "lib"
     )
 
@@ -74,7 +74,7 @@ def knn_in_library(manifold: DataFrame, lengths: DataFrame, spec: Spec, k: int |
     )
     grid = with_tickets(library_grid(lengths.where(fits), spec), spec)
     units = explode_range(grid.join(tile, MANIFOLD), "block", BLOCKS)
-    small = _spread(units, *MANIFOLD, "L", "grp", "block").select(
+    small = deal_out(units, *MANIFOLD, "L", "grp", "block").select(
         "series_id", "E", "tau", "L", "size", "first_sample", "block", "tickets", "lib"
     ).mapInArrow(tiles.tile_kernel(POINTS, spec.replacement, *options), NEIGHBOURS)
 
@@ -83,7 +83,7 @@ def knn_in_library(manifold: DataFrame, lengths: DataFrame, spec: Spec, k: int |
     libraries = draw_libraries(lengths.where(over), spec)
 
     def search(part: DataFrame) -> DataFrame:
-        return _meet(pack_libraries(part, points), points).mapInArrow(kernel, NEIGHBOURS)
+        return meet(pack_libraries(part, points), points).mapInArrow(kernel, NEIGHBOURS)
 
     if not isinstance(spec.L, LengthRange) and max(spec.L) <= TILE:
         return small.unionByName(search(libraries))
@@ -115,7 +115,7 @@ def explode_neighbors(found: DataFrame, outer: bool = False) -> DataFrame:
     return rows.selectExpr(*POINT, "_r + 1 AS r", "_n.q", "_n.d", "_n.m", "_n.yq")
 
 
-def _self_candidates(manifold: DataFrame) -> DataFrame:
+def self_candidates(manifold: DataFrame) -> DataFrame:
     """The whole manifold as one library, in blocks of TILE points."""
     hits = "array(struct(0 AS sample, 1 AS m)) AS hits"
     return (
@@ -124,30 +124,14 @@ def _self_candidates(manifold: DataFrame) -> DataFrame:
     )
 
 
-def rank_neighbors(manifold: DataFrame, k_max: int, exclude_zero_distance: bool = False) -> DataFrame:
-    """Rank table: the k_max nearest points of every point, in (distance, index) order.
-    Columns series_id, E, tau, p, q, d, r. Each meeting keeps k_max per point, so what is
-    shuffled for the final ranking grows with points x blocks x k_max, not with pairs."""
-    libs = _self_candidates(manifold).selectExpr(
-        *MANIFOLD, "n", "0 AS L", "0 AS first_sample", "1 AS sample_count", "lib"
-    )
-    kernel = tiles.block_kernel(k_max, False, exclude_zero_distance, True)
-    found = explode_neighbors(_meet(libs, manifold).mapInArrow(kernel, NEIGHBOURS)).drop("r")
-    order = Window.partitionBy(*MANIFOLD, "p").orderBy("d", "q")
-    return (
-        found.withColumn("r", F.row_number().over(order)).where(f"r <= {k_max}")
-        .select(*MANIFOLD, "p", "q", "d", "r")
-    )
-
-
 def pair_distances(
     manifold: DataFrame, summarise: bool = False, measure: str = "euclidean"
 ) -> DataFrame:
     """The all-pairs matrix as tiles: one row per point and block of TILE other points with
     arrays q and d. With ``summarise`` each such row holds pairs, total, low and high
     instead, and the cells never leave the task."""
-    libs = explode_range(_self_candidates(manifold), "block", BLOCKS)
-    met = _spread(libs, *MANIFOLD, "block").join(pack_points(manifold), [*MANIFOLD, "block"]).select(*MANIFOLD, "q_block", "points", "lib")
+    libs = explode_range(self_candidates(manifold), "block", BLOCKS)
+    met = deal_out(libs, *MANIFOLD, "block").join(pack_points(manifold), [*MANIFOLD, "block"]).select(*MANIFOLD, "q_block", "points", "lib")
     cells = "pairs bigint, total double, low double, high double" if summarise else "q array<bigint>, d array<double>"
     schema = f"series_id string, E int, tau int, p bigint, q_block bigint, {cells}"
     return met.mapInArrow(tiles.matrix_kernel(measure, summarise), schema)

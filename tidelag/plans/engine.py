@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import replace
 from functools import reduce
 
@@ -15,27 +13,7 @@ from tidelag.operators.neighbors import knn_in_library
 from tidelag.operators.simplex import simplex_forecast, simplex_predict, simplex_weights
 from tidelag.operators.skill import skill
 from tidelag.spec import LengthRange, Spec
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the written table.
-
-    A series built from raw events is far smaller than the events, and a sweep reads it
-    several times; staging keeps the raw scan to one pass, survives lost executors, and
-    tells the optimizer the true size. The folder is the context's checkpoint folder, else
-    spark.checkpoint.dir. A local session without either gets a temporary folder; elsewhere
-    that would not be shared, so it is an error."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="tidelag-")
-        context.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tidelag.staging import stage
 
 
 def manifold_of(series: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
