@@ -5,9 +5,11 @@ A window over a whole series runs in one task. Here every window is partitioned
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelag.staging import stage
+
 STRETCH = 1 << 18
 
 
@@ -29,61 +31,31 @@ def with_halo(df: DataFrame, before: int = 0, after: int = 0, stretch: int = STR
     return spread, Window.partitionBy("series_id", "_stretch").orderBy("i")
 
 
-def dense_rank_of(df: DataFrame, keys: list[str], value: str, tiebreak: str, name: str = "i", stretch: int = STRETCH):
-    """0-based position of each row when every key group is sorted by (value, tiebreak).
-
-    Rows are split by value into stretches (equal width over the range of the group, then
-    again over the range of the stretch; a stretch holding one value only is split by
-    tiebreak), counted, and numbered inside their stretch plus the count of all earlier
-    ones. Missing values sort first, NaN last. Both columns must be numbers, dates or timestamps."""
-
-    def number(c: str) -> Column:
-        dtype = dict(df.dtypes)[c]
-        col = F.col(c)
-        if dtype == "date":
-            return F.unix_date(col).cast("double")
-        if dtype.startswith("timestamp"):
-            return F.unix_micros(col.cast("timestamp")).cast("double")
-        return col.cast("double")
-
-    def slot(x: Column, lo: str, hi: str, count: str) -> Column:
-        parts = F.ceil(F.col(count) / stretch)
-        width = F.col(hi) - F.col(lo)
-        return F.coalesce(
-            F.when((width > 0) & (parts > 1), F.least(F.floor((x - F.col(lo)) / width * parts), parts - 1)),
-            F.lit(0),
-        ).cast("bigint")
-
-    rows = df.withColumn("_v", number(value)).withColumn("_t", number(tiebreak))
-    finite = F.when(~F.isnan("_v"), F.col("_v"))
-    whole = rows.groupBy(*keys).agg(
-        F.min(finite).alias("_lo"), F.max(finite).alias("_hi"), F.count(F.lit(1)).alias("_rows")
-    )
-    first = rows.join(whole, keys).withColumn(
-        "_a",
-        F.when(F.col("_v").isNull(), -1)
-        .when(F.isnan("_v"), 1 << 62)
-        .otherwise(slot(F.col("_v"), "_lo", "_hi", "_rows")),
-    ).drop("_lo", "_hi", "_rows")
-    part = first.groupBy(*keys, "_a").agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_rows"),
-        F.min("_t").alias("_tlo"), F.max("_t").alias("_thi"),
-        F.min(value).eqNullSafe(F.max(value)).alias("_single"),
+def dense_rank_of(df: DataFrame, keys: list[str], value: str, tiebreak: str, name: str = "i") -> DataFrame:
+    """0-based position of each row when every key group is sorted by (value, tiebreak);
+    missing values first, NaN last.
+
+    Rows are range-partitioned by (keys, value, tiebreak), so neither a hot key nor a hot
+    value fills a task, sorted, and staged with their place in the partition. Staging pins
+    the partitions: the cuts come from a sample, and would not be the same when computed
+    twice. All that is left is to add up the counts of earlier partitions per key."""
+    keys = list(keys)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = stage(
+        df.repartitionByRange(tasks, *keys, value, tiebreak)
+        .sortWithinPartitions(*keys, value, tiebreak)
+        .selectExpr("*", "spark_partition_id() AS _part", f"monotonically_increasing_id() & {(1 << 33) - 1}L AS _row")
     )
-    second = first.join(part, [*keys, "_a"]).withColumn(
-        "_b",
-        F.when(F.col("_single"), slot(F.col("_t"), "_tlo", "_thi", "_rows")).otherwise(slot(F.col("_v"), "_lo", "_hi", "_rows")),
-    ).drop("_lo", "_hi", "_rows", "_tlo", "_thi", "_single")
-    earlier = Window.partitionBy(*keys).orderBy("_a", "_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        second.groupBy(*keys, "_a", "_b").agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-        .drop("_rows")
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        placed.groupBy(*keys, "_part").agg(F.expr("min(_row) AS _from"), F.expr("count(*) AS _rows"))
+        .select(
+            *[F.col(k).alias(f"_key{j}") for j, k in enumerate(keys)], F.col("_part").alias("_at"),
+            (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_from")).alias("_shift"),
+        )
     )
-    inside = Window.partitionBy(*keys, "_a", "_b").orderBy(value, tiebreak)
-    return (
-        second.withColumn("_r", F.row_number().over(inside))
-        .join(offsets, [*keys, "_a", "_b"])
-        .withColumn(name, F.col("_before") + F.col("_r") - 1)
-        .drop("_v", "_t", "_a", "_b", "_r", "_before")
+    same = [F.col(k).eqNullSafe(F.col(f"_key{j}")) for j, k in enumerate(keys)]
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return placed.join(starts, [F.col("_part") == F.col("_at"), *same]).select(
+        *columns, (F.col("_row") + F.col("_shift")).alias(name)
     )

@@ -11,6 +11,7 @@ from tidelag.operators.neighbors import MANIFOLD, NEIGHBOURS, self_candidates
 from tidelag.operators.ordering import dense_rank_of
 from tidelag.staging import stage
 
+BOX_POINTS = 2048
 BOX = [*MANIFOLD, "slab", "box"]
 RANKED = [*MANIFOLD, "p", "q", "d", "r"]
 
@@ -34,7 +35,7 @@ def rank_neighbors(
 
 
 def _rank_long(points: DataFrame, k_max: int, no_zero: bool) -> DataFrame:
-    """Points are cut into boxes of at most TILE by their first two coordinates. A box
+    """Points are cut into boxes of at most BOX_POINTS by their first two coordinates. A box
     first meets itself, which bounds how far its points still have to look; then it meets
     the boxes that come nearer than that.
 
@@ -88,13 +89,13 @@ def _rank_long(points: DataFrame, k_max: int, no_zero: bool) -> DataFrame:
 
 def _place(points: DataFrame) -> DataFrame:
     """Add slab (by the first coordinate) and box (by the second, inside the slab). About
-    as many slabs as boxes per slab; a box has at most TILE points."""
+    as many slabs as boxes per slab; a box has at most BOX_POINTS points."""
     rows = points.selectExpr("*", "v[0] AS _v0", "CASE WHEN E > 1 THEN get(v, 1) ELSE 0D END AS _v1")
     rows = dense_rank_of(rows, MANIFOLD, "_v0", "i", "_r0")
-    slabs = f"greatest(1L, CAST(round(sqrt(n / {neighbors.TILE})) AS BIGINT))"
+    slabs = f"greatest(1L, CAST(round(sqrt(n / {BOX_POINTS})) AS BIGINT))"
     rows = rows.selectExpr("*", f"_r0 * {slabs} div n AS slab")
     rows = dense_rank_of(rows, [*MANIFOLD, "slab"], "_v1", "i", "_r1")
-    return rows.selectExpr("*", f"_r1 div {neighbors.TILE} AS box")
+    return rows.selectExpr("*", f"_r1 div {BOX_POINTS} AS box")
 
 
 def _meetings(boxes: DataFrame, bounds: DataFrame) -> DataFrame:

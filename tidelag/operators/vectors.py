@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelag.operators.neighbors import pair_distances
-from tidelag.operators.ordering import STRETCH, dense_rank_of
+from tidelag.operators.ordering import dense_rank_of
 
 
 def _as_manifold(df: DataFrame, id: str, vec: str) -> DataFrame:
@@ -66,9 +66,9 @@ def rowwise_pearson(a: DataFrame, b: DataFrame, id: str, vec: str) -> DataFrame:
     return left.join(right, id).select(id, array_pearson(F.col("_a"), F.col("_b")).alias("rho"))
 
 
-def argsort(df: DataFrame, keys, value: str, idx: str, stretch: int = STRETCH) -> DataFrame:
+def argsort(df: DataFrame, keys, value: str, idx: str) -> DataFrame:
     """The order that sorts ``value`` (ties by ``idx``): keys, rank (from 0), idx, value."""
     keys = list(keys)
-    return dense_rank_of(df.select(*keys, value, idx), keys, value, idx, "rank", stretch).select(
+    return dense_rank_of(df.select(*keys, value, idx), keys, value, idx, "rank").select(
         *keys, "rank", idx, value
     )

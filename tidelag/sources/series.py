@@ -92,9 +92,9 @@ def read_series_csv(
     row = F.monotonically_increasing_id()
     rows = table.select(
         F.lit(series_id).alias("series_id"), number(x).alias("x"), number(y).alias("y"),
-        row.alias("_row"), (number(order_by) if order_by else row.cast("double")).alias("_order"),
+        row.alias("_line"), (number(order_by) if order_by else row.cast("double")).alias("_order"),
     )
-    return with_length(dense_rank_of(rows, ["series_id"], "_order", "_row").select("series_id", "i", "x", "y"))
+    return with_length(dense_rank_of(rows, ["series_id"], "_order", "_line").select("series_id", "i", "x", "y"))
 
 
 TASK = (
