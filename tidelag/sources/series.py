@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tidelag.functions import epoch_seconds, explode_range
 from tidelag.operators.embedding import with_length
 from tidelag.operators.ordering import dense_rank_of
-from tidelag.spec import validate_grid
 
 SECONDS = {"minute": 60, "hour": 3600, "day": 86400}
 
@@ -132,6 +131,3 @@ def require_paired(series: DataFrame) -> DataFrame:
     paired = F.col("x").isNull() == F.col("y").isNull()
     message = F.concat(F.lit("unpaired value in series "), "series_id", F.lit(" at "), F.col("i").cast("string"))
     return series.where(F.assert_true(paired, message).isNull())
-
-
-__all__ = ["make_series", "read_series_csv", "read_tasks_json", "require_paired", "validate_grid"]
