@@ -17,6 +17,11 @@ from tidelag import operators as op  # noqa: E402
 from tidelag.plans import manifold_of  # noqa: E402
 from tidelag.sources import bin_rows, fill_calendar, skill_to_json  # noqa: E402
 
+try:
+    from tidelag.llm import queries as llm  # noqa: E402
+except ImportError:  # the subpackage is optional
+    llm = None
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -111,6 +116,14 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return _series_queries() | (llm.queries() if llm else {})
+
+
+def oracle_sql() -> dict[str, str]:
+    return _series_sql() | (llm.oracle_sql() if llm else {})
+
+
+def _series_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     hourly = _clicks_and_views
     return {
         # Series
@@ -201,7 +214,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-def oracle_sql() -> dict[str, str]:
+def _series_sql() -> dict[str, str]:
     ev, users, counts = sql.series_events(), sql.series_events("CAST(user_id AS VARCHAR)", 86400), sql.series_counts()
     orders = sql.series_counts("orders", "o_orderdate", 86400)
     multi_l, sweep_l, pairs = [100, 200, 300, 400], [100, 200, 300], [(2, 1), (2, 2), (3, 1), (3, 2)]

@@ -34,10 +34,10 @@ def rows_of(columns, rows):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry._series_queries()) == set(entry._series_sql())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry._series_queries()))
 def test_query_equals_sql(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     want = duck.sql(entry.oracle_sql()[name])

@@ -2,28 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, else its warehouse folder: both are shared by
+    the driver and all executors. Nothing is set on the caller's session."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+@contextlib.contextmanager
+def shuffles_cleaned(spark: SparkSession):
+    """Queries begun in here drop their shuffle files as soon as they end."""
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEAN_SHUFFLES) if before is None else spark.conf.set(CLEAN_SHUFFLES, before)
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the written table.
+    """Write ``df`` to the shared folder and go on from the written table.
 
-    A series built from raw events is far smaller than the events, and a sweep reads it
-    several times; staging keeps the raw scan to one pass, survives lost executors, and
-    tells the optimizer the true size. The folder is the context's checkpoint folder, else
-    spark.checkpoint.dir. A local session without either gets a temporary folder; elsewhere
-    that would not be shared, so it is an error."""
+    Staging keeps a raw scan to one pass, survives lost executors, and tells the optimizer
+    the true size. The shuffle files behind the table go when it is written."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="tidelag-")
-        context.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    with shuffles_cleaned(spark):
+        df.select("*").write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
