@@ -163,3 +163,15 @@ def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     column = column.cast(pa.large_list(pa.int64()))
     sizes = np.asarray(column.value_lengths().fill_null(0), np.int64)
     return sizes, np.asarray(column.flatten(), np.int64)
+
+
+def runs(mask: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of true places, cut at ``bounds``: start, end, and in which stretch."""
+    n = len(mask)
+    cut = np.zeros(n + 1, bool)
+    cut[bounds] = True
+    begins, ends = mask.copy(), mask.copy()
+    begins[1:] &= ~mask[:-1] | cut[1:n]
+    ends[:-1] &= ~mask[1:] | cut[1:n]
+    start = np.flatnonzero(begins)
+    return start, np.flatnonzero(ends) + 1, np.searchsorted(bounds, start, side="right") - 1
