@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import stage
-from .rolling import Spans, Words, byte_spans, covered, lists, mix, ranges, slices, spaced, words
+from .rolling import Spans, Words, byte_spans, covered, lists, mix, ranges, runs, slices, spaced, words
 from .shared import all_with_marks, by_document, only_marked, places
 
 WINDOW = 35
@@ -117,13 +117,7 @@ def _removed(shape: Shape):
                 len(found.start), np.where(whole, start - left, start),
                 np.where(whole, start + shape.stretch + right, start + shape.window),
             )
-            edge = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
-            lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            # a run that goes on into the next document is cut at its first word
-            inner = found.first[1:-1][(found.first[1:-1] > 0) & (found.first[1:-1] < len(gone))]
-            inner = np.unique(inner[gone[inner] & gone[inner - 1]]) if len(inner) else inner
-            lo, hi = np.sort(np.concatenate([lo, inner])), np.sort(np.concatenate([hi, inner]))
-            doc = np.searchsorted(found.first, lo, side="right") - 1
+            lo, hi, doc = runs(gone, found.first)
             ends = np.zeros(len(sizes) + 1, np.int32)
             np.cumsum(np.bincount(doc, minlength=len(sizes)), out=ends[1:])
             spans = pa.StructArray.from_arrays([pa.array(lo - found.first[doc]), pa.array(hi - found.first[doc])], ["start", "end"])

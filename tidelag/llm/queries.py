@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_dedup, run_index
+from . import cover_dedup, digest_index, golay_simhash, run_index
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,16 @@ def op2_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decided = digest_index.deduplicate(_documents(spark, sf_dir))
+    return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op7_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = golay_simhash.near_duplicates(_documents(spark, sf_dir))
+    return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = cover_dedup.remove_repeats(_documents(spark, sf_dir))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -32,9 +42,17 @@ def op8_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_run_index": op2_run_index,
+        "op3_digest_index": op3_digest_index,
+        "op7_golay_simhash": op7_golay_simhash,
         "op8_cover_dedup": op8_cover_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_digest_index": """WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars,
+            sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256 FROM documents)
+            SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id) AS keep_id,
+                count(*) OVER (PARTITION BY text_sha256) AS group_size,
+                doc_id = first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id) AS kept, text_sha256 FROM d""",
+    }
