@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_dedup, digest_index, golay_simhash, run_index
+from . import cover_dedup, digest_index, golay_simhash, run_index, secret_tests
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,12 +39,22 @@ def op8_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_secret_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_tests.find_secrets(_documents(spark, sf_dir))
+    count = lambda kind: F.expr(f"CAST(size(filter(base, s -> s.kind = '{kind}')) AS BIGINT)").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(F.expr(secret_tests.as_text("base")), 256).alias("base_sha256"), F.expr(secret_tests.as_text("found")).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_run_index": op2_run_index,
         "op3_digest_index": op3_digest_index,
         "op7_golay_simhash": op7_golay_simhash,
         "op8_cover_dedup": op8_cover_dedup,
+        "op10_secret_tests": op10_secret_tests,
     }
 
 
