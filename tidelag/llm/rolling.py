@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 FOLD = np.uint64(0xD6E8FEB86659FD93)
 SHIFT = np.uint64(32)
