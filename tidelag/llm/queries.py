@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_dedup, digest_index, golay_simhash, run_index, secret_tests
+from . import cover_dedup, digest_index, golay_simhash, run_index, secret_tests, soft_mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,21 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents")
 
 
+#: Shares of tokens by domain.
+TARGETS = {"good": 0.85, "poor": 0.13, "toxic": 0.02}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """doc_id, domain of the labelled rows."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = domains(_table(spark, sf_dir, "labels"))
+    return soft_mixing.mix_rates(_documents(spark, sf_dir), labels, TARGETS)
+
+
 def op2_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = run_index.remove_later(_documents(spark, sf_dir))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -50,6 +65,7 @@ def op10_secret_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_soft_mixing": op1_soft_mixing,
         "op2_run_index": op2_run_index,
         "op3_digest_index": op3_digest_index,
         "op7_golay_simhash": op7_golay_simhash,
