@@ -3,12 +3,15 @@ production parameters, to its whole table."""
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_dedup, digest_index, golay_simhash, run_index, secret_tests, soft_mixing
+from ..staging import shared_folder
+from . import cover_dedup, digest_index, golay_simhash, letter_vectors, pair_grammar, rule_forest, run_index, secret_tests, soft_mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +23,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Shares of tokens by domain.
-TARGETS = {"good": 0.85, "poor": 0.13, "toxic": 0.02}
+TARGETS = {"good": 0.84, "poor": 0.08, "toxic": 0.08}
 
 
 def domains(labels: DataFrame) -> DataFrame:
@@ -44,6 +47,27 @@ def op3_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op4_rule_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rule_forest.judge(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+def _tokenizer(name: str) -> str:
+    """A public vocabulary file, in the folder that TOKENIZER_DIR names."""
+    return os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), name)
+
+
+def op5_pair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
+    pair_grammar.write_ids(_documents(spark, sf_dir), path, _tokenizer("word_bpe_49k.json"))
+    return pair_grammar.digests(spark, path)
+
+
+def op6_letter_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return letter_vectors.identify(docs, letter_vectors.learn(docs))
+
+
 def op7_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = golay_simhash.near_duplicates(_documents(spark, sf_dir))
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -68,6 +92,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_soft_mixing": op1_soft_mixing,
         "op2_run_index": op2_run_index,
         "op3_digest_index": op3_digest_index,
+        "op4_rule_forest": op4_rule_forest,
+        "op5_pair_grammar": op5_pair_grammar,
+        "op6_letter_vectors": op6_letter_vectors,
         "op7_golay_simhash": op7_golay_simhash,
         "op8_cover_dedup": op8_cover_dedup,
         "op10_secret_tests": op10_secret_tests,

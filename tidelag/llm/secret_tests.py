@@ -117,7 +117,7 @@ def _scored(rows: DataFrame) -> DataFrame:
 def thresholds(found: DataFrame, rate: float) -> DataFrame:
     """class, most: the largest score accepted. Sums over at most 2,001 scores a class."""
     counts = found.select(F.explode("tokens").alias("t")).groupBy("t.class", "t.score").agg(
-        F.count_if("t.control").alias("controls"), F.count_if(~F.col("t.control")).alias("candidates")
+        F.count_if(F.col("t.control")).alias("controls"), F.count_if(~F.col("t.control")).alias("candidates")
     )
     upto = "PARTITION BY class ORDER BY score"
     sums = counts.selectExpr(

@@ -23,14 +23,15 @@ from pyspark.sql import functions as F
 
 from ..staging import stage
 
-WORD_BUCKETS, END_BUCKETS = 1 << 12, 1 << 8
-FEATURES = WORD_BUCKETS + END_BUCKETS
 #: At most so many labelled rows, those of the smallest hashes, fit the classifier; every
 #: fourth of them sets the temperature instead.
 LABELLED = 20_000
-SMOOTHING = 4.0
-TEMPERATURES = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0)
-STEPS, TOLERANCE = 60, 1e-4
+SMOOTHING = 1.0
+#: A feature speaks for or against a domain if it is off its expected count by so many
+#: deviations; of each domain the MOST_FEATURES clearest are kept, in a table of SLOTS.
+CLEAR, MOST_FEATURES, SLOTS = 5.0, 500, 1 << 14
+TEMPERATURES = (0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0)
+STEPS, TOLERANCE, TOGETHER = 60, 1e-4, 8
 SEED = 11
 
 
@@ -39,24 +40,28 @@ def _words(text: Column) -> Column:
 
 
 def _features(words: str) -> str:
-    """Distinct buckets: of the words in lower case, and of the characters they end with."""
+    """Distinct hashes of the words in lower case without punctuation around them, of the
+    characters they end with, and of how much of the text repeats earlier words."""
     return (
-        f"array_distinct(concat(transform({words}, w -> pmod(xxhash64(lower(w)), {WORD_BUCKETS})), "
-        f"transform({words}, w -> {WORD_BUCKETS} + pmod(ascii(right(w, 1)), {END_BUCKETS}))))"
+        f"array_distinct(concat(transform({words}, w -> xxhash64(trim(BOTH '.,;:!?' FROM lower(w)))), "
+        f"transform({words}, w -> xxhash64('end', right(w, 1))), "
+        f"array(xxhash64('fresh', CAST(10 * size(array_distinct({words})) / greatest(1, size({words})) AS INT)))))"
     )
 
 
-def _numbers(values: list[float]) -> str:
+def _numbers(values: list, kind: str = "double") -> str:
     """A constant array: one text that is folded once, not thousands of literals."""
-    return f"from_json('[{','.join(f'{v:.6g}' for v in values)}]', 'array<double>')"
+    return f"from_json('[{','.join(map(repr, values))}]', 'array<{kind}>')"
 
 
 @dataclass
 class Mixture:
-    """``weights``: per domain a log likelihood ratio per feature; ``pulls``: per step a number per domain."""
+    """``slots``: the feature that owns each slot, or 0; ``weights``: per domain the log
+    likelihood ratio by slot; ``pulls``: per step a number per domain."""
 
     domains: list[str]
     priors: list[float]
+    slots: list[int]
     weights: list[list[float]]
     temperature: float = 1.0
     pulls: list[list[float]] = field(default_factory=list)
@@ -65,20 +70,26 @@ class Mixture:
         """``keep``, n_tokens and _p, an array with a posterior per domain."""
         rows = docs.select(*keep, _words(F.col("text")).alias("_words"))
         rows = rows.select(*keep, F.size("_words").cast("long").alias("n_tokens"), F.expr(_features("_words")).alias("_features"))
-        logits = [
-            f"{log(p)} + aggregate(_features, 0D, (s, f) -> s + {_numbers(w)}[CAST(f AS INT)]) / {self.temperature}"
-            for p, w in zip(self.priors, self.weights)
-        ]
-        rows = rows.select(*keep, "n_tokens", F.expr(f"array({', '.join(logits)})").alias("_p"))
+        rows = rows.select(*keep, "n_tokens", F.expr(self.evidence()).alias("_p"))
+        rows = rows.withColumn("_p", F.expr(f"transform(_p, (x, i) -> x / {self.temperature}D + {_numbers([log(p) for p in self.priors])}[i])"))
         rows = rows.withColumn("_p", F.expr("transform(_p, x -> exp(x - array_max(_p)))"))
         return rows.withColumn("_p", F.expr("transform(_p, x -> x / aggregate(_p, 0D, (s, y) -> s + y))"))
 
+    def evidence(self) -> str:
+        """Of a row with _features: the sum of log likelihood ratios per domain."""
+        slot = f"CAST(pmod(f, {SLOTS}) AS INT)"
+        known = f"transform(filter(_features, f -> {_numbers(self.slots, 'bigint')}[{slot}] = f), f -> {slot})"
+        return f"array({', '.join(f'aggregate({known}, 0D, (s, f) -> s + {_numbers(w)}[f])' for w in self.weights)})"
+
     def rate(self) -> Column:
         """Of a row with _p: 1, moved by every step, never below 0."""
-        value = F.lit(1.0)
-        for pull in self.pulls:
-            value = F.greatest(F.lit(0.0), value + sum((F.col("_p")[d] * F.lit(x) for d, x in enumerate(pull)), F.lit(0.0)))
-        return value
+        if not self.pulls:
+            return F.lit(1.0)
+        pulls = "[" + ",".join(f"[{','.join(repr(x) for x in pull)}]" for pull in self.pulls) + "]"
+        return F.expr(f"aggregate(from_json('{pulls}', 'array<array<double>>'), 1D, (r, x) -> {self._moved('r', [f'x[{d}]' for d in range(len(self.domains))])})")
+
+    def _moved(self, rate: str, pull: list[str]) -> str:
+        return f"greatest(0D, {rate} + {' + '.join(f'_p[{d}] * {x}' for d, x in enumerate(pull))})"
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], labelled: int = LABELLED) -> Mixture:
@@ -90,30 +101,37 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], label
     rows = stage(rows.select("doc_id", "domain", F.expr(_features("_words")).alias("_features")))
     fit, check = (rows.where(c) for c in ("pmod(xxhash64(doc_id), 4) <> 0", "pmod(xxhash64(doc_id), 4) = 0"))
     total = {r["domain"]: r["n"] for r in fit.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    seen = fit.select("domain", F.explode("_features").alias("f")).groupBy("domain", "f").agg(F.count("*").alias("n")).collect()
-    count = {d: [0.0] * FEATURES for d in domains}
-    for r in seen:
-        count[r["domain"]][r["f"]] = r["n"]
     everyone = sum(total.values())
-    whole = [sum(count[d][f] for d in domains) for f in range(FEATURES)]
-    weights = []
-    for d in domains:
-        n = total.get(d, 0)
-        share = [(w + 0.5) / (everyone + 1) for w in whole]
-        weights.append([log((c + SMOOTHING * s) / (n + SMOOTHING) / s) for c, s in zip(count[d], share)])
-    mixture = Mixture(domains, [(total.get(d, 0) + 1) / (everyone + len(domains)) for d in domains], weights)
-    return _tempered(mixture, check)
+    priors = [(total.get(d, 0) + 1) / (everyone + len(domains)) for d in domains]
+    own = {d: f"CAST(n{i} AS DOUBLE)" for i, d in enumerate(domains)}
+    counts = fit.select("domain", F.explode("_features").alias("f")).groupBy("f").agg(
+        *[F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)]
+    )
+    share = f"(({' + '.join(own.values())}) / {max(1, everyone)})"
+    ratios = [f"ln(({c} + {SMOOTHING}) / ({total.get(d, 0)} * {share} + {SMOOTHING}))" for d, c in own.items()]
+    clear = [f"abs({c} - {total.get(d, 0)} * {share}) / sqrt({total.get(d, 0)} * {share} + 1)" for d, c in own.items()]
+    counts = stage(counts.selectExpr("f", f"array({', '.join(ratios)}) AS w", f"array({', '.join(clear)}) AS z"))
+    slots, weights = [0] * SLOTS, [[0.0] * SLOTS for _ in domains]
+    best: dict[int, float] = {}
+    for i in range(len(domains)):  # a bounded number of features a domain
+        for r in counts.where(F.col("z")[i] > CLEAR).orderBy(F.col("z")[i].desc(), "f").limit(MOST_FEATURES).collect():
+            at, z = r["f"] % SLOTS, max(r["z"])
+            if z > best.get(at, 0):
+                best[at], slots[at] = z, r["f"]
+                for d, w in enumerate(r["w"]):
+                    weights[d][at] = w
+    return _tempered(Mixture(domains, priors, slots, weights), check)
 
 
 def _tempered(mixture: Mixture, check: DataFrame) -> Mixture:
     """With the temperature of least log loss on rows that the fit has not seen."""
-    sums = [f"aggregate(_features, 0D, (s, f) -> s + {_numbers(w)}[CAST(f AS INT)])" for w in mixture.weights]
-    rows = check.select("domain", F.expr(f"array({', '.join(sums)})").alias("s"))
-    losses = []
-    for t in TEMPERATURES:
-        rows = rows.withColumn(f"t{t:g}", F.expr(f"transform(s, (x, i) -> x / {t} + array({', '.join(str(log(p)) for p in mixture.priors)})[i])"))
-        own = f"t{t:g}[array_position(array({', '.join(repr(d) for d in mixture.domains)}), domain) - 1]"
-        losses.append(F.expr(f"sum(ln(aggregate(transform(t{t:g}, x -> exp(x - array_max(t{t:g}))), 0D, (a, b) -> a + b)) + array_max(t{t:g}) - {own})"))
+    rows = check.select("domain", F.expr(mixture.evidence()).alias("s"))
+    priors = f"array({', '.join(f'{log(p)!r}D' for p in mixture.priors)})"
+    place = f"array_position(array({', '.join(repr(d) for d in mixture.domains)}), domain) - 1"
+    logits = [F.expr(f"transform(s, (x, i) -> x / {t}D + {priors}[i])").alias(f"t{k}") for k, t in enumerate(TEMPERATURES)]
+    rows = rows.select("*", *logits)
+    loss = "sum(ln(aggregate(transform({0}, x -> exp(x - array_max({0}))), 0D, (a, b) -> a + b)) + array_max({0}) - {0}[CAST({1} AS INT)])"
+    losses = [F.expr(loss.format(f"t{k}", place)) for k in range(len(TEMPERATURES))]
     loss = rows.agg(*losses).first()
     if loss[0] is not None:
         mixture.temperature = min(zip(loss, TEMPERATURES))[1]
@@ -122,17 +140,22 @@ def _tempered(mixture: Mixture, check: DataFrame) -> Mixture:
 
 def fit_rates(rows: DataFrame, mixture: Mixture, targets: dict[str, float], steps: int = STEPS) -> Mixture:
     """Steps of the projected gradient over a staged table with n_tokens and _p, until all
-    domains are within TOLERANCE of their targets."""
+    domains are within TOLERANCE of their targets. Rates are written every TOGETHER steps."""
     share = [targets[d] / sum(targets.values()) for d in mixture.domains]
-    expected = lambda rate: [F.sum(F.col("n_tokens") * F.col("_p")[d] * rate) for d in range(len(share))]
-    tokens = [x or 0.0 for x in rows.agg(*expected(F.lit(1.0))).first()]
-    total, reached = sum(tokens), tokens
-    for _ in range(steps):
+    rows, rate = rows.select("n_tokens", "_p", F.lit(1.0).alias("_rate")), "_rate"
+    expected = lambda: [x or 0.0 for x in rows.agg(*[F.expr(f"sum(n_tokens * _p[{d}] * {rate})") for d in range(len(share))]).first()]
+    tokens = reached = expected()
+    total = sum(tokens)
+    for step in range(1, steps + 1):
         short = [s * total - r for s, r in zip(share, reached)]
         if all(abs(x) <= TOLERANCE * s * total for x, s in zip(short, share)):
             break
-        mixture.pulls.append([x / max(n, 1e-9) for x, n in zip(short, tokens)])
-        reached = list(rows.agg(*expected(mixture.rate())).first())
+        pull = [x / max(n, 1e-9) for x, n in zip(short, tokens)]
+        mixture.pulls.append(pull)
+        rate = mixture._moved(rate, [f"({x!r}D)" for x in pull])
+        if step % TOGETHER == 0:
+            rows, rate = stage(rows.withColumn("_rate", F.expr(rate))), "_rate"
+        reached = expected()
     return mixture
 
 
