@@ -19,8 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 DIMENSIONS = 512
 #: Letters are dealt to so many symbols by their code; symbol 0 is the gap.
@@ -118,7 +120,8 @@ def _predict(prototypes: Prototypes):
         vectors = Vectors()
         for batch in batches:
             names, scores = [], []
-            for text in batch.column("_text"):
+            texts = batch.column("_text") if "_text" in batch.schema.names else pc.struct_field(batch.column("_row"), "text")
+            for text in texts:
                 found, count = gram_counts(text.as_py() or "")
                 if not len(found) or not prototypes.languages or not count.sum():
                     names.append(UNKNOWN)
@@ -146,7 +149,7 @@ def keep_known(docs: DataFrame) -> DataFrame:
     """The rows in which a language is recognised, with all their columns."""
     prototypes = learn(docs)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = docs.select(row, F.col("text").alias("_text"))
-    kind = rows.schema["_row"].dataType.simpleString()
-    judged = rows.mapInArrow(_predict(prototypes), f"_row {kind}, lang_pred string, score double")
+    rows = docs.select(row)
+    kind = StructType([*rows.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
+    judged = rows.mapInArrow(_predict(prototypes), kind)
     return judged.where(F.col("lang_pred") != UNKNOWN).select("_row.*")

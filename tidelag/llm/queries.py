@@ -3,15 +3,17 @@ production parameters, to its whole table."""
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from ..staging import shared_folder
-from . import cover_dedup, digest_index, golay_simhash, letter_vectors, pair_grammar, rule_forest, run_index, secret_tests, soft_mixing
+from . import cover_dedup, digest_index, golay_simhash, letter_vectors, pair_grammar, piece_lattice, rule_forest, run_index, secret_tests, soft_mixing
+from .shared import tokenizer_file
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,19 +24,9 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents")
 
 
-#: Shares of tokens by domain.
-TARGETS = {"good": 0.84, "poor": 0.08, "toxic": 0.08}
-
-
-def domains(labels: DataFrame) -> DataFrame:
-    """doc_id, domain of the labelled rows."""
-    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
-    return labels.select("doc_id", domain.alias("domain"))
-
-
 def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = domains(_table(spark, sf_dir, "labels"))
-    return soft_mixing.mix_rates(_documents(spark, sf_dir), labels, TARGETS)
+    labels = soft_mixing.domains(_table(spark, sf_dir, "labels"))
+    return soft_mixing.mix_rates(_documents(spark, sf_dir), labels, soft_mixing.TARGETS)
 
 
 def op2_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,14 +44,9 @@ def op4_rule_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
-def _tokenizer(name: str) -> str:
-    """A public vocabulary file, in the folder that TOKENIZER_DIR names."""
-    return os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), name)
-
-
 def op5_pair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
-    pair_grammar.write_ids(_documents(spark, sf_dir), path, _tokenizer("word_bpe_49k.json"))
+    pair_grammar.write_ids(_documents(spark, sf_dir), path, tokenizer_file("word_bpe_49k.json"))
     return pair_grammar.digests(spark, path)
 
 
@@ -78,6 +65,16 @@ def op8_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids, and the text that they decode to, as counts and digests."""
+    model = tokenizer_file("piece_bpe_32k.model")
+    both = piece_lattice.decode(piece_lattice.encode(_documents(spark, sf_dir), model), model)
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.crc32(F.array_join("ids", ",")).alias("ids_crc32"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 def op10_secret_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_tests.find_secrets(_documents(spark, sf_dir))
     count = lambda kind: F.expr(f"CAST(size(filter(base, s -> s.kind = '{kind}')) AS BIGINT)").alias(f"n_{kind}")
@@ -87,6 +84,10 @@ def op10_secret_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_soft_mixing": op1_soft_mixing,
@@ -97,7 +98,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_letter_vectors": op6_letter_vectors,
         "op7_golay_simhash": op7_golay_simhash,
         "op8_cover_dedup": op8_cover_dedup,
+        "op9_piece_lattice": op9_piece_lattice,
         "op10_secret_tests": op10_secret_tests,
+        "pipeline": pipeline,
     }
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,3 +63,8 @@ def all_with_marks(rows: DataFrame, marks: DataFrame) -> DataFrame:
     ids = small_side(marks.select("_doc", "_tag"), 32)
     rest = rows.join(ids, ["_doc", "_tag"], "left_anti").withColumn("_marks", F.lit(None).cast(marks.schema["_marks"].dataType))
     return only_marked(rows, marks).unionByName(rest)
+
+
+def tokenizer_file(name: str) -> str:
+    """A public vocabulary file, in the folder that TOKENIZER_DIR names; every node has it."""
+    return os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), name)

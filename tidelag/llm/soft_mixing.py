@@ -35,6 +35,16 @@ STEPS, TOLERANCE, TOGETHER = 60, 1e-4, 8
 SEED = 11
 
 
+#: Shares of tokens by domain of the given labels.
+TARGETS = {"good": 0.84, "poor": 0.08, "toxic": 0.08}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """doc_id, domain of rows labelled by quality and toxic."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
@@ -138,14 +148,14 @@ def _tempered(mixture: Mixture, check: DataFrame) -> Mixture:
     return mixture
 
 
-def fit_rates(rows: DataFrame, mixture: Mixture, targets: dict[str, float], steps: int = STEPS) -> Mixture:
+def fit_rates(rows: DataFrame, mixture: Mixture, targets: dict[str, float], epochs: float = 1.0, steps: int = STEPS) -> Mixture:
     """Steps of the projected gradient over a staged table with n_tokens and _p, until all
-    domains are within TOLERANCE of their targets. Rates are written every TOGETHER steps."""
+    domains are within TOLERANCE of their targets: shares of ``epochs`` times all tokens. Rates are written every TOGETHER steps."""
     share = [targets[d] / sum(targets.values()) for d in mixture.domains]
     rows, rate = rows.select("n_tokens", "_p", F.lit(1.0).alias("_rate")), "_rate"
     expected = lambda: [x or 0.0 for x in rows.agg(*[F.expr(f"sum(n_tokens * _p[{d}] * {rate})") for d in range(len(share))]).first()]
     tokens = reached = expected()
-    total = sum(tokens)
+    total = sum(tokens) * epochs
     for step in range(1, steps + 1):
         short = [s * total - r for s, r in zip(share, reached)]
         if all(abs(x) <= TOLERANCE * s * total for x, s in zip(short, share)):
@@ -159,26 +169,26 @@ def fit_rates(rows: DataFrame, mixture: Mixture, targets: dict[str, float], step
     return mixture
 
 
-def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> tuple[Mixture, DataFrame]:
+def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], epochs: float = 1.0) -> tuple[Mixture, DataFrame]:
     """The mixture, and doc_id, n_tokens, _p of every row, staged."""
     if not targets or any(t <= 0 for t in targets.values()):
         raise ValueError("targets must be positive shares")
     mixture = fit_classifier(docs, labels, sorted(targets))
     rows = stage(mixture.posteriors(docs, "doc_id"))
-    return fit_rates(rows, mixture, targets), rows
+    return fit_rates(rows, mixture, targets, epochs), rows
 
 
-def mix_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> DataFrame:
+def mix_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], epochs: float = 1.0) -> DataFrame:
     """doc_id, n_tokens, p_<domain>, rate of every row."""
-    mixture, rows = fit(docs, labels, targets)
+    mixture, rows = fit(docs, labels, targets, epochs)
     shares = [F.col("_p")[d].alias(f"p_{name}") for d, name in enumerate(mixture.domains)]
     return rows.select("doc_id", "n_tokens", *shares, mixture.rate().alias("rate"))
 
 
-def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float], seed: int = SEED) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float], epochs: float = 1.0, seed: int = SEED) -> DataFrame:
     """The rows of ``docs``, each as often as its rate says: the whole part for certain, the
     rest by a draw that depends on doc_id, text and seed alone."""
-    mixture, _ = fit(docs, labels, targets)
+    mixture, _ = fit(docs, labels, targets, epochs)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rows = mixture.posteriors(docs.select(row, "text", F.xxhash64("doc_id", "text", F.lit(seed)).alias("_draw")), "_row", "_draw")
     copies = F.floor(mixture.rate() + F.pmod("_draw", F.lit(1 << 30)) / F.lit(float(1 << 30)))
