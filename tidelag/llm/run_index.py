@@ -7,9 +7,8 @@ phrases with the same gram. So all windows that can match meet under one key, wh
 document they are in, and the parse is a dictionary of phrases with the places of each.
 
 Only phrases whose gram occurs again are looked at. Equal phrases under a key are one entry of
-the dictionary, held by its earliest place; its other places are copies, runs in the index
-that need no sorting of their own. The entries of keys with several entries are dealt into
-blocks. Each block builds a suffix order, its Burrows-Wheeler transform as runs with the text
+the dictionary, indexed at its first and its last place; the places between are copies that
+would only lengthen runs, and share the last one's answer. The entries are dealt into blocks. Each block builds a suffix order, its Burrows-Wheeler transform as runs with the text
 places sampled at both ends of every run, takes the match lengths at the run heads and
 streams them through the text: inside a run the length falls by one per step. Neighbours in
 suffix order that match for ``length`` bytes form a class, and all but its earliest window go.
@@ -216,7 +215,8 @@ def later_windows(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarr
 
 def _index_block(length: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["doc", "at"], kind="stable", ignore_index=True)
+        # a repeated row gives its phrases again, at the same place
+        block = block.drop_duplicates(["key", "doc", "at"]).sort_values(["doc", "at"], kind="stable", ignore_index=True)
         phrases, offsets = [], []
         size = block["text"].str.len().to_numpy()
         # keys are independent of each other: parts of whole keys, each of one block's size
@@ -287,8 +287,10 @@ def later_marks(rows: DataFrame, length: int, gram: int) -> DataFrame:
     copies = found.join(copied.hint("shuffle_merge"), ["key", "around"]).where(place > F.col("first"))
     copies = copies.select("doc", (F.col("at") + (length - 1)).alias("at"))
 
+    spots = F.when(F.col("first") < F.col("last"), F.array("first", "last")).otherwise(F.array("first"))
+    entries = entries.select("key", F.explode(spots).alias("p")).select("key", "p.*")
     several = stage(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    entries = entries.select("key", "first.*").join(several, "key")
+    entries = entries.join(several, "key")
     indexed, split = (_by_row(entries.where(c).select("doc", "at")) for c in (f"n <= {KEY_ENTRIES}", f"n > {KEY_ENTRIES}"))
     total = several.where(f"n <= {KEY_ENTRIES}").agg(F.sum("n")).first()[0] or 0
     blocks = max(1, total * (2 * length) // BLOCK_BYTES)
