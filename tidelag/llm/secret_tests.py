@@ -42,7 +42,7 @@ CONTROL = "[A-Za-z]+"
 #: Classes of lengths begin here.
 LENGTHS = (16, 20, 24, 32, 48, 64)
 STEPS, TOP = 10, 200
-RATE = 0.01
+RATE = 0.05
 BLOCK = 256
 
 
@@ -119,6 +119,10 @@ def thresholds(found: DataFrame, rate: float) -> DataFrame:
     counts = found.select(F.explode("tokens").alias("t")).groupBy("t.class", "t.score").agg(
         F.count_if(F.col("t.control")).alias("controls"), F.count_if(~F.col("t.control")).alias("candidates")
     )
+    classes = f"filter(array(0, {', '.join(map(str, LENGTHS))}), c -> c >= class)"
+    counts = counts.selectExpr("*", f"explode({classes}) AS own").selectExpr("score", "controls", "IF(own = class, candidates, 0) AS candidates", "own AS class").groupBy(
+        "class", "score"
+    ).agg(F.sum("controls").alias("controls"), F.sum("candidates").alias("candidates"))
     upto = "PARTITION BY class ORDER BY score"
     sums = counts.selectExpr(
         "class", "score", f"sum(controls) OVER ({upto}) AS k", f"sum(candidates) OVER ({upto}) AS c",
