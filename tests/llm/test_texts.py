@@ -55,11 +55,16 @@ def test_rates_reach_their_targets(spark, docs):
     # the same projected gradient in plain numpy
     own, want = (tokens[:, None] * share).sum(axis=0), np.array([0.4, 0.6]) * tokens.sum()
     r = np.ones(len(tokens))
-    for _ in range(soft_mixing.STEPS):
+    for _ in range(soft_mixing.ROUNDS):
         short = want - (tokens[:, None] * share * r[:, None]).sum(axis=0)
         if (abs(short) <= soft_mixing.TOLERANCE * want).all():
             break
-        r = np.maximum(0, r + share @ (short / own))
+        moved = r.copy()
+        for _ in range(soft_mixing.STEPS):
+            free = (r > 0)[:, None] * share
+            moved = moved + share @ (short / own)
+            short = short - (tokens[:, None] * free).T @ (free @ (short / own))
+        r = np.maximum(0, moved)
     assert np.allclose(r, rate)
 
 

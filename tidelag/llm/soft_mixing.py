@@ -4,8 +4,8 @@ A naive Bayes classifier, fitted on a bounded sample of labelled rows, gives eve
 posteriors over the domains. Nonnegative rates are then fitted so that the expected tokens of
 each domain, sum(rate * tokens * posterior), come to its target: projected gradient on the
 squared misfit, each domain scaled by its tokens and each document by its length, for which
-step 1 never overshoots. One step is one aggregate over the table; what it gives, a number per
-domain, is all that reaches the driver, and a document's rate follows from its posteriors and
+step 1 never overshoots. Steps go in rounds of one aggregate over the table; what it gives, a few
+numbers per domain, is all that reaches the driver, and a document's rate follows from its posteriors and
 these numbers alone. So the fitted mixture is a column expression, and no join is needed.
 
 DataFrame functions only. ``targets`` names the domains and their shares; labelled rows of
@@ -31,7 +31,7 @@ SMOOTHING = 1.0
 #: deviations; of each domain the MOST_FEATURES clearest are kept, in a table of SLOTS.
 CLEAR, MOST_FEATURES, SLOTS = 5.0, 500, 1 << 14
 TEMPERATURES = (0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0)
-STEPS, TOLERANCE, TOGETHER = 60, 1e-4, 8
+STEPS, ROUNDS, TOLERANCE, TOGETHER = 16, 12, 1e-4, 6
 SEED = 11
 
 
@@ -148,24 +148,45 @@ def _tempered(mixture: Mixture, check: DataFrame) -> Mixture:
     return mixture
 
 
-def fit_rates(rows: DataFrame, mixture: Mixture, targets: dict[str, float], epochs: float = 1.0, steps: int = STEPS) -> Mixture:
-    """Steps of the projected gradient over a staged table with n_tokens and _p, until all
-    domains are within TOLERANCE of their targets: shares of ``epochs`` times all tokens. Rates are written every TOGETHER steps."""
+def combined_pull(short: list[float], tokens: list[float], overlap: list[list[float]], steps: int = STEPS) -> list[float]:
+    """What ``steps`` gradient steps add up to while the same rates stay above 0. ``overlap``:
+    per pair of domains the tokens that those documents share between them."""
+    left, total = list(short), [0.0] * len(short)
+    for _ in range(steps):
+        step = [x / max(n, 1e-9) for x, n in zip(left, tokens)]
+        total = [t + x for t, x in zip(total, step)]
+        left = [x - sum(o * y for o, y in zip(row, step)) for x, row in zip(left, overlap)]
+    return total
+
+
+def fit_rates(rows: DataFrame, mixture: Mixture, targets: dict[str, float], epochs: float = 1.0, rounds: int = ROUNDS) -> Mixture:
+    """Rounds of projected gradient over a staged table with n_tokens and _p, until all
+    domains are within TOLERANCE of their targets: shares of ``epochs`` times all tokens. A
+    round looks at the table once, for the misfit and the overlap of the domains; the steps
+    until rates reach 0 follow from these, and then rates are cut off at 0. They are written
+    every TOGETHER rounds."""
+    k = range(len(mixture.domains))
     share = [targets[d] / sum(targets.values()) for d in mixture.domains]
     rows, rate = rows.select("n_tokens", "_p", F.lit(1.0).alias("_rate")), "_rate"
-    expected = lambda: [x or 0.0 for x in rows.agg(*[F.expr(f"sum(n_tokens * _p[{d}] * {rate})") for d in range(len(share))]).first()]
-    tokens = reached = expected()
-    total = sum(tokens) * epochs
-    for step in range(1, steps + 1):
+
+    def look() -> tuple[list[float], list[list[float]]]:
+        at = rows.selectExpr("n_tokens", "_p", f"{rate} AS _r")
+        reached = [F.expr(f"sum(n_tokens * _p[{d}] * _r)") for d in k]
+        shared = [F.expr(f"sum(IF(_r > 0, n_tokens * _p[{d}] * _p[{e}], 0D))") for d in k for e in k]
+        found = [x or 0.0 for x in at.agg(*reached, *shared).first()]
+        return found[: len(k)], [found[len(k) * (d + 1) : len(k) * (d + 2)] for d in k]
+
+    reached, overlap = look()
+    tokens, total = reached, sum(reached) * epochs
+    for number in range(1, rounds + 1):
         short = [s * total - r for s, r in zip(share, reached)]
         if all(abs(x) <= TOLERANCE * s * total for x, s in zip(short, share)):
             break
-        pull = [x / max(n, 1e-9) for x, n in zip(short, tokens)]
-        mixture.pulls.append(pull)
-        rate = mixture._moved(rate, [f"({x!r}D)" for x in pull])
-        if step % TOGETHER == 0:
+        mixture.pulls.append(combined_pull(short, tokens, overlap))
+        rate = mixture._moved(rate, [f"({x!r}D)" for x in mixture.pulls[-1]])
+        if number % TOGETHER == 0:
             rows, rate = stage(rows.withColumn("_rate", F.expr(rate))), "_rate"
-        reached = expected()
+        reached, overlap = look()
     return mixture
 
 
