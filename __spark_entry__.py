@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -15,7 +16,10 @@ import oracles as sql  # noqa: E402
 from tidelag import LengthRange, Spec, cross_map, forecasts, neighbours, param_values, scenario_sweep, stage  # noqa: E402
 from tidelag import operators as op  # noqa: E402
 from tidelag.plans import manifold_of  # noqa: E402
-from tidelag.sources import bin_rows, fill_calendar, skill_to_json  # noqa: E402
+from tidelag.sources import (  # noqa: E402
+    bin_rows, fill_calendar, read_series_csv, read_skill, read_tasks_json, require_paired, skill_to_json, write_skill,
+)
+from tidelag.staging import shared_folder  # noqa: E402
 
 try:
     from tidelag.llm import queries as llm  # noqa: E402
@@ -28,10 +32,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _clicks_and_views(spark, sf_dir, every="hour", series_id=None, how="sum", fill=0.0) -> DataFrame:
-    """Click value against view value per step."""
+    """Click value against view value per step; values have two decimals."""
     events = _table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "view"))
     x, y = (F.when(F.col("event_type") == kind, F.col("value")) for kind in ("click", "view"))
-    return _series(bin_rows(events, "ts", x, y, every, series_id, how), fill)
+    return _series(bin_rows(events, "ts", x, y, every, series_id, how, decimals=2), fill)
 
 
 def _users(spark, sf_dir) -> DataFrame:
@@ -70,6 +74,7 @@ MULTI = Spec(E=(3,), tau=(1,), L=param_values(100, 400, 100), samples=5)
 SWEEP = Spec(E=(2, 3), tau=(1, 2), L=param_values(100, 300, 100), samples=4)
 TIES = Spec(E=(2,), tau=(1,), L=(150,), samples=3, ties="include")
 USERS = Spec(E=(2, 3), tau=(1,), L=(5, 15, 40), samples=3)
+LONG = Spec(E=(2,), tau=(1,), L=(500,), samples=2)
 SCENARIO = Spec(tau=(1,), L=LengthRange(50, 200), samples=2)
 SCENARIO_E, SCENARIO_WIDTHS = (2, 4), (7, 14, 30)
 
@@ -80,7 +85,7 @@ def _libraries(series: DataFrame, spec: Spec) -> DataFrame:
 
 
 def _ranks(series: DataFrame, pair: tuple[int, int], k: int, **options) -> DataFrame:
-    return _tidy(op.rank_neighbors(op.embed(series, [pair]), op.lengths(series, [pair]), k, **options), "d")
+    return _tidy(op.rank_neighbors(op.embed(series, [pair]), k, **options), "d")
 
 
 def _knn_rows(series: DataFrame, spec: Spec) -> DataFrame:
@@ -102,6 +107,57 @@ def _scenario_means(spark, sf_dir) -> DataFrame:
     return op.mean_at_max_l(_scenario(spark, sf_dir), ("series_id", "width", "E"))
 
 
+def _all_events(spark, sf_dir) -> DataFrame:
+    """Every event as one step, in the order of event_id: value against user_id."""
+    events = _table(spark, sf_dir, "events")
+    rows = events.selectExpr("'all' AS series_id", "event_id", "CAST(value AS DOUBLE) AS x", "CAST(user_id AS DOUBLE) AS y")
+    return op.dense_rank_of(rows, ["series_id"], "event_id", "event_id", total="n").select("series_id", "n", "i", "x", "y")
+
+
+def _task_runs(spark, sf_dir) -> DataFrame:
+    """Tasks as JSON lines, each with its own E, tau, L and samples: one per user group, over
+    the daily values of its clicks and views; written, read back and run."""
+    users = _clicks_and_views(spark, sf_dir, "day", F.expr("CAST(user_id % 4 AS STRING)"))
+    packed = users.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("r"))
+    group = F.col("series_id").cast("int")
+    lines = packed.select(
+        F.col("r.x").alias("observations"), F.col("r.y").alias("targets"), (group % 2 + 2).alias("e"), (group % 3 + 1).alias("tau"),
+        F.lit(10).alias("l"), (group + 1).alias("samples"), F.when(group > 1, 1).otherwise(0).alias("multil"),
+        F.lit(5).alias("lstart"), F.lit(15).alias("lend"), F.lit(5).alias("linterval"),
+    )
+    path = f"{shared_folder(spark)}/tasks-{uuid.uuid4().hex}"
+    lines.write.json(path)
+    series, tasks = read_tasks_json(spark, path)
+    runs = cross_map(series, Spec(seed=42), tasks)
+    return runs.select("E", "tau", "L", "sample", "n_pred")
+
+
+def _csv_series(spark, sf_dir) -> DataFrame:
+    """Orders to CSV files and back as a series ordered by key."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    orders = _table(spark, sf_dir, "orders").selectExpr("o_orderkey", "CAST(o_totalprice AS DOUBLE) AS price", "o_custkey")
+    orders.write.option("header", True).csv(path)
+    return read_series_csv(spark, path, "price", "o_custkey", "o_orderkey")
+
+
+def _stored_skill(spark, sf_dir) -> DataFrame:
+    """Skill rows written by (E, tau) and read back."""
+    path = f"{shared_folder(spark)}/skill-{uuid.uuid4().hex}"
+    write_skill(_skill(cross_map(_clicks_and_views(spark, sf_dir), SWEEP)), path, "csv")
+    return read_skill(spark, path, "csv")
+
+
+def _priority_times(spark, sf_dir) -> DataFrame:
+    """Two costs per order priority, compared as run times are."""
+    runs = _table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(
+        F.expr("CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE)").alias("a_query"),
+        F.expr("CAST(count(*) AS DOUBLE)").alias("a_overhead"),
+        F.expr("CAST(sum(o_custkey) AS DOUBLE)").alias("b_query"), F.lit(1.0).alias("b_overhead"),
+    )
+    compared = op.runtime_compare(runs, "a", "b", "o_orderpriority")
+    return _tidy(compared, *[c for c in compared.columns if c != "o_orderpriority"])
+
+
 def _without(spec: Spec) -> Spec:
     return Spec(E=spec.E, tau=spec.tau, L=spec.L, samples=spec.samples, replacement=False)
 
@@ -131,7 +187,7 @@ def _series_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "series_daily_orders": lambda s, d: _daily_orders(s, d),
         "series_daily_users": lambda s, d: _users(s, d),
         "param_grid": lambda s, d: op.library_grid(op.lengths(_users(s, d), USERS.pairs), USERS).select(
-            "series_id", "E", "tau", "n", "L", "size", "first_sample", "sample_count"
+            "series_id", "E", "tau", "n", "L", "size"
         ),
         "skill_json": lambda s, d: skill_to_json(cross_map(hourly(s, d), MULTI), 6),
         # Shaping
@@ -147,7 +203,7 @@ def _series_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # Distances and neighbours
         "pair_distances": lambda s, d: _tidy(
             op.pair_distances(op.embed(hourly(s, d), [(3, 1)]), summarise=True).select(
-                "series_id", "E", "tau", "p", "q_block", "pairs", F.try_divide("total", "pairs").alias("mean"), "low", "high"
+                "series_id", "E", "tau", "p", "pairs", F.try_divide("total", "pairs").alias("mean"), "low", "high"
             ),
             "mean", "low", "high",
         ),
@@ -197,13 +253,22 @@ def _series_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op.compare_skill(*[cross_map(series, spec) for series in [hourly(s, d)] for spec in (MULTI, _without(MULTI))]),
             "mean_a", "mean_b", "difference",
         ),
+        "xmap_tasks": lambda s, d: _task_runs(s, d),
+        "series_csv": lambda s, d: _csv_series(s, d),
+        "series_paired": lambda s, d: require_paired(_users(s, d)),
+        "skill_stored": lambda s, d: _stored_skill(s, d),
+        "runtime_compare": lambda s, d: _priority_times(s, d),
+        # One series of all events
+        "rank_neighbors_long": lambda s, d: _ranks(_all_events(s, d), (2, 1), 3),
+        "knn_library_long": lambda s, d: _knn_rows(_all_events(s, d), LONG),
+        "xmap_long": lambda s, d: _skill(cross_map(_all_events(s, d), LONG)),
         # Vectors
         "vec_pairwise_euclidean": lambda s, d: _tidy(
-            op.summary_of(op.pairwise_euclidean(_table(s, d, "embeddings"), "vec_id", "embedding", True), "vec_id"),
+            op.pairwise_euclidean(_table(s, d, "embeddings"), "vec_id", "embedding", True),
             "mean", "low", "high",
         ),
         "vec_pairwise_pearson": lambda s, d: _tidy(
-            op.summary_of(op.pairwise_pearson(_table(s, d, "embeddings"), "vec_id", "embedding", True), "vec_id"),
+            op.pairwise_pearson(_table(s, d, "embeddings"), "vec_id", "embedding", True),
             "mean", "low", "high",
         ),
         "vec_rowwise_pearson": lambda s, d: _tidy(
@@ -217,6 +282,9 @@ def _series_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def _series_sql() -> dict[str, str]:
     ev, users, counts = sql.series_events(), sql.series_events("CAST(user_id AS VARCHAR)", 86400), sql.series_counts()
     orders = sql.series_counts("orders", "o_orderdate", 86400)
+    groups = sql.series_events("CAST(user_id % 4 AS VARCHAR)", 86400)
+    every = """series AS (SELECT 'all' AS series_id, count(*) OVER () AS n, row_number() OVER (ORDER BY event_id) - 1 AS i,
+        CAST(value AS DOUBLE) AS x, CAST(user_id AS DOUBLE) AS y FROM events)"""
     multi_l, sweep_l, pairs = [100, 200, 300, 400], [100, 200, 300], [(2, 1), (2, 2), (3, 1), (3, 2)]
     skill = sql.SKILL_COLUMNS
     single = sql.chain(3, 1, [200], 5)
@@ -240,8 +308,7 @@ def _series_sql() -> dict[str, str]:
         "series_daily_users": f"WITH {users} SELECT * FROM series",
         "param_grid": f"""WITH {users}, {sql.manifold(2, 1, 'a')}, {sql.manifold(3, 1, 'b')},
             {sql.grid([5, 15, 40], 1, 'a')}, {sql.grid([5, 15, 40], 1, 'b')}
-            SELECT series_id, E, tau, n, L, size, 0 AS first_sample, 3 AS sample_count FROM grid_a
-            UNION ALL SELECT series_id, E, tau, n, L, size, 0, 3 FROM grid_b""",
+            SELECT series_id, E, tau, n, L, size FROM grid_a UNION ALL SELECT series_id, E, tau, n, L, size FROM grid_b""",
         "skill_json": f"""WITH {ev}, {sql.chain(3, 1, multi_l, 5)} SELECT series_id, E, tau, L,
             '{{"e":' || E || ',"tau":' || tau || ',"l":' || L || ',"result":[' ||
             string_agg(CAST(CAST(round(rho, 6) AS DECIMAL(9,6)) AS VARCHAR), ',' ORDER BY sample) || ']}}' AS json
@@ -257,7 +324,7 @@ def _series_sql() -> dict[str, str]:
             f" SELECT split_part(series_id, '|', 1) AS series_id, {w} AS width, {a} AS ahead, n, i, x, y FROM p_{w}_{a}"
             for w in (7, 14) for a in (2, 4)
         ),
-        "pair_distances": f"""WITH {ev}, {sql.manifold(3, 1)} SELECT a.series_id, a.E, a.tau, a.i AS p, b.pos // 8192 AS q_block,
+        "pair_distances": f"""WITH {ev}, {sql.manifold(3, 1)} SELECT a.series_id, a.E, a.tau, a.i AS p,
             count(*) AS pairs, round(avg({sql.dist(3)}), 6) AS mean, round(min({sql.dist(3)}), 6) AS low,
             round(max({sql.dist(3)}), 6) AS high
             FROM m a JOIN m b ON a.series_id = b.series_id AND a.i <> b.i GROUP BY ALL""",
@@ -315,6 +382,29 @@ def _series_sql() -> dict[str, str]:
             cb AS (SELECT series_id, E, tau, L, count(*) AS draws_b, avg(rho) AS mean_b FROM skill_b GROUP BY ALL)
             SELECT ca.series_id, ca.E, ca.tau, ca.L, draws_a, round(mean_a, 6) AS mean_a, draws_b, round(mean_b, 6) AS mean_b,
                    round(mean_b - mean_a, 6) AS difference FROM ca JOIN cb ON ca.L = cb.L""",
+        "xmap_tasks": f"""WITH {groups}, runs AS (
+            SELECT n, CAST(series_id AS INT) % 2 + 2 AS E, CAST(series_id AS INT) % 3 + 1 AS tau, CAST(series_id AS INT) + 1 AS samples,
+                   unnest(CASE WHEN CAST(series_id AS INT) > 1 THEN [5, 10, 15] ELSE [10] END) AS L
+            FROM (SELECT DISTINCT series_id, n FROM series) t)
+            SELECT CAST(E AS INT) AS E, CAST(tau AS INT) AS tau, CAST(L AS INT) AS L,
+                   CAST(unnest(generate_series(0, samples - 1)) AS INT) AS sample, n - (E - 1) * tau AS n_pred FROM runs""",
+        "series_csv": """SELECT 'all' AS series_id, count(*) OVER () AS n, row_number() OVER (ORDER BY o_orderkey) - 1 AS i,
+            CAST(o_totalprice AS DOUBLE) AS x, CAST(o_custkey AS DOUBLE) AS y FROM orders""",
+        "series_paired": f"WITH {users} SELECT * FROM series",
+        "skill_stored": f"""WITH {ev}, {sql.sweep(pairs, sweep_l, 4)}
+            SELECT CAST(E AS INT) AS E, CAST(tau AS INT) AS tau, CAST(L AS INT) AS lib_size, round(rho, 6) AS rho FROM m_skill""",
+        "runtime_compare": """WITH r AS (SELECT o_orderpriority, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS query_a,
+                CAST(count(*) AS DOUBLE) AS o, CAST(sum(o_custkey) AS DOUBLE) AS query_b FROM orders GROUP BY 1)
+            SELECT o_orderpriority, round(query_a, 6) AS query_a, round(query_b, 6) AS query_b, round(query_a + o, 6) AS total_a,
+                round(query_b + 1, 6) AS total_b, round(query_a / query_b, 6) AS query_speedup,
+                round((query_a + o) / (query_b + 1), 6) AS total_speedup FROM r""",
+        "rank_neighbors_long": f"""WITH {every}, {sql.manifold(2, 1)}, near AS (
+            SELECT a.series_id, a.E, a.tau, a.i AS p, unnest(min_by({{'q': b.i, 'd': {sql.dist(2)}}}, ({sql.dist(2)}, b.i), 3)) AS t,
+                   generate_subscripts(min_by(b.i, ({sql.dist(2)}, b.i), 3), 1) AS r
+            FROM m a JOIN m b ON a.series_id = b.series_id AND a.i <> b.i GROUP BY a.series_id, a.E, a.tau, a.i)
+            SELECT series_id, E, tau, p, t.q AS q, round(t.d, 6) AS d, CAST(r AS INT) AS r FROM near""",
+        "knn_library_long": f"WITH {every}, {sql.chain(2, 1, [500], 2, upto='knn')} {knn_rows}",
+        "xmap_long": f"WITH {every}, {sql.chain(2, 1, [500], 2)} SELECT {skill} FROM skill_m",
         "vec_pairwise_euclidean": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
             d AS (SELECT a.vec_id, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id)
             SELECT vec_id, count(*) AS pairs, round(avg(d), 6) AS mean, round(min(d), 6) AS low, round(max(d), 6) AS high

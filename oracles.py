@@ -6,13 +6,13 @@ P = 2147483647
 
 
 def series_events(sid="'all'", every=3600, x="sum", where="event_type IN ('click', 'view')"):
-    """CTEs ending in series(series_id, n, i, x, y) from the events table."""
+    """Values have two decimals, so their sums are exact. CTEs ending in series(series_id, n, i, x, y) from the events table."""
     if x == "sum":
         def agg(kind):
-            return f"coalesce(CAST(sum(CASE WHEN event_type = '{kind}' THEN CAST(value AS DECIMAL(24,6)) END) AS DOUBLE), 0)"
+            return f"coalesce(CAST(sum(CASE WHEN event_type = '{kind}' THEN CAST(value AS DECIMAL(24,2)) END) AS DOUBLE), 0)"
     else:
         def agg(kind):
-            v = f"CASE WHEN event_type = '{kind}' THEN CAST(value AS DECIMAL(24,6)) END"
+            v = f"CASE WHEN event_type = '{kind}' THEN CAST(value AS DECIMAL(24,2)) END"
             return f"CAST(sum({v}) AS DOUBLE) / nullif(count({v}), 0)"
     fill = (lambda c: f"coalesce({c}, 0)") if x == "sum" else (lambda c: c)
     return f"""

@@ -26,11 +26,12 @@ def spark():
 @pytest.fixture
 def small_blocks(monkeypatch):
     """Shrink all block sizes, so that short fixtures take the paths of long series."""
-    from tidelag.operators import library, neighbors, ranking
+    from tidelag.operators import neighbors, ranking
 
-    for module in (library, neighbors):
-        monkeypatch.setattr(module, "TILE", 16)
+    monkeypatch.setattr(neighbors, "TILE", 16)
+    monkeypatch.setattr(neighbors, "FEW", 5)
+    monkeypatch.setattr(neighbors, "MANY", 9)
+    monkeypatch.setattr(neighbors, "ANSWERS", 64)
     monkeypatch.setattr(ranking, "BOX_POINTS", 16)
-    monkeypatch.setattr(library, "GROUP_ENTRIES", 64)
     monkeypatch.setattr(neighbors, "POINTS", 7)
     monkeypatch.setattr(neighbors, "BLOCKS", "(n + 6) div 7")

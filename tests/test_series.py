@@ -7,6 +7,7 @@ from tidelag import LengthRange, Spec, cross_map, param_values, scenario_sweep,
 from tidelag.operators import accumulate_vs_next, argsort, embed, lengths, library_grid, rolling_sum
 from tidelag.operators.ordering import dense_rank_of
 from tidelag.sources import (
+    bin_rows,
     make_series, read_series_csv, read_skill, read_tasks_json, require_paired, skill_to_json, write_skill,
 )
 
@@ -60,16 +61,44 @@ def test_grid_values():
         validate_grid([1], [1], [1], True)
 
 
-def test_grid_groups_cover_every_sample_once(spark):
+def test_grid_has_one_row_per_point(spark):
     series = counts_frame(spark, [float(v) for v in range(50)])
     for strategy in ("shared", "library_first"):
         spec = Spec(E=(1, 3), tau=(2,), L=(5, 900), samples=300, strategy=strategy)
         rows = library_grid(lengths(series, spec.pairs), spec).collect()
-        for E, n in ((1, 50), (3, 46)):
-            for L in (5, 900):
-                got = sorted((r.first_sample, r.sample_count) for r in rows if (r.E, r.L) == (E, L))
-                assert [s for first, count in got for s in range(first, first + count)] == list(range(300))
-                assert {r.size for r in rows if (r.E, r.L) == (E, L)} == {min(L, n)}
+        want = [(E, L, n, min(L, n)) for E, n in ((1, 50), (3, 46)) for L in (5, 900)]
+        assert sorted((r.E, r.L, r.n, r.size) for r in rows) == want
+
+
+def test_sums_keep_what_values_say(spark):
+    rows = [(0, 1e-7), (0, 3e-7), (1, 0.1234567), (2, float("nan")), (3, float("inf")), (3, 2.0), (5, 1e19), (6, None)]
+    df = spark.createDataFrame(rows, "h int, v double").selectExpr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, h) AS ts", "v")
+    series = make_series(df, "ts", F.col("v"), F.col("v"))
+    got = [r.x for r in series.orderBy("i").collect()]
+    assert got == [pytest.approx(4e-7), 0.1234567, None, 2.0, 0.0, 1e19, 0.0]
+    exact = make_series(df.where("v >= 2 AND v < 1e9"), "ts", F.col("v"), F.col("v"), decimals=2)
+    assert [r.x for r in exact.collect()] == [2.0]
+    for bad in (0.1234567, 1e-7, 1e23):
+        odd = spark.createDataFrame([(bad,)], "v double").selectExpr("timestamp_ntz'2024-01-01' AS ts", "v")
+        with pytest.raises(Exception, match="does not fit"):
+            bin_rows(odd, "ts", F.col("v"), F.col("v"), decimals=2).collect()
+
+
+def test_csv_files_in_the_order_of_their_names(spark, tmp_path):
+    (tmp_path / "part-0.csv").write_text("x,y,d\n1,1,2024-01-03\n2,2,2024-01-01\n")
+    (tmp_path / "part-1.csv").write_text("x,y,d\n" + "".join(f"{i},{i},2024-02-0{i}\n" for i in range(3, 9)))
+    got = read_series_csv(spark, str(tmp_path), "x", "y").orderBy("i").collect()
+    assert [r.x for r in got] == [float(i) for i in range(1, 9)] and {r.n for r in got} == {8}
+    by_date = read_series_csv(spark, str(tmp_path), "x", "y", "d").orderBy("i").collect()
+    assert [r.x for r in by_date] == [2.0, 1.0, *[float(i) for i in range(3, 9)]]
+    (tmp_path / "part-2.csv").write_text("x,y,d\n9,9,soon\n")
+    with pytest.raises(Exception, match="neither number nor time"):
+        read_series_csv(spark, str(tmp_path), "x", "y", "d")
+
+
+def test_large_whole_numbers_stay_apart(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(f"x,y,k\n2,0,{2**53 + 2}\n1,0,{2**53 + 1}\n0,0,{2**53}\n")
+    assert [r.x for r in read_series_csv(spark, str(tmp_path), "x", "y", "k").orderBy("i").collect()] == [0.0, 1.0, 2.0]
 
 
 def test_require_paired(spark):

@@ -33,19 +33,16 @@ def density(skill: DataFrame, value: str = "rho", bins: int = 100, keys=("series
     odd), or the only gap; there are max(L) / step bins over the range of L and ``bins``
     over the range of the value. The top end belongs to the last bin."""
     keys = list(keys)
-    by_l = Window.partitionBy(*keys).orderBy("L")
-    gaps = (
-        skill.select(*keys, "L").distinct()
-        .withColumn("_gap", F.lead("L").over(by_l) - F.col("L"))
-        .withColumn("_at", F.row_number().over(by_l))
-        .groupBy(*keys).agg(
-            F.coalesce(
-                F.max(F.when(F.col("_at") == 2, F.col("_gap"))), F.max(F.when(F.col("_at") == 1, F.col("_gap"))), F.lit(1)
-            ).alias("_step"),
-            F.min("L").alias("_lo_l"), F.max("L").alias("_hi_l"),
-        )
+    # ``skill`` is read once; library sizes and the range of values go along with its rows
+    whole = Window.partitionBy(*keys)
+    counted = skill.groupBy(*keys, "L", value).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = F.array_sort(F.collect_set("L").over(whole))
+    second = F.try_element_at(sizes, F.lit(3)) - F.try_element_at(sizes, F.lit(2))
+    first = F.try_element_at(sizes, F.lit(2)) - F.try_element_at(sizes, F.lit(1))
+    counted = counted.select(
+        "*", F.coalesce(second, first, F.lit(1)).alias("_step"), F.min("L").over(whole).alias("_lo_l"),
+        F.max("L").over(whole).alias("_hi_l"), F.min(value).over(whole).alias("_lo"), F.max(value).over(whole).alias("_hi"),
     )
-    span = skill.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
 
     def bin_of(x, lo, hi, count):
         width = (hi - lo) / count
@@ -53,13 +50,13 @@ def density(skill: DataFrame, value: str = "rho", bins: int = 100, keys=("series
 
     l_bins = F.greatest(F.col("_hi_l") / F.col("_step"), F.lit(1.0))
     return (
-        skill.where(F.col(value).isNotNull()).join(gaps.join(span, keys), keys)
+        counted.where(F.col(value).isNotNull())
         .select(
-            *keys,
+            *keys, "_n",
             bin_of(F.col("L"), F.col("_lo_l"), F.col("_hi_l"), l_bins).alias("l_bin"),
             bin_of(F.col(value), F.col("_lo"), F.col("_hi"), F.lit(float(bins))).alias("value_bin"),
         )
-        .groupBy(*keys, "l_bin", "value_bin").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(*keys, "l_bin", "value_bin").agg(F.sum("_n").alias("n"))
     )
 
 

@@ -11,76 +11,65 @@ from pyspark.sql import functions as F
 from tidelag.functions import explode_range, mix_end, mix_middle, mix_start, seeded_hash
 from tidelag.spec import LengthRange, Spec
 
-TILE = 8192
-GROUP_DRAWS = 128
-GROUP_ENTRIES = 1 << 16
-GROUP_KEYS = ["series_id", "E", "tau", "n", "L", "size", "grp", "first_sample", "sample_count"]
+GRID = ["series_id", "E", "tau", "n", "L", "size"]
+#: Numbers of a draw without replacement fall into so many ranges.
+CUTS = 1 << 12
+CUT_SHIFT = 47 - 12
+
+
+def runs_of(spec: Spec) -> str:
+    """Library sizes and samples of a manifold with columns n, E, tau: array of (L, samples)."""
+    if not isinstance(spec.L, LengthRange):
+        return f"array({', '.join(f'struct({L} AS L, {spec.samples} AS samples)' for L in spec.L)})"
+    series_n = "n" if spec.drop_missing else "(n + (E - 1) * tau)"
+    sizes = f"sequence({spec.L.start}L, {series_n}, {spec.L.step}L)"
+    none = "CAST(array() AS ARRAY<STRUCT<L: INT, samples: INT>>)"
+    runs = f"transform({sizes}, l -> struct(CAST(l AS INT) AS L, {spec.samples} AS samples))"
+    return f"CASE WHEN {series_n} >= {spec.L.start} THEN {runs} ELSE {none} END"
 
 
 def library_grid(lengths: DataFrame, spec: Spec) -> DataFrame:
-    """One row per group of samples of a grid point. ``size`` is L cut to the number of
-    points there are. The samples of a group share one distance tile: as many as fit when
-    the whole manifold is a tile, fewer for long series, one for 'library_first'."""
-    if isinstance(spec.L, LengthRange):
-        start, step = spec.L.start, spec.L.step
-        sizes = f"CASE WHEN series_n >= {start} THEN sequence({start}, CAST(series_n AS INT), {step}) ELSE array() END"
-    else:
-        sizes = f"array({', '.join(map(str, spec.L))})"
-    if spec.strategy == "library_first":
-        per_group = "1L"
-    else:
-        room = f"CASE WHEN n <= {TILE} THEN {GROUP_ENTRIES} ELSE {TILE} END"
-        per_group = f"least({min(spec.samples, GROUP_DRAWS)}L, greatest(1L, ({room}) div size))"
-    grid = (
-        lengths.selectExpr("series_id", "E", "tau", "n", f"explode({sizes}) AS L")
-        .selectExpr("*", "least(CAST(L AS BIGINT), n) AS size", f"{per_group} AS _per")
-    )
-    return explode_range(grid, "grp", f"({spec.samples} + _per - 1) div _per").selectExpr(
-        "series_id", "E", "tau", "n", "L", "size", "grp",
-        "CAST(grp * _per AS INT) AS first_sample",
-        f"CAST(least(_per, {spec.samples} - grp * _per) AS INT) AS sample_count",
-    )
+    """One row per grid point. ``size`` is L cut to the number of points there are."""
+    grid = lengths.selectExpr("series_id", "E", "tau", "n", f"inline({runs_of(spec)})")
+    return grid.selectExpr("series_id", "E", "tau", "n", "L", "least(CAST(L AS BIGINT), n) AS size")
 
 
-def _ticket(spec: Spec, sample: str) -> str:
-    return seeded_hash(str(spec.seed), "series_id", "E", "tau", "L", sample)
+def ticket(seed: int, L: str, sample: str) -> str:
+    """The number from which all draws of a sample follow."""
+    return seeded_hash(str(seed), "series_id", "E", "tau", L, sample)
 
 
 def draw_libraries(lengths: DataFrame, spec: Spec) -> DataFrame:
     """Libraries as rows: the grid columns, sample, pos (point number) and m (times drawn).
 
-    Only the small grid rows are shuffled. The draws of a group are made and counted where
-    its grid row landed, because the grouping keys contain the partition keys."""
+    Draws are numbered in blocks that are dealt over all tasks, so neither a large library
+    nor a long series is drawn in one."""
     partitions = int(lengths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["series_id", "E", "tau", "L", "grp"]
 
-    def mix(rows: DataFrame) -> DataFrame:
-        return rows.selectExpr(
-            "*", f"{mix_start('_t', '_j')} AS _a", f"{mix_middle('_t', '_a')} AS _b", f"{mix_end('_t', '_b')} AS _mixed"
+    def mixed(count: str) -> DataFrame:
+        rows = explode_range(library_grid(lengths, spec), "_s", str(spec.samples))
+        rows = rows.selectExpr(*GRID, "CAST(_s AS INT) AS sample", f"{ticket(spec.seed, 'L', '_s')} AS _t")
+        rows = explode_range(rows, "_j", count, lambda blocks: blocks.repartition(partitions, *GRID[:3], "L", "sample", "_block"))
+        return rows.selectExpr("*", f"{mix_start('_t', '_j')} AS _a").selectExpr("*", f"{mix_middle('_t', '_a')} AS _b").selectExpr(
+            *GRID, "sample", "_j", f"{mix_end('_t', '_b')} AS _mixed"
         )
 
-    rows = explode_range(library_grid(lengths, spec).repartition(partitions, *keys), "_s", "sample_count").selectExpr(
-        *GROUP_KEYS, "CAST(first_sample + _s AS INT) AS sample", f"{_ticket(spec, 'sample')} AS _t"
-    )
     if spec.replacement:
         # coalesce: never NULL, or a join on pos would test, and so compute, it twice.
-        drawn = mix(explode_range(rows, "_j", "size")).selectExpr(*GROUP_KEYS, "sample", "coalesce(_mixed % n, 0L) AS pos")
-        return drawn.groupBy(*GROUP_KEYS, "sample", "pos").agg(F.expr("CAST(count(*) AS INT) AS m"))
-    # Without replacement: the ``size`` smallest numbers of all points. All points of a
-    # long series take part, so they are numbered, and first cut, all over the cluster.
-    mixed = mix(explode_range(rows, "_j", "n", lambda blocks: blocks.repartition(partitions, *keys, "sample", "_block")))
-    best = Window.partitionBy(*keys, "sample").orderBy("_mixed", "_j")
-    ranked = mixed.withColumn("_rank", F.row_number().over(best))
-    if not isinstance(spec.L, LengthRange):
-        # A literal bound lets Spark drop rows before the sort.
-        ranked = ranked.where(F.col("_rank") <= max(spec.L))
-    return ranked.where("_rank <= size").selectExpr(*GROUP_KEYS, "sample", "_j AS pos", "1 AS m")
-
-
-def with_tickets(grid: DataFrame, spec: Spec) -> DataFrame:
-    """Add column ``tickets``: one number per sample, from which its draws follow."""
-    samples = "sequence(first_sample, first_sample + sample_count - 1)"
-    return grid.selectExpr("*", f"transform({samples}, s -> {_ticket(spec, 's')}) AS tickets")
+        drawn = mixed("size").selectExpr(*GRID, "sample", "coalesce(_mixed % n, 0L) AS pos")
+        return drawn.groupBy(*GRID, "sample", "pos").agg(F.expr("CAST(count(*) AS INT) AS m"))
+    # Without replacement: the ``size`` smallest numbers of all points. Counts by range tell
+    # in which range the last of them lies; only the points of that one are put in order.
+    numbers = mixed("n").withColumn("_cut", F.expr(f"shiftright(_mixed, {CUT_SHIFT})"))
+    library = [*GRID, "sample"]
+    upto = Window.partitionBy(*library).orderBy("_cut")
+    counts = numbers.groupBy(*library, "_cut").agg(F.count(F.lit(1)).alias("_c")).withColumn("_sum", F.sum("_c").over(upto))
+    last = counts.where("_sum >= size AND _sum - _c < size").selectExpr(*library, "_cut AS _last", "size - _sum + _c AS _room")
+    joined = numbers.join(last, library)
+    inside = joined.where("_cut < _last").select(*library, F.col("_j").alias("pos"))
+    order = Window.partitionBy(*library).orderBy("_mixed", "_j")
+    edge = joined.where("_cut = _last").withColumn("_rank", F.row_number().over(order)).where("_rank <= _room")
+    return inside.unionByName(edge.select(*library, F.col("_j").alias("pos"))).selectExpr("*", "1 AS m")
 
 
 def library_points(libraries: DataFrame, manifold: DataFrame) -> DataFrame:

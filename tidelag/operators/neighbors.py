@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelag.functions import explode_range
 from tidelag.operators import tiles
-from tidelag.operators.library import GROUP_KEYS, TILE, draw_libraries, library_grid, with_tickets
-from tidelag.spec import LengthRange, Spec
-
+from tidelag.operators.library import runs_of, ticket
+from tidelag.spec import Spec
+
+#: Candidates per chunk, and bounds on the points per block. They set the size of the units
+#: of work and never the answer.
+TILE = 8192
+FEW, MANY = 128, 2048
+#: (draw, point) answers and library entries that a unit may hold.
+ANSWERS, ENTRIES = 1 << 19, 1 << 22
 POINTS = 1024
 BLOCKS = f"(n + {POINTS - 1}) div {POINTS}"
 TASKS_PER_PARTITION = 2
@@ -29,19 +35,6 @@ def pack_points(manifold: DataFrame, size: int = POINTS) -> DataFrame:
     )
 
 
-def pack_libraries(libraries: DataFrame, manifold: DataFrame) -> DataFrame:
-    """Drawn points of a group of samples in blocks of at most about TILE, with their
-    vectors once each and the samples that hold them."""
-    drawn = libraries.groupBy(*GROUP_KEYS, "pos").agg(F.expr("collect_list(struct(sample, m)) AS hits"))
-    parts = f"((size + {TILE - 1}) div {TILE})"
-    return (
-        drawn.join(manifold.drop("n"), [*MANIFOLD, "pos"])
-        .selectExpr("*", f"pos * {parts} div n AS chunk")
-        .groupBy(*GROUP_KEYS, "chunk")
-        .agg(F.expr("collect_list(struct(i, y, v, hits)) AS lib"))
-    )
-
-
 def deal_out(units: DataFrame, *keys: str) -> DataFrame:
     """Deal out units of work evenly. Their rows are few and small next to the work in
     them, so neither a broadcast join nor coalescing may decide how many tasks they get."""
@@ -49,69 +42,51 @@ def deal_out(units: DataFrame, *keys: str) -> DataFrame:
     return units.repartition(tasks, *keys)
 
 
-def meet(libs: DataFrame, manifold: DataFrame) -> DataFrame:
-    """Every candidate block with every point block of its manifold. The block number is
-    part of the join key, so the blocks of one long series spread over all tasks."""
-    libs = explode_range(libs, "block", BLOCKS)
-    return deal_out(libs, *MANIFOLD, "block").join(pack_points(manifold), [*MANIFOLD, "block"]).select(
-        "series_id", "E", "tau", "L", "first_sample", "sample_count", "points", "lib"
-    )
-
-
-def knn_in_library(manifold: DataFrame, lengths: DataFrame, spec: Spec, k: int | None = None) -> DataFrame:
+def knn_in_library(manifold: DataFrame, spec: Spec, k: int | None = None, runs: DataFrame | None = None) -> DataFrame:
     """The k nearest library members of every point (k = E+1 if not given).
 
     One row per (series_id, E, tau, L, sample, p), with arrays in (distance, index) order:
     q neighbour, d distance, m times counted, yq target of the neighbour. A point is never
-    its own neighbour. A point drawn m times fills up to m of the k places."""
-    options = (k, spec.ties == "include", spec.exclude_zero_distance, spec.distinct_library)
-    fits, over = f"n <= {TILE}", f"n > {TILE}"
-
-    # Manifolds of one tile meet their grid rows, and libraries are drawn on the spot.
-    tile = (
-        manifold.where(fits).groupBy(*MANIFOLD)
-        .agg(F.expr("collect_list(struct(i, y, v)) AS lib"))
-    )
-    grid = with_tickets(library_grid(lengths.where(fits), spec), spec)
-    units = explode_range(grid.join(tile, MANIFOLD), "block", BLOCKS)
-    small = deal_out(units, *MANIFOLD, "L", "grp", "block").select(
-        "series_id", "E", "tau", "L", "size", "first_sample", "block", "tickets", "lib"
-    ).mapInArrow(tiles.tile_kernel(POINTS, spec.replacement, *options), NEIGHBOURS)
-
-    # Longer ones meet their libraries block by block.
-    points, kernel = manifold.where(over), tiles.block_kernel(*options)
-    libraries = draw_libraries(lengths.where(over), spec)
-
-    def search(part: DataFrame) -> DataFrame:
-        return meet(pack_libraries(part, points), points).mapInArrow(kernel, NEIGHBOURS)
-
-    if not isinstance(spec.L, LengthRange) and max(spec.L) <= TILE:
-        return small.unionByName(search(libraries))
-    # A library over one tile is searched tile by tile and the answers merged.
-    one = search(libraries.where(f"size <= {TILE}"))
-    many = search(libraries.where(f"size > {TILE}"))
-    return small.unionByName(one).unionByName(_merge(many, k, spec.ties))
-
-
-def _merge(found: DataFrame, k: int | None, ties: str) -> DataFrame:
-    places = F.col("E") + 1 if k is None else F.lit(k)
-    near = Window.partitionBy(*POINT[:-1]).orderBy("d", "q").rowsBetween(Window.unboundedPreceding, -1)
-    rows = explode_neighbors(found, outer=True).withColumn("_before", F.coalesce(F.sum("m").over(near), F.lit(0)))
-    if ties == "include":
-        whole = Window.partitionBy(*POINT[:-1])
-        limit = F.max(F.when(F.col("_before") < places, F.col("d"))).over(whole)
-        rows = rows.withColumn("_limit", limit).where("d IS NULL OR d <= _limit")
+    its own neighbour. A point drawn m times fills up to m of the k places.
+
+    A unit of work is a block of points with the draws to answer for it. The candidates pass
+    it chunk by chunk; a chunk's distances are ranked once for all draws and library sizes,
+    and what is nearest so far is kept. The plan is the same for every length. ``runs``
+    (series_id, E, tau, runs: array of (L, samples)) gives each manifold its own grid;
+    without it all have that of ``spec``."""
+    per_block = f"greatest({FEW}L, least({MANY}L, n div 16))"
+    if runs is None:
+        manifold = manifold.withColumn("runs", F.expr(runs_of(spec)))
     else:
-        rows = rows.where(F.col("_before") < places).withColumn("m", F.least("m", places - F.col("_before")))
-    item = F.when(F.col("q").isNotNull(), F.struct("d", "q", F.col("m").cast("int").alias("m"), "yq"))
-    packed = rows.groupBy(*POINT).agg(F.sort_array(F.collect_list(item)).alias("_n"))
-    return packed.select(*POINT, *[F.col(f"_n.{c}").alias(c) for c in ("q", "d", "m", "yq")])
-
-
-def explode_neighbors(found: DataFrame, outer: bool = False) -> DataFrame:
+        manifold = manifold.join(runs.select(*MANIFOLD, "runs"), MANIFOLD)
+    keys = [*MANIFOLD, "n", "runs"]
+    draws = "aggregate(runs, 0L, (s, r) -> s + r.samples)"
+    largest = "greatest(1L, least(n, CAST(array_max(transform(runs, r -> r.L)) AS BIGINT)))"
+    per_group = f"greatest(1L, least({ANSWERS} div {per_block}, {ENTRIES} div {largest}))"
+    groups = f"CASE WHEN size(runs) > 0 THEN ({draws} + {per_group} - 1) div {per_group} ELSE 0L END"
+    unit = [*MANIFOLD, "n", "block", "grp"]
+    none = "CAST(NULL AS ARRAY<STRUCT<L: INT, size: BIGINT, sample: INT, ticket: BIGINT>>) AS tickets"
+
+    points = manifold.groupBy(*keys, F.expr(f"pos div {per_block}").alias("block")).agg(F.expr("collect_list(struct(i, y, v)) AS points"))
+    every = "flatten(transform(runs, r -> transform(sequence(0, r.samples - 1), s -> struct(r.L AS L, s AS sample))))"
+    mine = f"slice({every}, CAST(grp * {per_group} + 1 AS INT), CAST({per_group} AS INT))"
+    number = f"struct(t.L AS L, least(CAST(t.L AS BIGINT), n) AS size, t.sample AS sample, {ticket(spec.seed, 't.L', 't.sample')} AS ticket)"
+    points = explode_range(points, "grp", groups).selectExpr(*unit, "-1L AS chunk", f"transform({mine}, t -> {number}) AS tickets", "points")
+
+    chunks = manifold.groupBy(*keys, F.expr(f"pos div {TILE}").alias("chunk")).agg(F.expr("collect_list(struct(i, y, v)) AS points"))
+    chunks = explode_range(explode_range(chunks, "block", f"(n + {per_block} - 1) div {per_block}"), "grp", groups)
+    rows = points.unionByName(chunks.selectExpr(*unit, "chunk", none, "points"))
+    rows = deal_out(rows, *unit).sortWithinPartitions(*unit, "chunk")
+    kernel = tiles.unit_kernel(
+        TILE, k, spec.ties == "include", spec.exclude_zero_distance, spec.distinct_library, spec.replacement,
+        spec.strategy == "library_first",
+    )
+    return rows.mapInArrow(kernel, NEIGHBOURS)
+
+
+def explode_neighbors(found: DataFrame) -> DataFrame:
     """Neighbour arrays to rows: ..., p, y, r (1 = nearest), q, d, m, yq."""
-    explode = "posexplode_outer" if outer else "posexplode"
-    rows = found.selectExpr(*POINT, f"{explode}(arrays_zip(q, d, m, yq)) AS (_r, _n)")
+    rows = found.selectExpr(*POINT, "posexplode(arrays_zip(q, d, m, yq)) AS (_r, _n)")
     return rows.selectExpr(*POINT, "_r + 1 AS r", "_n.q", "_n.d", "_n.m", "_n.yq")
 
 
@@ -127,11 +102,15 @@ def self_candidates(manifold: DataFrame) -> DataFrame:
 def pair_distances(
     manifold: DataFrame, summarise: bool = False, measure: str = "euclidean"
 ) -> DataFrame:
-    """The all-pairs matrix as tiles: one row per point and block of TILE other points with
-    arrays q and d. With ``summarise`` each such row holds pairs, total, low and high
-    instead, and the cells never leave the task."""
+    """The all-pairs matrix: one row per point with arrays q and d over all other points, in
+    the order of q. With ``summarise`` the row holds pairs, total, low and high instead: each
+    tile is reduced in its task, and cells never leave it."""
     libs = explode_range(self_candidates(manifold), "block", BLOCKS)
     met = deal_out(libs, *MANIFOLD, "block").join(pack_points(manifold), [*MANIFOLD, "block"]).select(*MANIFOLD, "q_block", "points", "lib")
     cells = "pairs bigint, total double, low double, high double" if summarise else "q array<bigint>, d array<double>"
     schema = f"series_id string, E int, tau int, p bigint, q_block bigint, {cells}"
-    return met.mapInArrow(tiles.matrix_kernel(measure, summarise), schema)
+    tiled = met.mapInArrow(tiles.matrix_kernel(measure, summarise), schema).groupBy(*MANIFOLD, "p")
+    if summarise:
+        return tiled.agg(*[F.expr(x) for x in ("sum(pairs) AS pairs", "sum(total) AS total", "min(low) AS low", "max(high) AS high")])
+    parts = tiled.agg(F.expr("array_sort(collect_list(struct(q_block, q, d))) AS _t"))
+    return parts.selectExpr(*MANIFOLD, "p", "flatten(_t.q) AS q", "flatten(_t.d) AS d")

@@ -31,9 +31,12 @@ def with_halo(df: DataFrame, before: int = 0, after: int = 0, stretch: int = STR
     return spread, Window.partitionBy("series_id", "_stretch").orderBy("i")
 
 
-def dense_rank_of(df: DataFrame, keys: list[str], value: str, tiebreak: str, name: str = "i") -> DataFrame:
+def dense_rank_of(
+    df: DataFrame, keys: list[str], value: str, tiebreak: str, name: str = "i", total: str | None = None
+) -> DataFrame:
     """0-based position of each row when every key group is sorted by (value, tiebreak);
-    missing values first, NaN last.
+    missing values first, NaN last. ``total``, if given, names a column for the number of
+    rows of the key group.
 
     Rows are range-partitioned by (keys, value, tiebreak), so neither a hot key nor a hot
     value fills a task, sorted, and staged with their place in the partition. Staging pins
@@ -52,10 +55,11 @@ def dense_rank_of(df: DataFrame, keys: list[str], value: str, tiebreak: str, nam
         .select(
             *[F.col(k).alias(f"_key{j}") for j, k in enumerate(keys)], F.col("_part").alias("_at"),
             (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_from")).alias("_shift"),
+            F.sum("_rows").over(Window.partitionBy(*keys)).alias("_total"),
         )
     )
     same = [F.col(k).eqNullSafe(F.col(f"_key{j}")) for j, k in enumerate(keys)]
     columns = [F.col(f"`{c}`") for c in df.columns]
     return placed.join(starts, [F.col("_part") == F.col("_at"), *same]).select(
-        *columns, (F.col("_row") + F.col("_shift")).alias(name)
+        *columns, (F.col("_row") + F.col("_shift")).alias(name), *([F.col("_total").alias(total)] if total else [])
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelag.operators import neighbors, tiles
 from tidelag.operators.embedding import drop_invalid
-from tidelag.operators.neighbors import MANIFOLD, NEIGHBOURS, self_candidates
+from tidelag.operators.neighbors import MANIFOLD, NEIGHBOURS
 from tidelag.operators.ordering import dense_rank_of
 from tidelag.staging import stage
 
@@ -16,32 +16,19 @@ BOX = [*MANIFOLD, "slab", "box"]
 RANKED = [*MANIFOLD, "p", "q", "d", "r"]
 
 
-def rank_neighbors(
-    manifold: DataFrame, lengths: DataFrame, k_max: int, exclude_zero_distance: bool = False
-) -> DataFrame:
+def rank_neighbors(manifold: DataFrame, k_max: int, exclude_zero_distance: bool = False) -> DataFrame:
     """The k_max nearest points of every point, in (distance, index) order. Columns
-    series_id, E, tau, p, q, d, r. A look at ``lengths`` tells whether there are manifolds
-    of more than one tile; their boxes are staged before the rest of the plan is built."""
-    fits, over = f"n <= {neighbors.TILE}", f"n > {neighbors.TILE}"
-    libs = self_candidates(manifold.where(fits)).selectExpr(
-        *MANIFOLD, "n", "0 AS L", "0 AS first_sample", "1 AS sample_count", "lib"
-    )
-    kernel = tiles.block_kernel(k_max, False, exclude_zero_distance, True)
-    found = neighbors.meet(libs, manifold.where(fits)).mapInArrow(kernel, NEIGHBOURS)
-    short = neighbors.explode_neighbors(found).select(*RANKED)
-    if not lengths.where(over).take(1):
-        return short
-    return short.unionByName(_rank_long(manifold.where(over), k_max, exclude_zero_distance))
-
+    series_id, E, tau, p, q, d, r.
 
-def _rank_long(points: DataFrame, k_max: int, no_zero: bool) -> DataFrame:
-    """Points are cut into boxes of at most BOX_POINTS by their first two coordinates. A box
+    Points are cut into boxes of at most BOX_POINTS by their first two coordinates. A box
     first meets itself, which bounds how far its points still have to look; then it meets
-    the boxes that come nearer than that.
+    the boxes that come nearer than that in any coordinate. The boxes, and what they find in
+    themselves, are staged when this is called, whatever the length.
 
     Of many copies of one vector only the first k_max + 1 can be anybody's neighbours, so
     only they go into boxes. The other copies share their answer."""
-    valid = drop_invalid(points)
+    no_zero = exclude_zero_distance
+    valid = drop_invalid(manifold)
     copy = F.row_number().over(Window.partitionBy(*MANIFOLD, "v").orderBy("i"))
     firsts = valid.withColumn("_copy", copy).where(f"_copy <= {k_max + 1}")
     firsts = placed = stage(_place(firsts))
@@ -49,8 +36,10 @@ def _rank_long(points: DataFrame, k_max: int, no_zero: bool) -> DataFrame:
     boxes = placed.groupBy(*BOX).agg(
         F.expr("collect_list(struct(i, y, v, array(struct(0 AS sample, 1 AS m)) AS hits)) AS lib"),
         F.expr("min(i) AS first_i"), F.expr("min(_v0) AS lo0"), F.expr("max(_v0) AS hi0"),
-        F.expr("min(_v1) AS lo1"), F.expr("max(_v1) AS hi1"),
     )
+    # bounds of every coordinate, from the members of the box
+    edge = "transform(sequence(0, E - 1), j -> array_{0}(transform(lib, p -> p.v[j])))"
+    boxes = boxes.selectExpr("*", f"{edge.format('min')} AS lo", f"{edge.format('max')} AS hi")
     kernel = tiles.block_kernel(k_max, False, no_zero, True)
 
     def rank(units: DataFrame) -> DataFrame:
@@ -110,9 +99,9 @@ def _meetings(boxes: DataFrame, bounds: DataFrame) -> DataFrame:
         f"greatest(0D, slo - hi0, lo0 - shi) * {close!r}D <= worst.d"
     ).drop("slo", "shi", "first_i")
     b = boxes.selectExpr(
-        *MANIFOLD, "slab AS slab_b", "box AS box_b", "first_i", "lo0 AS lo0b", "hi0 AS hi0b", "lo1 AS lo1b", "hi1 AS hi1b"
+        *MANIFOLD, "slab AS slab_b", "box AS box_b", "first_i", "lo AS lo_b", "hi AS hi_b"
     )
-    gap0, gap1 = "greatest(0D, lo0b - hi0, lo0 - hi0b)", "greatest(0D, lo1b - hi1, lo1 - hi1b)"
+    gaps = "zip_with(zip_with(lo_b, hi, (l, h) -> l - h), zip_with(lo, hi_b, (l, h) -> l - h), (x, y) -> greatest(0D, x, y))"
     met = a.join(b, [*MANIFOLD, "slab_b"]).where("NOT (slab = slab_b AND box = box_b)")
-    met = met.selectExpr("*", f"sqrt({gap0} * {gap0} + {gap1} * {gap1}) * {close!r}D AS gap")
+    met = met.selectExpr("*", f"sqrt(aggregate({gaps}, 0D, (s, g) -> s + g * g)) * {close!r}D AS gap")
     return met.where("gap < worst.d OR (gap = worst.d AND first_i < worst.q)").select(*BOX, "slab_b", "box_b")

@@ -82,19 +82,26 @@ def _fold(slots):
     return keep.sum(1), slots[keep], np.diff(np.append(starts, used.sum() + 1))
 
 
-def probe(d: np.ndarray, draws: np.ndarray, k: int, ties: bool):
+def depth_for(draws: np.ndarray, k: int, ties: bool) -> int:
+    """How many columns to rank for the thinnest of ``draws``."""
+    width = draws.shape[1]
+    share = (draws > 0).sum(1).min() / width
+    return width if ties or share == 0 else min(width, math.ceil((k + SPARE) / share))
+
+
+def probe(d: np.ndarray, draws: np.ndarray, k: int, ties: bool, ranked=None):
     """k nearest drawn candidates of each row of ``d``, for each draw in turn: neighbours
     per (draw, row), their columns, and how often each counts.
 
     ``draws[s, c]`` says how often draw s holds column c. Columns are ranked once, as far
     as the thinnest draw is likely to need; a row that runs out of ranked columns is
-    answered from its full distances, so the result is exact."""
+    answered from its full distances, so the result is exact. ``ranked``: the columns in
+    order and their distances, at least as deep, if they are known."""
     if draws.sum(1).max() < 1 << 15:
         draws = draws.astype(np.int16)
     height, width = d.shape
-    share = (draws > 0).sum(1).min() / width
-    depth = width if ties or share == 0 else min(width, math.ceil((k + SPARE) / share))
-    order, near = nearest_columns(d, depth)
+    depth = depth_for(draws, k, ties)
+    order, near = nearest_columns(d, depth) if ranked is None else (x[:, :depth] for x in ranked)
     reachable = np.isfinite(near)
     partial = not reachable.all()
     at_once = max(1, PROBE_CELLS // order.size)
@@ -156,15 +163,6 @@ def draw_positions(ticket: int, size: int, n: int, replacement: bool) -> np.ndar
     return mixed % n if replacement else np.argsort(mixed, kind="stable")[:size]
 
 
-def _from_tickets(row, n: int, replacement: bool, distinct: bool) -> np.ndarray:
-    size = row["size"].as_py()
-    tickets = row["tickets"].values.to_pylist()
-    draws = np.zeros((len(tickets), n), dtype=np.int32)
-    for s, ticket in enumerate(tickets):
-        draws[s] = np.bincount(draw_positions(ticket, size, n, replacement), minlength=n)
-    return np.minimum(draws, 1) if distinct else draws
-
-
 def _from_hits(lib: pa.StructArray, first: int, count: int, distinct: bool) -> np.ndarray:
     hits = lib.field("hits")
     owner = np.repeat(np.arange(len(lib)), np.diff(hits.offsets.to_numpy()))
@@ -207,18 +205,169 @@ def block_kernel(k: int | None, ties: bool, no_zero: bool, distinct: bool):
     return lambda batches: _gathered(meetings(batches))
 
 
-def tile_kernel(points: int, replacement: bool, k: int | None, ties: bool, no_zero: bool, distinct: bool):
-    """As block_kernel, where the candidates are a whole manifold, the points a slice of
-    it, and the libraries are drawn here from one number per sample."""
+class _Unit:
+    """A block of points with its draws: what is nearest so far, over the chunks seen."""
+
+    def __init__(self, row, tile, k, ties, no_zero, distinct, replacement, alone):
+        self.head = {c: row[c] for c in ("series_id", "E", "tau")}
+        self.n, self.tile, self.ties, self.no_zero, self.distinct, self.alone = row["n"].as_py(), tile, ties, no_zero, distinct, alone
+        self.k = k or row["E"].as_py() + 1
+        self.points = _sorted_block(row["points"].values)
+        tickets = row["tickets"].values
+        self.L, self.sample = (_numbers(tickets, c).astype(np.int32) for c in ("L", "sample"))
+        drawn = zip(_numbers(tickets, "ticket").tolist(), _numbers(tickets, "size").tolist())
+        # sorted, so that the members of a chunk are a stretch
+        self.members = [np.sort(draw_positions(t, size, self.n, replacement)) for t, size in drawn]
+        self.found: dict[int, tuple] = {}
+
+    def meet(self, row) -> None:
+        lib, low = _sorted_block(row["points"].values), row["chunk"].as_py() * self.tile
+        draws = np.zeros((len(self.members), len(lib)), dtype=np.int32)
+        for s, at in enumerate(self.members):
+            mine = at[np.searchsorted(at, low) : np.searchsorted(at, low + len(lib))] - low
+            draws[s] = np.bincount(mine, minlength=len(lib))
+        if self.distinct:
+            draws = np.minimum(draws, 1)
+        held = np.flatnonzero(draws.any(axis=0))
+        if not len(held):
+            return
+        if len(held) < len(lib):
+            lib, draws = lib.take(pa.array(held)), draws[:, held]
+        cand, cand_i = _vectors(lib), _numbers(lib, "i")
+        cand_y = lib.field("y").to_numpy(zero_copy_only=False).astype(np.float64)
+        missing = np.asarray(lib.field("y").is_null())
+        step = max(1, TILE_CELLS // len(lib))
+        for lo in range(0, len(self.points), step):
+            part = self.points.slice(lo, step)
+            d = self._distances(part, cand, cand_i)
+            sizes, cols, mult = self._nearest(d, draws)
+            rows = np.repeat(np.tile(np.arange(len(part)), len(draws)), sizes)
+            new = (sizes, d[rows, cols], cand_i[cols], mult.astype(np.int32), cand_y[cols], missing[cols])
+            old = self._found_before(lo, step)
+            self.found[lo, step] = new if old is None else _combine(old, new, self.k, self.ties)
+
+    def _found_before(self, lo, step):
+        """Answers of earlier chunks for these points; chunks may cut the points differently."""
+        if (lo, step) in self.found or not self.found:
+            return self.found.get((lo, step))
+        self.found = _recut(self.found, len(self.points), len(self.members), step)
+        return self.found.get((lo, step))
+
+    def _distances(self, part, cand, cand_i):
+        d = distances(_vectors(part), cand)
+        d[np.isnan(d)] = np.inf
+        if self.no_zero:
+            d[d < 1e-30] = np.inf
+        ids = _numbers(part, "i")
+        at = np.minimum(np.searchsorted(cand_i, ids), len(cand_i) - 1)
+        own = np.flatnonzero(cand_i[at] == ids)
+        d[own, at[own]] = np.inf
+        return d
+
+    def _nearest(self, d, draws):
+        """One ranking, as deep as the smallest library needs; then each library size looks
+        as far down as it needs itself."""
+        groups = np.split(np.arange(len(draws)), np.flatnonzero(self.L[1:] != self.L[:-1]) + 1)
+        if self.alone:
+            found = []
+            for s in range(len(draws)):
+                cols = np.flatnonzero(draws[s])
+                if len(cols):
+                    sizes, at, mult = probe(np.ascontiguousarray(d[:, cols]), draws[s : s + 1, cols], self.k, self.ties)
+                    found.append((sizes, cols[at], mult))
+                else:
+                    found.append((np.zeros(len(d), np.int64), cols, cols))
+        else:
+            ranked = nearest_columns(d, max(depth_for(draws[g], self.k, self.ties) for g in groups))
+            found = [probe(d, draws[g], self.k, self.ties, ranked) for g in groups]
+        return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+
+    def rows(self):
+        for (lo, step), (sizes, d, q, m, yq, missing) in sorted(self.found.items()) or self._nothing():
+            part = self.points.slice(lo, step)
+            total = len(self.members) * len(part)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+
+            def lists(values):
+                return pa.ListArray.from_arrays(offsets, values)
+
+            yield pa.RecordBatch.from_arrays(
+                [pa.repeat(self.head[c], total) for c in ("series_id", "E", "tau")]
+                + [pa.array(np.repeat(x, len(part))) for x in (self.L, self.sample)]
+                + [
+                    pa.array(np.tile(_numbers(part, "i"), len(self.members))),
+                    part.field("y").take(pa.array(np.tile(np.arange(len(part)), len(self.members)))),
+                    lists(pa.array(q)), lists(pa.array(d)), lists(pa.array(m)), lists(pa.array(yq, mask=missing)),
+                ],
+                names=["series_id", "E", "tau", "L", "sample", "p", "y", "q", "d", "m", "yq"],
+            )
+
+    def _nothing(self):
+        empty = [np.zeros(0, t) for t in (np.float64, np.int64, np.int32, np.float64, bool)]
+        return [((0, len(self.points)), (np.zeros(len(self.members) * len(self.points), np.int64), *empty))]
+
+
+def _recut(found, points, draws, step):
+    """Answers cut into stretches of ``step`` points instead."""
+    owner, parts = [], []
+    for (lo, old), (sizes, *values) in sorted(found.items()):
+        width = min(old, points - lo)
+        s, p = np.divmod(np.repeat(np.arange(len(sizes)), sizes), width)
+        owner.append((s, p + lo))
+        parts.append(values)
+    draw, point = (np.concatenate([o[j] for o in owner]) for j in range(2))
+    values = [np.concatenate([v[j] for v in parts]) for j in range(5)]
+    out = {}
+    for lo in range(0, points, step):
+        width = min(step, points - lo)
+        mine = np.flatnonzero((point >= lo) & (point < lo + width))
+        row = draw[mine] * width + point[mine] - lo
+        order = np.argsort(row, kind="stable")
+        out[lo, step] = (np.bincount(row, minlength=draws * width), *[v[mine[order]] for v in values])
+    return out
 
-    def meetings(batches):
-        for row in _rows(batches):
-            lib = _sorted_block(row["lib"].values)
-            draws = _from_tickets(row, len(lib), replacement, distinct)
-            part = lib.slice(row["block"].as_py() * points, points)
-            yield from _meeting(row, part, lib, draws, k, ties, no_zero)
 
-    return lambda batches: _gathered(meetings(batches))
+def _combine(a, b, k, ties):
+    """The k nearest of two sets of answers, row by row, in (distance, index) order."""
+    rows = np.concatenate([np.repeat(np.arange(len(x[0])), x[0]) for x in (a, b)])
+    d, q, m, yq, missing = (np.concatenate([a[j], b[j]]) for j in range(1, 6))
+    order = np.lexsort((q, d, rows))
+    rows, d, q, m, yq, missing = (x[order] for x in (rows, d, q, m, yq, missing))
+    total = np.cumsum(m)
+    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else np.zeros(0, np.int64)
+    before = total - m
+    before = before - np.repeat(before[first], np.diff(np.append(first, len(rows))))
+    keep = before < k
+    if ties:
+        # as near as the last one that has a place
+        last = np.zeros(len(a[0]))
+        np.maximum.at(last, rows[keep], d[keep])
+        keep |= d <= last[rows]
+    else:
+        m = np.minimum(m, k - before)
+    sizes = np.bincount(rows[keep], minlength=len(a[0]))
+    return (sizes, d[keep], q[keep], m[keep].astype(np.int32), yq[keep], missing[keep])
+
+
+def unit_kernel(tile, k, ties, no_zero, distinct, replacement, alone):
+    """For mapInArrow, over rows sorted by unit and chunk: the row of a unit's points
+    (chunk -1) comes first, then its candidates chunk by chunk. ``tile``: points per chunk;
+    ``alone``: measure each draw on its own instead of ranking once for all."""
+
+    def answers(batches):
+        unit, key = None, None
+        for row in _rows(batches):
+            mine = tuple(row[c].as_py() for c in ("series_id", "E", "tau", "block", "grp"))
+            if mine != key:
+                if unit:
+                    yield from unit.rows()
+                unit, key = _Unit(row, tile, k, ties, no_zero, distinct, replacement, alone), mine
+            else:
+                unit.meet(row)
+        if unit:
+            yield from unit.rows()
+
+    return lambda batches: _gathered(answers(batches))
 
 
 def _meeting(row, points, lib, draws, k, ties, no_zero):

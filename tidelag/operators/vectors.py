@@ -14,18 +14,19 @@ def _as_manifold(df: DataFrame, id: str, vec: str) -> DataFrame:
         F.lit("all").alias("series_id"), F.lit(1).alias("E"), F.lit(1).alias("tau"), F.col(id).cast("bigint").alias("i"),
         F.lit(None).cast("double").alias("y"), F.col(vec).cast("array<double>").alias("v"),
     )
-    numbered = dense_rank_of(rows, ["series_id"], "i", "i", "pos")
-    return numbered.join(rows.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")), "series_id")
+    return dense_rank_of(rows, ["series_id"], "i", "i", "pos", total="n")
 
 
 def _pairwise(df: DataFrame, id: str, vec: str, measure: str, summarise: bool) -> DataFrame:
-    tiles = pair_distances(_as_manifold(df, id, vec), summarise, measure).drop("series_id", "E", "tau")
-    return tiles.withColumnRenamed("p", id)
+    cells = pair_distances(_as_manifold(df, id, vec), summarise, measure).drop("series_id", "E", "tau").withColumnRenamed("p", id)
+    if not summarise:
+        return cells
+    return cells.selectExpr(f"`{id}`", "pairs", "try_divide(total, pairs) AS mean", "low", "high")
 
 
 def pairwise_euclidean(df: DataFrame, id: str, vec: str, summarise: bool = False) -> DataFrame:
-    """Distance of every row to every other row as tiles: id, q_block, q, d. With
-    ``summarise``: id, q_block, pairs, total, low, high."""
+    """Distance of every row to every other row: id, q, d (arrays). With ``summarise``: id,
+    pairs, mean, low, high."""
     return _pairwise(df, id, vec, "euclidean", summarise)
 
 
@@ -35,28 +36,24 @@ def pairwise_pearson(df: DataFrame, id: str, vec: str, summarise: bool = False)
     return _pairwise(df, id, vec, "pearson", summarise)
 
 
-def summary_of(tiles: DataFrame, id: str) -> DataFrame:
-    """One row per id over all its summarised tiles: pairs, mean, low, high."""
-    return tiles.groupBy(id).agg(
-        F.sum("pairs").alias("pairs"), F.try_divide(F.sum("total"), F.sum("pairs")).alias("mean"),
-        F.min("low").alias("low"), F.max("high").alias("high"),
-    )
-
-
 def array_pearson(a: Column, b: Column) -> Column:
-    """Pearson correlation of two arrays; 0 when the denominator is at most 1e-10."""
-    def total(x: Column) -> Column:
-        return F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)
-
-    n = F.size(a).cast("double")
-    sa, sb = total(a), total(b)
-    saa = total(F.transform(a, lambda v: v * v))
-    sbb = total(F.transform(b, lambda v: v * v))
-    sab = total(F.zip_with(a, b, lambda v, w: v * w))
-    # A difference of equal sums may come out a hair under zero.
-    spread = F.greatest((saa * n - sa * sa) * (sbb * n - sb * sb), F.lit(0.0))
-    den = F.sqrt(spread)
-    return F.when(den > 1e-10, F.try_divide(sab * n - sa * sb, den)).otherwise(F.lit(0.0))
+    """Pearson correlation of two arrays; 0 when the denominator is at most 1e-10. Values are
+    taken from their means, and one pass adds up all three sums."""
+    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
+    ma, mb = mean(a), mean(b)
+    pairs = F.zip_with(a, b, lambda v, w: F.struct((v - ma).alias("v"), (w - mb).alias("w")))
+    zero = F.struct(F.lit(0.0).alias("aa"), F.lit(0.0).alias("bb"), F.lit(0.0).alias("ab"))
+    sums = F.aggregate(
+        pairs, zero,
+        lambda s, p: F.struct(
+            (s["aa"] + p["v"] * p["v"]).alias("aa"), (s["bb"] + p["w"] * p["w"]).alias("bb"), (s["ab"] + p["v"] * p["w"]).alias("ab")
+        ),
+    )
+    def ratio(s: Column) -> Column:
+        spread = F.sqrt(s["aa"] * s["bb"])
+        return F.when(spread * F.size(a) > 1e-10, F.try_divide(s["ab"], spread)).otherwise(F.lit(0.0))
+
+    return F.element_at(F.transform(F.array(sums), ratio), 1)
 
 
 def rowwise_pearson(a: DataFrame, b: DataFrame, id: str, vec: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,40 +22,56 @@ def manifold_of(series: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
 
 
 def neighbours(series: DataFrame, spec: Spec, k: int | None = None) -> DataFrame:
-    points, sizes = manifold_of(series, spec)
-    return knn_in_library(points, sizes, spec, k)
+    return knn_in_library(embed(series, spec.pairs, spec.drop_missing), spec, k)
 
 
-def forecasts(series: DataFrame, spec: Spec) -> DataFrame:
-    """series_id, E, tau, L, sample, p, y, y_hat."""
-    found = neighbours(series, spec)
+def _forecasts(found: DataFrame, spec: Spec, largest: int) -> DataFrame:
     if spec.ties == "include":
         return simplex_predict(simplex_weights(found, spec.weight_floor, "include"))
-    return simplex_forecast(found, max(spec.E) + 1, spec.weight_floor)
+    return simplex_forecast(found, largest + 1, spec.weight_floor)
 
 
-def cross_map(series: DataFrame, spec: Spec) -> DataFrame:
+def forecasts(series: DataFrame, spec: Spec) -> DataFrame:
+    """series_id, E, tau, L, sample, p, y, y_hat."""
+    return _forecasts(neighbours(series, spec), spec, max(spec.E))
+
+
+def cross_map(series: DataFrame, spec: Spec, grid: DataFrame | None = None) -> DataFrame:
     """Cross-map skill of ``series`` (series_id, i, x, y) over the whole grid: does the
-    history of x recover y? E, tau and L are columns, so a sweep is one plan."""
-    return skill(forecasts(series, spec))
+    history of x recover y? E, tau and L are columns, so a sweep is one plan.
+
+    ``grid`` (series_id, E, tau, L, samples) names what to run for each series instead of
+    spec's E, tau, L and samples, as task files do; of equal rows the most samples count.
+    Its distinct (E, tau), a few, are looked up when this is called."""
+    if grid is None:
+        return skill(forecasts(series, spec))
+    pairs = [(r["E"], r["tau"]) for r in grid.select("E", "tau").distinct().collect()]
+    if not pairs:
+        raise ValueError("the grid is empty")
+    wanted = grid.groupBy("series_id", "E", "tau", "L").agg(F.max("samples").alias("samples"))
+    runs = wanted.groupBy("series_id", "E", "tau").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("L").cast("int").alias("L"), F.col("samples").cast("int").alias("samples")))).alias("runs")
+    )
+    found = knn_in_library(embed(series, pairs, spec.drop_missing), spec, runs=runs)
+    return skill(_forecasts(found, spec, max(E for E, _ in pairs)))
 
 
 def scenario_sweep(counts: DataFrame, col: str, E, widths, spec: Spec) -> DataFrame:
     """For each trailing-sum width and each E: cross-map the sum against the value E steps
     later, with libraries from spec.L up to the length of the paired series. Adds column
-    ``width`` to the skill rows."""
-    paired = accumulate_vs_next(counts, col, widths, E).withColumn(
-        "series_id", F.concat_ws("|", "series_id", F.col("width").cast("string"))
+    ``width`` to the skill rows. One plan: every E is embedded, and each paired series keeps
+    the one that it looks ahead."""
+    spec = replace(spec, E=tuple(E))
+    parts = lambda s: f"split({s}, '[|]')"
+    paired = accumulate_vs_next(counts, col, widths, E).selectExpr(
+        "concat_ws('|', series_id, width, ahead) AS series_id", "n", "i", "x", "y"
     )
-    runs = [
-        cross_map(paired.where(F.col("ahead") == e).select("series_id", "n", "i", "x", "y"), replace(spec, E=(e,)))
-        for e in E
-    ]
-    every = reduce(DataFrame.unionByName, runs)
-    parts = F.split("series_id", "\\|")
-    return every.select(
-        F.element_at(parts, -1).cast("int").alias("width"),
-        F.array_join(F.slice(parts, 1, F.size(parts) - 1), "|").alias("series_id"),
+    points = embed(paired, spec.pairs, spec.drop_missing).where(f"element_at({parts('series_id')}, -1) = CAST(E AS STRING)")
+    points = points.withColumn("series_id", F.expr(f"array_join(slice({parts('series_id')}, 1, size({parts('series_id')}) - 1), '|')"))
+    every = skill(_forecasts(knn_in_library(points, spec), spec, max(spec.E)))
+    name = parts("series_id")
+    return every.selectExpr(
+        f"CAST(element_at({name}, -1) AS INT) AS width", f"array_join(slice({name}, 1, size({name}) - 1), '|') AS series_id",
         *[c for c in every.columns if c != "series_id"],
     )
 
