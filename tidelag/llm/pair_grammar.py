@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -28,9 +30,9 @@ from pyspark.sql import functions as F
 END = 2
 SHARD_TOKENS = 1 << 20
 #: Pairs seen less often stay; each round takes all pairs down to a share of the best one.
-LEAST, SHARE, ROUNDS = 6, 8, 12
+LEAST, SHARE, ROUNDS = 6, 16, 5
 COUNTERS = 1 << 20
-KNOWN_WORDS = 1 << 18
+KNOWN_WORDS = 3 << 18
 SHARDS = (
     "part int, seq int, n_tokens long, base int, doc_ids array<long>, tokens array<int>, symbols array<int>, "
     "left array<int>, right array<int>, lengths array<int>, body array<int>"
@@ -96,27 +98,32 @@ def compress(ids: np.ndarray, doc: np.ndarray) -> tuple[Grammar, np.ndarray]:
     left, right, size = [], [], base
     for _ in range(ROUNDS):
         key = body[:-1].astype(np.int64) * size + body[1:]
-        inner = doc[:-1] == doc[1:]
-        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-        often = np.flatnonzero(inner & (np.bincount(slot[inner], minlength=COUNTERS) >= LEAST)[slot])
-        pairs, number, count = np.unique(key[often], return_inverse=True, return_counts=True)
-        chosen = count >= max(LEAST, int(count.max(initial=0)) // SHARE)
+        inner = np.flatnonzero(doc[:-1] == doc[1:])
+        key = key[inner]
+        # pairs are counted by slot; of those that share one, one pair holds it
+        slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).view(np.int64)
+        count = np.bincount(slot, minlength=COUNTERS)
+        chosen = count >= max(LEAST, int(count.max()) // SHARE)
         if not chosen.any():
             break
+        holder = np.zeros(COUNTERS, np.int64)
+        holder[slot] = key
         rule = np.cumsum(chosen) - 1
-        hit = chosen[number]
-        place, which = often[hit], rule[number[hit]]
+        pairs = holder[chosen]
+        hit = np.flatnonzero(chosen[slot])
+        hit = hit[holder[slot[hit]] == key[hit]]
+        place, which = inner[hit], rule[slot[hit]]
         # of pairs that overlap, every second one from the left
         run = np.append(True, place[1:] != place[:-1] + 1)
         offset = np.arange(len(place)) - np.flatnonzero(run)[np.cumsum(run) - 1]
         place, which = place[offset % 2 == 0], which[offset % 2 == 0]
-        left.append(pairs[chosen] // size)
-        right.append(pairs[chosen] % size)
+        left.append(pairs // size)
+        right.append(pairs % size)
         body[place] = size + which
         keep = np.ones(len(body), bool)
         keep[place + 1] = False
         body, doc = body[keep], doc[keep]
-        size += int(chosen.sum())
+        size += len(pairs)
     none = np.zeros(0, np.int32)
     grammar = Grammar(base, *(np.concatenate(x).astype(np.int32) if x else none for x in (left, right)), body)
     return grammar, doc
@@ -124,28 +131,39 @@ def compress(ids: np.ndarray, doc: np.ndarray) -> tuple[Grammar, np.ndarray]:
 
 class Encoder:
     """Ids of texts by the tokenizer in a file. It never joins what spaces or line feeds
-    part, so ids are looked up by word; words not seen yet are encoded in one batch."""
+    part, so ids are looked up by word; words not seen yet are encoded in one batch, and
+    kept until there are KNOWN_WORDS, by when the common ones are among them."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        new = list(set(chain.from_iterable(parts)) - self.known.keys())
-        self.known.update(zip(new, (e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False))))
-        known = self.known.__getitem__
-        return [list(chain.from_iterable(map(known, p))) for p in parts]
+        distinct = set(chain.from_iterable(parts))
+        new = list(distinct - self.known.keys())
+        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        table = {w: array("i", e.ids).tobytes() for w, e in zip(new, found)}
+        if len(self.known) + len(table) <= KNOWN_WORDS:
+            self.known.update(table)
+            table = self.known
+        else:
+            table.update((w, self.known[w]) for w in distinct - table.keys())
+        return [np.frombuffer(b"".join(map(table.__getitem__, p)), np.int32) for p in parts]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One per worker process, for all its tasks."""
+    return Encoder(path)
 
 
 def _shards(path: str, end: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = Encoder(path), TaskContext.get().partitionId(), 0
+        part, seq = TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         docs: list[int | None] = []
         size = 0
@@ -162,11 +180,10 @@ def _shards(path: str, end: int, shard_tokens: int):
         for batch in batches:
             for at in range(0, len(batch), 256):
                 rows = batch.slice(at, 256)
-                for doc, found in zip(rows.column("doc_id").to_pylist(), encoder.encode(rows.column("_text").to_pylist())):
-                    found.append(end)
-                    ids.append(np.array(found, np.int32))
+                for doc, found in zip(rows.column("doc_id").to_pylist(), encoder(path).encode(rows.column("_text").to_pylist())):
+                    ids.append(np.append(found, np.int32(end)))
                     docs.append(doc)
-                    size += len(found)
+                    size += len(ids[-1])
                     if size >= shard_tokens:
                         yield shard()
                         ids, docs, size, seq = [], [], 0, seq + 1
