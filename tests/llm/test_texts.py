@@ -191,7 +191,7 @@ def test_pieces_equal_the_library(edges, nothing):
     texts = ["", " ", "  two  spaces ", "日本語テキスト 🤦🏼‍♂️ tabs\t\r\n", "    code(x) { return 1; }", "=" * 90, "x" * 300, "a▁b"]
     texts += ["".join(rng.choice("aabcdehilnorst  eé\n") for _ in range(70)) for _ in range(600)]
     texts += ["".join(rng.choice("ab") for _ in range(40)) for _ in range(200)]
-    got = encoder.encode(texts)
+    got = [x.tolist() for x in encoder.encode(texts)]
     assert got == library.encode(texts, num_threads=1)
     assert [encoder.pieces.decode(x) for x in got] == [t.replace("▁", " ") for t in texts]
     rows = [(i, t or "") for i, t in pairs_of(edges)]

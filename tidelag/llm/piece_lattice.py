@@ -15,6 +15,7 @@ get equal ids. Extra columns are ignored."""
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,8 +31,8 @@ BASE, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 FIRST, NONE, UNKNOWN = -3, -2, -1
 #: Words longer than this go one by one; so many words go together.
 LONG, TOGETHER = 32, 1 << 15
-KNOWN_WORDS = 1 << 19
-TEXT_BYTES = 1 << 22
+KNOWN_WORDS = 1 << 18
+TEXT_BYTES = 1 << 20
 _units = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -203,29 +204,37 @@ def string_hash(text: str) -> int:
 
 
 class Encoder:
-    """Keeps the ids of words seen, up to a bound."""
+    """Keeps the ids of words seen until there are KNOWN_WORDS, by when the common ones are
+    among them. ``known`` may outlive one task."""
 
-    def __init__(self, pieces: Pieces):
-        self.pieces, self.known = pieces, {}
+    def __init__(self, pieces: Pieces, known: dict[str, bytes] | None = None):
+        self.pieces, self.known = pieces, {} if known is None else known
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts = [_units.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        new = {u for p in parts for u in p} - self.known.keys()
-        self.known.update(self.pieces.encode_all(list(new)))
-        known = self.known
-        return [[i for u in p for i in known[u]] for p in parts]
+        distinct = {u for p in parts for u in p}
+        found = self.pieces.encode_all(list(distinct - self.known.keys()))
+        table = {w: array("i", ids).tobytes() for w, ids in found.items()}
+        if len(self.known) + len(table) <= KNOWN_WORDS:
+            self.known.update(table)
+            table = self.known
+        else:
+            table.update((w, self.known[w]) for w in distinct - table.keys())
+        return [np.frombuffer(b"".join(map(table.__getitem__, p)), np.int32) for p in parts]
 
 
-def _lists(ids: list[list[int]]) -> pa.Array:
+#: Of this worker process, for all its tasks; by the vocabulary they belong to.
+_known_words: dict[int, dict[str, bytes]] = {}
+
+
+def _lists(ids: list[np.ndarray]) -> pa.Array:
     bounds = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.fromiter((i for x in ids for i in x), np.int32, int(bounds[-1]))))
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
 
 
 def _encode(pieces: Pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(pieces)
+        encoder = Encoder(pieces, _known_words.setdefault(hash(pieces.keys.tobytes()), {}))
         for part in slices(batches, limit=TEXT_BYTES):
             ids = encoder.encode(part.rows.column("_text").to_pylist())
             yield pa.record_batch({"doc_id": part.rows.column("doc_id"), "ids": _lists(ids)})
