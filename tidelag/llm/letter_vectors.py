@@ -30,6 +30,8 @@ SYMBOLS = 64
 GRAM = 3
 SEED = 3
 UNKNOWN = "und"
+#: N-grams kept before they are added up, to bound memory.
+HELD_GRAMS = 1 << 20
 HELD_OUT_OF, HELD_OUT = 4, 2
 _not_letters = re.compile(r"[\W\d_]+")
 
@@ -84,12 +86,23 @@ class Vectors:
 def _training_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of n-grams by language, added up over the whole partition."""
     counts: dict[str, np.ndarray] = {}
-    for batch in batches:
-        codes: dict[str, list[np.ndarray]] = {}
-        for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist()):
-            codes.setdefault(lang, []).append(grams(text.as_py()))
+    codes: dict[str, list[np.ndarray]] = {}
+    held = 0
+
+    def add_up() -> None:
         for lang, found in codes.items():
             counts[lang] = counts.get(lang, 0) + np.bincount(np.concatenate(found), minlength=SYMBOLS**GRAM)
+        codes.clear()
+
+    for batch in batches:
+        for text, lang in zip(batch.column("text"), batch.column("lang")):
+            found = grams(text.as_py())
+            codes.setdefault(lang.as_py(), []).append(found)
+            held += len(found)
+            if held >= HELD_GRAMS:
+                add_up()
+                held = 0
+    add_up()
     for lang, count in counts.items():
         found = np.flatnonzero(count)
         yield pa.record_batch({"lang": pa.array([lang] * len(found), pa.string()), "gram": found, "n": count[found]})
