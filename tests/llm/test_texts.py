@@ -121,6 +121,24 @@ def test_forest_finds_junk_and_keeps_the_rest(spark, docs):
     assert not any(got[i] for i in range(0, 400, 8))
 
 
+def test_production_threshold_rejects_poor_rows(spark):
+    """Poor rows whose symbols, digits and lines are only somewhat denser than those of good ones."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdeilnorst") for _ in range(rng.randint(2, 9)))
+
+    def text(poor):
+        marks = rng.uniform(0.1, 0.3) if poor else rng.uniform(0, 0.12)
+        return " ".join(word() + rng.choice(["#", "7", "!", "%"]) * (rng.random() < marks) for _ in range(rng.randint(60, 200)))
+
+    rows = [(i, text(i % 8 == 0)) for i in range(1600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    labels = spark.createDataFrame([(i, int(i % 8 != 0)) for i in range(0, 1600) if i % 3], "doc_id long, quality int")
+    got = {r.doc_id: r.kept for r in rule_forest.judge(table, labels).collect()}
+    poor, good = ([got[i] for i in range(1600) if (i % 8 == 0) == p and not i % 3] for p in (True, False))
+    assert sum(poor) <= 0.5 * len(poor)
+    assert sum(good) >= 0.85 * len(good)
+
+
 # token files
 
 

@@ -4,8 +4,9 @@ Every document gets counts (characters in words, symbols, duplicate lines, words
 windows) and a hard rule on them. The forest judges the rest: each tree splits a bounded draw
 of rows at random places until they are alone, and documents that few splits isolate are
 unlike the rest. Trees grow from labelled rows of good quality; the threshold is the score
-that all but a small share of the good labelled rows stay below, counted over all labelled
-rows, and never one that clean rows reach more often than bad ones.
+that parts good from bad best (balanced accuracy, counted over all labelled rows) among those
+that at most a stated share of the good rows reach, and none that good rows reach as often
+as bad ones.
 
 Per row and in batches, without a shuffle but for the labelled rows. Null and empty texts
 have no words and fail the hard rule. Without good labelled rows nothing is anomalous;
@@ -31,7 +32,7 @@ SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 #: Trees, rows per tree, and the bound on the good labelled rows they are drawn from.
 TREES, TREE_ROWS, DRAWN_ROWS = 100, 256, 8192
 #: Share of good labelled rows that the threshold may fail.
-FAILED_GOOD = 0.001
+FAILED_GOOD = 0.1
 SCORES = 1000
 SEED = 5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -172,8 +173,9 @@ def _drawn(known: DataFrame, bound: int) -> np.ndarray:
 
 
 def _threshold(scored: DataFrame, failed: float) -> float:
-    """Over a histogram of SCORES steps: the lowest score that at most ``failed`` of the good
-    rows reach and that bad rows reach more often; above 1 if there is none."""
+    """Over a histogram of SCORES steps: of the scores that at most ``failed`` of the good rows
+    reach, the one that bad rows reach most often beyond that, which is the best balanced
+    accuracy; above 1 if bad rows never do. Without bad rows, the lowest that no good row reaches."""
     step = F.floor(F.least(F.lit(1.0), "score") * SCORES).cast("int").alias("step")
     counts = scored.groupBy(step).agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad")).collect()
     good, bad = np.zeros(SCORES + 2), np.zeros(SCORES + 2)
@@ -182,8 +184,11 @@ def _threshold(scored: DataFrame, failed: float) -> float:
     if not good.sum():
         return 2.0
     good_above, bad_above = good[::-1].cumsum()[::-1] / good.sum(), bad[::-1].cumsum()[::-1] / max(1, bad.sum())
-    fits = np.flatnonzero((good_above <= failed) & (bad_above >= good_above))
-    return float(fits[0]) / SCORES if len(fits) else 2.0
+    fits = good_above <= failed
+    if not bad.sum():
+        return float(np.flatnonzero(good_above == 0)[0]) / SCORES
+    gain = np.where(fits, bad_above - good_above, 0.0)
+    return float(gain.argmax()) / SCORES if gain.max() > 0 else 2.0
 
 
 def judge(docs: DataFrame, labels: DataFrame, failed: float = FAILED_GOOD) -> DataFrame:
