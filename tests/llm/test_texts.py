@@ -173,6 +173,20 @@ def test_grammar_gives_any_stretch_back():
             assert (grammar.at(s, 17) == ids[s : s + 17]).all()
 
 
+def test_grammar_leaves_no_frequent_pair():
+    """Passages of 300 ids that recur, and enough rare pairs to share slots with frequent ones."""
+    rng = np.random.default_rng(6)
+    passage = rng.integers(0, 40000, 300)
+    parts = [np.concatenate([passage, rng.zipf(1.3, 900) % 40000]) for _ in range(300)]
+    ids, doc = np.concatenate(parts).astype(np.int32), np.repeat(np.arange(300), 1200)
+    grammar, owner = pair_grammar.compress(ids, doc)
+    assert (grammar.expand() == ids).all() and (np.repeat(owner, grammar.sizes) == doc).all()
+    same = owner[1:] == owner[:-1]
+    left = Counter(zip(grammar.body[:-1][same].tolist(), grammar.body[1:][same].tolist()))
+    assert max(left.values()) < pair_grammar.LEAST
+    assert grammar.lengths.max() >= 290
+
+
 # languages
 
 

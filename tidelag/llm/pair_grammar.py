@@ -2,7 +2,7 @@
 
 Documents are put in order by a range partitioning on doc_id, encoded, and cut into shards of
 about SHARD_TOKENS ids. In each shard frequent pairs of neighbouring symbols are replaced by
-new symbols, round after round; the pairs are the rules. A shard is a row of a Parquet file:
+new symbols, round after round, until no pair is seen LEAST times; the pairs are the rules. A shard is a row of a Parquet file:
 its rules with the number of ids each stands for, its symbols, and per document how many ids
 and symbols it has. No pair spans two documents, so one document can be decoded alone, and the
 lengths find any id without expanding what lies before it.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 END = 2
 SHARD_TOKENS = 1 << 20
 #: Pairs seen less often stay; each round takes all pairs down to a share of the best one.
-LEAST, SHARE, ROUNDS = 6, 16, 5
+LEAST, SHARE = 6, 16
 COUNTERS = 1 << 20
 KNOWN_WORDS = 3 << 18
 SHARDS = (
@@ -96,27 +96,27 @@ def compress(ids: np.ndarray, doc: np.ndarray) -> tuple[Grammar, np.ndarray]:
     body, doc = ids.astype(np.int32), doc.astype(np.int32)
     base = int(body.max()) + 1 if len(body) else 1
     left, right, size = [], [], base
-    for _ in range(ROUNDS):
-        key = body[:-1].astype(np.int64) * size + body[1:]
+    while True:
         inner = np.flatnonzero(doc[:-1] == doc[1:])
-        key = key[inner]
-        # pairs are counted by slot; of those that share one, one pair holds it
+        key = body[inner].astype(np.int64) * size + body[inner + 1]
+        # a slot's count is no less than that of any of its pairs; only pairs in slots of
+        # LEAST or more are counted one by one
         slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).view(np.int64)
-        count = np.bincount(slot, minlength=COUNTERS)
-        chosen = count >= max(LEAST, int(count.max()) // SHARE)
+        often = np.flatnonzero(np.bincount(slot, minlength=COUNTERS)[slot] >= LEAST)
+        pairs, which, count = np.unique(key[often], return_inverse=True, return_counts=True)
+        chosen = count >= max(LEAST, int(count.max(initial=0)) // SHARE)
         if not chosen.any():
             break
-        holder = np.zeros(COUNTERS, np.int64)
-        holder[slot] = key
-        rule = np.cumsum(chosen) - 1
-        pairs = holder[chosen]
-        hit = np.flatnonzero(chosen[slot])
-        hit = hit[holder[slot[hit]] == key[hit]]
-        place, which = inner[hit], rule[slot[hit]]
+        hit = np.flatnonzero(chosen[which])
+        place, which = inner[often[hit]], which[hit]
         # of pairs that overlap, every second one from the left
         run = np.append(True, place[1:] != place[:-1] + 1)
         offset = np.arange(len(place)) - np.flatnonzero(run)[np.cumsum(run) - 1]
         place, which = place[offset % 2 == 0], which[offset % 2 == 0]
+        # half of the places or more are left, LEAST / 2 a pair on average; pairs with one wait
+        used = np.bincount(which, minlength=len(pairs)) > 1
+        place, which = place[used[which]], (np.cumsum(used) - 1)[which[used[which]]]
+        pairs = pairs[used]
         left.append(pairs // size)
         right.append(pairs % size)
         body[place] = size + which
