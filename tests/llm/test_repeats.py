@@ -128,6 +128,30 @@ def test_index_marks_all_but_the_first():
     assert set(zip(phrase.tolist(), offset.tolist())) == want
 
 
+def many_without_id():
+    """A few thousand different texts without doc_id, some pairs alike at one offset, and some that share an id."""
+    rng = random.Random(17)
+    noise = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    shared = [noise(50) for _ in range(150)]
+    rows = [(None if i % 4 else 5, f"{noise(rng.randint(1, 3))} {shared[i % 900]} {noise(2)}" if i % 900 < 150 else noise(rng.randint(1, 40))) for i in range(3000)]
+    return rows + rows[:40]
+
+
+def test_words_without_doc_id(docs):
+    rows = many_without_id()
+    got = cover_dedup.remove_repeats(docs(rows)).select("doc_id", "n_words", "n_removed", "kept_text").collect()
+    assert tidy(map(tuple, got)) == tidy(loop_words(rows, 35))
+
+
+def test_bytes_without_doc_id(docs, monkeypatch):
+    """Of texts that share a doc_id or have none, the one of the smaller hash is earlier."""
+    rows = many_without_id()
+    hashes = {r.text: r.h for r in docs(rows).selectExpr("text", "xxhash64(text) AS h").distinct().collect()}
+    monkeypatch.setitem(globals(), "place", lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
+    got = run_index.remove_later(docs(rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect()
+    assert tidy((*r[:4], bytes(r[4])) for r in got) == tidy(loop_bytes(rows, 100))
+
+
 def test_difference_cover():
     for period in (1, 2, 7, 13, 21):
         cover = cover_dedup.difference_cover(period)

@@ -74,7 +74,7 @@ def _anchors(shape: Shape, whole: bool):
             left, right = shape.around(at, count)
             around = spans.hash(use - left, use + shape.stretch + right) ^ mix((left * shape.window + right).astype(np.uint64))
             ids, tags = (np.asarray(part.rows.column(c)) for c in ("_doc", "_tag"))
-            yield pa.record_batch({"key": key, "around": around.view(np.int64), "doc": ids[doc], "at": (tags[doc] << 40) + at})
+            yield pa.record_batch({"key": key, "around": around.view(np.int64), "doc": ids[doc], "tag": tags[doc], "at": at})
 
     return run
 
@@ -98,7 +98,7 @@ def _windows(shape: Shape):
             yield pa.record_batch({
                 "one": spans.hash(start, start + shape.window).view(np.int64),
                 "two": (other.hash(start, start + shape.window) >> np.uint64(32)).astype(np.int32),
-                "doc": ids[doc], "at": (tags[doc] << 40) + start - found.first[doc],
+                "doc": ids[doc], "tag": tags[doc], "at": start - found.first[doc],
             })
 
     return run
@@ -134,21 +134,21 @@ def repeated_marks(rows: DataFrame, shape: Shape) -> DataFrame:
     """Per row with repeated windows the places to remove: 2 * window start, or 2 * anchor + 1
     for all windows that hold the anchor."""
     twice = stage(rows.mapInArrow(_anchors(shape, False), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    anchors = rows.mapInArrow(_anchors(shape, True), "key long, around long, doc long, at long")
+    anchors = rows.mapInArrow(_anchors(shape, True), "key long, around long, doc long, tag long, at long")
     anchors = stage(anchors.join(twice.hint("shuffle_merge"), "key", "left_semi"))
-    place = F.struct("doc", "at")
+    place = F.struct("doc", "tag", "at")
     kinds = anchors.groupBy("key", "around").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
     kinds = stage(kinds.select("key", "around", "lo.*", (F.col("lo") < F.col("hi")).alias("copied")))
     whole = anchors.join(kinds.where("copied").select("key", "around").hint("shuffle_merge"), ["key", "around"], "left_semi")
 
     several = kinds.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    edges = stage(by_document(kinds.join(several, "key", "left_semi"), F.col("at") % (1 << 40)))
-    windows = stage(only_marked(rows, edges).mapInArrow(_windows(shape), "one long, two int, doc long, at long"))
+    edges = stage(by_document(kinds.join(several, "key", "left_semi"), F.col("at")))
+    windows = stage(only_marked(rows, edges).mapInArrow(_windows(shape), "one long, two int, doc long, tag long, at long"))
     again = windows.groupBy("one", "two").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi")
     again = stage(again.select("one", "two"))
     single = windows.join(again.hint("shuffle_merge"), ["one", "two"], "left_semi")
-    found = whole.select("doc", "at", F.lit(1).alias("whole")).unionByName(single.select("doc", "at", F.lit(0).alias("whole")))
-    return stage(by_document(found, F.col("at") % (1 << 40) * 2 + F.col("whole")))
+    found = whole.select("doc", "tag", "at", F.lit(1).alias("whole")).unionByName(single.select("doc", "tag", "at", F.lit(0).alias("whole")))
+    return stage(by_document(found, F.col("at") * 2 + F.col("whole")))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD) -> DataFrame:

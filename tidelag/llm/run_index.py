@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..staging import stage
 from .rolling import byte_spans, covered, lists, mix, ranges, runs, slices, text_array
-from .shared import all_with_marks, only_marked, places
+from .shared import all_with_marks, by_document, only_marked, places
 
 LENGTH = 100
 GRAM = 39
@@ -41,8 +41,8 @@ GRAM = 39
 BLOCK_BYTES = 1 << 20
 #: A key with more entries is split by window hash.
 KEY_ENTRIES = 1 << 12
-#: at = tag << 48 | start << 8 | windows
-START, TAG = 8, 48
+#: at = start << 8 | windows
+START = 8
 
 
 def _grams(part, gram: int) -> np.ndarray:
@@ -72,7 +72,7 @@ def _phrases(part, length: int, gram: int):
 
 def _places(part, doc: np.ndarray, start: np.ndarray, windows) -> dict:
     ids, tags = (np.asarray(part.rows.column(c)) for c in ("_doc", "_tag"))
-    return {"doc": ids[doc], "at": (tags[doc] << TAG) + ((start - part.off[doc]) << START) + windows}
+    return {"doc": ids[doc], "tag": tags[doc], "at": ((start - part.off[doc]) << START) + windows}
 
 
 def _scan(length: int, gram: int, whole: bool):
@@ -216,7 +216,7 @@ def later_windows(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarr
 def _index_block(length: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         # a repeated row gives its phrases again, at the same place
-        block = block.drop_duplicates(["key", "doc", "at"]).sort_values(["doc", "at"], kind="stable", ignore_index=True)
+        block = block.drop_duplicates(["key", "doc", "tag", "at"]).sort_values(["doc", "tag", "at"], kind="stable", ignore_index=True)
         phrases, offsets = [], []
         size = block["text"].str.len().to_numpy()
         # keys are independent of each other: parts of whole keys, each of one block's size
@@ -230,7 +230,8 @@ def _index_block(length: int):
             offsets.append(offset)
         phrase, offset = np.concatenate(phrases), np.concatenate(offsets)
         at = block["at"].to_numpy()[phrase]
-        return pd.DataFrame({"doc": block["doc"].to_numpy()[phrase], "at": (at >> START << START) + (offset << START) + 1})
+        doc, tag = (block[c].to_numpy()[phrase] for c in ("doc", "tag"))
+        return pd.DataFrame({"doc": doc, "tag": tag, "at": (at >> START << START) + (offset << START) + 1})
 
     return run
 
@@ -240,15 +241,16 @@ def _joined_windows(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, at = (np.asarray(batch.column(c)) for c in ("doc", "at"))
+            doc, tag, at = (np.asarray(batch.column(c)) for c in ("doc", "tag", "at"))
             begin, long = at >> START, 255 - length + 1
-            run_at = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (begin[1:] != begin[:-1] + 1))) if len(at) else np.zeros(0, np.int64)
+            breaks = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (begin[1:] != begin[:-1] + 1)
+            run_at = np.flatnonzero(np.append(True, breaks)) if len(at) else np.zeros(0, np.int64)
             sizes = np.diff(np.append(run_at, len(at)))
             pieces = -(-sizes // long)
             piece = ranges(np.zeros(len(pieces), np.int64), pieces) * long
             first = np.repeat(run_at, pieces) + piece
             count = np.minimum(long, np.repeat(sizes, pieces) - piece)
-            yield pa.record_batch({"doc": doc[first], "at": (at[first] >> START << START) + count + length - 1})
+            yield pa.record_batch({"doc": doc[first], "tag": tag[first], "at": (at[first] >> START << START) + count + length - 1})
 
     return run
 
@@ -270,39 +272,37 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _by_row(found: DataFrame) -> DataFrame:
     """Marks (start << 8 | low bits) of each row."""
-    return found.groupBy(F.col("doc").alias("_doc"), F.shiftright("at", TAG).alias("_tag")).agg(
-        F.collect_list(F.col("at") % (1 << TAG)).alias("_marks")
-    )
+    return by_document(found, F.col("at"))
 
 
 def later_marks(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """Per row the spans to remove, as start << 8 | bytes."""
     keys = rows.mapInArrow(_scan(length, gram, False), "key long")
     twice = stage(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    found = rows.mapInArrow(_scan(length, gram, True), "key long, around long, doc long, at long")
+    found = rows.mapInArrow(_scan(length, gram, True), "key long, around long, doc long, tag long, at long")
     found = stage(found.join(twice.hint("shuffle_merge"), "key", "left_semi"))
-    place = F.struct("doc", "at")
+    place = F.struct("doc", "tag", "at")
     entries = stage(found.groupBy("key", "around").agg(F.min(place).alias("first"), F.max(place).alias("last")))
     copied = entries.where("first < last").select("key", "around", "first")
     copies = found.join(copied.hint("shuffle_merge"), ["key", "around"]).where(place > F.col("first"))
-    copies = copies.select("doc", (F.col("at") + (length - 1)).alias("at"))
+    copies = copies.select("doc", "tag", (F.col("at") + (length - 1)).alias("at"))
 
     spots = F.when(F.col("first") < F.col("last"), F.array("first", "last")).otherwise(F.array("first"))
     entries = entries.select("key", F.explode(spots).alias("p")).select("key", "p.*")
     several = stage(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     entries = entries.join(several, "key")
-    indexed, split = (_by_row(entries.where(c).select("doc", "at")) for c in (f"n <= {KEY_ENTRIES}", f"n > {KEY_ENTRIES}"))
+    indexed, split = (_by_row(entries.where(c).select("doc", "tag", "at")) for c in (f"n <= {KEY_ENTRIES}", f"n > {KEY_ENTRIES}"))
     total = several.where(f"n <= {KEY_ENTRIES}").agg(F.sum("n")).first()[0] or 0
     blocks = max(1, total * (2 * length) // BLOCK_BYTES)
-    texts = only_marked(rows, stage(indexed)).mapInArrow(_texts(length, gram), "key long, doc long, at long, text binary")
+    texts = only_marked(rows, stage(indexed)).mapInArrow(_texts(length, gram), "key long, doc long, tag long, at long, text binary")
     texts = texts.withColumn("block", F.pmod(F.hash("key"), F.lit(blocks)))
-    later = texts.groupBy("block").applyInPandas(_index_block(length), "doc long, at long")
-    later = later.mapInArrow(_joined_windows(length), "doc long, at long")
+    later = texts.groupBy("block").applyInPandas(_index_block(length), "doc long, tag long, at long")
+    later = later.mapInArrow(_joined_windows(length), "doc long, tag long, at long")
 
-    windows = stage(only_marked(rows, stage(split)).mapInArrow(_windows(length), "one long, two long, doc long, at long"))
+    windows = stage(only_marked(rows, stage(split)).mapInArrow(_windows(length), "one long, two long, doc long, tag long, at long"))
     again = windows.groupBy("one", "two").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
     hashed = windows.join(stage(again.select("one", "two", "first")).hint("shuffle_merge"), ["one", "two"])
-    hashed = hashed.where(place > F.col("first")).select("doc", (F.col("at") + (length - 1)).alias("at"))
+    hashed = hashed.where(place > F.col("first")).select("doc", "tag", (F.col("at") + (length - 1)).alias("at"))
     return stage(_by_row(copies.unionByName(later).unionByName(hashed)))
 
 

@@ -8,30 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NO_ID = -(1 << 63)
-TAG_BITS = 12
 #: A side of a join is broadcast only if it was counted and holds no more bytes than this.
 BROADCAST_BYTES = 32 << 20
 
 
 def places(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, _doc, _tag, _text of every row, null texts as empty ones. (_doc, _tag) names a
-    row without nulls: rows that share a doc_id, or have none, differ by a tag of their text.
+    row without nulls: rows that share a doc_id, or have none, differ by 64 bits of their text's hash.
     Other columns, whatever their names, stay behind."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         F.col("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"),
-        F.pmod(F.xxhash64(text), F.lit(1 << TAG_BITS)).alias("_tag"),
+        F.xxhash64(text).alias("_tag"),
         text.alias("_text"),
         *more,
     )
 
 
-def at_place(tag: Column, start: Column) -> Column:
-    """Tag and start in one number, in the order of both."""
-    return tag * F.lit(1 << 40) + start
-
-
 def has_at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
@@ -44,10 +38,9 @@ def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
 
 
 def by_document(found: DataFrame, value: Column) -> DataFrame:
-    """One row per (_doc, _tag) of ``found`` (doc, at): what ``value`` gives, as a list that no
+    """One row per (_doc, _tag) of ``found`` (doc, tag, at): what ``value`` gives, as a list that no
     document of bounded length makes long."""
-    tag = F.shiftright("at", 40).alias("_tag")
-    return found.groupBy(F.col("doc").alias("_doc"), tag).agg(F.collect_list(value).alias("_marks"))
+    return found.groupBy(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).agg(F.collect_list(value).alias("_marks"))
 
 
 def only_marked(rows: DataFrame, marks: DataFrame) -> DataFrame:
