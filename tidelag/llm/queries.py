@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from ..staging import shared_folder
-from . import cover_dedup, digest_index, golay_simhash, letter_vectors, pair_grammar, piece_lattice, rule_forest, run_index, secret_tests, soft_mixing
+from . import cover_dedup, digest_index, golay_simhash, letter_vectors, middle_fill, pair_grammar, piece_lattice, rule_forest, run_index, secret_tests, soft_mixing
 from .shared import tokenizer_file
 
 
@@ -84,6 +84,14 @@ def op10_secret_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_middle_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = middle_fill.transform(_documents(spark, sf_dir))
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(middle_fill.restored(F.col("form"), F.col("output")), 256).alias("restored_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -100,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_cover_dedup": op8_cover_dedup,
         "op9_piece_lattice": op9_piece_lattice,
         "op10_secret_tests": op10_secret_tests,
+        "op13_middle_fill": op13_middle_fill,
         "pipeline": pipeline,
     }
 
@@ -111,4 +120,17 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id) AS keep_id,
                 count(*) OVER (PARTITION BY text_sha256) AS group_size,
                 doc_id = first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id) AS kept, text_sha256 FROM d""",
+        "op13_middle_fill": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS h,
+                regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS units FROM documents),
+            e AS (SELECT *, CAST(len(units) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+                CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+            c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                     WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM e),
+            p AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle,
+                array_to_string(units[b + 1:n], '') AS suffix FROM c)
+            SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+                CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+                sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
     }
