@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from ..staging import shared_folder
-from . import cover_dedup, digest_index, golay_simhash, letter_vectors, middle_fill, pair_grammar, piece_lattice, rule_forest, run_index, secret_tests, soft_mixing, turn_repair
+from . import coordinate_join, cover_dedup, digest_index, golay_simhash, letter_vectors, middle_fill, pair_grammar, piece_lattice, rule_forest, run_index, secret_tests, soft_mixing, turn_repair
 from .shared import tokenizer_file
 
 
@@ -84,6 +84,10 @@ def op10_secret_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coordinate_join.near_duplicates(_documents(spark, sf_dir))
+
+
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.with_digests(turn_repair.repair(turn_repair.damage(_table(spark, sf_dir, "conversations"))))
 
@@ -112,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_cover_dedup": op8_cover_dedup,
         "op9_piece_lattice": op9_piece_lattice,
         "op10_secret_tests": op10_secret_tests,
+        "op11_coordinate_join": op11_coordinate_join,
         "op12_turn_repair": op12_turn_repair,
         "op13_middle_fill": op13_middle_fill,
         "pipeline": pipeline,
