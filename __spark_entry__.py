@@ -21,10 +21,10 @@ from tidelag.sources import (  # noqa: E402
 )
 from tidelag.staging import shared_folder  # noqa: E402
 
-try:
-    from tidelag.llm import queries as llm  # noqa: E402
-except ImportError:  # the subpackage is optional
-    llm = None
+_here = os.path.dirname(os.path.abspath(__file__))
+llm = None
+if os.path.exists(os.path.join(_here, "corpus_pipeline.py")) and os.path.exists(os.path.join(_here, "tidelag", "llm", "queries.py")):
+    from tidelag.llm import queries as llm  # noqa: E402  # the subpackage is optional
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,7 @@ SWEEP = Spec(E=(2, 3), tau=(1, 2), L=param_values(100, 300, 100), samples=4)
 TIES = Spec(E=(2,), tau=(1,), L=(150,), samples=3, ties="include")
 USERS = Spec(E=(2, 3), tau=(1,), L=(5, 15, 40), samples=3)
 LONG = Spec(E=(2,), tau=(1,), L=(500,), samples=2)
+SPARSE = Spec(E=(2,), tau=(1,), L=(200,), samples=2)
 SCENARIO = Spec(tau=(1,), L=LengthRange(50, 200), samples=2)
 SCENARIO_E, SCENARIO_WIDTHS = (2, 4), (7, 14, 30)
 
@@ -88,8 +89,8 @@ def _ranks(series: DataFrame, pair: tuple[int, int], k: int, **options) -> DataF
     return _tidy(op.rank_neighbors(op.embed(series, [pair]), k, **options), "d")
 
 
-def _knn_rows(series: DataFrame, spec: Spec) -> DataFrame:
-    rows = op.explode_neighbors(neighbours(series, spec))
+def _knn_rows(series: DataFrame, spec: Spec, library: DataFrame | None = None) -> DataFrame:
+    rows = op.explode_neighbors(neighbours(series, spec, library=library))
     return _tidy(rows.select("series_id", "E", "tau", "L", "sample", "p", "r", "q", "d", "m"), "d")
 
 
@@ -114,6 +115,28 @@ def _all_events(spark, sf_dir) -> DataFrame:
     return op.dense_rank_of(rows, ["series_id"], "event_id", "event_id", total="n").select("series_id", "n", "i", "x", "y")
 
 
+def _line_items(spark, sf_dir) -> DataFrame:
+    """Lineitem in the order of its key (which is not unique; then of its values) as one series:
+    price against quantity."""
+    items = _table(spark, sf_dir, "lineitem").selectExpr(
+        "'all' AS series_id", "struct(l_orderkey, l_linenumber, l_extendedprice, l_quantity) AS line", "CAST(l_extendedprice AS DOUBLE) AS x", "CAST(l_quantity AS DOUBLE) AS y"
+    )
+    return op.dense_rank_of(items, ["series_id"], "line", "line", total="n").select("series_id", "n", "i", "x", "y")
+
+
+def _purchase_hours(spark, sf_dir) -> DataFrame:
+    """A library chosen by a rule: the hours with purchases, each as often as it has any, in one
+    draw for even and one for odd user numbers. Hours count from the first click or view."""
+    hour = "unix_timestamp(ts) div 3600"
+    events = _table(spark, sf_dir, "events")
+    first = events.where("event_type IN ('click', 'view')").agg(F.expr(f"min({hour}) AS first"))
+    bought = events.where("event_type = 'purchase'").crossJoin(F.broadcast(first))
+    rows = bought.selectExpr("CAST(user_id % 2 AS INT) AS sample", f"{hour} - first AS idx")
+    return rows.groupBy("sample", "idx").agg(F.count("*").alias("m")).selectExpr(
+        "'all' AS series_id", "3 AS E", "1 AS tau", "1 AS L", "sample", "idx", "m"
+    )
+
+
 def _task_runs(spark, sf_dir) -> DataFrame:
     """Tasks as JSON lines, each with its own E, tau, L and samples: one per user group, over
     the daily values of its clicks and views; written, read back and run."""
@@ -176,7 +199,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return _series_sql() | (llm.oracle_sql() if llm else {})
+    return {name: text.replace("WITH ", "WITH RECURSIVE ", 1) for name, text in _series_sql().items()} | (llm.oracle_sql() if llm else {})
 
 
 def _series_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -215,6 +238,7 @@ def _series_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "knn_library_no_zero": lambda s, d: _knn_rows(
             _event_counts(s, d), Spec(E=(2,), L=(150,), samples=3, exclude_zero_distance=True)
         ),
+        "knn_given_library": lambda s, d: _knn_rows(hourly(s, d), SINGLE, _purchase_hours(s, d)),
         "knn_with_ties": lambda s, d: _knn_rows(_event_counts(s, d), TIES),
         # Libraries
         "library_with_replacement": lambda s, d: _libraries(hourly(s, d), SINGLE),
@@ -262,6 +286,7 @@ def _series_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rank_neighbors_long": lambda s, d: _ranks(_all_events(s, d), (2, 1), 3),
         "knn_library_long": lambda s, d: _knn_rows(_all_events(s, d), LONG),
         "xmap_long": lambda s, d: _skill(cross_map(_all_events(s, d), LONG)),
+        "xmap_sparse_library": lambda s, d: _skill(cross_map(_line_items(s, d), SPARSE)),
         # Vectors
         "vec_pairwise_euclidean": lambda s, d: _tidy(
             op.pairwise_euclidean(_table(s, d, "embeddings"), "vec_id", "embedding", True),
@@ -300,6 +325,9 @@ def _series_sql() -> dict[str, str]:
                row_number() OVER (PARTITION BY a.series_id, a.i ORDER BY {d}, b.i) AS r
         FROM m a JOIN m b ON a.series_id = b.series_id AND a.i <> b.i WHERE {where}) t WHERE r <= {k}"""
     draws = "series_id, E, tau, L, sample"
+    bought = """SELECT 'all' AS series_id, 1 AS L, CAST(user_id % 2 AS INT) AS sample, count(*) AS m,
+        CAST(floor(epoch(ts) / 3600) AS BIGINT) - (SELECT min(CAST(floor(epoch(ts) / 3600) AS BIGINT)) FROM events
+            WHERE event_type IN ('click', 'view')) AS idx FROM events WHERE event_type = 'purchase' GROUP BY ALL"""
     centred = """SELECT vec_id, list_transform(v, lambda x: x - list_avg(v)) AS c
         FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) t"""
     return {
@@ -334,6 +362,7 @@ def _series_sql() -> dict[str, str]:
         "knn_library": f"WITH {ev}, {sql.chain(3, 1, [200], 5, upto='knn')} {knn_rows}",
         "knn_library_first": f"WITH {ev}, {sql.chain(3, 1, [200], 5, upto='knn')} {knn_rows}",
         "knn_library_distinct": f"WITH {ev}, {sql.chain(3, 1, [200], 5, upto='knn', distinct=True)} {knn_rows}",
+        "knn_given_library": f"""WITH {ev}, {sql.manifold(3, 1)}, {sql.given_library(bought)}, {sql.knn(3)} {knn_rows}""",
         "knn_library_no_zero": f"WITH {counts}, {sql.chain(2, 1, [150], 3, upto='knn', no_zero=True)} {knn_rows}",
         "knn_with_ties": f"WITH {counts}, {sql.chain(2, 1, [150], 3, upto='knn', ties=True)} {knn_rows}",
         "library_with_replacement": f"WITH {ev}, {sql.chain(3, 1, [200], 5, upto='lib')} " + library.format(n="m"),
@@ -405,6 +434,7 @@ def _series_sql() -> dict[str, str]:
             SELECT series_id, E, tau, p, t.q AS q, round(t.d, 6) AS d, CAST(r AS INT) AS r FROM near""",
         "knn_library_long": f"WITH {every}, {sql.chain(2, 1, [500], 2, upto='knn')} {knn_rows}",
         "xmap_long": f"WITH {every}, {sql.chain(2, 1, [500], 2)} SELECT {skill} FROM skill_m",
+        "xmap_sparse_library": f"WITH {sql.lineitem_series()}, {sql.chain(2, 1, [200], 2)} SELECT {skill} FROM skill_m",
         "vec_pairwise_euclidean": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
             d AS (SELECT a.vec_id, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id)
             SELECT vec_id, count(*) AS pairs, round(avg(d), 6) AS mean, round(min(d), 6) AS low, round(max(d), 6) AS high

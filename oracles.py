@@ -59,23 +59,53 @@ def grid(L, samples, name="m"):
                            FROM (SELECT DISTINCT series_id, E, tau, n, {series_n} AS series_n FROM {name}) a) b) c)"""
 
 
+def _permuted(source, x):
+    """Rows of ``source`` (t, n, a, b and a number ``x``) with x mapped once."""
+    sql = f"SELECT *, {x} // b AS row, {x} % b AS col FROM ({source}) s0"
+    for k in range(6):
+        side, other, size = ("row", "col", "a") if k % 2 == 0 else ("col", "row", "b")
+        key = f"(t % {P} * {(k + 1) * 7919} + (t >> 31)) % {P}"
+        sql = f"SELECT *, ({other} + {key}) % {P} * 48271 % {P} AS u FROM ({sql}) s1"
+        add = f"(((u * u + (t >> 31)) % {P} * 69621 % {P}) >> 8)"
+        sql = f"SELECT * EXCLUDE (u) REPLACE (({side} + {add}) % {size} AS {side}) FROM ({sql}) s2"
+    return f"SELECT * EXCLUDE (row, col), row * b + col AS x2 FROM ({sql}) s3"
+
+
 def libraries(replacement=True, seed=42, name="m", distinct=False):
     """CTE lib_<name>(series_id, E, tau, L, sample, pos, m)."""
-    count = "size" if replacement else "n"
     mixed = f"""
     t0_{name} AS (SELECT *, CAST('0x' || substr(md5(concat_ws(':', {seed}, series_id, E, tau, L, sample)), 1, 15) AS BIGINT) AS t
             FROM grid_{name}),
-    t1_{name} AS (SELECT *, unnest(generate_series(0, {count} - 1)) AS j FROM t0_{name}),
+    t1_{name} AS (SELECT *, unnest(generate_series(0, size - 1)) AS j FROM t0_{name}),"""
+    if not replacement:
+        # the j-th number of a permutation of a x b cells, mapped on until it is below n
+        cells = f"SELECT *, greatest(8, (n + a - 1) // a) AS b FROM (SELECT *, greatest(8, CAST(ceil(sqrt(n)) AS BIGINT)) AS a FROM t1_{name}) c"
+        columns = "series_id, E, tau, n, L, sample, t, a, b"
+        return mixed + f"""
+    perm_{name} AS (SELECT {columns}, x2 AS x FROM ({_permuted(cells, 'j')}) p UNION ALL
+            SELECT {columns}, x2 AS x FROM ({_permuted(f"SELECT * FROM perm_{name} WHERE x >= n", 'x')}) q),
+    lib_{name} AS (SELECT series_id, E, tau, L, sample, x AS pos, CAST(1 AS BIGINT) AS m FROM perm_{name} WHERE x < n)"""
+    m = "1" if distinct else "count(*)"
+    return mixed + f"""
     t2_{name} AS (SELECT *, (t % {P} + j) * 48271 % {P} AS a FROM t1_{name}),
     t3_{name} AS (SELECT *, (a * a + (t >> 31)) % {P} * 69621 % {P} AS b FROM t2_{name}),
-    t4_{name} AS (SELECT *, (b * b + t % {P}) % {P} * 65536 + b % 65536 AS h FROM t3_{name}),"""
-    if replacement:
-        m = "1" if distinct else "count(*)"
-        return mixed + f"""
+    t4_{name} AS (SELECT *, (b * b + t % {P}) % {P} * 65536 + b % 65536 AS h FROM t3_{name}),
     lib_{name} AS (SELECT series_id, E, tau, L, sample, h % n AS pos, CAST({m} AS BIGINT) AS m FROM t4_{name} GROUP BY ALL)"""
-    return mixed + f"""
-    lib_{name} AS (SELECT series_id, E, tau, L, sample, j AS pos, CAST(1 AS BIGINT) AS m FROM t4_{name}
-            QUALIFY row_number() OVER (PARTITION BY series_id, E, tau, L, sample ORDER BY h, j) <= size)"""
+
+
+def given_library(rows, name="m"):
+    """CTEs for draws that ``rows`` (SQL for series_id, L, sample, idx, m) names by time index."""
+    return f"""
+    given_{name} AS ({rows}),
+    lib_{name} AS (SELECT g.series_id, p.E, p.tau, g.L, g.sample, p.pos, CAST(sum(g.m) AS BIGINT) AS m
+            FROM given_{name} g JOIN {name} p ON g.series_id = p.series_id AND g.idx = p.i GROUP BY ALL)"""
+
+
+def lineitem_series():
+    """CTE series: lineitem in the order of its key, price against quantity."""
+    return """
+    series AS (SELECT 'all' AS series_id, count(*) OVER () AS n, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_quantity) - 1 AS i,
+        l_extendedprice AS x, l_quantity AS y FROM lineitem)"""
 
 
 def dist(E, a="a", b="b"):

@@ -14,6 +14,22 @@ def mixed(seed, series, E, tau, L, sample, j):
     return (b * b + t % P) % P * 65536 + b % 65536
 
 
+def permuted(seed, series, E, tau, L, sample, j, n):
+    """The j-th number of the draw's permutation of 0 .. n - 1."""
+    t = int(hashlib.md5(f"{seed}:{series}:{E}:{tau}:{L}:{sample}".encode()).hexdigest()[:15], 16)
+    a = max(8, math.ceil(math.sqrt(n)))
+    b = max(8, -(-n // a))
+    while True:
+        l, r = divmod(j, b)
+        for k in range(6):
+            u = ((l if k % 2 else r) + (t % P * (k + 1) * 7919 + (t >> 31)) % P) % P * 48271 % P
+            add = ((u * u + (t >> 31)) % P * 69621 % P) >> 8
+            l, r = (l, (r + add) % b) if k % 2 else ((l + add) % a, r)
+        j = l * b + r
+        if j < n:
+            return j
+
+
 def library(spec, series, E, tau, L, sample, n):
     """{point number: times drawn}"""
     size = min(L, n)
@@ -21,7 +37,7 @@ def library(spec, series, E, tau, L, sample, n):
     if spec.replacement:
         drawn = [mixed(*key, j) % n for j in range(size)]
     else:
-        drawn = sorted(range(n), key=lambda j: (mixed(*key, j), j))[:size]
+        drawn = [permuted(*key, j, n) for j in range(size)]
     counts = {}
     for pos in drawn:
         counts[pos] = 1 if spec.distinct_library else counts.get(pos, 0) + 1

@@ -33,5 +33,7 @@ def small_blocks(monkeypatch):
     monkeypatch.setattr(neighbors, "MANY", 9)
     monkeypatch.setattr(neighbors, "ANSWERS", 64)
     monkeypatch.setattr(ranking, "BOX_POINTS", 16)
+    monkeypatch.setattr(neighbors, "DRAWS", 2)
+    monkeypatch.setattr(neighbors, "TOGETHER", 2)
     monkeypatch.setattr(neighbors, "POINTS", 7)
     monkeypatch.setattr(neighbors, "BLOCKS", "(n + 6) div 7")

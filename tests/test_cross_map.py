@@ -64,6 +64,8 @@ OPTIONS = {
     "ties": {"ties": "include"},
     "no zero": {"exclude_zero_distance": True},
     "library first": {"strategy": "library_first"},
+    "shared": {"strategy": "shared"},
+    "ties library first": {"ties": "include", "strategy": "library_first"},
     "no floor": {"weight_floor": 0.0},
     "ties without replacement": {"ties": "include", "replacement": False},
 }
@@ -74,7 +76,7 @@ def test_equals_plain_loops(spark, name):
     assert_same(spark, Spec(E=(1, 2, 3), tau=(1, 2), L=(1, 4, 30), samples=3, **OPTIONS[name]), mixed_series())
 
 
-@pytest.mark.parametrize("name", ["default", "without replacement", "ties", "distinct"])
+@pytest.mark.parametrize("name", [*OPTIONS][:4] + ["library first", "shared", "ties library first"])
 def test_long_series_paths_equal_plain_loops(spark, small_blocks, name):
     """Libraries over one tile, many point blocks, answers merged."""
     assert_same(spark, Spec(E=(1, 3), tau=(2,), L=(2, 12, 35), samples=3, **OPTIONS[name]), mixed_series())

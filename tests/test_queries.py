@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "orders events embeddings".split()
+TABLES = "orders events embeddings lineitem".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 

@@ -7,8 +7,9 @@ from tidelag.functions.expressions import (
     mix_middle,
     mix_start,
     pearson,
+    permuted,
     seeded_hash,
     simplex_weight,
 )
 
-__all__ = ["epoch_seconds", "explode_range", "mix_end", "mix_middle", "mix_start", "pearson", "seeded_hash", "simplex_weight"]
+__all__ = ["epoch_seconds", "explode_range", "mix_end", "mix_middle", "mix_start", "pearson", "permuted", "seeded_hash", "simplex_weight"]

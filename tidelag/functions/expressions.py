@@ -29,6 +29,53 @@ def mix_end(ticket: str, x: str) -> str:
     return f"({x} * {x} + {ticket} % {MIX_PRIME}) % {MIX_PRIME} * 65536 + {x} % 65536"
 
 
+#: Rounds of the permutation, the factor of their keys, rows and columns at least, and how often
+#: a number may be mapped on until it is in range.
+PERMUTE_ROUNDS, PERMUTE_STEP, PERMUTE_SIDE, PERMUTE_WALK = 6, 7919, 8, 64
+
+
+def permuted(df: DataFrame, name: str, ticket: str, j: str, n: str) -> DataFrame:
+    """Add column ``name``: the ``j``-th number of a permutation of [0, n) that ``ticket`` names.
+    No other number of it is needed.
+
+    Numbers are places in a table of a x b cells, the smallest nearly square one with n or more,
+    at least 8 x 8. Each round adds a hash of the column to the row or of the row to the column,
+    which can be undone, so all rounds together permute the cells. A number that falls on a cell
+    beyond n is mapped on until it falls inside; there are fewer such cells than rows, or than
+    64. Each step is a projection of its own, since one that is used twice would be computed
+    twice."""
+    columns = [f"`{c}`" for c in df.columns]
+    df = df.selectExpr(*columns, f"CAST({ticket} AS BIGINT) AS _pt", f"CAST({j} AS BIGINT) AS _pj", f"CAST({n} AS BIGINT) AS _pn")
+    df = df.selectExpr("*", f"greatest({PERMUTE_SIDE}L, CAST(ceil(sqrt(_pn)) AS BIGINT)) AS _pa")
+    df = df.selectExpr("*", f"greatest({PERMUTE_SIDE}L, (_pn + _pa - 1) div _pa) AS _pb")
+    df = df.selectExpr("*", "_pj div _pb AS _pl", "_pj % _pb AS _pr")
+    fixed = [*columns, "_pt", "_pn", "_pa", "_pb"]
+    for k in range(PERMUTE_ROUNDS):
+        side, other, size = ("_pl", "_pr", "_pa") if k % 2 == 0 else ("_pr", "_pl", "_pb")
+        df = df.selectExpr(*fixed, "_pl", "_pr", f"{_permute_key(other, '_pt', str(k))} AS _pu")
+        df = df.selectExpr(*fixed, other, f"({side} + {_permute_add('_pu', '_pt')}) % {size} AS {side}")
+    df = df.selectExpr(*fixed, "_pl * _pb + _pr AS _px")
+    # the same rounds once more as functions of arrays, for the few numbers that need it
+    add = _permute_add("u", "_pt")
+    moved = f"IF(k % 2 = 0, named_struct('l', (s.l + {add}) % _pa, 'r', s.r), named_struct('l', s.l, 'r', (s.r + {add}) % _pb))"
+    key = _permute_key("IF(k % 2 = 0, s.r, s.l)", "_pt", "k")
+    once = (
+        f"aggregate(sequence(0, {PERMUTE_ROUNDS - 1}), named_struct('l', x div _pb, 'r', x % _pb), "
+        f"(s, k) -> element_at(transform(array({key}), u -> {moved}), 1), s -> s.l * _pb + s.r)"
+    )
+    walked = f"aggregate(sequence(1, {PERMUTE_WALK}), _px, (x, i) -> IF(x < _pn, x, {once}))"
+    return df.selectExpr(*columns, f"IF(_px < _pn, _px, {walked}) AS {name}")
+
+
+def _permute_key(value: str, ticket: str, k: str) -> str:
+    key = f"({ticket} % {MIX_PRIME} * (({k} + 1) * {PERMUTE_STEP}) + shiftright({ticket}, 31)) % {MIX_PRIME}"
+    return f"({value} + {key}) % {MIX_PRIME} * 48271 % {MIX_PRIME}"
+
+
+def _permute_add(u: str, ticket: str) -> str:
+    return f"shiftright(({u} * {u} + shiftright({ticket}, 31)) % {MIX_PRIME} * 69621 % {MIX_PRIME}, 8)"
+
+
 def epoch_seconds(ts: str) -> str:
     """Wall-clock seconds since 1970-01-01, whatever the session time zone."""
     return f"(unix_date(CAST({ts} AS DATE)) * 86400L + hour({ts}) * 3600 + minute({ts}) * 60 + CAST(second({ts}) AS INT))"

@@ -5,16 +5,13 @@ a lost executor or another partition count gives the same libraries."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelag.functions import explode_range, mix_end, mix_middle, mix_start, seeded_hash
+from tidelag.functions import explode_range, mix_end, mix_middle, mix_start, permuted, seeded_hash
 from tidelag.spec import LengthRange, Spec
 
 GRID = ["series_id", "E", "tau", "n", "L", "size"]
-#: Numbers of a draw without replacement fall into so many ranges.
-CUTS = 1 << 12
-CUT_SHIFT = 47 - 12
 
 
 def runs_of(spec: Spec) -> str:
@@ -39,37 +36,41 @@ def ticket(seed: int, L: str, sample: str) -> str:
     return seeded_hash(str(seed), "series_id", "E", "tau", L, sample)
 
 
+def drawn_by(spec: Spec) -> str:
+    """All draws of a manifold with columns series_id, E, tau, n and runs, in the order of their
+    numbers: array of (L, size, sample, ticket)."""
+    every = "flatten(transform(runs, r -> transform(sequence(0, r.samples - 1), s -> struct(r.L AS L, s AS sample))))"
+    return (
+        f"transform({every}, t -> struct(t.L AS L, least(CAST(t.L AS BIGINT), n) AS size, t.sample AS sample, "
+        f"{ticket(spec.seed, 't.L', 't.sample')} AS ticket))"
+    )
+
+
+def draw_positions(draws: DataFrame, spec: Spec) -> DataFrame:
+    """``draws`` (with n, size, ticket) with one row per draw and drawn point, ``pos``; with
+    replacement a point may come several times.
+
+    Draws are numbered in blocks that are dealt over all tasks, so neither a large library nor a
+    long series is drawn in one. Every number follows from its own place, with or without
+    replacement, so nothing is sorted and nothing as long as the series is held."""
+    partitions = int(draws.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = [f"`{c}`" for c in draws.columns]
+    rows = explode_range(draws, "_j", "size", lambda blocks: blocks.repartition(partitions, "ticket", "_block"))
+    if not spec.replacement:
+        return permuted(rows, "pos", "ticket", "_j", "n").drop("_j")
+    rows = rows.selectExpr("*", f"{mix_start('ticket', '_j')} AS _a").selectExpr("*", f"{mix_middle('ticket', '_a')} AS _b")
+    # coalesce: never NULL, or a join on pos would test, and so compute, it twice.
+    return rows.selectExpr(*columns, f"coalesce(({mix_end('ticket', '_b')}) % n, 0L) AS pos")
+
+
 def draw_libraries(lengths: DataFrame, spec: Spec) -> DataFrame:
-    """Libraries as rows: the grid columns, sample, pos (point number) and m (times drawn).
-
-    Draws are numbered in blocks that are dealt over all tasks, so neither a large library
-    nor a long series is drawn in one."""
-    partitions = int(lengths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def mixed(count: str) -> DataFrame:
-        rows = explode_range(library_grid(lengths, spec), "_s", str(spec.samples))
-        rows = rows.selectExpr(*GRID, "CAST(_s AS INT) AS sample", f"{ticket(spec.seed, 'L', '_s')} AS _t")
-        rows = explode_range(rows, "_j", count, lambda blocks: blocks.repartition(partitions, *GRID[:3], "L", "sample", "_block"))
-        return rows.selectExpr("*", f"{mix_start('_t', '_j')} AS _a").selectExpr("*", f"{mix_middle('_t', '_a')} AS _b").selectExpr(
-            *GRID, "sample", "_j", f"{mix_end('_t', '_b')} AS _mixed"
-        )
-
-    if spec.replacement:
-        # coalesce: never NULL, or a join on pos would test, and so compute, it twice.
-        drawn = mixed("size").selectExpr(*GRID, "sample", "coalesce(_mixed % n, 0L) AS pos")
-        return drawn.groupBy(*GRID, "sample", "pos").agg(F.expr("CAST(count(*) AS INT) AS m"))
-    # Without replacement: the ``size`` smallest numbers of all points. Counts by range tell
-    # in which range the last of them lies; only the points of that one are put in order.
-    numbers = mixed("n").withColumn("_cut", F.expr(f"shiftright(_mixed, {CUT_SHIFT})"))
-    library = [*GRID, "sample"]
-    upto = Window.partitionBy(*library).orderBy("_cut")
-    counts = numbers.groupBy(*library, "_cut").agg(F.count(F.lit(1)).alias("_c")).withColumn("_sum", F.sum("_c").over(upto))
-    last = counts.where("_sum >= size AND _sum - _c < size").selectExpr(*library, "_cut AS _last", "size - _sum + _c AS _room")
-    joined = numbers.join(last, library)
-    inside = joined.where("_cut < _last").select(*library, F.col("_j").alias("pos"))
-    order = Window.partitionBy(*library).orderBy("_mixed", "_j")
-    edge = joined.where("_cut = _last").withColumn("_rank", F.row_number().over(order)).where("_rank <= _room")
-    return inside.unionByName(edge.select(*library, F.col("_j").alias("pos"))).selectExpr("*", "1 AS m")
+    """Libraries as rows: the grid columns, sample, pos (point number) and m (times drawn)."""
+    draws = explode_range(library_grid(lengths, spec), "_s", str(spec.samples))
+    draws = draws.selectExpr(*GRID, "CAST(_s AS INT) AS sample", f"{ticket(spec.seed, 'L', '_s')} AS ticket")
+    drawn = draw_positions(draws, spec)
+    if not spec.replacement:
+        return drawn.selectExpr(*GRID, "sample", "pos", "1 AS m")
+    return drawn.groupBy(*GRID, "sample", "pos").agg(F.expr("CAST(count(*) AS INT) AS m"))
 
 
 def library_points(libraries: DataFrame, manifold: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Nearest neighbours on lag vectors, by meetings of point blocks and candidate blocks."""
+"""Nearest neighbours on lag vectors, by meetings of point blocks and candidate chunks."""
 
 from __future__ import annotations
 
@@ -7,24 +7,30 @@ from pyspark.sql import functions as F
 
 from tidelag.functions import explode_range
 from tidelag.operators import tiles
-from tidelag.operators.library import runs_of, ticket
+from tidelag.operators.library import draw_positions, drawn_by, runs_of
 from tidelag.spec import Spec
+from tidelag.staging import stage
 
 #: Candidates per chunk, and bounds on the points per block. They set the size of the units
 #: of work and never the answer.
 TILE = 8192
 FEW, MANY = 128, 2048
-#: (draw, point) answers and library entries that a unit may hold.
-ANSWERS, ENTRIES = 1 << 19, 1 << 22
+#: (draw, point) answers, library entries and draws that a unit may hold.
+ANSWERS, ENTRIES, DRAWS = 1 << 19, 1 << 22, 1024
+#: Answers of so many chunks are put together at a time.
+TOGETHER = 64
 POINTS = 1024
 BLOCKS = f"(n + {POINTS - 1}) div {POINTS}"
 TASKS_PER_PARTITION = 2
 MANIFOLD = ["series_id", "E", "tau"]
 NEIGHBOURS = (
     "series_id string, E int, tau int, L int, sample int, p bigint, y double, "
-    "q array<bigint>, d array<double>, m array<int>, yq array<double>"
+    "q array<bigint>, d array<double>, m array<int>, yq array<double>, chunk bigint"
 )
 POINT = ["series_id", "E", "tau", "L", "sample", "p", "y"]
+FOUND = [*POINT, "q", "d", "m", "yq"]
+HITS = "ARRAY<STRUCT<g: INT, m: INT>>"
+DRAW_LIST = "ARRAY<STRUCT<L: INT, size: BIGINT, sample: INT, ticket: BIGINT>>"
 
 
 def pack_points(manifold: DataFrame, size: int = POINTS) -> DataFrame:
@@ -42,48 +48,185 @@ def deal_out(units: DataFrame, *keys: str) -> DataFrame:
     return units.repartition(tasks, *keys)
 
 
-def knn_in_library(manifold: DataFrame, spec: Spec, k: int | None = None, runs: DataFrame | None = None) -> DataFrame:
+def knn_in_library(
+    manifold: DataFrame, spec: Spec, k: int | None = None, runs: DataFrame | None = None, sizes: DataFrame | None = None,
+    library: DataFrame | None = None,
+) -> DataFrame:
     """The k nearest library members of every point (k = E+1 if not given).
 
     One row per (series_id, E, tau, L, sample, p), with arrays in (distance, index) order:
     q neighbour, d distance, m times counted, yq target of the neighbour. A point is never
     its own neighbour. A point drawn m times fills up to m of the k places.
 
-    A unit of work is a block of points with the draws to answer for it. The candidates pass
-    it chunk by chunk; a chunk's distances are ranked once for all draws and library sizes,
-    and what is nearest so far is kept. The plan is the same for every length. ``runs``
-    (series_id, E, tau, runs: array of (L, samples)) gives each manifold its own grid;
-    without it all have that of ``spec``."""
-    per_block = f"greatest({FEW}L, least({MANY}L, n div 16))"
-    if runs is None:
-        manifold = manifold.withColumn("runs", F.expr(runs_of(spec)))
-    else:
-        manifold = manifold.join(runs.select(*MANIFOLD, "runs"), MANIFOLD)
-    keys = [*MANIFOLD, "n", "runs"]
-    draws = "aggregate(runs, 0L, (s, r) -> s + r.samples)"
-    largest = "greatest(1L, least(n, CAST(array_max(transform(runs, r -> r.L)) AS BIGINT)))"
-    per_group = f"greatest(1L, least({ANSWERS} div {per_block}, {ENTRIES} div {largest}))"
-    groups = f"CASE WHEN size(runs) > 0 THEN ({draws} + {per_group} - 1) div {per_group} ELSE 0L END"
-    unit = [*MANIFOLD, "n", "block", "grp"]
-    none = "CAST(NULL AS ARRAY<STRUCT<L: INT, size: BIGINT, sample: INT, ticket: BIGINT>>) AS tickets"
-
-    points = manifold.groupBy(*keys, F.expr(f"pos div {per_block}").alias("block")).agg(F.expr("collect_list(struct(i, y, v)) AS points"))
-    every = "flatten(transform(runs, r -> transform(sequence(0, r.samples - 1), s -> struct(r.L AS L, s AS sample))))"
-    mine = f"slice({every}, CAST(grp * {per_group} + 1 AS INT), CAST({per_group} AS INT))"
-    number = f"struct(t.L AS L, least(CAST(t.L AS BIGINT), n) AS size, t.sample AS sample, {ticket(spec.seed, 't.L', 't.sample')} AS ticket)"
-    points = explode_range(points, "grp", groups).selectExpr(*unit, "-1L AS chunk", f"transform({mine}, t -> {number}) AS tickets", "points")
-
-    chunks = manifold.groupBy(*keys, F.expr(f"pos div {TILE}").alias("chunk")).agg(F.expr("collect_list(struct(i, y, v)) AS points"))
-    chunks = explode_range(explode_range(chunks, "block", f"(n + {per_block} - 1) div {per_block}"), "grp", groups)
-    rows = points.unionByName(chunks.selectExpr(*unit, "chunk", none, "points"))
-    rows = deal_out(rows, *unit).sortWithinPartitions(*unit, "chunk")
+    Libraries are drawn by ``spec``; ``runs`` (series_id, E, tau, runs: array of (L, samples))
+    gives each manifold a grid of its own. Or they are given: ``library`` (series_id, E, tau, L,
+    sample, idx, m) names members by time index; m, how often a member counts, is 1 if null;
+    equal rows add up, and rows that name no point of the manifold are left out, as are draws
+    that have no others.
+
+    Points go in blocks, candidates in chunks; every chunk meets every block, and the nearest of
+    the chunks are put together by an aggregate, so a unit of work is one block with one chunk.
+    ``spec.strategy`` says what the chunks hold. 'library_first': the members of the draws as a
+    table, each with the draws that it belongs to, so blocks x members points are shipped and
+    each draw is measured on its own. 'shared': all points, ranked once for all draws, which are
+    made again in the task. 'auto' takes the first for the manifolds whose draws have fewer
+    members, all together, than there are points. ``sizes`` (series_id, E, tau, n), if known,
+    saves a look at the manifold for n; sizes are looked up when this is called."""
+    if library is not None:
+        members, drawn = _given(manifold, library)
+        largest = drawn.agg(F.max(F.expr(LARGEST))).first()[0] or 0
+        met = _meet_members(manifold, lambda packed: packed.join(drawn.drop("n"), MANIFOLD), _numbered(drawn), spec, k, members)
+        return _together(met, spec, k, largest > TILE)
+    if sizes is None:
+        sizes = manifold.where("pos = 0")
+    sizes = sizes.select(*MANIFOLD, "n")
+
+    def with_runs(df: DataFrame) -> DataFrame:
+        return df.withColumn("runs", F.expr(runs_of(spec))) if runs is None else df.join(runs.select(*MANIFOLD, "runs"), MANIFOLD)
+
+    def with_draws(df: DataFrame) -> DataFrame:
+        return with_runs(df).where("size(runs) > 0").withColumn("draws", F.expr(drawn_by(spec)))
+
+    apart = {"auto": "aggregate(runs, 0L, (s, r) -> s + r.samples * least(CAST(r.L AS BIGINT), n)) < n"}
+    apart = apart.get(spec.strategy, str(spec.strategy == "library_first").lower())
+    most = "least(n, CAST(array_max(transform(runs, r -> r.L)) AS BIGINT))"
+    kinds = with_runs(sizes).where("size(runs) > 0 AND n > 0").groupBy(F.expr(apart).alias("apart")).agg(
+        F.max("n").alias("n"), F.max(F.expr(most)).alias("most")
+    )
+    found = []
+    for kind in sorted(kinds.collect(), key=lambda r: r["apart"]):
+        def mine(df: DataFrame, wanted: bool = kind["apart"]) -> DataFrame:
+            return with_draws(df).where(F.expr(apart) == wanted).drop("runs")
+
+        if kind["apart"]:
+            numbered = draw_positions(_numbered(mine(sizes)), spec)
+            met = _meet_members(manifold, mine, numbered, spec, k)
+        else:
+            met = _meet_all(manifold, mine, spec, k)
+        found.append(_together(met, spec, k, (kind["most"] if kind["apart"] else kind["n"]) > TILE))
+    if not found:
+        return _meet_all(manifold, with_draws, spec, k).select(*FOUND)
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
+LARGEST = "greatest(1L, array_max(transform(draws, t -> t.size)))"
+
+
+def _per_block() -> str:
+    return f"greatest({FEW}L, least({MANY}L, n div 16))"
+
+
+def _block_count() -> str:
+    return f"(n + {_per_block()} - 1) div {_per_block()}"
+
+
+def _per_group(alone: bool) -> str:
+    """Draws in a unit. Where each is on its own, as many as have room in one chunk."""
+    if not alone:
+        return f"greatest(1L, least({ANSWERS} div {_per_block()}, {ENTRIES} div {LARGEST}))"
+    return f"greatest(1L, least({ANSWERS} div {_per_block()}, {DRAWS}L, CASE WHEN n <= {TILE} THEN {DRAWS}L ELSE {TILE} div {LARGEST} END))"
+
+
+def _group_count(alone: bool) -> str:
+    return f"(size(draws) + {_per_group(alone)} - 1) div {_per_group(alone)}"
+
+
+def _packed(manifold: DataFrame, per: str, name: str) -> DataFrame:
+    return manifold.groupBy(*MANIFOLD, "n", F.expr(f"pos div {per}").alias(name)).agg(
+        F.expr(f"collect_list(struct(i, y, v, CAST(NULL AS {HITS}) AS hits)) AS points")
+    )
+
+
+def _point_units(manifold: DataFrame, with_draws, alone: bool) -> DataFrame:
+    """A row for each block of points and group of draws; it leads its unit."""
+    blocks = with_draws(_packed(manifold, _per_block(), "block"))
+    blocks = explode_range(blocks, "grp", _group_count(alone))
+    mine = f"slice(draws, CAST(grp * {_per_group(alone)} + 1 AS INT), CAST({_per_group(alone)} AS INT)) AS draws"
+    return blocks.selectExpr(*UNIT, "-1L AS chunk", mine, "points")
+
+
+UNIT = [*MANIFOLD, "n", "block", "grp"]
+NO_DRAWS = f"CAST(NULL AS {DRAW_LIST}) AS draws"
+
+
+def _rank_units(points: DataFrame, chunks: DataFrame, spec: Spec, k: int | None, in_task: bool) -> DataFrame:
+    rows = points.unionByName(chunks.selectExpr(*UNIT, "chunk", NO_DRAWS, "points"))
+    rows = deal_out(rows, *UNIT).sortWithinPartitions(*UNIT, "chunk")
     kernel = tiles.unit_kernel(
-        TILE, k, spec.ties == "include", spec.exclude_zero_distance, spec.distinct_library, spec.replacement,
-        spec.strategy == "library_first",
-    )
+        TILE, k, spec.ties == "include", spec.exclude_zero_distance, spec.distinct_library, spec.replacement, in_task
+    )
     return rows.mapInArrow(kernel, NEIGHBOURS)
 
 
+def _meet_all(manifold: DataFrame, with_draws, spec: Spec, k: int | None) -> DataFrame:
+    """Every block meets all points."""
+    chunks = with_draws(_packed(manifold, str(TILE), "chunk")).selectExpr(*MANIFOLD, "n", "chunk", f"{_group_count(False)} AS _groups", "points")
+    chunks = explode_range(explode_range(chunks, "block", _block_count()), "grp", "_groups")
+    return _rank_units(_point_units(manifold, with_draws, False), chunks, spec, k, True)
+
+
+def _numbered(drawn: DataFrame) -> DataFrame:
+    """The draws of each manifold (draws) as rows: their group, their number in it (g), and how
+    many chunks the members of the group fill."""
+    rows = drawn.selectExpr(*MANIFOLD, "n", f"{_per_group(True)} AS _per", f"{LARGEST} AS _largest", "posexplode(draws) AS (_at, _d)")
+    return rows.selectExpr(
+        *MANIFOLD, "n", "_at div _per AS grp", "CAST(_at % _per AS INT) AS g", f"(least(n, _per * _largest) + {TILE - 1}) div {TILE} AS chunks",
+        "_d.L", "_d.size", "_d.sample", "_d.ticket",
+    )
+
+
+def _meet_members(manifold: DataFrame, with_draws, drawn: DataFrame, spec: Spec, k: int | None, members: DataFrame | None = None) -> DataFrame:
+    """Every block meets the members of its draws only. ``drawn`` has a row per draw and drawn
+    point number (pos); or ``members`` has the points of each (L, sample) itself."""
+    of_group = [*MANIFOLD, "n", "grp", "chunks"]
+    if members is None:
+        hits = drawn.groupBy(*of_group, "pos").agg(F.expr("collect_list(struct(g, 1 AS m)) AS hits"))
+        points = manifold.select(*MANIFOLD, "pos", "i", "y", "v")
+        held = hits.join(points, [*MANIFOLD, "pos"])
+    else:
+        named = members.join(drawn.drop("n", "size", "ticket"), [*MANIFOLD, "L", "sample"])
+        held = named.groupBy(*of_group, "i").agg(F.first("y").alias("y"), F.first("v").alias("v"), F.expr("collect_list(struct(g, m)) AS hits"))
+    chunks = held.groupBy(*MANIFOLD, "n", "grp", F.expr("pmod(xxhash64(i), chunks) AS chunk")).agg(
+        F.expr("collect_list(struct(i, y, v, hits)) AS points")
+    )
+    chunks = explode_range(chunks, "block", _block_count())
+    return _rank_units(_point_units(manifold, with_draws, True), chunks, spec, k, False)
+
+
+def _given(manifold: DataFrame, library: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members with n, L, sample, i, y, v, m, written; draws of each manifold)."""
+    times = F.coalesce(F.col("m"), F.lit(1)) if "m" in library.columns else F.lit(1)
+    rows = library.select(
+        F.col("series_id").cast("string"), *[F.col(c).cast("int").alias(c) for c in ("E", "tau", "L", "sample")],
+        F.col("idx").cast("bigint").alias("i"), times.cast("bigint").alias("m"),
+    ).where("m > 0")
+    rows = rows.groupBy(*MANIFOLD, "L", "sample", "i").agg(F.sum("m").cast("int").alias("m"))
+    members = stage(rows.join(manifold.select(*MANIFOLD, "n", "i", "y", "v"), [*MANIFOLD, "i"]))
+    draws = members.groupBy(*MANIFOLD, "n", "L", "sample").agg(F.count("*").alias("size"))
+    drawn = draws.groupBy(*MANIFOLD, "n").agg(F.expr("sort_array(collect_list(struct(L, sample, size))) AS draws"))
+    return members, drawn.withColumn("draws", F.expr(f"CAST(transform(draws, t -> struct(t.L, t.size, t.sample, 0L AS ticket)) AS {DRAW_LIST})"))
+
+
+def _together(met: DataFrame, spec: Spec, k: int | None, several: bool) -> DataFrame:
+    """Of each point and draw the nearest of all chunks. Chunks go TOGETHER at a time, so that
+    no row gathers more than that many short lists."""
+    if not several:
+        return met.select(*FOUND)
+    places = "(E + 1)" if k is None else str(k)
+    ties = spec.ties == "include"
+    room = f"a.have < {places}" + (" OR x.d <= element_at(a.kept, -1).d" if ties else "")
+    m = "x.m" if ties else f"least(x.m, {places} - a.have)"
+    none = "named_struct('have', 0, 'kept', CAST(array() AS ARRAY<STRUCT<d: DOUBLE, q: BIGINT, m: INT, yq: DOUBLE>>))"
+    more = f"named_struct('have', a.have + x.m, 'kept', concat(a.kept, array(named_struct('d', x.d, 'q', x.q, 'm', {m}, 'yq', x.yq))))"
+    nearest = f"aggregate(array_sort(near), {none}, (a, x) -> IF({room}, {more}, a), a -> a.kept) AS near"
+    key = [c for c in POINT if c != "y"]
+    rows = met.selectExpr(*POINT, "chunk", "arrays_zip(d, q, m, yq) AS near")
+    for level in ([F.expr(f"chunk div {TOGETHER}").alias("chunk")], []):
+        rows = rows.groupBy(*key, *level).agg(F.first("y").alias("y"), F.expr("flatten(collect_list(near)) AS near"))
+        rows = rows.selectExpr(*POINT, *(["chunk"] if level else []), nearest)
+    return rows.selectExpr(*POINT, *[f"near.{c} AS {c}" for c in ("q", "d", "m", "yq")])
+
+
 def explode_neighbors(found: DataFrame) -> DataFrame:
     """Neighbour arrays to rows: ..., p, y, r (1 = nearest), q, d, m, yq."""
     rows = found.selectExpr(*POINT, "posexplode(arrays_zip(q, d, m, yq)) AS (_r, _n)")

@@ -34,18 +34,18 @@ def rank_neighbors(manifold: DataFrame, k_max: int, exclude_zero_distance: bool
     firsts = placed = stage(_place(firsts))
 
     boxes = placed.groupBy(*BOX).agg(
-        F.expr("collect_list(struct(i, y, v, array(struct(0 AS sample, 1 AS m)) AS hits)) AS lib"),
+        F.expr("collect_list(struct(i, y, v)) AS lib"),
         F.expr("min(i) AS first_i"), F.expr("min(_v0) AS lo0"), F.expr("max(_v0) AS hi0"),
     )
     # bounds of every coordinate, from the members of the box
     edge = "transform(sequence(0, E - 1), j -> array_{0}(transform(lib, p -> p.v[j])))"
     boxes = boxes.selectExpr("*", f"{edge.format('min')} AS lo", f"{edge.format('max')} AS hi")
-    kernel = tiles.block_kernel(k_max, False, no_zero, True)
+    kernel = tiles.rank_kernel(k_max, no_zero)
 
     def rank(units: DataFrame) -> DataFrame:
         # L carries slab and box through the kernel.
         return units.selectExpr(
-            *MANIFOLD, "CAST(slab * 65536 + box AS INT) AS L", "0 AS first_sample", "1 AS sample_count", "points", "lib"
+            *MANIFOLD, "CAST(slab * 65536 + box AS INT) AS L", "points", "lib"
         ).mapInArrow(kernel, NEIGHBOURS)
 
     own = stage(rank(neighbors.deal_out(boxes.withColumn("points", F.col("lib")), *BOX)))

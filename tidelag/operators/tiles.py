@@ -20,6 +20,7 @@ CACHE_CELLS = 1 << 15
 PROBE_CELLS = 1 << 17
 BATCH_ROWS = 1 << 14
 MIX_PRIME = 2147483647
+PERMUTE_ROUNDS, PERMUTE_STEP, PERMUTE_SIDE = 6, 7919, 8
 SPARE = 8
 
 
@@ -82,25 +83,27 @@ def _fold(slots):
     return keep.sum(1), slots[keep], np.diff(np.append(starts, used.sum() + 1))
 
 
-def depth_for(draws: np.ndarray, k: int, ties: bool) -> int:
+def depth_for(draws: np.ndarray, k: int) -> int:
     """How many columns to rank for the thinnest of ``draws``."""
     width = draws.shape[1]
     share = (draws > 0).sum(1).min() / width
-    return width if ties or share == 0 else min(width, math.ceil((k + SPARE) / share))
+    return width if share == 0 else min(width, math.ceil((k + SPARE) / share))
 
 
 def probe(d: np.ndarray, draws: np.ndarray, k: int, ties: bool, ranked=None):
     """k nearest drawn candidates of each row of ``d``, for each draw in turn: neighbours
-    per (draw, row), their columns, and how often each counts.
+    per (draw, row), their columns, and how often each counts. With ``ties`` also all that are
+    as near as the last one.
 
     ``draws[s, c]`` says how often draw s holds column c. Columns are ranked once, as far
-    as the thinnest draw is likely to need; a row that runs out of ranked columns is
-    answered from its full distances, so the result is exact. ``ranked``: the columns in
-    order and their distances, at least as deep, if they are known."""
+    as the thinnest draw is likely to need; a row that runs out of ranked columns, or whose
+    last place is tied with the last ranked column, is answered from its full distances, so
+    the result is exact. ``ranked``: the columns in order and their distances, at least as
+    deep, if they are known."""
     if draws.sum(1).max() < 1 << 15:
         draws = draws.astype(np.int16)
     height, width = d.shape
-    depth = depth_for(draws, k, ties)
+    depth = depth_for(draws, k)
     order, near = nearest_columns(d, depth) if ranked is None else (x[:, :depth] for x in ranked)
     reachable = np.isfinite(near)
     partial = not reachable.all()
@@ -115,9 +118,7 @@ def probe(d: np.ndarray, draws: np.ndarray, k: int, ties: bool, ranked=None):
         rows = np.tile(np.arange(height), len(part))
         slots, have = _slots(order, rows, hits, k)
         if ties:
-            limit = np.where(have >= k, d[rows, slots[:, -1]], np.inf)
-            keep = (hits > 0) & (near[rows] <= limit[:, None])
-            found.append((keep.sum(1), order[rows][keep], hits[keep]))
+            found.append(_with_ties(d, part, k, order, near, hits, rows, slots, have))
             continue
         if depth < width:
             _complete(d, part, k, slots, np.flatnonzero(have < k))
@@ -125,6 +126,30 @@ def probe(d: np.ndarray, draws: np.ndarray, k: int, ties: bool, ranked=None):
     return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
 
 
+def _with_ties(d, draws, k, order, near, hits, rows, slots, have):
+    """Neighbours no farther than the one in the last place."""
+    limit = np.where(have >= k, d[rows, slots[:, -1]], np.inf)
+    keep = (hits > 0) & (near[rows] <= limit[:, None])
+    sizes, cols, mult = keep.sum(1), order[rows][keep], hits[keep]
+    short = np.flatnonzero((have < k) | (limit == near[rows, -1]))
+    if order.shape[1] == d.shape[1] or not len(short):
+        return sizes, cols, mult
+    answers = {}
+    for i in short.tolist():
+        s, r = divmod(i, len(d))
+        members = np.flatnonzero(draws[s])
+        own = d[r, members]
+        at = np.flatnonzero(np.isfinite(own))
+        at = at[np.argsort(own[at], kind="stable")]
+        times = draws[s][members[at]]
+        placed = own[at][np.cumsum(times) - times < k]
+        at = at[own[at] <= placed[-1]] if len(at) else at
+        answers[i] = members[at], draws[s][members[at]]
+    ends = np.cumsum(sizes).tolist()
+    parts = [answers[i] if i in answers else (cols[e - n : e], mult[e - n : e]) for i, (e, n) in enumerate(zip(ends, sizes.tolist()))]
+    return np.array([len(c) for c, _ in parts]), np.concatenate([c for c, _ in parts]), np.concatenate([m for _, m in parts])
+
+
 def _complete(d, draws, k, slots, short):
     """Answer the ``short`` (draw, row) pairs from all distances to the draw's members."""
     for s in np.unique(short // len(d)):
@@ -155,21 +180,34 @@ def _sorted_block(block: pa.StructArray) -> pa.StructArray:
 
 def draw_positions(ticket: int, size: int, n: int, replacement: bool) -> np.ndarray:
     """Point numbers drawn for one sample; the same whole-number steps as the expressions
-    mix_start, mix_middle and mix_end."""
-    j = np.arange(size if replacement else n, dtype=np.int64)
+    mix_start, mix_middle and mix_end, and permuted."""
+    j = np.arange(size, dtype=np.int64)
+    if not replacement:
+        return permuted(ticket, j, n)
     a = (ticket % MIX_PRIME + j) * 48271 % MIX_PRIME
     b = (a * a + (ticket >> 31)) % MIX_PRIME * 69621 % MIX_PRIME
-    mixed = (b * b + ticket % MIX_PRIME) % MIX_PRIME * 65536 + b % 65536
-    return mixed % n if replacement else np.argsort(mixed, kind="stable")[:size]
-
-
-def _from_hits(lib: pa.StructArray, first: int, count: int, distinct: bool) -> np.ndarray:
-    hits = lib.field("hits")
-    owner = np.repeat(np.arange(len(lib)), np.diff(hits.offsets.to_numpy()))
-    flat = hits.flatten()
-    draws = np.zeros((count, len(lib)), dtype=np.int32)
-    draws[_numbers(flat, "sample") - first, owner] = 1 if distinct else _numbers(flat, "m")
-    return draws
+    return ((b * b + ticket % MIX_PRIME) % MIX_PRIME * 65536 + b % 65536) % n
+
+
+def permuted(ticket: int, j: np.ndarray, n: int) -> np.ndarray:
+    """The ``j``-th numbers of a permutation of [0, n)."""
+    rows = max(PERMUTE_SIDE, math.ceil(math.sqrt(n)))
+    columns = max(PERMUTE_SIDE, (n + rows - 1) // rows)
+    x = j.copy()
+    left = np.arange(len(j))
+    while len(left):
+        row, column = np.divmod(x[left], columns)
+        for k in range(PERMUTE_ROUNDS):
+            key = (ticket % MIX_PRIME * ((k + 1) * PERMUTE_STEP) + (ticket >> 31)) % MIX_PRIME
+            u = ((column if k % 2 == 0 else row) + key) % MIX_PRIME * 48271 % MIX_PRIME
+            add = ((u * u + (ticket >> 31)) % MIX_PRIME * 69621 % MIX_PRIME) >> 8
+            if k % 2 == 0:
+                row = (row + add) % rows
+            else:
+                column = (column + add) % columns
+        x[left] = row * columns + column
+        left = left[x[left] >= n]
+    return x
 
 
 def _rows(batches):
@@ -191,223 +229,140 @@ def _gathered(batches):
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def block_kernel(k: int | None, ties: bool, no_zero: bool, distinct: bool):
-    """For mapInArrow. Each input row pairs a block of points with a block of candidates
-    that carry the samples holding them; each output row holds the neighbours of one point
-    in one draw. ``k`` None stands for E + 1, the simplex around a point."""
-
-    def meetings(batches):
-        for row in _rows(batches):
-            lib = _sorted_block(row["lib"].values)
-            draws = _from_hits(lib, row["first_sample"].as_py(), row["sample_count"].as_py(), distinct)
-            yield from _meeting(row, _sorted_block(row["points"].values), lib, draws, k, ties, no_zero)
-
-    return lambda batches: _gathered(meetings(batches))
-
-
 class _Unit:
-    """A block of points with its draws: what is nearest so far, over the chunks seen."""
+    """A block of points and the draws to answer for it."""
 
-    def __init__(self, row, tile, k, ties, no_zero, distinct, replacement, alone):
+    def __init__(self, row, k, L, sample):
         self.head = {c: row[c] for c in ("series_id", "E", "tau")}
-        self.n, self.tile, self.ties, self.no_zero, self.distinct, self.alone = row["n"].as_py(), tile, ties, no_zero, distinct, alone
         self.k = k or row["E"].as_py() + 1
         self.points = _sorted_block(row["points"].values)
-        tickets = row["tickets"].values
-        self.L, self.sample = (_numbers(tickets, c).astype(np.int32) for c in ("L", "sample"))
-        drawn = zip(_numbers(tickets, "ticket").tolist(), _numbers(tickets, "size").tolist())
-        # sorted, so that the members of a chunk are a stretch
-        self.members = [np.sort(draw_positions(t, size, self.n, replacement)) for t, size in drawn]
-        self.found: dict[int, tuple] = {}
-
-    def meet(self, row) -> None:
-        lib, low = _sorted_block(row["points"].values), row["chunk"].as_py() * self.tile
-        draws = np.zeros((len(self.members), len(lib)), dtype=np.int32)
-        for s, at in enumerate(self.members):
-            mine = at[np.searchsorted(at, low) : np.searchsorted(at, low + len(lib))] - low
-            draws[s] = np.bincount(mine, minlength=len(lib))
-        if self.distinct:
-            draws = np.minimum(draws, 1)
-        held = np.flatnonzero(draws.any(axis=0))
-        if not len(held):
-            return
-        if len(held) < len(lib):
-            lib, draws = lib.take(pa.array(held)), draws[:, held]
-        cand, cand_i = _vectors(lib), _numbers(lib, "i")
-        cand_y = lib.field("y").to_numpy(zero_copy_only=False).astype(np.float64)
-        missing = np.asarray(lib.field("y").is_null())
-        step = max(1, TILE_CELLS // len(lib))
-        for lo in range(0, len(self.points), step):
-            part = self.points.slice(lo, step)
-            d = self._distances(part, cand, cand_i)
-            sizes, cols, mult = self._nearest(d, draws)
-            rows = np.repeat(np.tile(np.arange(len(part)), len(draws)), sizes)
-            new = (sizes, d[rows, cols], cand_i[cols], mult.astype(np.int32), cand_y[cols], missing[cols])
-            old = self._found_before(lo, step)
-            self.found[lo, step] = new if old is None else _combine(old, new, self.k, self.ties)
-
-    def _found_before(self, lo, step):
-        """Answers of earlier chunks for these points; chunks may cut the points differently."""
-        if (lo, step) in self.found or not self.found:
-            return self.found.get((lo, step))
-        self.found = _recut(self.found, len(self.points), len(self.members), step)
-        return self.found.get((lo, step))
-
-    def _distances(self, part, cand, cand_i):
-        d = distances(_vectors(part), cand)
-        d[np.isnan(d)] = np.inf
-        if self.no_zero:
-            d[d < 1e-30] = np.inf
-        ids = _numbers(part, "i")
-        at = np.minimum(np.searchsorted(cand_i, ids), len(cand_i) - 1)
-        own = np.flatnonzero(cand_i[at] == ids)
-        d[own, at[own]] = np.inf
-        return d
-
-    def _nearest(self, d, draws):
-        """One ranking, as deep as the smallest library needs; then each library size looks
-        as far down as it needs itself."""
-        groups = np.split(np.arange(len(draws)), np.flatnonzero(self.L[1:] != self.L[:-1]) + 1)
-        if self.alone:
-            found = []
-            for s in range(len(draws)):
-                cols = np.flatnonzero(draws[s])
-                if len(cols):
-                    sizes, at, mult = probe(np.ascontiguousarray(d[:, cols]), draws[s : s + 1, cols], self.k, self.ties)
-                    found.append((sizes, cols[at], mult))
-                else:
-                    found.append((np.zeros(len(d), np.int64), cols, cols))
-        else:
-            ranked = nearest_columns(d, max(depth_for(draws[g], self.k, self.ties) for g in groups))
-            found = [probe(d, draws[g], self.k, self.ties, ranked) for g in groups]
-        return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
-
-    def rows(self):
-        for (lo, step), (sizes, d, q, m, yq, missing) in sorted(self.found.items()) or self._nothing():
-            part = self.points.slice(lo, step)
-            total = len(self.members) * len(part)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-
-            def lists(values):
-                return pa.ListArray.from_arrays(offsets, values)
-
-            yield pa.RecordBatch.from_arrays(
-                [pa.repeat(self.head[c], total) for c in ("series_id", "E", "tau")]
-                + [pa.array(np.repeat(x, len(part))) for x in (self.L, self.sample)]
-                + [
-                    pa.array(np.tile(_numbers(part, "i"), len(self.members))),
-                    part.field("y").take(pa.array(np.tile(np.arange(len(part)), len(self.members)))),
-                    lists(pa.array(q)), lists(pa.array(d)), lists(pa.array(m)), lists(pa.array(yq, mask=missing)),
-                ],
-                names=["series_id", "E", "tau", "L", "sample", "p", "y", "q", "d", "m", "yq"],
-            )
-
-    def _nothing(self):
-        empty = [np.zeros(0, t) for t in (np.float64, np.int64, np.int32, np.float64, bool)]
-        return [((0, len(self.points)), (np.zeros(len(self.members) * len(self.points), np.int64), *empty))]
-
-
-def _recut(found, points, draws, step):
-    """Answers cut into stretches of ``step`` points instead."""
-    owner, parts = [], []
-    for (lo, old), (sizes, *values) in sorted(found.items()):
-        width = min(old, points - lo)
-        s, p = np.divmod(np.repeat(np.arange(len(sizes)), sizes), width)
-        owner.append((s, p + lo))
-        parts.append(values)
-    draw, point = (np.concatenate([o[j] for o in owner]) for j in range(2))
-    values = [np.concatenate([v[j] for v in parts]) for j in range(5)]
-    out = {}
-    for lo in range(0, points, step):
-        width = min(step, points - lo)
-        mine = np.flatnonzero((point >= lo) & (point < lo + width))
-        row = draw[mine] * width + point[mine] - lo
-        order = np.argsort(row, kind="stable")
-        out[lo, step] = (np.bincount(row, minlength=draws * width), *[v[mine[order]] for v in values])
-    return out
+        self.L, self.sample = L, sample
 
 
-def _combine(a, b, k, ties):
-    """The k nearest of two sets of answers, row by row, in (distance, index) order."""
-    rows = np.concatenate([np.repeat(np.arange(len(x[0])), x[0]) for x in (a, b)])
-    d, q, m, yq, missing = (np.concatenate([a[j], b[j]]) for j in range(1, 6))
-    order = np.lexsort((q, d, rows))
-    rows, d, q, m, yq, missing = (x[order] for x in (rows, d, q, m, yq, missing))
-    total = np.cumsum(m)
-    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else np.zeros(0, np.int64)
-    before = total - m
-    before = before - np.repeat(before[first], np.diff(np.append(first, len(rows))))
-    keep = before < k
-    if ties:
-        # as near as the last one that has a place
-        last = np.zeros(len(a[0]))
-        np.maximum.at(last, rows[keep], d[keep])
-        keep |= d <= last[rows]
-    else:
-        m = np.minimum(m, k - before)
-    sizes = np.bincount(rows[keep], minlength=len(a[0]))
-    return (sizes, d[keep], q[keep], m[keep].astype(np.int32), yq[keep], missing[keep])
+def _members(draws: pa.StructArray, n: int, replacement: bool) -> list[np.ndarray]:
+    """The point numbers of each draw, sorted, so that the members of a chunk are a stretch."""
+    drawn = zip(_numbers(draws, "ticket").tolist(), _numbers(draws, "size").tolist())
+    return [np.sort(draw_positions(ticket, size, n, replacement)) for ticket, size in drawn]
+
 
+def _drawn_from(members: list[np.ndarray], low: int, width: int) -> np.ndarray:
+    """How often each draw holds each of ``width`` points numbered from ``low`` on."""
+    draws = np.zeros((len(members), width), dtype=np.int32)
+    for s, at in enumerate(members):
+        mine = at[np.searchsorted(at, low) : np.searchsorted(at, low + width)] - low
+        draws[s] = np.bincount(mine, minlength=width)
+    return draws
 
-def unit_kernel(tile, k, ties, no_zero, distinct, replacement, alone):
-    """For mapInArrow, over rows sorted by unit and chunk: the row of a unit's points
-    (chunk -1) comes first, then its candidates chunk by chunk. ``tile``: points per chunk;
-    ``alone``: measure each draw on its own instead of ranking once for all."""
+
+def _drawn_by_rows(count: int, lib: pa.StructArray) -> np.ndarray:
+    """The same from the draws that each member names."""
+    hits = lib.field("hits")
+    owner = np.repeat(np.arange(len(lib)), hits.value_lengths().to_numpy())
+    flat = hits.flatten()
+    draws = np.zeros((count, len(lib)), dtype=np.int32)
+    np.add.at(draws, (_numbers(flat, "g"), owner), _numbers(flat, "m"))
+    return draws
+
+
+def unit_kernel(tile, k, ties, no_zero, distinct, replacement, in_task):
+    """For mapInArrow, over rows sorted by unit and chunk: the row of a unit's points (chunk
+    -1) comes first, then its candidates chunk by chunk. Each chunk gives the nearest of its
+    own members, one row per (draw, point). ``k`` None stands for E + 1, the simplex around a
+    point.
+
+    ``in_task``: chunks are stretches of ``tile`` points, draws are made here, and one ranking
+    serves them all. Else members name their draws, and each draw is measured on its own."""
 
     def answers(batches):
-        unit, key = None, None
+        unit, key, members = None, None, []
         for row in _rows(batches):
             mine = tuple(row[c].as_py() for c in ("series_id", "E", "tau", "block", "grp"))
             if mine != key:
-                if unit:
-                    yield from unit.rows()
-                unit, key = _Unit(row, tile, k, ties, no_zero, distinct, replacement, alone), mine
-            else:
-                unit.meet(row)
-        if unit:
-            yield from unit.rows()
+                draws = row["draws"].values
+                unit = _Unit(row, k, *(_numbers(draws, c).astype(np.int32) for c in ("L", "sample")))
+                key, members = mine, _members(draws, row["n"].as_py(), replacement) if in_task else []
+                continue
+            lib, chunk = _sorted_block(row["points"].values), row["chunk"].as_py()
+            held = _drawn_from(members, chunk * tile, len(lib)) if in_task else _drawn_by_rows(len(unit.L), lib)
+            yield from _answers(unit, chunk, lib, np.minimum(held, 1) if distinct else held, ties, no_zero, not in_task)
 
     return lambda batches: _gathered(answers(batches))
 
 
-def _meeting(row, points, lib, draws, k, ties, no_zero):
-    k = k or row["E"].as_py() + 1
-    first, count = row["first_sample"].as_py(), len(draws)
-    drawn = np.flatnonzero(draws.any(axis=0))
-    if len(drawn) < len(lib):
-        lib, draws = lib.take(pa.array(drawn)), draws[:, drawn]
-    cand, cand_i, cand_y = _vectors(lib), _numbers(lib, "i"), lib.field("y")
-    step = max(1, TILE_CELLS // len(lib))
-    for lo in range(0, len(points), step):
-        part = points.slice(lo, step)
-        d = distances(_vectors(part), cand)
-        d[np.isnan(d)] = np.inf
-        if no_zero:
-            d[d < 1e-30] = np.inf
-        ids = _numbers(part, "i")
-        at = np.minimum(np.searchsorted(cand_i, ids), len(cand_i) - 1)
-        self_row = np.flatnonzero(cand_i[at] == ids)
-        d[self_row, at[self_row]] = np.inf
-        sizes, cols, mult = probe(d, draws, k, ties)
-        rows = np.repeat(np.tile(np.arange(len(part)), count), sizes)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-        total = count * len(part)
+def rank_kernel(k: int, no_zero: bool):
+    """For mapInArrow: each row pairs a block of points with a block of candidates, all of them
+    one draw; L names the pair."""
+
+    def answers(batches):
+        for row in _rows(batches):
+            unit = _Unit(row, k, np.array([row["L"].as_py()], np.int32), np.zeros(1, np.int32))
+            lib = _sorted_block(row["lib"].values)
+            yield from _answers(unit, 0, lib, np.ones((1, len(lib)), np.int32), False, no_zero, False)
+
+    return lambda batches: _gathered(answers(batches))
 
-        def lists(values):
-            return pa.ListArray.from_arrays(offsets, values)
 
+def _measured(part, cand, cand_i, no_zero):
+    """Distances, infinite where a candidate is no neighbour."""
+    d = distances(_vectors(part), cand)
+    d[np.isnan(d)] = np.inf
+    if no_zero:
+        d[d < 1e-30] = np.inf
+    ids = _numbers(part, "i")
+    at = np.minimum(np.searchsorted(cand_i, ids), len(cand_i) - 1)
+    own = np.flatnonzero(cand_i[at] == ids)
+    d[own, at[own]] = np.inf
+    return d
+
+
+def _nearest(unit, d, draws, ties, alone):
+    """One ranking, as deep as the smallest library needs, and each library size looks as far
+    down as it needs itself; ``alone``: each draw is ranked on its own members."""
+    if alone:
+        found = []
+        for s in range(len(draws)):
+            cols = np.flatnonzero(draws[s])
+            if len(cols):
+                sizes, at, mult = probe(np.ascontiguousarray(d[:, cols]), draws[s : s + 1, cols], unit.k, ties)
+                found.append((sizes, cols[at], mult))
+            else:
+                found.append((np.zeros(len(d), np.int64), cols, cols))
+    else:
+        groups = np.split(np.arange(len(draws)), np.flatnonzero(unit.L[1:] != unit.L[:-1]) + 1)
+        ranked = nearest_columns(d, max(depth_for(draws[g], unit.k) for g in groups))
+        found = [probe(d, draws[g], unit.k, ties, ranked) for g in groups]
+    return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+
+
+def _answers(unit, chunk, lib, draws, ties, no_zero, alone):
+    """Record batches of the nearest members of ``lib`` for each draw and point of the unit."""
+    held = np.flatnonzero(draws.any(axis=0))
+    if len(held) < len(lib):
+        lib, draws = lib.take(pa.array(held)), draws[:, held]
+    cand_i, cand_y = _numbers(lib, "i"), lib.field("y")
+    cand = _vectors(lib) if len(lib) else None
+    step = max(1, TILE_CELLS // max(1, len(lib)))
+    for lo in range(0, len(unit.points), step):
+        part = unit.points.slice(lo, step)
+        total = len(draws) * len(part)
+        if len(lib):
+            d = _measured(part, cand, cand_i, no_zero)
+            sizes, cols, mult = _nearest(unit, d, draws, ties, alone)
+            near = d[np.repeat(np.tile(np.arange(len(part)), len(draws)), sizes), cols]
+        else:
+            sizes, cols, mult, near = np.zeros(total, np.int64), held, held, np.zeros(0)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        found = (pa.array(cand_i[cols]), pa.array(near), pa.array(mult.astype(np.int32)), cand_y.take(pa.array(cols)))
         yield pa.RecordBatch.from_arrays(
-            [pa.repeat(row[c], total) for c in ("series_id", "E", "tau", "L")]
+            [pa.repeat(unit.head[c], total) for c in ("series_id", "E", "tau")]
+            + [pa.array(np.repeat(x, len(part))) for x in (unit.L, unit.sample)]
             + [
-                pa.array(np.repeat(np.arange(first, first + count, dtype=np.int32), len(part))),
-                pa.array(np.tile(ids, count)),
-                part.field("y").take(pa.array(np.tile(np.arange(len(part)), count))),
-                lists(pa.array(cand_i[cols])),
-                lists(pa.array(d[rows, cols])),
-                lists(pa.array(mult.astype(np.int32))),
-                lists(cand_y.take(pa.array(cols))),
-            ],
-            names=["series_id", "E", "tau", "L", "sample", "p", "y", "q", "d", "m", "yq"],
+                pa.array(np.tile(_numbers(part, "i"), len(draws))),
+                part.field("y").take(pa.array(np.tile(np.arange(len(part)), len(draws)))),
+            ]
+            + [pa.ListArray.from_arrays(offsets, x) for x in found]
+            + [pa.repeat(pa.scalar(chunk, pa.int64()), total)],
+            names=["series_id", "E", "tau", "L", "sample", "p", "y", "q", "d", "m", "yq", "chunk"],
         )
 
 

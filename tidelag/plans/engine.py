@@ -21,8 +21,16 @@ def manifold_of(series: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
     return points, manifold_lengths(points) if spec.drop_missing else lengths(series, spec.pairs)
 
 
-def neighbours(series: DataFrame, spec: Spec, k: int | None = None) -> DataFrame:
-    return knn_in_library(embed(series, spec.pairs, spec.drop_missing), spec, k)
+def neighbours(series: DataFrame, spec: Spec, k: int | None = None, library: DataFrame | None = None) -> DataFrame:
+    """The nearest library members of every point. ``library`` (series_id, E, tau, L, sample, idx,
+    m) names the members; without it they are drawn."""
+    points = embed(series, spec.pairs, spec.drop_missing)
+    return knn_in_library(points, spec, k, sizes=_sizes(series, spec), library=library)
+
+
+def _sizes(series: DataFrame, spec: Spec, pairs=None) -> DataFrame | None:
+    """Numbers of points as far as they follow from the lengths of the series."""
+    return None if spec.drop_missing else lengths(series, pairs or spec.pairs)
 
 
 def _forecasts(found: DataFrame, spec: Spec, largest: int) -> DataFrame:
@@ -31,20 +39,21 @@ def _forecasts(found: DataFrame, spec: Spec, largest: int) -> DataFrame:
     return simplex_forecast(found, largest + 1, spec.weight_floor)
 
 
-def forecasts(series: DataFrame, spec: Spec) -> DataFrame:
+def forecasts(series: DataFrame, spec: Spec, library: DataFrame | None = None) -> DataFrame:
     """series_id, E, tau, L, sample, p, y, y_hat."""
-    return _forecasts(neighbours(series, spec), spec, max(spec.E))
+    return _forecasts(neighbours(series, spec, library=library), spec, max(spec.E))
 
 
-def cross_map(series: DataFrame, spec: Spec, grid: DataFrame | None = None) -> DataFrame:
+def cross_map(series: DataFrame, spec: Spec, grid: DataFrame | None = None, library: DataFrame | None = None) -> DataFrame:
     """Cross-map skill of ``series`` (series_id, i, x, y) over the whole grid: does the
     history of x recover y? E, tau and L are columns, so a sweep is one plan.
 
     ``grid`` (series_id, E, tau, L, samples) names what to run for each series instead of
     spec's E, tau, L and samples, as task files do; of equal rows the most samples count.
-    Its distinct (E, tau), a few, are looked up when this is called."""
+    Its distinct (E, tau), a few, are looked up when this is called. ``library`` gives the
+    members of every draw instead, as in ``neighbours``."""
     if grid is None:
-        return skill(forecasts(series, spec))
+        return skill(forecasts(series, spec, library))
     pairs = [(r["E"], r["tau"]) for r in grid.select("E", "tau").distinct().collect()]
     if not pairs:
         raise ValueError("the grid is empty")
@@ -52,7 +61,7 @@ def cross_map(series: DataFrame, spec: Spec, grid: DataFrame | None = None) -> D
     runs = wanted.groupBy("series_id", "E", "tau").agg(
         F.sort_array(F.collect_list(F.struct(F.col("L").cast("int").alias("L"), F.col("samples").cast("int").alias("samples")))).alias("runs")
     )
-    found = knn_in_library(embed(series, pairs, spec.drop_missing), spec, runs=runs)
+    found = knn_in_library(embed(series, pairs, spec.drop_missing), spec, runs=runs, sizes=_sizes(series, spec, pairs))
     return skill(_forecasts(found, spec, max(E for E, _ in pairs)))
 
 

@@ -40,8 +40,9 @@ class Spec:
                            'include' keeps everything as near as the k-th one
     exclude_zero_distance  points at distance 0 are never neighbours
     drop_missing           lag vectors with a missing coordinate leave the manifold
-    strategy               'shared' sorts a distance tile once for many draws,
-                           'library_first' measures each draw on its own
+    strategy               'shared' ranks all points once for many draws, 'library_first'
+                           measures each draw on its own, against its members only; 'auto'
+                           takes what is less work for each series
     """
 
     E: tuple[int, ...] = (3,)
@@ -55,7 +56,7 @@ class Spec:
     exclude_zero_distance: bool = False
     weight_floor: float = 1e-6
     drop_missing: bool = False
-    strategy: str = "shared"
+    strategy: str = "auto"
     pairs: tuple[tuple[int, int], ...] = field(init=False)
 
     def __post_init__(self):
@@ -63,7 +64,7 @@ class Spec:
         validate_grid(self.E, self.tau, L, self.samples)
         if self.ties not in ("ignore", "include"):
             raise ValueError(f"ties must be 'ignore' or 'include', got {self.ties!r}")
-        if self.strategy not in ("shared", "library_first"):
+        if self.strategy not in ("auto", "shared", "library_first"):
             raise ValueError(f"unknown strategy {self.strategy!r}")
         if self.weight_floor < 0:
             raise ValueError("weight_floor must not be negative")
