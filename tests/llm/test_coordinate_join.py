@@ -93,6 +93,7 @@ def test_small_and_large_groups(docs):
 def test_long_lists_in_blocks(docs, monkeypatch):
     """Blocks of a few sets: what blocks and rounds leave open, the rest finds."""
     monkeypatch.setattr(coordinate_join, "BLOCK", 900)
+    monkeypatch.setattr(coordinate_join, "WIDE_BLOCK", 2000)
     monkeypatch.setattr(coordinate_join, "FEW", 3)
     monkeypatch.setattr(coordinate_join, "ROUNDS", 1)
     rng = random.Random(5)

@@ -36,15 +36,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import stage
+from ..staging import stage, unstage
 from .components import components
 from .rolling import Slice, Spans, byte_spans, mix, ranges, slices, words
 from .shared import small_side
 
 SHINGLE, LEAST = 3, 85
 COORDINATES, MATCHES = 40, 21
-FEW, ROUNDS, BLOCK = 12, 3, 1 << 16
-COLUMNS = 1 << 12
+FEW, ROUNDS = 24, 3
+#: Shingles of a block compared inside itself, and of one compared with others.
+BLOCK, WIDE_BLOCK = 1 << 16, 1 << 18
+#: Pairs that a member may join to be counted one by one; columns of a matrix.
+THIN, COLUMNS = 32, 1 << 10
 SEED = np.random.Generator(np.random.PCG64(11)).integers(1, 2**64, COORDINATES, dtype=np.uint64)
 PLACE_BITS = 6  # of a coordinate's number in a posting key
 
@@ -112,31 +115,29 @@ def _with_sets(shingle: int):
 
 
 def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """How many members each two sets of ``a`` and ``b`` share: a product of 0/1 matrices over the
-    members that occur on both sides, some columns at a time."""
-    number, sides = [], []
-    for sets in (a, b):
-        sides.append(np.concatenate([np.zeros(0, np.int64), *sets]))
-        number.append(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
-    both = np.intersect1d(np.unique(sides[0]), np.unique(sides[1]), assume_unique=True)
-    out = np.zeros((len(a), len(b)), np.float32)
-    rows = []
-    for side, owner in zip(sides, number):
-        at = np.searchsorted(both, side)
-        at[at == len(both)] = 0
-        inside = both[at] == side if len(both) else np.zeros(len(side), bool)
-        at, owner = at[inside], owner[inside]
-        order = np.argsort(at, kind="stable")
-        rows.append((at[order], owner[order]))
-    for low in range(0, len(both), COLUMNS):
-        parts = []
-        for (at, owner), sets in zip(rows, (a, b)):
-            mine = slice(*np.searchsorted(at, (low, low + COLUMNS)))
-            table = np.zeros((len(sets), COLUMNS), np.float32)
-            table[owner[mine], at[mine] - low] = 1
-            parts.append(table)
-        out += parts[0] @ parts[1].T
-    return out.astype(np.int64)
+    """How many members each two sets of ``a`` and ``b`` share. Members that join many pairs make
+    columns of 0/1 matrices, whose product counts them; the pairs of others are counted one by one."""
+    value = np.concatenate([np.zeros(0, np.int64), *a, *b])
+    sets = np.repeat(np.arange(len(a) + len(b)), [len(s) for s in (*a, *b)])
+    order = np.argsort(value, kind="stable")  # of one value, those of ``a`` first
+    value, sets = value[order], sets[order]
+    first = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
+    held = np.diff(np.append(first, len(value)))
+    of_a = np.add.reduceat((sets < len(a)).astype(np.int64), first) if len(first) else held
+    of_b = held - of_a
+    out = np.zeros((len(a), len(b)), np.int64)
+    thin = np.flatnonzero((of_a > 0) & (of_b > 0) & (of_a * of_b <= THIN))
+    x = ranges(first[thin], of_a[thin])
+    partners = np.repeat(of_b[thin], of_a[thin])
+    y = ranges(np.repeat(first[thin] + of_a[thin], of_a[thin]), partners)
+    np.add.at(out, (np.repeat(sets[x], partners), sets[y] - len(a)), 1)
+    thick = np.flatnonzero(of_a * of_b > THIN)
+    for low in range(0, len(thick), COLUMNS):
+        columns = thick[low : low + COLUMNS]
+        tables = np.zeros((len(a) + len(b), len(columns)), np.float32)
+        tables[sets[ranges(first[columns], held[columns])], np.repeat(np.arange(len(columns)), held[columns])] = 1
+        out += (tables[: len(a)] @ tables[len(a) :].T).astype(np.int64)
+    return out
 
 
 def similar(a: list[np.ndarray], b: list[np.ndarray], least: int) -> np.ndarray:
@@ -220,7 +221,9 @@ def posting_lists(nodes: DataFrame, matches: int) -> DataFrame:
     prefix = held.where(F.size("h") >= matches).selectExpr("node", "n", f"explode(slice(h, 1, size(h) - {matches} + 1)) AS p")
     prefix = stage(prefix.select("node", "n", "p.key"))
     sizes = prefix.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    return stage(prefix.join(sizes.hint("shuffle_merge"), "key"))
+    lists = stage(prefix.join(sizes.hint("shuffle_merge"), "key"))
+    unstage(counts, prefix)
+    return lists
 
 
 def _pair_links(few: DataFrame, nodes: DataFrame, least: int, matches: int) -> DataFrame:
@@ -230,7 +233,9 @@ def _pair_links(few: DataFrame, nodes: DataFrame, least: int, matches: int) -> D
     pairs = stage(a.join(b, "key").where(f"a < b AND {sizes}").select("a", "b").distinct())
     one, two = (nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
     met = pairs.join(one.hint("shuffle_merge"), "a").join(two.hint("shuffle_merge"), "b")
-    return stage(met.where(f"size(filter(zip_with(sig_a, sig_b, (x, y) -> x = y), e -> e)) >= {matches}").select("a", "b"))
+    enough = stage(met.where(f"size(filter(zip_with(sig_a, sig_b, (x, y) -> x = y), e -> e)) >= {matches}").select("a", "b"))
+    unstage(pairs)
+    return enough
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
@@ -264,7 +269,7 @@ def _rest_links(hot: DataFrame, sets: DataFrame, roots: DataFrame, least: int) -
     named = stage(named)
     classes = stage(named.groupBy("key", "label").agg(F.count("*").alias("members"), F.sum("n").alias("n")))
     lists = classes.groupBy("key").agg(F.max_by("label", F.struct("members", "label")).alias("main"), F.sum("n").alias("n"), F.max(F.struct("members", "label", "n"))["n"].alias("n_main"), F.count("*").alias("classes"))
-    lists = stage(lists.where("classes > 1").selectExpr("key", "main", f"(n - n_main + {BLOCK - 1}) div {BLOCK} AS asking", f"(n + {BLOCK - 1}) div {BLOCK} AS asked"))
+    lists = stage(lists.where("classes > 1").selectExpr("key", "main", f"(n - n_main + {WIDE_BLOCK - 1}) div {WIDE_BLOCK} AS asking", f"(n + {WIDE_BLOCK - 1}) div {WIDE_BLOCK} AS asked"))
     open_ = stage(named.drop("n").join(lists.hint("shuffle_merge"), "key"))
     queries = open_.where("label <> main").selectExpr("key", "pmod(xxhash64(node, 1), asking) AS qb", "explode(sequence(0L, asked - 1)) AS tb", "true AS asks", "node", "label")
     targets = open_.selectExpr("key", "explode(sequence(0L, asking - 1)) AS qb", "pmod(xxhash64(node, 2), asked) AS tb", "false AS asks", "node", "label")
