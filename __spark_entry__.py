@@ -86,7 +86,7 @@ def _libraries(series: DataFrame, spec: Spec) -> DataFrame:
 
 
 def _ranks(series: DataFrame, pair: tuple[int, int], k: int, **options) -> DataFrame:
-    return _tidy(op.rank_neighbors(op.embed(series, [pair]), k, **options), "d")
+    return _tidy(op.rank_neighbors(op.embed(series, [pair]), k, sizes=op.lengths(series, [pair]), **options), "d")
 
 
 def _knn_rows(series: DataFrame, spec: Spec, library: DataFrame | None = None) -> DataFrame:
@@ -170,6 +170,20 @@ def _stored_skill(spark, sf_dir) -> DataFrame:
     return read_skill(spark, path, "csv")
 
 
+def _skill_from_ranks(spark, sf_dir) -> DataFrame:
+    """Ranks of the first half of the series are stored, then those of the rest are added; runs of
+    several library sizes read them."""
+    series = _clicks_and_views(spark, sf_dir)
+    name = f"ranks_{uuid.uuid4().hex}"
+    table = op.RankTable(spark, name, f"{shared_folder(spark)}/{name}", depth=96)
+    half = series.where("i < n div 2").withColumn("n", F.expr("n div 2"))
+    for known in (half, series):
+        table.add(op.embed(known, MULTI.pairs))
+    runs = stage(_skill(cross_map(series, MULTI, ranks=table)))
+    table.drop()
+    return runs
+
+
 def _priority_times(spark, sf_dir) -> DataFrame:
     """Two costs per order priority, compared as run times are."""
     runs = _table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(
@@ -286,6 +300,7 @@ def _series_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rank_neighbors_long": lambda s, d: _ranks(_all_events(s, d), (2, 1), 3),
         "knn_library_long": lambda s, d: _knn_rows(_all_events(s, d), LONG),
         "xmap_long": lambda s, d: _skill(cross_map(_all_events(s, d), LONG)),
+        "xmap_from_ranks": lambda s, d: _skill_from_ranks(s, d),
         "xmap_sparse_library": lambda s, d: _skill(cross_map(_line_items(s, d), SPARSE)),
         # Vectors
         "vec_pairwise_euclidean": lambda s, d: _tidy(
@@ -434,6 +449,7 @@ def _series_sql() -> dict[str, str]:
             SELECT series_id, E, tau, p, t.q AS q, round(t.d, 6) AS d, CAST(r AS INT) AS r FROM near""",
         "knn_library_long": f"WITH {every}, {sql.chain(2, 1, [500], 2, upto='knn')} {knn_rows}",
         "xmap_long": f"WITH {every}, {sql.chain(2, 1, [500], 2)} SELECT {skill} FROM skill_m",
+        "xmap_from_ranks": f"WITH {ev}, {sql.chain(3, 1, multi_l, 5)} SELECT {skill} FROM skill_m",
         "xmap_sparse_library": f"WITH {sql.lineitem_series()}, {sql.chain(2, 1, [200], 2)} SELECT {skill} FROM skill_m",
         "vec_pairwise_euclidean": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
             d AS (SELECT a.vec_id, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id)

@@ -32,7 +32,10 @@ def small_blocks(monkeypatch):
     monkeypatch.setattr(neighbors, "FEW", 5)
     monkeypatch.setattr(neighbors, "MANY", 9)
     monkeypatch.setattr(neighbors, "ANSWERS", 64)
+    monkeypatch.setattr(ranking, "SHORT", 60)
     monkeypatch.setattr(ranking, "BOX_POINTS", 16)
+    monkeypatch.setattr(ranking, "SAMPLE", 40)
+    monkeypatch.setattr(ranking, "DEPTH", 2)
     monkeypatch.setattr(neighbors, "DRAWS", 2)
     monkeypatch.setattr(neighbors, "TOGETHER", 2)
     monkeypatch.setattr(neighbors, "POINTS", 7)

@@ -129,22 +129,24 @@ def test_skill_grows_with_the_library(spark):
     assert all(-1 <= r.rho <= 1 for r in rows)
 
 
-def test_rank_table(spark, small_blocks):
+@pytest.mark.parametrize("E,k,no_zero", [(2, 5, False), (2, 5, True), (6, 4, False), (3, None, True), (1, 3, False)])
+def test_rank_table(spark, small_blocks, E, k, no_zero):
+    """Short manifolds, boxes over all coordinates, many copies, a point far from all others."""
     series = mixed_series()
     rng = random.Random(8)
     series["copies"] = ([1.0] * 40 + [float(rng.randrange(4)) for _ in range(60)] + [1.0] * 30, [0.0] * 130)
-    series["long"] = coupled(300)
-    points = embed(frame(spark, series), [(2, 1)])
-    for no_zero in (False, True):
-        got = {}
-        for r in rank_neighbors(points, 5, no_zero).orderBy("p", "r").collect():
-            got.setdefault((r.series_id, r.p), []).append((r.q, r.d, r.r))
-        for name, (x, _) in series.items():
-            pts = brute.points([float(v) for v in x], 2, 1)
-            for i, v in pts:
-                near = sorted((brute.distance(v, w), q) for q, w in pts if q != i)
-                near = [(q, d) for d, q in near if not (no_zero and d < 1e-30)][:5]
-                assert got.get((name, i), []) == [(q, d, r + 1) for r, (q, d) in enumerate(near)]
+    x, y = coupled(300)
+    series["long"] = ([*x, 1e6, *x[:7]], [*y, 0.0, *y[:7]])
+    points = embed(frame(spark, series), [(E, 1)])
+    got = {}
+    for r in rank_neighbors(points, k, no_zero).orderBy("p", "r").collect():
+        got.setdefault((r.series_id, r.p), []).append((r.q, r.d, r.r))
+    for name, (x, _) in series.items():
+        pts = brute.points([float(v) for v in x], E, 1)
+        for i, v in pts:
+            near = sorted((brute.distance(v, w), q) for q, w in pts if q != i)
+            near = [(q, d) for d, q in near if not (no_zero and d < 1e-30)][:k]
+            assert got.get((name, i), []) == [(q, d, r + 1) for r, (q, d) in enumerate(near)]
 
 
 def test_pair_distances(spark, small_blocks):

@@ -50,7 +50,7 @@ def deal_out(units: DataFrame, *keys: str) -> DataFrame:
 
 def knn_in_library(
     manifold: DataFrame, spec: Spec, k: int | None = None, runs: DataFrame | None = None, sizes: DataFrame | None = None,
-    library: DataFrame | None = None,
+    library: DataFrame | None = None, points: DataFrame | None = None,
 ) -> DataFrame:
     """The k nearest library members of every point (k = E+1 if not given).
 
@@ -71,11 +71,13 @@ def knn_in_library(
     each draw is measured on its own. 'shared': all points, ranked once for all draws, which are
     made again in the task. 'auto' takes the first for the manifolds whose draws have fewer
     members, all together, than there are points. ``sizes`` (series_id, E, tau, n), if known,
-    saves a look at the manifold for n; sizes are looked up when this is called."""
+    saves a look at the manifold for n; sizes are looked up when this is called. ``points``, if
+    given, are the points of the manifold to answer for."""
+    points = manifold if points is None else points
     if library is not None:
         members, drawn = _given(manifold, library)
         largest = drawn.agg(F.max(F.expr(LARGEST))).first()[0] or 0
-        met = _meet_members(manifold, lambda packed: packed.join(drawn.drop("n"), MANIFOLD), _numbered(drawn), spec, k, members)
+        met = _meet_members(manifold, points, lambda packed: packed.join(drawn.drop("n"), MANIFOLD), _numbered(drawn), spec, k, members)
         return _together(met, spec, k, largest > TILE)
     if sizes is None:
         sizes = manifold.where("pos = 0")
@@ -100,12 +102,12 @@ def knn_in_library(
 
         if kind["apart"]:
             numbered = draw_positions(_numbered(mine(sizes)), spec)
-            met = _meet_members(manifold, mine, numbered, spec, k)
+            met = _meet_members(manifold, points, mine, numbered, spec, k)
         else:
-            met = _meet_all(manifold, mine, spec, k)
+            met = _meet_all(manifold, points, mine, spec, k)
         found.append(_together(met, spec, k, (kind["most"] if kind["apart"] else kind["n"]) > TILE))
     if not found:
-        return _meet_all(manifold, with_draws, spec, k).select(*FOUND)
+        return _meet_all(manifold, points, with_draws, spec, k).select(*FOUND)
     return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
@@ -158,11 +160,11 @@ def _rank_units(points: DataFrame, chunks: DataFrame, spec: Spec, k: int | None,
     return rows.mapInArrow(kernel, NEIGHBOURS)
 
 
-def _meet_all(manifold: DataFrame, with_draws, spec: Spec, k: int | None) -> DataFrame:
+def _meet_all(manifold: DataFrame, points: DataFrame, with_draws, spec: Spec, k: int | None) -> DataFrame:
     """Every block meets all points."""
     chunks = with_draws(_packed(manifold, str(TILE), "chunk")).selectExpr(*MANIFOLD, "n", "chunk", f"{_group_count(False)} AS _groups", "points")
     chunks = explode_range(explode_range(chunks, "block", _block_count()), "grp", "_groups")
-    return _rank_units(_point_units(manifold, with_draws, False), chunks, spec, k, True)
+    return _rank_units(_point_units(points, with_draws, False), chunks, spec, k, True)
 
 
 def _numbered(drawn: DataFrame) -> DataFrame:
@@ -175,14 +177,15 @@ def _numbered(drawn: DataFrame) -> DataFrame:
     )
 
 
-def _meet_members(manifold: DataFrame, with_draws, drawn: DataFrame, spec: Spec, k: int | None, members: DataFrame | None = None) -> DataFrame:
+def _meet_members(
+    manifold: DataFrame, points: DataFrame, with_draws, drawn: DataFrame, spec: Spec, k: int | None, members: DataFrame | None = None
+) -> DataFrame:
     """Every block meets the members of its draws only. ``drawn`` has a row per draw and drawn
     point number (pos); or ``members`` has the points of each (L, sample) itself."""
     of_group = [*MANIFOLD, "n", "grp", "chunks"]
     if members is None:
         hits = drawn.groupBy(*of_group, "pos").agg(F.expr("collect_list(struct(g, 1 AS m)) AS hits"))
-        points = manifold.select(*MANIFOLD, "pos", "i", "y", "v")
-        held = hits.join(points, [*MANIFOLD, "pos"])
+        held = hits.join(manifold.select(*MANIFOLD, "pos", "i", "y", "v"), [*MANIFOLD, "pos"])
     else:
         named = members.join(drawn.drop("n", "size", "ticket"), [*MANIFOLD, "L", "sample"])
         held = named.groupBy(*of_group, "i").agg(F.first("y").alias("y"), F.first("v").alias("v"), F.expr("collect_list(struct(g, m)) AS hits"))
@@ -190,7 +193,7 @@ def _meet_members(manifold: DataFrame, with_draws, drawn: DataFrame, spec: Spec,
         F.expr("collect_list(struct(i, y, v, hits)) AS points")
     )
     chunks = explode_range(chunks, "block", _block_count())
-    return _rank_units(_point_units(manifold, with_draws, True), chunks, spec, k, False)
+    return _rank_units(_point_units(points, with_draws, True), chunks, spec, k, False)
 
 
 def _given(manifold: DataFrame, library: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -208,12 +211,14 @@ def _given(manifold: DataFrame, library: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def _together(met: DataFrame, spec: Spec, k: int | None, several: bool) -> DataFrame:
-    """Of each point and draw the nearest of all chunks. Chunks go TOGETHER at a time, so that
-    no row gathers more than that many short lists."""
     if not several:
         return met.select(*FOUND)
-    places = "(E + 1)" if k is None else str(k)
-    ties = spec.ties == "include"
+    return nearest_of_all(met, "(E + 1)" if k is None else str(k), spec.ties == "include")
+
+
+def nearest_of_all(met: DataFrame, places: str, ties: bool = False) -> DataFrame:
+    """Of each point and draw the nearest ``places`` of all chunks. Chunks go TOGETHER at a time,
+    so that no row gathers more than that many short lists."""
     room = f"a.have < {places}" + (" OR x.d <= element_at(a.kept, -1).d" if ties else "")
     m = "x.m" if ties else f"least(x.m, {places} - a.have)"
     none = "named_struct('have', 0, 'kept', CAST(array() AS ARRAY<STRUCT<d: DOUBLE, q: BIGINT, m: INT, yq: DOUBLE>>))"

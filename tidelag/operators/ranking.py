@@ -5,66 +5,113 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelag.functions import explode_range
 from tidelag.operators import neighbors, tiles
 from tidelag.operators.embedding import drop_invalid
-from tidelag.operators.neighbors import MANIFOLD, NEIGHBOURS
-from tidelag.operators.ordering import dense_rank_of
+from tidelag.operators.neighbors import FOUND, MANIFOLD, NEIGHBOURS, UNIT, deal_out, explode_neighbors, nearest_of_all
 from tidelag.staging import stage
 
+#: Manifolds of more points than this are cut into boxes of about BOX_POINTS.
+SHORT = 1 << 14
 BOX_POINTS = 2048
+#: Points by which a cell is cut, and cuts below one another at a time.
+SAMPLE, DEPTH = 4096, 9
 BOX = [*MANIFOLD, "slab", "box"]
 RANKED = [*MANIFOLD, "p", "q", "d", "r"]
 
 
-def rank_neighbors(manifold: DataFrame, k_max: int, exclude_zero_distance: bool = False) -> DataFrame:
-    """The k_max nearest points of every point, in (distance, index) order. Columns
-    series_id, E, tau, p, q, d, r.
-
-    Points are cut into boxes of at most BOX_POINTS by their first two coordinates. A box
-    first meets itself, which bounds how far its points still have to look; then it meets
-    the boxes that come nearer than that in any coordinate. The boxes, and what they find in
-    themselves, are staged when this is called, whatever the length.
+def rank_neighbors(
+    manifold: DataFrame, k_max: int | None, exclude_zero_distance: bool = False, sizes: DataFrame | None = None
+) -> DataFrame:
+    """The k_max nearest points of every point, in (distance, index) order, all of them if
+    ``k_max`` is None. Columns series_id, E, tau, p, q, d, r.
+
+    Points of short manifolds meet all others, block by block. Longer ones are cut into boxes;
+    see _by_boxes. Which there are is looked up when this is called, from ``sizes`` (series_id,
+    E, tau, n) if given."""
+    if k_max is None:
+        cells = neighbors.pair_distances(manifold)
+        rows = cells.selectExpr(*MANIFOLD, "p", "inline(arrays_zip(q, d))")
+        if exclude_zero_distance:
+            rows = rows.where("d >= 1e-30D")
+        return rows.withColumn("r", F.row_number().over(Window.partitionBy(*MANIFOLD, "p").orderBy("d", "q"))).select(*RANKED)
+    longest = (manifold if sizes is None else sizes).agg(F.max("n")).first()[0] or 0
+    found = nearest(manifold.where(f"n <= {SHORT}"), k_max, exclude_zero_distance, min(longest, SHORT) > neighbors.TILE)
+    ranked = explode_neighbors(found).select(*RANKED)
+    if longest <= SHORT:
+        return ranked
+    return ranked.unionByName(_by_boxes(manifold.where(f"n > {SHORT}"), k_max, exclude_zero_distance).select(*RANKED))
+
+
+def ranked_arrays(manifold: DataFrame, k_max: int) -> DataFrame:
+    """The same as arrays: series_id, E, tau, p, y, q, d, yq for every point, also for those that
+    have no neighbours."""
+    longest = manifold.agg(F.max("n")).first()[0] or 0
+    columns = [*MANIFOLD, "p", "y", "q", "d", "yq"]
+    found = nearest(manifold.where(f"n <= {SHORT}"), k_max, False, min(longest, SHORT) > neighbors.TILE).select(*columns)
+    if longest <= SHORT:
+        return found
+    long = manifold.where(f"n > {SHORT}")
+    packed = _by_boxes(long, k_max, False).groupBy(*MANIFOLD, "p").agg(F.expr("array_sort(collect_list(struct(r, q, d, yq))) AS near"))
+    rows = long.select(*MANIFOLD, F.col("i").alias("p"), "y").join(packed, [*MANIFOLD, "p"], "left")
+    none = "CAST(array() AS ARRAY<{}>)"
+    kinds = {"q": "BIGINT", "d": "DOUBLE", "yq": "DOUBLE"}
+    arrays = [f"coalesce(near.{c}, {none.format(kind)}) AS {c}" for c, kind in kinds.items()]
+    return found.unionByName(rows.selectExpr(*MANIFOLD, "p", "y", *arrays))
+
+
+def nearest(manifold: DataFrame, k: int, exclude_zero_distance: bool = False, several: bool = True) -> DataFrame:
+    """The k nearest points of every point as arrays: the columns of knn_in_library, as one draw
+    that holds every point. ``several``: manifolds may have more points than a chunk."""
+    per = neighbors._per_block()
+    points = neighbors._packed(manifold, per, "block").selectExpr(*UNIT[:-1], "-1L AS chunk", "points")
+    chunks = neighbors._packed(manifold, str(neighbors.TILE), "chunk")
+    chunks = explode_range(chunks, "block", neighbors._block_count()).select(*UNIT[:-1], "chunk", "points")
+    rows = deal_out(points.unionByName(chunks), *UNIT[:-1]).sortWithinPartitions(*UNIT[:-1], "chunk")
+    found = rows.mapInArrow(tiles.every_kernel(k, exclude_zero_distance), NEIGHBOURS)
+    return nearest_of_all(found, str(k)) if several else found.select(*FOUND)
+
+
+def _by_boxes(manifold: DataFrame, k_max: int, no_zero: bool) -> DataFrame:
+    """Ranks of long manifolds. Points are cut into boxes by all their coordinates. A box first
+    meets itself, which bounds how far each of its points still has to look; then it meets the
+    boxes that come nearer than the widest of these bounds, and of its points those take part
+    that the other box comes near enough to. The boxes, and what they find in themselves, are
+    staged when this is called.
 
     Of many copies of one vector only the first k_max + 1 can be anybody's neighbours, so
     only they go into boxes. The other copies share their answer."""
-    no_zero = exclude_zero_distance
     valid = drop_invalid(manifold)
     copy = F.row_number().over(Window.partitionBy(*MANIFOLD, "v").orderBy("i"))
-    firsts = valid.withColumn("_copy", copy).where(f"_copy <= {k_max + 1}")
-    firsts = placed = stage(_place(firsts))
+    firsts = placed = _place(valid.withColumn("_copy", copy).where(f"_copy <= {k_max + 1}"))
 
-    boxes = placed.groupBy(*BOX).agg(
-        F.expr("collect_list(struct(i, y, v)) AS lib"),
-        F.expr("min(i) AS first_i"), F.expr("min(_v0) AS lo0"), F.expr("max(_v0) AS hi0"),
-    )
+    boxes = placed.groupBy(*BOX).agg(F.expr("collect_list(struct(i, y, v)) AS lib"), F.expr("min(i) AS first_i"))
     # bounds of every coordinate, from the members of the box
     edge = "transform(sequence(0, E - 1), j -> array_{0}(transform(lib, p -> p.v[j])))"
     boxes = boxes.selectExpr("*", f"{edge.format('min')} AS lo", f"{edge.format('max')} AS hi")
-    kernel = tiles.rank_kernel(k_max, no_zero)
+    kernel = tiles.box_kernel(k_max, no_zero)
 
     def rank(units: DataFrame) -> DataFrame:
-        # L carries slab and box through the kernel.
-        return units.selectExpr(
-            *MANIFOLD, "CAST(slab * 65536 + box AS INT) AS L", "points", "lib"
-        ).mapInArrow(kernel, NEIGHBOURS)
+        return units.select(*MANIFOLD, "points", "lib", "reach").mapInArrow(kernel, NEIGHBOURS)
 
-    own = stage(rank(neighbors.deal_out(boxes.withColumn("points", F.col("lib")), *BOX)))
+    unbound = "CAST(NULL AS ARRAY<STRUCT<i: BIGINT, d: DOUBLE>>) AS reach"
+    own = stage(rank(deal_out(boxes.selectExpr("*", "lib AS points", unbound), *BOX)))
     reach = f"CASE WHEN size(d) < {k_max} THEN double('inf') ELSE d[{k_max - 1}] END"
-    bounds = (
-        own.selectExpr(*MANIFOLD, "CAST(L div 65536 AS BIGINT) AS slab", "CAST(L % 65536 AS BIGINT) AS box",
-                       f"struct({reach} AS d, coalesce(get(q, {k_max - 1}), 0L) AS q) AS worst")
-        .groupBy(*BOX).agg(F.max("worst").alias("worst"))
+    reached = own.selectExpr(*MANIFOLD, "p AS i", f"{reach} AS d", f"coalesce(get(q, {k_max - 1}), 0L) AS q")
+    bounds = reached.join(placed.select(*BOX, "i"), [*MANIFOLD, "i"]).groupBy(*BOX).agg(
+        F.expr("max(struct(d, q)) AS worst"), F.expr("collect_list(struct(i, d)) AS reach")
     )
-    meetings = _meetings(boxes.drop("lib"), bounds)
-    here = boxes.select(*BOX, F.col("lib").alias("points"))
+    bounds = stage(bounds)
+    meetings = _meetings(boxes.drop("lib"), bounds.drop("reach"))
+    here = boxes.select(*BOX, F.col("lib").alias("points")).join(bounds.select(*BOX, "reach"), BOX)
     there = boxes.select(*MANIFOLD, F.col("slab").alias("slab_b"), F.col("box").alias("box_b"), "lib")
     units = meetings.join(here, BOX).join(there, [*MANIFOLD, "slab_b", "box_b"])
-    others = rank(neighbors.deal_out(units, *BOX, "slab_b", "box_b"))
+    others = rank(deal_out(units, *BOX, "slab_b", "box_b"))
 
     order = Window.partitionBy(*MANIFOLD, "p").orderBy("d", "q")
     ranked = (
-        neighbors.explode_neighbors(own.unionByName(others)).drop("r")
-        .withColumn("r", F.row_number().over(order)).where(f"r <= {k_max}").select(*RANKED)
+        explode_neighbors(own.unionByName(others)).drop("r")
+        .withColumn("r", F.row_number().over(order)).where(f"r <= {k_max}").select(*RANKED, "yq")
     )
     rest = valid.select(*MANIFOLD, "i", "v").join(firsts.select(*MANIFOLD, "i"), [*MANIFOLD, "i"], "left_anti")
     rest = rest.withColumnRenamed("i", "p")
@@ -72,36 +119,53 @@ def rank_neighbors(manifold: DataFrame, k_max: int, exclude_zero_distance: bool
         first = firsts.where("_copy = 1").selectExpr(*MANIFOLD, "v", "i AS p")
         answer = ranked.join(first, [*MANIFOLD, "p"]).drop("p")
     else:
-        answer = firsts.where(f"_copy <= {k_max}").selectExpr(*MANIFOLD, "v", "i AS q", "0D AS d", "_copy AS r")
-    return ranked.unionByName(rest.join(answer, [*MANIFOLD, "v"]).select(*RANKED))
+        answer = firsts.where(f"_copy <= {k_max}").selectExpr(*MANIFOLD, "v", "i AS q", "0D AS d", "_copy AS r", "y AS yq")
+    return ranked.unionByName(rest.join(answer, [*MANIFOLD, "v"]).select(*RANKED, "yq"))
 
 
 def _place(points: DataFrame) -> DataFrame:
-    """Add slab (by the first coordinate) and box (by the second, inside the slab). About
-    as many slabs as boxes per slab; a box has at most BOX_POINTS points."""
-    rows = points.selectExpr("*", "v[0] AS _v0", "CASE WHEN E > 1 THEN get(v, 1) ELSE 0D END AS _v1")
-    rows = dense_rank_of(rows, MANIFOLD, "_v0", "i", "_r0")
-    slabs = f"greatest(1L, CAST(round(sqrt(n / {BOX_POINTS})) AS BIGINT))"
-    rows = rows.selectExpr("*", f"_r0 * {slabs} div n AS slab")
-    rows = dense_rank_of(rows, [*MANIFOLD, "slab"], "_v1", "i", "_r1")
-    return rows.selectExpr("*", f"_r1 div {BOX_POINTS} AS box")
+    """Add slab and box, and write the points. A slab is a cell of a first tree of cuts, a box
+    one of a second tree inside the slab; the cuts halve a sample of the cell at the median of
+    its widest coordinate. Where many points share a coordinate, a cell may stay large; then it
+    becomes several boxes of the same place."""
+    rows = stage(points.withColumn("slab", F.lit(0).cast("bigint")))
+    counts = rows.groupBy(*MANIFOLD, "slab").agg(F.count("*").alias("points"))
+    levels = f"CAST(ceil(log2(points / {BOX_POINTS})) AS INT)"
+    rows = stage(_cut(rows, counts, f"least({DEPTH}, ({levels} + 1) div 2)", "slab"))
+    rows = rows.withColumn("box", F.lit(0).cast("bigint"))
+    counts = rows.groupBy(*MANIFOLD, "slab", "box").agg(F.count("*").alias("points"))
+    rows = stage(_cut(rows, counts, f"least({DEPTH}, {levels})", "box"))
+    counts = rows.groupBy(*BOX).agg(F.expr(f"(count(*) + {2 * BOX_POINTS - 1}) div {2 * BOX_POINTS} AS _parts"))
+    parted = rows.join(counts, BOX).withColumn("box", F.expr("box * 1000000000 + pmod(xxhash64(i), _parts)"))
+    return stage(parted.drop("_parts"))
+
+
+def _cut(rows: DataFrame, counts: DataFrame, depth: str, name: str) -> DataFrame:
+    """Put each point into a cell of its tree, which replaces column ``name``."""
+    keys = [c for c in counts.columns if c != "points"]
+    cells = counts.selectExpr(*keys, "points", f"greatest(0, {depth}) AS _depth").where("_depth > 0")
+    chosen = rows.join(cells, keys).where(f"pmod(xxhash64(i, v), greatest(1L, points div {SAMPLE})) = 0")
+    samples = chosen.groupBy(*keys).agg(F.expr("max(_depth) AS _depth"), F.expr("collect_list(v) AS _sample"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.select(*keys).schema.fields)
+    trees = samples.mapInArrow(tiles.tree_kernel(keys), f"{kinds}, _depth int, _axis array<int>, _at array<double>")
+    down = "aggregate(sequence(1, _depth), 1, (c, l) -> 2 * c + IF(v[_axis[c - 1]] <= _at[c - 1], 0, 1))"
+    placed = rows.join(stage(trees), keys, "left")
+    return placed.withColumn(name, F.expr(f"CASE WHEN _depth IS NULL THEN 0L ELSE CAST({down} AS BIGINT) END")).select(*rows.columns)
 
 
 def _meetings(boxes: DataFrame, bounds: DataFrame) -> DataFrame:
     """Pairs of boxes that must meet: BOX, slab_b, box_b. Box b matters to box a if it is
     nearer than the worst k-th neighbour in a, or as near and holds a smaller index."""
-    slabs = boxes.groupBy(*MANIFOLD, F.col("slab").alias("slab_b")).agg(
-        F.expr("min(lo0) AS slo"), F.expr("max(hi0) AS shi")
-    )
+    def all_of(how: str, column: str) -> str:
+        return f"transform(sequence(0, E - 1), j -> array_{how}(transform({column}, a -> a[j])))"
+
+    slabs = boxes.groupBy(*MANIFOLD, F.col("slab").alias("slab_b")).agg(F.expr("collect_list(lo) AS los"), F.expr("collect_list(hi) AS his"))
+    slabs = slabs.selectExpr(*MANIFOLD, "slab_b", f"{all_of('min', 'los')} AS lo_b", f"{all_of('max', 'his')} AS hi_b")
     # Gaps are scaled down by far more than rounding could have added to them.
     close = 1 - 1e-12
-    a = boxes.join(bounds, BOX).join(slabs, MANIFOLD).where(
-        f"greatest(0D, slo - hi0, lo0 - shi) * {close!r}D <= worst.d"
-    ).drop("slo", "shi", "first_i")
-    b = boxes.selectExpr(
-        *MANIFOLD, "slab AS slab_b", "box AS box_b", "first_i", "lo AS lo_b", "hi AS hi_b"
-    )
     gaps = "zip_with(zip_with(lo_b, hi, (l, h) -> l - h), zip_with(lo, hi_b, (l, h) -> l - h), (x, y) -> greatest(0D, x, y))"
-    met = a.join(b, [*MANIFOLD, "slab_b"]).where("NOT (slab = slab_b AND box = box_b)")
-    met = met.selectExpr("*", f"sqrt(aggregate({gaps}, 0D, (s, g) -> s + g * g)) * {close!r}D AS gap")
+    gap = f"sqrt(aggregate({gaps}, 0D, (s, g) -> s + g * g)) * {close!r}D"
+    a = boxes.join(bounds, BOX).join(slabs, MANIFOLD).where(f"{gap} <= worst.d").drop("lo_b", "hi_b", "first_i")
+    b = boxes.selectExpr(*MANIFOLD, "slab AS slab_b", "box AS box_b", "first_i", "lo AS lo_b", "hi AS hi_b")
+    met = a.join(b, [*MANIFOLD, "slab_b"]).where("NOT (slab = slab_b AND box = box_b)").selectExpr("*", f"{gap} AS gap")
     return met.where("gap < worst.d OR (gap = worst.d AND first_i < worst.q)").select(*BOX, "slab_b", "box_b")

@@ -5,6 +5,7 @@ pair before it could cut to the nearest few; here a pair never becomes a row."""
 
 from __future__ import annotations
 
+import hashlib
 import math
 import sys
 
@@ -278,6 +279,8 @@ def unit_kernel(tile, k, ties, no_zero, distinct, replacement, in_task):
         for row in _rows(batches):
             mine = tuple(row[c].as_py() for c in ("series_id", "E", "tau", "block", "grp"))
             if mine != key:
+                if row["chunk"].as_py() >= 0:
+                    continue  # a block without points to answer for
                 draws = row["draws"].values
                 unit = _Unit(row, k, *(_numbers(draws, c).astype(np.int32) for c in ("L", "sample")))
                 key, members = mine, _members(draws, row["n"].as_py(), replacement) if in_task else []
@@ -289,19 +292,139 @@ def unit_kernel(tile, k, ties, no_zero, distinct, replacement, in_task):
     return lambda batches: _gathered(answers(batches))
 
 
-def rank_kernel(k: int, no_zero: bool):
-    """For mapInArrow: each row pairs a block of points with a block of candidates, all of them
-    one draw; L names the pair."""
+def every_kernel(k: int, no_zero: bool):
+    """For mapInArrow, as unit_kernel, with every candidate a neighbour of one draw, numbered 0."""
 
     def answers(batches):
+        unit, key = None, None
         for row in _rows(batches):
-            unit = _Unit(row, k, np.array([row["L"].as_py()], np.int32), np.zeros(1, np.int32))
-            lib = _sorted_block(row["lib"].values)
-            yield from _answers(unit, 0, lib, np.ones((1, len(lib)), np.int32), False, no_zero, False)
+            mine = tuple(row[c].as_py() for c in ("series_id", "E", "tau", "block"))
+            if mine != key:
+                unit, key = _Unit(row, k, _zero, _zero), mine
+                continue
+            yield from _every(unit, unit.points, row["chunk"].as_py(), _sorted_block(row["points"].values), no_zero)
+
+    return lambda batches: _gathered(answers(batches))
+
+
+def walk_kernel(k, depth, ties, no_zero, distinct, replacement, seed):
+    """For mapInArrow, over points with their ranks, in parts of other candidates each: their
+    nearest members of every draw of ``runs``. ``open`` marks answers that the ranks may not hold
+    to the end."""
+
+    def answers(batches):
+        unit, key, draws = None, None, []
+        for row in _points_of(batches):
+            mine = (row["series_id"], row["E"], row["tau"], row["n"])
+            if mine != key:
+                key = mine
+                named = [(r["L"], s) for r in row["runs"] for s in range(r["samples"])]
+                draws = [(L, s, *_counted_draw(seed, mine, L, s, replacement, distinct)) for L, s in named]
+                L, sample = (np.array([d[j] for d in draws], np.int32) for j in range(2))
+                unit = L, sample
+            yield _walk(row, unit, draws, k or row["E"] + 1, depth, ties, no_zero)
 
     return lambda batches: _gathered(answers(batches))
 
 
+def _points_of(batches):
+    for batch in batches:
+        yield from batch.to_pylist()
+
+
+def _counted_draw(seed, manifold, L, sample, replacement, distinct):
+    """Point numbers of a draw in order, and how often each was drawn."""
+    series, E, tau, n = manifold
+    digits = hashlib.md5(f"{seed}:{series}:{E}:{tau}:{L}:{sample}".encode()).hexdigest()[:15]
+    members, times = np.unique(draw_positions(int(digits, 16), min(L, n), n, replacement), return_counts=True)
+    return members, np.ones_like(times) if distinct else times
+
+
+def _walk(row, unit, draws, k, depth, ties, no_zero):
+    """One point's answers for every draw."""
+    shift = (row["E"] - 1) * row["tau"]
+    q = np.array([i for part in row["parts"] for i in part["q"]], np.int64)
+    d = np.array([x for part in row["parts"] for x in part["d"]], np.float64)
+    yq = [x for part in row["parts"] for x in part["yq"]]
+    # behind the last rank of a part that may go on, ranks are no longer all known
+    ends = [(part["d"][-1], part["q"][-1]) for part in row["parts"] if len(part["q"]) == depth < part["seen"]]
+    order = np.lexsort((q, d))
+    q, d = q[order], d[order]
+    known = len(q)
+    if ends:
+        last = min(ends)
+        known = int(np.count_nonzero((d < last[0]) | ((d == last[0]) & (q <= last[1]))))
+    if no_zero:
+        keep = d >= 1e-30
+        known = int(np.count_nonzero(keep[:known]))
+        q, d, order = q[keep], d[keep], order[keep]
+    found, open_ = [], []
+    for _, _, members, times in draws:
+        at = np.minimum(np.searchsorted(members, q[:known] - shift), len(members) - 1)
+        hits = np.where(members[at] == q[:known] - shift, times[at], 0)
+        before = np.cumsum(hits) - hits
+        cols = np.flatnonzero((hits > 0) & (before < k))
+        full = len(cols) and before[cols[-1]] + hits[cols[-1]] >= k
+        if ties and full:
+            cols = np.flatnonzero((hits > 0) & (d[:known] <= d[cols[-1]]))
+            full = not ends or d[cols[-1]] < d[known - 1]
+        found.append((cols, hits[cols] if ties else np.minimum(hits, k - before)[cols]))
+        open_.append(bool(ends) and not full)
+    sizes = [len(cols) for cols, _ in found]
+    cols = np.concatenate([c for c, _ in found]).astype(np.int64)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    total = len(draws)
+    lists = (q[cols], d[cols], np.concatenate([m for _, m in found]).astype(np.int32))
+    arrays = [pa.array(x) for x in lists] + [pa.array([yq[order[c]] for c in cols.tolist()], pa.float64())]
+    return pa.RecordBatch.from_arrays(
+        [pa.repeat(pa.scalar(row[c], kind), total) for c, kind in (("series_id", pa.string()), ("E", pa.int32()), ("tau", pa.int32()))]
+        + [pa.array(x) for x in unit]
+        + [pa.repeat(pa.scalar(row["pos"] + shift, pa.int64()), total), pa.repeat(pa.scalar(row["y"], pa.float64()), total)]
+        + [pa.ListArray.from_arrays(offsets, x) for x in arrays]
+        + [pa.repeat(pa.scalar(0, pa.int64()), total), pa.array(open_)],
+        names=["series_id", "E", "tau", "L", "sample", "p", "y", "q", "d", "m", "yq", "chunk", "open"],
+    )
+
+
+def box_kernel(k: int, no_zero: bool):
+    """For mapInArrow: each row pairs a box of points with a box of candidates, all of them one
+    draw. ``reach``, if given, says how far each point still has to look; those that the box
+    of the candidates does not come near enough to are left out."""
+
+    def answers(batches):
+        for row in _rows(batches):
+            unit, lib = _Unit(row, k, _zero, _zero), _sorted_block(row["lib"].values)
+            points = unit.points
+            if row["reach"].is_valid:
+                points = points.take(pa.array(np.flatnonzero(_near_enough(points, lib, row["reach"].values))))
+            yield from _every(unit, points, 0, lib, no_zero)
+
+    return lambda batches: _gathered(answers(batches))
+
+
+_zero = np.zeros(1, np.int32)
+
+
+def _near_enough(points, lib, reach) -> np.ndarray:
+    far = dict(zip(_numbers(reach, "i").tolist(), _numbers(reach, "d").tolist()))
+    limit = np.array([far.get(i, np.inf) for i in _numbers(points, "i").tolist()])
+    v, cand = _vectors(points), _vectors(lib)
+    gap = np.maximum(0.0, np.maximum(cand.min(0) - v, v - cand.max(0)))
+    # scaled down by far more than rounding could have added
+    return np.sqrt((gap * gap).sum(1)) * (1 - 1e-12) <= limit
+
+
+def _every(unit, points, chunk, lib, no_zero):
+    """Record batches of the k nearest of ``lib`` for each of ``points``."""
+    cand, cand_i = _vectors(lib), _numbers(lib, "i")
+    step = max(1, TILE_CELLS // len(lib))
+    for lo in range(0, len(points), step):
+        part = points.slice(lo, step)
+        order, near = nearest_columns(_measured(part, cand, cand_i, no_zero), min(unit.k, len(lib)))
+        held = np.isfinite(near)
+        yield _batch(unit, part, chunk, lib, held.sum(1), order[held], np.ones(int(held.sum()), np.int32), near[held])
+
+
 def _measured(part, cand, cand_i, no_zero):
     """Distances, infinite where a candidate is no neighbour."""
     d = distances(_vectors(part), cand)
@@ -339,7 +462,7 @@ def _answers(unit, chunk, lib, draws, ties, no_zero, alone):
     held = np.flatnonzero(draws.any(axis=0))
     if len(held) < len(lib):
         lib, draws = lib.take(pa.array(held)), draws[:, held]
-    cand_i, cand_y = _numbers(lib, "i"), lib.field("y")
+    cand_i = _numbers(lib, "i")
     cand = _vectors(lib) if len(lib) else None
     step = max(1, TILE_CELLS // max(1, len(lib)))
     for lo in range(0, len(unit.points), step):
@@ -351,19 +474,52 @@ def _answers(unit, chunk, lib, draws, ties, no_zero, alone):
             near = d[np.repeat(np.tile(np.arange(len(part)), len(draws)), sizes), cols]
         else:
             sizes, cols, mult, near = np.zeros(total, np.int64), held, held, np.zeros(0)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-        found = (pa.array(cand_i[cols]), pa.array(near), pa.array(mult.astype(np.int32)), cand_y.take(pa.array(cols)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.repeat(unit.head[c], total) for c in ("series_id", "E", "tau")]
-            + [pa.array(np.repeat(x, len(part))) for x in (unit.L, unit.sample)]
-            + [
-                pa.array(np.tile(_numbers(part, "i"), len(draws))),
-                part.field("y").take(pa.array(np.tile(np.arange(len(part)), len(draws)))),
-            ]
-            + [pa.ListArray.from_arrays(offsets, x) for x in found]
-            + [pa.repeat(pa.scalar(chunk, pa.int64()), total)],
-            names=["series_id", "E", "tau", "L", "sample", "p", "y", "q", "d", "m", "yq", "chunk"],
-        )
+        yield _batch(unit, part, chunk, lib, sizes, cols, mult, near)
+
+
+def _batch(unit, part, chunk, lib, sizes, cols, mult, near):
+    """A row for each draw and point; ``cols``: the members found, ``sizes`` of them in each row."""
+    draws, total = len(unit.L), len(sizes)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    found = (pa.array(_numbers(lib, "i")[cols]), pa.array(near), pa.array(mult.astype(np.int32)), lib.field("y").take(pa.array(cols)))
+    return pa.RecordBatch.from_arrays(
+        [pa.repeat(unit.head[c], total) for c in ("series_id", "E", "tau")]
+        + [pa.array(np.repeat(x, len(part))) for x in (unit.L, unit.sample)]
+        + [
+            pa.array(np.tile(_numbers(part, "i"), draws)),
+            part.field("y").take(pa.array(np.tile(np.arange(len(part)), draws))),
+        ]
+        + [pa.ListArray.from_arrays(offsets, x) for x in found]
+        + [pa.repeat(pa.scalar(chunk, pa.int64()), total)],
+        names=["series_id", "E", "tau", "L", "sample", "p", "y", "q", "d", "m", "yq", "chunk"],
+    )
+
+
+def tree_kernel(keys: list[str]):
+    """For mapInArrow: from a sample of each cell's vectors the tree of its cuts, as axis and place
+    of every inner node, the children of node c (from 1) being 2c and 2c + 1."""
+
+    def trees(batches):
+        for row in _rows(batches):
+            depth, sample = row["_depth"].as_py(), np.array(row["_sample"].as_py(), np.float64)
+            axis, at = np.zeros((1 << depth) - 1, np.int32), np.zeros((1 << depth) - 1)
+            held = {1: sample}
+            for node in range(1, 1 << depth):
+                mine = held.pop(node)
+                if len(mine):
+                    axis[node - 1] = j = int(np.argmax(mine.max(0) - mine.min(0)))
+                    at[node - 1] = cut = float(np.partition(mine[:, j], (len(mine) - 1) // 2)[(len(mine) - 1) // 2])
+                    left = mine[:, j] <= cut
+                    held[2 * node], held[2 * node + 1] = mine[left], mine[~left]
+                else:
+                    held[2 * node] = held[2 * node + 1] = mine
+            columns = [pa.repeat(row[c], 1) for c in keys]
+            yield pa.RecordBatch.from_arrays(
+                columns + [pa.array([depth], pa.int32()), pa.array([axis.tolist()], pa.list_(pa.int32())), pa.array([at.tolist()], pa.list_(pa.float64()))],
+                names=[*keys, "_depth", "_axis", "_at"],
+            )
+
+    return lambda batches: _gathered(trees(batches))
 
 
 def matrix_kernel(measure: str, summarise: bool):

@@ -11,6 +11,7 @@ from tidelag.operators.embedding import accumulate_vs_next, embed, lengths, mani
 from tidelag.operators.neighbors import knn_in_library
 from tidelag.operators.simplex import simplex_forecast, simplex_predict, simplex_weights
 from tidelag.operators.skill import skill
+from tidelag.operators.stored_ranks import RankTable
 from tidelag.spec import LengthRange, Spec
 from tidelag.staging import stage
 
@@ -21,10 +22,17 @@ def manifold_of(series: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
     return points, manifold_lengths(points) if spec.drop_missing else lengths(series, spec.pairs)
 
 
-def neighbours(series: DataFrame, spec: Spec, k: int | None = None, library: DataFrame | None = None) -> DataFrame:
+def neighbours(
+    series: DataFrame, spec: Spec, k: int | None = None, library: DataFrame | None = None, ranks: RankTable | None = None
+) -> DataFrame:
     """The nearest library members of every point. ``library`` (series_id, E, tau, L, sample, idx,
-    m) names the members; without it they are drawn."""
+    m) names the members; without it they are drawn. ``ranks``: a stored rank table that holds
+    the manifolds, from which they are read instead of measured."""
     points = embed(series, spec.pairs, spec.drop_missing)
+    if ranks is not None:
+        if library is not None or spec.drop_missing:
+            raise ValueError("a rank table answers drawn libraries of whole manifolds")
+        return ranks.knn(points, spec, k, sizes=_sizes(series, spec))
     return knn_in_library(points, spec, k, sizes=_sizes(series, spec), library=library)
 
 
@@ -39,21 +47,23 @@ def _forecasts(found: DataFrame, spec: Spec, largest: int) -> DataFrame:
     return simplex_forecast(found, largest + 1, spec.weight_floor)
 
 
-def forecasts(series: DataFrame, spec: Spec, library: DataFrame | None = None) -> DataFrame:
+def forecasts(series: DataFrame, spec: Spec, library: DataFrame | None = None, ranks: RankTable | None = None) -> DataFrame:
     """series_id, E, tau, L, sample, p, y, y_hat."""
-    return _forecasts(neighbours(series, spec, library=library), spec, max(spec.E))
+    return _forecasts(neighbours(series, spec, library=library, ranks=ranks), spec, max(spec.E))
 
 
-def cross_map(series: DataFrame, spec: Spec, grid: DataFrame | None = None, library: DataFrame | None = None) -> DataFrame:
+def cross_map(
+    series: DataFrame, spec: Spec, grid: DataFrame | None = None, library: DataFrame | None = None, ranks: RankTable | None = None
+) -> DataFrame:
     """Cross-map skill of ``series`` (series_id, i, x, y) over the whole grid: does the
     history of x recover y? E, tau and L are columns, so a sweep is one plan.
 
     ``grid`` (series_id, E, tau, L, samples) names what to run for each series instead of
     spec's E, tau, L and samples, as task files do; of equal rows the most samples count.
     Its distinct (E, tau), a few, are looked up when this is called. ``library`` gives the
-    members of every draw instead, as in ``neighbours``."""
+    members of every draw instead, and ``ranks`` a stored rank table, as in ``neighbours``."""
     if grid is None:
-        return skill(forecasts(series, spec, library))
+        return skill(forecasts(series, spec, library, ranks))
     pairs = [(r["E"], r["tau"]) for r in grid.select("E", "tau").distinct().collect()]
     if not pairs:
         raise ValueError("the grid is empty")
@@ -61,7 +71,8 @@ def cross_map(series: DataFrame, spec: Spec, grid: DataFrame | None = None, libr
     runs = wanted.groupBy("series_id", "E", "tau").agg(
         F.sort_array(F.collect_list(F.struct(F.col("L").cast("int").alias("L"), F.col("samples").cast("int").alias("samples")))).alias("runs")
     )
-    found = knn_in_library(embed(series, pairs, spec.drop_missing), spec, runs=runs, sizes=_sizes(series, spec, pairs))
+    points, sizes = embed(series, pairs, spec.drop_missing), _sizes(series, spec, pairs)
+    found = knn_in_library(points, spec, runs=runs, sizes=sizes) if ranks is None else ranks.knn(points, spec, runs=runs, sizes=sizes)
     return skill(_forecasts(found, spec, max(E for E, _ in pairs)))
 
 
