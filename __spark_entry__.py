@@ -17,7 +17,8 @@ from tidelag import LengthRange, Spec, cross_map, forecasts, neighbours, param_v
 from tidelag import operators as op  # noqa: E402
 from tidelag.plans import manifold_of  # noqa: E402
 from tidelag.sources import (  # noqa: E402
-    bin_rows, fill_calendar, read_series_csv, read_skill, read_tasks_json, require_paired, skill_to_json, write_skill,
+    bin_rows, fill_calendar, read_series_csv, read_skill, read_task_results, read_tasks_json, require_paired, skill_to_json, write_skill,
+    write_task_results,
 )
 from tidelag.staging import shared_folder  # noqa: E402
 
@@ -101,7 +102,7 @@ def _weight_rows(series: DataFrame, spec: Spec) -> DataFrame:
 
 
 def _scenario(spark, sf_dir) -> DataFrame:
-    return scenario_sweep(_event_counts(spark, sf_dir), "x", SCENARIO_E, SCENARIO_WIDTHS, SCENARIO)
+    return scenario_sweep(_event_counts(spark, sf_dir), "x", SCENARIO_E, SCENARIO_WIDTHS, SCENARIO, decimals=0)
 
 
 def _scenario_means(spark, sf_dir) -> DataFrame:
@@ -139,20 +140,23 @@ def _purchase_hours(spark, sf_dir) -> DataFrame:
 
 def _task_runs(spark, sf_dir) -> DataFrame:
     """Tasks as JSON lines, each with its own E, tau, L and samples: one per user group, over
-    the daily values of its clicks and views; written, read back and run."""
+    the daily values of its clicks and views; written, read back and run. Results go to the
+    output path that each task names, and are read from there."""
     users = _clicks_and_views(spark, sf_dir, "day", F.expr("CAST(user_id % 4 AS STRING)"))
     packed = users.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("r"))
     group = F.col("series_id").cast("int")
     lines = packed.select(
-        F.col("r.x").alias("observations"), F.col("r.y").alias("targets"), (group % 2 + 2).alias("e"), (group % 3 + 1).alias("tau"),
+        F.col("series_id").alias("name"), F.col("r.x").alias("observations"), F.col("r.y").alias("targets"),
+        (group % 2 + 2).alias("e"), (group % 3 + 1).alias("tau"),
         F.lit(10).alias("l"), (group + 1).alias("samples"), F.when(group > 1, 1).otherwise(0).alias("multil"),
         F.lit(5).alias("lstart"), F.lit(15).alias("lend"), F.lit(5).alias("linterval"),
+        F.when(group == 0, 0).otherwise(1).alias("genoutput"), F.concat(F.lit("groups/odd="), group % 2).alias("outputpath"),
     )
-    path = f"{shared_folder(spark)}/tasks-{uuid.uuid4().hex}"
-    lines.write.json(path)
-    series, tasks = read_tasks_json(spark, path)
-    runs = cross_map(series, Spec(seed=42), tasks)
-    return runs.select("E", "tau", "L", "sample", "n_pred")
+    folder = f"{shared_folder(spark)}/tasks-{uuid.uuid4().hex}"
+    lines.write.json(f"{folder}/in")
+    series, tasks = read_tasks_json(spark, f"{folder}/in")
+    write_task_results(cross_map(series, Spec(seed=42), tasks), tasks, f"{folder}/out")
+    return _skill(read_task_results(spark, f"{folder}/out"))
 
 
 def _csv_series(spark, sf_dir) -> DataFrame:
@@ -233,10 +237,11 @@ def _series_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "embed_drop_missing": lambda s, d: _tidy(
             _vector(op.embed(hourly(s, d, how="avg", fill=None), [(3, 1)], drop_missing=True), 3), "x0", "x1", "x2", "y"
         ),
-        "rolling_sum_w7": lambda s, d: op.rolling_sum(_daily_orders(s, d), "x", 7).select(
+        "rolling_sum_w7": lambda s, d: op.rolling_sum(_daily_orders(s, d), "x", 7, decimals=0).select(
             "series_id", "i", "x", "rolling_sum"
         ),
-        "accumulate_vs_next": lambda s, d: op.accumulate_vs_next(_daily_orders(s, d), "x", (7, 14), (2, 4)),
+        "rolling_sum_w10000": lambda s, d: op.rolling_sum(_line_items(s, d), "x", 10_000, decimals=2).select("series_id", "i", "rolling_sum"),
+        "accumulate_vs_next": lambda s, d: op.accumulate_vs_next(_daily_orders(s, d), "x", (7, 14), (2, 4), decimals=0),
         # Distances and neighbours
         "pair_distances": lambda s, d: _tidy(
             op.pair_distances(op.embed(hourly(s, d), [(3, 1)]), summarise=True).select(
@@ -325,6 +330,10 @@ def _series_sql() -> dict[str, str]:
     groups = sql.series_events("CAST(user_id % 4 AS VARCHAR)", 86400)
     every = """series AS (SELECT 'all' AS series_id, count(*) OVER () AS n, row_number() OVER (ORDER BY event_id) - 1 AS i,
         CAST(value AS DOUBLE) AS x, CAST(user_id AS DOUBLE) AS y FROM events)"""
+    task_chains = ", ".join(
+        f"s{g} AS (SELECT * FROM series WHERE series_id = '{g}'), "
+        + sql.chain(g % 2 + 2, g % 3 + 1, [5, 10, 15] if g > 1 else [10], g + 1, f"t{g}", f"s{g}") for g in (1, 2, 3)
+    )
     multi_l, sweep_l, pairs = [100, 200, 300, 400], [100, 200, 300], [(2, 1), (2, 2), (3, 1), (3, 2)]
     skill = sql.SKILL_COLUMNS
     single = sql.chain(3, 1, [200], 5)
@@ -361,6 +370,10 @@ def _series_sql() -> dict[str, str]:
         "embed_drop_missing": f"""WITH {sql.series_events(x='avg')}, {sql.manifold(3, 1, drop_missing=True)}
             SELECT series_id, E, tau, i, pos, round(x0, 6) AS x0, round(x1, 6) AS x1, round(x2, 6) AS x2, round(y, 6) AS y FROM m""",
         "rolling_sum_w7": f"WITH {orders}, {sql.rolling('series', 7, 'r')} SELECT series_id, i, x, rolling_sum FROM r",
+        "rolling_sum_w10000": f"""WITH {sql.lineitem_series()},
+            p AS (SELECT i, sum(CAST(x AS DECIMAL(18,2))) OVER (ORDER BY i) AS upto FROM series)
+            SELECT 'all' AS series_id, a.i, CAST(a.upto - coalesce(b.upto, 0) AS DOUBLE) AS rolling_sum
+            FROM p a LEFT JOIN p b ON b.i = a.i - 10000 WHERE a.i >= 9999""",
         "accumulate_vs_next": f"WITH {orders}, "
         + ",".join(sql.paired(w, a, f"p_{w}_{a}") for w in (7, 14) for a in (2, 4))
         + " UNION ALL ".join(
@@ -426,12 +439,8 @@ def _series_sql() -> dict[str, str]:
             cb AS (SELECT series_id, E, tau, L, count(*) AS draws_b, avg(rho) AS mean_b FROM skill_b GROUP BY ALL)
             SELECT ca.series_id, ca.E, ca.tau, ca.L, draws_a, round(mean_a, 6) AS mean_a, draws_b, round(mean_b, 6) AS mean_b,
                    round(mean_b - mean_a, 6) AS difference FROM ca JOIN cb ON ca.L = cb.L""",
-        "xmap_tasks": f"""WITH {groups}, runs AS (
-            SELECT n, CAST(series_id AS INT) % 2 + 2 AS E, CAST(series_id AS INT) % 3 + 1 AS tau, CAST(series_id AS INT) + 1 AS samples,
-                   unnest(CASE WHEN CAST(series_id AS INT) > 1 THEN [5, 10, 15] ELSE [10] END) AS L
-            FROM (SELECT DISTINCT series_id, n FROM series) t)
-            SELECT CAST(E AS INT) AS E, CAST(tau AS INT) AS tau, CAST(L AS INT) AS L,
-                   CAST(unnest(generate_series(0, samples - 1)) AS INT) AS sample, n - (E - 1) * tau AS n_pred FROM runs""",
+        "xmap_tasks": f"WITH {groups}, {task_chains} "
+        + " UNION ALL ".join(f"SELECT 'groups/odd={g % 2}' AS outputpath, {skill} FROM skill_t{g}" for g in (1, 2, 3)),
         "series_csv": """SELECT 'all' AS series_id, count(*) OVER () AS n, row_number() OVER (ORDER BY o_orderkey) - 1 AS i,
             CAST(o_totalprice AS DOUBLE) AS x, CAST(o_custkey AS DOUBLE) AS y FROM orders""",
         "series_paired": f"WITH {users} SELECT * FROM series",

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from tidelag import Spec, cross_map, neighbours
 from tidelag.operators import embed, explode_neighbors, pair_distances, rank_neighbors, simplex_forecast
-from tidelag.operators import simplex_predict, simplex_weights, tiles
+from tidelag.operators import neighbors, simplex_predict, simplex_weights, tiles
 
 # The nine-point series of the reference's worked example.
 NINE = ([3, 4, 5, 6, 7, 1, 2, 5, 2], [7, 5, 8, 1, 3, 4, 3, 2, 1])
@@ -155,10 +155,23 @@ def test_pair_distances(spark, small_blocks):
     cells = {(r.p, q): d for r in pair_distances(points).collect() for q, d in zip(r.q, r.d)}
     pts = brute.points(x, 2, 1)
     assert cells == {(i, q): brute.distance(v, w) for i, v in pts for q, w in pts if i != q}
+    # each pair of blocks meets once
+    rows = pair_distances(points).collect()
+    assert len({(r.p, r.q_block) for r in rows}) == len(rows)
     sums = pair_distances(points, summarise=True).groupBy().sum("pairs", "total").first()
     assert sums[0] == len(cells) and sums[1] == pytest.approx(sum(cells.values()))
 
 
+def test_pairs_of_blocks_are_dealt_evenly(spark, small_blocks, monkeypatch):
+    x = [float(v) for v in range(84)]
+    points = embed(frame(spark, {"a": (x, x)}), [(1, 1)])
+    hosts = {}
+    monkeypatch.setattr(neighbors, "deal_out", lambda units, *keys: [hosts.setdefault(r.block, []).append(r.q_block) for r in units.collect()] and units)
+    pair_distances(points)
+    assert sorted({tuple(sorted((h, v))) for h, visitors in hosts.items() for v in visitors}) == [(a, b) for a in range(12) for b in range(a, 12)]
+    assert sum(map(len, hosts.values())) == 12 * 13 // 2 and max(map(len, hosts.values())) <= 7
+
+
 def test_forecast_forms_agree(spark):
     found = neighbours(frame(spark, mixed_series()), Spec(E=(2, 3), L=(8,), samples=3))
     fast = {tuple(r[:6]): r.y_hat for r in simplex_forecast(found, 4).collect()}

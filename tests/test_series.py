@@ -206,3 +206,67 @@ def test_scenarios_equal_single_runs(spark):
 def test_staging_keeps_rows(spark):
     df = counts_frame(spark, [1.0, 2.0, 3.0])
     assert sorted(stage(df).collect()) == sorted(df.collect())
+
+
+def test_trailing_sums_of_any_width(spark):
+    """Widths over several stretches, with missing values; exact where values have decimals."""
+    rng = __import__("random").Random(4)
+    values = [rng.choice([None, float("nan"), float("inf")]) if rng.random() < 0.3 else rng.randrange(-10**9, 10**9) / 100 for _ in range(400)]
+    values[100:180] = [None] * 80
+    rows = [("a", i, v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "series_id string, i bigint, x double")
+    cents = [None if v is None or v != v or abs(v) == float("inf") else round(v * 100) for v in values]
+    for width in (1, 5, 70, 399):
+        want = {}
+        for i in range(width - 1, 400):
+            held = [c for c in cents[i - width + 1 : i + 1] if c is not None]
+            want[i] = sum(held) / 100 if held else None
+        exact = {r.i: r.rolling_sum for r in rolling_sum(df, "x", width, stretch=64, decimals=2).collect()}
+        assert exact == want
+        near = {r.i: r.rolling_sum for r in rolling_sum(df, "x", width, stretch=64).collect()}
+        assert set(near) == set(want)
+        for i, v in want.items():
+            assert (near[i] is None) == (v is None) and (v is None or near[i] == pytest.approx(v, abs=1e-4))
+    whole = spark.createDataFrame([("a", i, i) for i in range(50)], "series_id string, i bigint, x bigint")
+    assert [r.rolling_sum for r in rolling_sum(whole, "x", 10, stretch=8).orderBy("i").collect()] == [sum(range(i - 9, i + 1)) for i in range(9, 50)]
+    with pytest.raises(Exception, match="does not fit 1 decimals"):
+        rolling_sum(df, "x", 5, decimals=1).collect()
+
+
+def test_a_width_of_100000(spark):
+    """One pass whatever the width; the sums of two ends and their number."""
+    df = spark.range(300_000).selectExpr("'a' AS series_id", "id AS i", "CAST(id % 1000 AS DOUBLE) / 4 AS x")
+    got = rolling_sum(df, "x", 100_000, decimals=2).selectExpr("min(i)", "max(i)", "count(*)", "min(rolling_sum)", "max(rolling_sum)").first()
+    assert tuple(got) == (99_999, 299_999, 200_001, 12_487_500.0, 12_487_500.0)
+
+
+def test_task_results_go_where_the_task_says(spark, tmp_path):
+    import json
+
+    from tidelag import Spec, cross_map
+    from tidelag.sources import read_task_results, write_task_results
+
+    base = {"observations": [float(i * i % 7) for i in range(20)], "targets": [float(i % 5) for i in range(20)], "tau": 1, "l": 6, "multil": 0, "gpu": 0,
+            "lstart": 4, "lend": 8, "linterval": 4}
+    tasks = [
+        {**base, "name": "a", "e": 2, "samples": 3, "genoutput": 1, "outputpath": "here/x"},
+        {**base, "name": "a", "e": 2, "samples": 2, "genoutput": 1, "outputpath": "there"},
+        {**base, "name": "b", "e": 3, "samples": 2, "genoutput": 1, "outputpath": "here/x", "multil": 1},
+        {**base, "name": "a", "e": 3, "samples": 5, "genoutput": 0, "outputpath": "here/x"},
+    ]
+    (tmp_path / "tasks.json").write_text("\n".join(map(json.dumps, tasks)))
+    series, found = read_tasks_json(spark, str(tmp_path / "tasks.json"))
+    skill = cross_map(series, Spec(), found)
+    for fmt in ("csv", "parquet"):
+        write_task_results(skill, found, str(tmp_path / fmt), fmt)
+        got = read_task_results(spark, str(tmp_path / fmt), fmt)
+        keys = sorted((r.outputpath, r.series_id, r.E, r.L, r.sample) for r in got.collect())
+        want = [("here/x", "a", 2, 6, s) for s in range(3)] + [("there", "a", 2, 6, s) for s in range(2)]
+        want += [("here/x", "b", 3, L, s) for L in (4, 8) for s in range(2)]
+        assert keys == sorted(want)
+        rho = {(r.series_id, r.E, r.L, r.sample): r.rho for r in skill.collect()}
+        assert all(r.rho == rho[r.series_id, r.E, r.L, r.sample] for r in got.collect())
+    other = {**base, "name": "a", "e": 2, "samples": 1, "targets": [1.0] * 20}
+    (tmp_path / "clash.json").write_text("\n".join(map(json.dumps, [tasks[0], other])))
+    with pytest.raises(Exception, match="one name for different series"):
+        read_tasks_json(spark, str(tmp_path / "clash.json"))[0].collect()

@@ -84,28 +84,76 @@ def manifold_lengths(manifold: DataFrame) -> DataFrame:
     return manifold.where("pos = 0").select("series_id", "E", "tau", F.col("n").alias("series_n"), "n")
 
 
-def rolling_sum(df: DataFrame, col: str, width: int, stretch: int = STRETCH) -> DataFrame:
-    """Sum of the last ``width`` values; the first width-1 rows of a series are dropped."""
-    rows, w = with_halo(df, before=width - 1, stretch=stretch)
-    total = F.sum(col).over(w.rowsBetween(-(width - 1), 0))
-    return rows.withColumn("rolling_sum", total).where(F.col("_own") & (F.col("i") >= width - 1)).drop("_own", "_stretch")
-
-
-def accumulate_vs_next(df: DataFrame, col: str, widths, ahead, stretch: int = STRETCH) -> DataFrame:
+#: Sums of this many values or fewer, if they are not exact, are added value by value.
+NARROW = 64
+
+
+class _Running:
+    """Trailing sums of column ``col`` in a halo window.
+
+    A sum is the difference of two running sums, which start anew in each stretch, so its cost
+    does not depend on the width and all widths share one pass. With ``decimals``, or for whole
+    numbers, running sums are whole numbers and the differences exact. For others they carry the
+    rounding of up to a stretch of values, so narrow sums are added value by value instead. Null,
+    NaN and infinite values are missing; a sum of missing values only is missing."""
+
+    def __init__(self, rows: DataFrame, col: str, window, decimals: int | None):
+        kind = rows.schema[col].dataType.simpleString()
+        self.window, self.scale = window, 10 ** (decimals or 0)
+        whole = kind in ("tinyint", "smallint", "int", "bigint")
+        self.exact = whole or decimals is not None
+        c = f"`{col}`"
+        if whole:
+            value, self.scale = f"CAST({c} AS BIGINT)", 1
+        else:
+            finite = f"CASE WHEN NOT isnan(CAST({c} AS DOUBLE)) AND abs(CAST({c} AS DOUBLE)) < double('inf') THEN CAST({c} AS DOUBLE) END"
+            value = finite
+            if decimals is not None:
+                fixed = f"try_cast({finite} AS DECIMAL(18,{decimals}))"
+                message = f"concat('value ', CAST({c} AS STRING), ' does not fit {decimals} decimals')"
+                odd = f"({finite}) IS NOT NULL AND NOT coalesce(CAST({fixed} AS DOUBLE) = {c}, false)"
+                value = f"CASE WHEN {odd} THEN raise_error({message}) ELSE CAST({fixed} * {self.scale} AS BIGINT) END"
+        upto = window.rowsBetween(Window.unboundedPreceding, 0)
+        self.rows = rows.withColumn("_value", F.expr(value))
+        self.columns = [F.sum("_value").over(upto).alias("_sum"), F.count("_value").over(upto).alias("_held")]
+
+    def running(self) -> DataFrame:
+        return self.rows.select("*", *self.columns)
+
+    def of(self, width: int):
+        """The sum of the last ``width`` values, as a column of ``running()``."""
+        if not self.exact and width <= NARROW:
+            return F.sum("_value").over(self.window.rowsBetween(1 - width, 0))
+        total = F.coalesce("_sum", F.lit(0)) - F.coalesce(F.lag("_sum", width).over(self.window), F.lit(0))
+        some = F.col("_held") - F.coalesce(F.lag("_held", width).over(self.window), F.lit(0)) > 0
+        return F.when(some, total.cast("double") / self.scale if self.exact else total)
+
+
+def rolling_sum(df: DataFrame, col: str, width: int, stretch: int = STRETCH, decimals: int | None = None) -> DataFrame:
+    """Sum of the last ``width`` values; the first width-1 rows of a series are dropped. With
+    ``decimals`` sums are exact, and a value that has more is an error."""
+    rows, w = with_halo(df, before=width, stretch=stretch)
+    sums = _Running(rows, col, w, decimals)
+    out = sums.running().withColumn("rolling_sum", sums.of(width))
+    return out.where(F.col("_own") & (F.col("i") >= width - 1)).drop("_own", "_stretch", "_value", "_sum", "_held")
+
+
+def accumulate_vs_next(df: DataFrame, col: str, widths, ahead, stretch: int = STRETCH, decimals: int | None = None) -> DataFrame:
     """Pair the trailing sum of ``width`` values with the value ``ahead`` steps later.
 
     Columns: series_id, width, ahead, n, i (from 0), x (the sum), y (the later value). Every
-    width and every ``ahead`` is computed in the same pass."""
+    width is a difference of the same running sums, so all are computed in one pass."""
     widths, ahead = list(widths), list(ahead)
     counted = with_length(df).select("series_id", "n", "i", F.col(col).alias("_c"))
-    rows, w = with_halo(counted, max(widths) - 1, max(ahead), stretch)
-    rows = rows.select(
+    rows, w = with_halo(counted, max(widths), max(ahead), stretch)
+    sums = _Running(rows, "_c", w, decimals)
+    rows = sums.running().select(
         "*",
         *[F.lead("_c", a).over(w).alias(f"_y{a}") for a in ahead],
-        *[F.sum("_c").over(w.rowsBetween(1 - width, 0)).alias(f"_s{width}") for width in widths],
+        *[sums.of(width).alias(f"_s{width}") for width in widths],
     )
     choices = ", ".join(
-        f"struct({width} AS width, {a} AS ahead, _s{width} AS x, _y{a} AS y)" for width in widths for a in ahead
+        f"struct({width} AS width, {a} AS ahead, CAST(_s{width} AS DOUBLE) AS x, _y{a} AS y)" for width in widths for a in ahead
     )
     return (
         rows.where("_own").selectExpr("series_id", "n", "i", f"inline(array({choices}))")

@@ -33,14 +33,6 @@ HITS = "ARRAY<STRUCT<g: INT, m: INT>>"
 DRAW_LIST = "ARRAY<STRUCT<L: INT, size: BIGINT, sample: INT, ticket: BIGINT>>"
 
 
-def pack_points(manifold: DataFrame, size: int = POINTS) -> DataFrame:
-    """Points in blocks of at most ``size``, one row per block."""
-    return (
-        manifold.groupBy(*MANIFOLD, F.expr(f"pos div {size}").alias("block"))
-        .agg(F.expr("collect_list(struct(i, y, v)) AS points"))
-    )
-
-
 def deal_out(units: DataFrame, *keys: str) -> DataFrame:
     """Deal out units of work evenly. Their rows are few and small next to the work in
     them, so neither a broadcast join nor coalescing may decide how many tasks they get."""
@@ -238,27 +230,24 @@ def explode_neighbors(found: DataFrame) -> DataFrame:
     return rows.selectExpr(*POINT, "_r + 1 AS r", "_n.q", "_n.d", "_n.m", "_n.yq")
 
 
-def self_candidates(manifold: DataFrame) -> DataFrame:
-    """The whole manifold as one library, in blocks of TILE points."""
-    hits = "array(struct(0 AS sample, 1 AS m)) AS hits"
-    return (
-        manifold.groupBy(*MANIFOLD, "n", F.expr(f"pos div {TILE}").alias("q_block"))
-        .agg(F.expr(f"collect_list(struct(i, y, v, {hits})) AS lib"))
-    )
-
-
 def pair_distances(
     manifold: DataFrame, summarise: bool = False, measure: str = "euclidean"
 ) -> DataFrame:
-    """The all-pairs matrix: one row per point with arrays q and d over all other points, in
-    the order of q. With ``summarise`` the row holds pairs, total, low and high instead: each
-    tile is reduced in its task, and cells never leave it."""
-    libs = explode_range(self_candidates(manifold), "block", BLOCKS)
-    met = deal_out(libs, *MANIFOLD, "block").join(pack_points(manifold), [*MANIFOLD, "block"]).select(*MANIFOLD, "q_block", "points", "lib")
+    """The all-pairs matrix in rows of a point and a block of other points: p, q_block, and
+    arrays q and d over the points of that block, in the order of q. With ``summarise`` one row
+    per point holds pairs, total, low and high instead: each tile is reduced in its task, and
+    cells never leave it.
+
+    Both directions of a pair come from one cell. Of two blocks the lower one plays host if the
+    sum of their numbers is even, else the higher one, so all have about as many visitors."""
+    packed = manifold.groupBy(*MANIFOLD, "n", F.expr(f"pos div {POINTS}").alias("block")).agg(F.expr("collect_list(struct(i, y, v)) AS points"))
+    visits = explode_range(packed.withColumnsRenamed({"block": "q_block", "points": "lib"}), "block", BLOCKS)
+    visits = visits.where("IF(block <= q_block, (block + q_block) % 2 = 0, (block + q_block) % 2 = 1)")
+    met = deal_out(visits, *MANIFOLD, "block").join(packed.drop("n"), [*MANIFOLD, "block"]).select(*MANIFOLD, "block", "q_block", "points", "lib")
     cells = "pairs bigint, total double, low double, high double" if summarise else "q array<bigint>, d array<double>"
     schema = f"series_id string, E int, tau int, p bigint, q_block bigint, {cells}"
-    tiled = met.mapInArrow(tiles.matrix_kernel(measure, summarise), schema).groupBy(*MANIFOLD, "p")
-    if summarise:
-        return tiled.agg(*[F.expr(x) for x in ("sum(pairs) AS pairs", "sum(total) AS total", "min(low) AS low", "max(high) AS high")])
-    parts = tiled.agg(F.expr("array_sort(collect_list(struct(q_block, q, d))) AS _t"))
-    return parts.selectExpr(*MANIFOLD, "p", "flatten(_t.q) AS q", "flatten(_t.d) AS d")
+    tiled = met.mapInArrow(tiles.matrix_kernel(measure, summarise), schema)
+    if not summarise:
+        return tiled
+    sums = [F.expr(x) for x in ("sum(pairs) AS pairs", "sum(total) AS total", "min(low) AS low", "max(high) AS high")]
+    return tiled.groupBy(*MANIFOLD, "p").agg(*sums)

@@ -523,12 +523,18 @@ def tree_kernel(keys: list[str]):
 
 
 def matrix_kernel(measure: str, summarise: bool):
-    """For mapInArrow: a tile of the all-pairs matrix, row by row, or a summary of each
-    row of the tile. Entries of a row with itself are left out."""
+    """For mapInArrow: a tile of the all-pairs matrix, row by row, or a summary of each row of
+    the tile; for two different blocks also the same tile column by column. Entries of a row
+    with itself are left out."""
 
     def run(batches):
         for row in _rows(batches):
-            yield _one_tile(row, measure, summarise)
+            points, others = _sorted_block(row["points"].values), _sorted_block(row["lib"].values)
+            a, b = _vectors(points), _vectors(others)
+            cells = distances(a, b) if measure == "euclidean" else _standardised(a) @ _standardised(b).T
+            yield _one_side(row, points, others, row["q_block"], cells, summarise)
+            if row["block"].as_py() != row["q_block"].as_py():
+                yield _one_side(row, others, points, row["block"], np.ascontiguousarray(cells.T), summarise)
 
     return run
 
@@ -540,19 +546,13 @@ def _standardised(v):
     return np.where(flat, 0.0, centred / np.where(flat, 1.0, norm))
 
 
-def _one_tile(row, measure, summarise):
-    points, others = _sorted_block(row["points"].values), _sorted_block(row["lib"].values)
-    a, b = _vectors(points), _vectors(others)
-    if measure == "euclidean":
-        cells = distances(a, b)
-    else:
-        cells = _standardised(a) @ _standardised(b).T
+def _one_side(row, points, others, block, cells, summarise):
     ids, other_ids = _numbers(points, "i"), _numbers(others, "i")
     wanted = (ids[:, None] != other_ids[None, :]) & np.isfinite(cells)
     sizes = wanted.sum(1)
     head = [pa.repeat(row[c], len(ids)) for c in ("series_id", "E", "tau")]
     names = ["series_id", "E", "tau", "p", "q_block"]
-    head += [pa.array(ids), pa.repeat(row["q_block"], len(ids))]
+    head += [pa.array(ids), pa.repeat(block, len(ids))]
     if summarise:
         none = sizes == 0
         low = np.where(wanted, cells, np.inf).min(1)

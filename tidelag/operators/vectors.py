@@ -25,8 +25,8 @@ def _pairwise(df: DataFrame, id: str, vec: str, measure: str, summarise: bool) -
 
 
 def pairwise_euclidean(df: DataFrame, id: str, vec: str, summarise: bool = False) -> DataFrame:
-    """Distance of every row to every other row: id, q, d (arrays). With ``summarise``: id,
-    pairs, mean, low, high."""
+    """Distance of every row to every other row: id, q_block, and arrays q, d over a block of
+    other rows. With ``summarise``: id, pairs, mean, low, high."""
     return _pairwise(df, id, vec, "euclidean", summarise)
 
 

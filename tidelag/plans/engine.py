@@ -76,14 +76,14 @@ def cross_map(
     return skill(_forecasts(found, spec, max(E for E, _ in pairs)))
 
 
-def scenario_sweep(counts: DataFrame, col: str, E, widths, spec: Spec) -> DataFrame:
+def scenario_sweep(counts: DataFrame, col: str, E, widths, spec: Spec, decimals: int | None = None) -> DataFrame:
     """For each trailing-sum width and each E: cross-map the sum against the value E steps
     later, with libraries from spec.L up to the length of the paired series. Adds column
-    ``width`` to the skill rows. One plan: every E is embedded, and each paired series keeps
+    ``width`` to the skill rows. ``decimals`` as in accumulate_vs_next. One plan: every E is embedded, and each paired series keeps
     the one that it looks ahead."""
     spec = replace(spec, E=tuple(E))
     parts = lambda s: f"split({s}, '[|]')"
-    paired = accumulate_vs_next(counts, col, widths, E).selectExpr(
+    paired = accumulate_vs_next(counts, col, widths, E, decimals=decimals).selectExpr(
         "concat_ws('|', series_id, width, ahead) AS series_id", "n", "i", "x", "y"
     )
     points = embed(paired, spec.pairs, spec.drop_missing).where(f"element_at({parts('series_id')}, -1) = CAST(E AS STRING)")

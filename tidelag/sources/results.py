@@ -44,3 +44,34 @@ def skill_to_json(skill: DataFrame, digits: int | None = None) -> DataFrame:
             F.col("E").alias("e"), "tau", F.col("L").alias("l"), F.col("_r.rho").alias("result")
         )).alias("json"),
     )
+
+
+RESULT = "series_id string, L int, sample int, n_pred bigint, rho double, rho_nonneg double, mae double"
+
+
+def write_task_results(skill: DataFrame, tasks: DataFrame, folder: str, fmt: str = "csv", mode: str = "errorifexists") -> None:
+    """The results of tasks that ask for output (genoutput 1), each where its task says, below
+    ``folder``: outputpath, then a folder per E and tau. One job writes all of them; tasks that
+    name the same path share its folder, told apart by series_id. Of a task's draws its own
+    number of samples is written. Other tasks write nothing."""
+    wanted = tasks.where("genoutput = 1").select(
+        "series_id", "E", "tau", "L", F.col("samples").alias("_samples"), F.coalesce("outputpath", F.lit("")).alias("outputpath")
+    )
+    wanted = wanted.groupBy("series_id", "E", "tau", "L", "outputpath").agg(F.max("_samples").alias("_samples"))
+    rows = skill.join(wanted, ["series_id", "E", "tau", "L"]).where("sample < _samples").drop("_samples")
+    rows = rows.selectExpr("outputpath", "E", "tau", *[f"CAST({c.split()[0]} AS {c.split()[1]}) AS {c.split()[0]}" for c in RESULT.split(", ")])
+    writer = rows.repartition("outputpath", "E", "tau", "L").write.mode(mode).partitionBy("outputpath", "E", "tau")
+    if fmt == "csv":
+        writer.option("header", True).csv(folder)
+    elif fmt in ("parquet", "json", "orc"):
+        writer.format(fmt).save(folder)
+    else:
+        raise ValueError(f"unknown format {fmt!r}")
+
+
+def read_task_results(spark: SparkSession, folder: str, fmt: str = "csv") -> DataFrame:
+    """What write_task_results wrote: outputpath, E, tau, series_id, L, sample, n_pred, rho,
+    rho_nonneg, mae. A filter on outputpath, E or tau reads those folders only."""
+    reader = spark.read.schema(f"{RESULT}, outputpath string, E int, tau int")
+    rows = reader.option("header", True).csv(folder) if fmt == "csv" else reader.format(fmt).load(folder)
+    return rows.select("outputpath", "series_id", "E", "tau", *[c.split()[0] for c in RESULT.split(", ")[1:]])

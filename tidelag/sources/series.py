@@ -120,23 +120,26 @@ def read_series_csv(
 
 
 TASK = (
-    "observations array<double>, targets array<double>, e int, tau int, l int, samples int, multil int, "
+    "name string, observations array<double>, targets array<double>, e int, tau int, l int, samples int, multil int, "
     "genoutput int, lstart int, lend int, linterval int, gpu int, outputpath string"
 )
 
 
 def read_tasks_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """JSON task lines to (series, tasks). Equal pairs of value arrays are one series. Tasks
-    have series_id, E, tau, L, samples: one row per library size, whether a line names one
-    (l) or a range (lstart, lend, linterval; lend included)."""
+    """JSON task lines to (series, tasks). A line may name its series (name); equal pairs of
+    value arrays without a name are one series. Tasks have series_id, E, tau, L, samples: one row
+    per library size, whether a line names one (l) or a range (lstart, lend, linterval; lend
+    included); and genoutput and outputpath, which write_task_results honours."""
     lines = spark.read.schema(TASK).json(path).withColumn(
-        "series_id", F.md5(F.to_json(F.struct("observations", "targets")))
+        "series_id", F.coalesce("name", F.md5(F.to_json(F.struct("observations", "targets"))))
     )
     uneven = F.size("observations") != F.size("targets")
+    values = F.struct("observations", "targets")
     series = (
-        lines.groupBy("series_id").agg(F.first(F.struct("observations", "targets")).alias("s"))
-        .select("series_id", "s.*")
+        lines.groupBy("series_id").agg(F.first(values).alias("s"), F.count_distinct(F.md5(F.to_json(values))).alias("_versions"))
+        .select("series_id", "s.*", "_versions")
         .where(F.when(uneven, F.raise_error("observations and targets differ in length")).otherwise(True))
+        .where(F.when(F.col("_versions") > 1, F.raise_error("one name for different series")).otherwise(True))
         .select("series_id", "observations", F.posexplode(F.arrays_zip("observations", "targets")).alias("i", "_v"))
         .select(
             "series_id", F.size("observations").cast("bigint").alias("n"), F.col("i").cast("bigint").alias("i"), F.col("_v.observations").alias("x"), F.col("_v.targets").alias("y")
@@ -144,7 +147,7 @@ def read_tasks_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     )
     ranged = F.sequence("lstart", "lend", "linterval")
     sizes = F.when(F.coalesce("multil", F.lit(0)) == 0, F.array("l")).otherwise(ranged)
-    tasks = lines.select("series_id", F.col("e").alias("E"), "tau", F.explode(sizes).alias("L"), "samples")
+    tasks = lines.select("series_id", F.col("e").alias("E"), "tau", F.explode(sizes).alias("L"), "samples", "genoutput", "outputpath")
     return series, tasks
 
 
