@@ -42,7 +42,7 @@ def deal_out(units: DataFrame, *keys: str) -> DataFrame:
 
 def knn_in_library(
     manifold: DataFrame, spec: Spec, k: int | None = None, runs: DataFrame | None = None, sizes: DataFrame | None = None,
-    library: DataFrame | None = None, points: DataFrame | None = None,
+    library: DataFrame | None = None, points: DataFrame | None = None, pairs=None,
 ) -> DataFrame:
     """The k nearest library members of every point (k = E+1 if not given).
 
@@ -64,7 +64,9 @@ def knn_in_library(
     made again in the task. 'auto' takes the first for the manifolds whose draws have fewer
     members, all together, than there are points. ``sizes`` (series_id, E, tau, n), if known,
     saves a look at the manifold for n; sizes are looked up when this is called. ``points``, if
-    given, are the points of the manifold to answer for."""
+    given, are the points of the manifold to answer for. ``pairs``: the (E, tau) of manifolds
+    without dropped vectors; shared plans of several E then measure each lag once."""
+    joint = points is None and pairs is not None and len({tau for _, tau in pairs}) < len(set(pairs))
     points = manifold if points is None else points
     if library is not None:
         members, drawn = _given(manifold, library)
@@ -95,6 +97,9 @@ def knn_in_library(
         if kind["apart"]:
             numbered = draw_positions(_numbered(mine(sizes)), spec)
             met = _meet_members(manifold, points, mine, numbered, spec, k)
+        elif joint:
+            met = _meet_lags(manifold, mine(sizes), pairs, spec, k)
+            kind = {"apart": False, "n": kind["n"] + max((E - 1) * tau for E, tau in pairs)}
         else:
             met = _meet_all(manifold, points, mine, spec, k)
         found.append(_together(met, spec, k, (kind["most"] if kind["apart"] else kind["n"]) > TILE))
@@ -159,6 +164,31 @@ def _meet_all(manifold: DataFrame, points: DataFrame, with_draws, spec: Spec, k:
     return _rank_units(_point_units(points, with_draws, False), chunks, spec, k, True)
 
 
+def _meet_lags(manifold: DataFrame, drawn: DataFrame, pairs, spec: Spec, k: int | None) -> DataFrame:
+    """Every block meets all points, for all E of a lag together. Of a time step only the longest
+    vector is kept; n is the length of the series here."""
+    longer = {(E, tau): min((e for e, t in pairs if t == tau and e > E), default=None) for E, tau in set(pairs)}
+    shorter = " ".join(f"WHEN E = {E} AND tau = {tau} THEN i < {(e - 1) * tau}" for (E, tau), e in longer.items() if e)
+    rows = manifold.where(f"CASE {shorter} ELSE true END").withColumn("n", F.expr("n + (E - 1) * tau"))
+    key = ["series_id", "tau"]
+    every = drawn.groupBy(*key).agg(F.expr("sort_array(collect_list(struct(E, n, draws))) AS _of"))
+    every = every.selectExpr(*key, "flatten(transform(_of, m -> transform(m.draws, t -> struct(m.E AS E, m.n AS n, t.L, t.size, t.sample, t.ticket)))) AS draws")
+
+    def packed(per: str, name: str) -> DataFrame:
+        held = rows.groupBy(*key, "n", F.expr(f"i div {per}").alias(name)).agg(F.expr("collect_list(struct(i, y, v)) AS points"))
+        return held.join(every, key)
+
+    mine = f"slice(draws, CAST(grp * {_per_group(False)} + 1 AS INT), CAST({_per_group(False)} AS INT)) AS draws"
+    unit = [*key, "n", "block", "grp"]
+    blocks = explode_range(packed(_per_block(), "block"), "grp", _group_count(False)).selectExpr(*unit, "-1L AS chunk", mine, "points")
+    chunks = packed(str(TILE), "chunk").selectExpr(*key, "n", "chunk", f"{_group_count(False)} AS _groups", "points")
+    chunks = explode_range(explode_range(chunks, "block", _block_count()), "grp", "_groups")
+    none = "CAST(NULL AS ARRAY<STRUCT<E: INT, n: BIGINT, L: INT, size: BIGINT, sample: INT, ticket: BIGINT>>) AS draws"
+    units = deal_out(blocks.unionByName(chunks.selectExpr(*unit, "chunk", none, "points")), *unit).sortWithinPartitions(*unit, "chunk")
+    kernel = tiles.lag_kernel(k, spec.ties == "include", spec.exclude_zero_distance, spec.distinct_library, spec.replacement)
+    return units.mapInArrow(kernel, NEIGHBOURS)
+
+
 def _numbered(drawn: DataFrame) -> DataFrame:
     """The draws of each manifold (draws) as rows: their group, their number in it (g), and how
     many chunks the members of the group fill."""

@@ -85,10 +85,12 @@ def _fold(slots):
 
 
 def depth_for(draws: np.ndarray, k: int) -> int:
-    """How many columns to rank for the thinnest of ``draws``."""
+    """How many columns to rank for the thinnest of ``draws`` that hold any."""
     width = draws.shape[1]
-    share = (draws > 0).sum(1).min() / width
-    return width if share == 0 else min(width, math.ceil((k + SPARE) / share))
+    held = (draws > 0).sum(1)
+    if not held.any():
+        return min(width, 1)
+    return min(width, math.ceil((k + SPARE) * width / held[held > 0].min()))
 
 
 def probe(d: np.ndarray, draws: np.ndarray, k: int, ties: bool, ranked=None):
@@ -233,9 +235,9 @@ def _gathered(batches):
 class _Unit:
     """A block of points and the draws to answer for it."""
 
-    def __init__(self, row, k, L, sample):
-        self.head = {c: row[c] for c in ("series_id", "E", "tau")}
-        self.k = k or row["E"].as_py() + 1
+    def __init__(self, row, k, L, sample, E=None):
+        self.head = {"series_id": row["series_id"], "E": pa.scalar(E, pa.int32()) if E else row["E"], "tau": row["tau"]}
+        self.k = k or self.head["E"].as_py() + 1
         self.points = _sorted_block(row["points"].values)
         self.L, self.sample = L, sample
 
@@ -292,6 +294,85 @@ def unit_kernel(tile, k, ties, no_zero, distinct, replacement, in_task):
     return lambda batches: _gathered(answers(batches))
 
 
+def lag_kernel(k, ties, no_zero, distinct, replacement):
+    """For mapInArrow, as unit_kernel with draws made in the task, for all E of a lag at once. A
+    point has its longest vector; the vector of a smaller E is the front of it, so the squared
+    distances of E + 1 are those of E and one more gap. Points and chunks follow i."""
+
+    def answers(batches):
+        points, key, parts = None, None, []
+        for row in _rows(batches):
+            mine = tuple(row[c].as_py() for c in ("series_id", "tau", "block", "grp"))
+            if mine != key:
+                if row["chunk"].as_py() < 0:
+                    key, parts = mine, _by_dimension(row, k, replacement)
+                    points = parts[0][0].points
+                continue
+            lib = _sorted_block(row["points"].values)
+            yield from _lagged(points, parts, row["chunk"].as_py(), lib, ties, no_zero, distinct)
+
+    return lambda batches: _gathered(answers(batches))
+
+
+def _by_dimension(row, k, replacement):
+    """For each E its unit, the place of its first point, and the members of its draws."""
+    draws, tau = row["draws"].values, row["tau"].as_py()
+    dimension, parts = _numbers(draws, "E"), []
+    for E in np.unique(dimension).tolist():
+        mine = draws.take(pa.array(np.flatnonzero(dimension == E)))
+        unit = _Unit(row, k, *(_numbers(mine, c).astype(np.int32) for c in ("L", "sample")), E=E)
+        parts.append((unit, (E - 1) * tau, _members(mine, mine.field("n")[0].as_py(), replacement)))
+    return parts
+
+
+def _longest(points: pa.StructArray) -> np.ndarray:
+    """Vectors of different lengths as rows, the missing ends NaN."""
+    v = points.field("v")
+    size = v.value_lengths().to_numpy()
+    out = np.full((len(points), int(size.max())), np.nan)
+    flat = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    out[np.arange(out.shape[1]) < size[:, None]] = flat
+    return out
+
+
+def _lagged(points, parts, chunk, lib, ties, no_zero, distinct):
+    """Answers of one chunk for every E, from one pass over the coordinates."""
+    a, b, a_i, b_i = _longest(points), _longest(lib), _numbers(points, "i"), _numbers(lib, "i")
+    columns = np.ascontiguousarray(b.T)
+    held = {}
+    for unit, first, members in parts:
+        low = int(np.searchsorted(b_i, first))
+        found = _drawn_from(members, int(b_i[low]) - first, len(b_i) - low) if low < len(b_i) else None
+        held[int(unit.head["E"].as_py())] = unit, first, low, np.minimum(found, 1) if distinct and found is not None else found
+    step = max(1, TILE_CELLS // len(b_i))
+    for lo in range(0, len(a_i), step):
+        total = np.zeros((len(a_i[lo : lo + step]), len(b_i)))
+        for j in range(max(held)):
+            if j < a.shape[1] and j < b.shape[1]:
+                gap = a[lo : lo + step, j, None] - columns[j]
+                gap *= gap
+                total += gap
+            if j + 1 in held:
+                unit, first, low, draws = held[j + 1]
+                yield from _of_dimension(unit, points.slice(lo, step), first, chunk, lib, low, draws, total, ties, no_zero)
+
+
+def _of_dimension(unit, part, first, chunk, lib, low, draws, squares, ties, no_zero):
+    skip = int(np.searchsorted(_numbers(part, "i"), first))
+    if skip == len(part):
+        return
+    part = part.slice(skip)
+    if draws is None or not draws.any():
+        none, total = np.zeros(0, np.int64), len(unit.L) * len(part)
+        yield _batch(unit, part, chunk, lib, np.zeros(total, np.int64), none, none, np.zeros(0))
+        return
+    lib = lib.slice(low)
+    d = _as_neighbours(np.sqrt(squares[skip:, low:]), _numbers(part, "i"), _numbers(lib, "i"), no_zero)
+    sizes, cols, mult = _nearest(unit, d, draws, ties, False)
+    near = d[np.repeat(np.tile(np.arange(len(part)), len(draws)), sizes), cols]
+    yield _batch(unit, part, chunk, lib, sizes, cols, mult, near)
+
+
 def every_kernel(k: int, no_zero: bool):
     """For mapInArrow, as unit_kernel, with every candidate a neighbour of one draw, numbered 0."""
 
@@ -426,12 +507,14 @@ def _every(unit, points, chunk, lib, no_zero):
 
 
 def _measured(part, cand, cand_i, no_zero):
+    return _as_neighbours(distances(_vectors(part), cand), _numbers(part, "i"), cand_i, no_zero)
+
+
+def _as_neighbours(d, ids, cand_i, no_zero):
     """Distances, infinite where a candidate is no neighbour."""
-    d = distances(_vectors(part), cand)
     d[np.isnan(d)] = np.inf
     if no_zero:
         d[d < 1e-30] = np.inf
-    ids = _numbers(part, "i")
     at = np.minimum(np.searchsorted(cand_i, ids), len(cand_i) - 1)
     own = np.flatnonzero(cand_i[at] == ids)
     d[own, at[own]] = np.inf

@@ -33,7 +33,7 @@ def neighbours(
         if library is not None or spec.drop_missing:
             raise ValueError("a rank table answers drawn libraries of whole manifolds")
         return ranks.knn(points, spec, k, sizes=_sizes(series, spec))
-    return knn_in_library(points, spec, k, sizes=_sizes(series, spec), library=library)
+    return knn_in_library(points, spec, k, sizes=_sizes(series, spec), library=library, pairs=None if spec.drop_missing else spec.pairs)
 
 
 def _sizes(series: DataFrame, spec: Spec, pairs=None) -> DataFrame | None:
@@ -72,7 +72,7 @@ def cross_map(
         F.sort_array(F.collect_list(F.struct(F.col("L").cast("int").alias("L"), F.col("samples").cast("int").alias("samples")))).alias("runs")
     )
     points, sizes = embed(series, pairs, spec.drop_missing), _sizes(series, spec, pairs)
-    found = knn_in_library(points, spec, runs=runs, sizes=sizes) if ranks is None else ranks.knn(points, spec, runs=runs, sizes=sizes)
+    found = knn_in_library(points, spec, runs=runs, sizes=sizes, pairs=None if spec.drop_missing else pairs) if ranks is None else ranks.knn(points, spec, runs=runs, sizes=sizes)
     return skill(_forecasts(found, spec, max(E for E, _ in pairs)))
 
 
