@@ -9,7 +9,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from tidelag.llm import digest_index, golay_simhash, near_copies
+from tidelag.llm import digest_index, golay_simhash
 from tidelag.llm.components import components
 from tidelag.staging import shared_folder
 
@@ -99,7 +99,21 @@ def test_simhash_on_edges(edges, nothing):
     assert golay_simhash.near_duplicates(nothing).collect() == []
     kept = golay_simhash.keep_one(edges)
     assert kept.columns == edges.columns
-    assert {r.doc_id for r in kept.collect()} == {c for _, _, c in want}
+    ids = [r.doc_id for r in kept.collect()]
+    groups = set(loop_components(list(range(len(rows))), prints))
+    assert set(ids) == {c for _, _, c in want} and len(ids) == len(groups)
+    # columns named as the operator names its own
+    clashing = edges.selectExpr("*", "'a' AS hash", "1 AS fp", "2 AS root", "3 AS id", "'m' AS mark", "4 AS row", "5 AS best")
+    again = golay_simhash.keep_one(clashing)
+    assert again.columns == clashing.columns and sorted([r.doc_id for r in again.collect()], key=str) == sorted(ids, key=str)
+
+
+def test_simhash_keeps_one_of_rows_that_share_an_id(docs):
+    rows = [(1, "one two three"), (1, "four five six"), (1, "four five six"), (None, "one two three"), (None, "seven"), (None, "eight"), (2, None), (3, "")]
+    kept = [(r.doc_id, r.text or "") for r in golay_simhash.keep_one(docs(rows)).collect()]
+    prints = loop_prints(rows)
+    assert len(kept) == len({min(j for j in range(len(rows)) if bin(prints[j] ^ p).count("1") <= 3) for p in prints})
+    assert (1, "one two three") in kept and (1, "four five six") in kept and (2, "") in kept and (None, "seven") in kept
 
 
 def test_simhash_on_near_copies(docs):
@@ -157,55 +171,19 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
-def shingle_set(text):
-    w = re.findall(rb"[^\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-
-def loop_similar(rows):
-    sets = [shingle_set(t) for _, t in rows]
-    root = list(range(len(rows)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                root[find(i)] = find(j)
-    groups = {}
-    for i, r in enumerate(rows):
-        groups.setdefault(find(i), []).append(r[0])
-    return [min((x for x in groups[find(i)] if x is not None), default=None) for i in range(len(rows))]
-
-
-def test_stage_joins_all_texts_of_similarity_080(spark, docs, edges, nothing):
-    """Pairs between 0.8 and 0.95 by one to eight replaced words, a group far larger than FEW with
-    members on both sides of the bound, and pairs below it."""
+def test_stage_keeps_one_of_each_group(spark, docs):
+    """The pipeline's stage against the components of loop_prints."""
     import corpus_pipeline
 
     rng = random.Random(12)
     word = lambda: f"w{rng.randrange(10**6)}"
     rows = []
-    for words_, edits in ((100, 1), (60, 1), (200, 2), (400, 8), (100, 2), (100, 4)) * 12:
+    for words_, edits in ((100, 1), (60, 1), (400, 1), (400, 2), (900, 3), (900, 0)) * 8:
         w = [word() for _ in range(words_)]
         rows.append((len(rows), " ".join(w)))
         for i in rng.sample(range(words_), edits):
             w[i] = word()
         rows.append((len(rows), " ".join(w)))
-    base = [word() for _ in range(150)]
-    for _ in range(70):
-        w = list(base)
-        for i in rng.sample(range(150), rng.randrange(1, 9)):
-            w[i] = word()
-        rows.append((len(rows), " ".join(w)))
-    want = [(i, c) for (i, _), c in zip(rows, loop_similar(rows))]
-    assert sorted((r.doc_id, r.component_id) for r in near_copies.near_duplicates(docs(rows)).collect()) == want
-    kept = corpus_pipeline.near(spark, docs(rows), "")
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want})
-    assert near_copies.keep_one(nothing).collect() == []
-    every = [(r.doc_id, r.text) for r in edges.collect()]
-    assert tidy(map(tuple, near_copies.near_duplicates(edges).collect())) == tidy((i, c) for (i, _), c in zip(every, loop_similar(every)))
-    assert near_copies.keep_one(edges).columns == edges.columns
+    want = loop_components([i for i, _ in rows], loop_prints(rows))
+    assert len(set(want)) < len(rows) - 12
+    assert sorted(r.doc_id for r in corpus_pipeline.near(spark, docs(rows), "").collect()) == sorted(set(want))

@@ -13,7 +13,8 @@ that join parts not yet joined are kept, never all pairs. Links become component
 
 Rows of equal text have equal fingerprints and so one component, repeated rows included. Texts
 without words (null, empty, blank) have fingerprint zero. Rows without doc_id get a component
-through the others; component_id is null where no member has a doc_id. Extra columns are ignored."""
+through the others; component_id is null where no member has a doc_id. Extra columns are ignored.
+An empty table gives an empty result. A very long text is a slice of its own, at up to 70 bytes a byte."""
 
 from __future__ import annotations
 
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from ..staging import stage
 from .components import components
 from .rolling import Slice, ranges, slices, words
+from .shared import small_side
 
 SHINGLE = 3
 SEED = 42
@@ -43,7 +45,7 @@ HALVES = (((0, 10), (10, 11)), ((21, 10), (31, 11)))
 FEW = 8
 
 
-def _fingerprints(shingle: int):
+def _fingerprints(shingle: int, hashed: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             buf = np.where((part.buf >= 65) & (part.buf <= 90), part.buf + 32, part.buf).astype(np.uint8)
@@ -66,7 +68,8 @@ def _fingerprints(shingle: int):
                 set_bits = np.add.reduceat(bits, (np.cumsum(number) - number)[full], axis=0, dtype=np.int32)
                 over = np.packbits(2 * set_bits > number[full, None], axis=1)
                 prints[full] = np.ascontiguousarray(over).view(np.uint64)[:, 0]
-            yield pa.record_batch({"doc_id": part.rows.column("doc_id").cast(pa.int64()), "fp": prints.view(np.int64)})
+            out = {"doc_id": part.rows.column("doc_id").cast(pa.int64()), "fp": pa.array(prints.view(np.int64))}
+            yield pa.record_batch(out | ({"hash": part.rows.column("hash")} if hashed else {}))
 
     return run
 
@@ -192,26 +195,41 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
 
 
+def _roots(rows: DataFrame, most: int) -> DataFrame:
+    """fp, first (smallest doc_id), root for each different fingerprint of ``rows``, a written table."""
+    distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    keys = distinct.select("fp").mapInArrow(_keys, "key long, fp long").repartition("key").sortWithinPartitions("key")
+    roots = components(keys.mapInArrow(_links(most), "a long, b long"))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, most: int = MOST, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id of every row: the smallest doc_id among the rows that links of
     ``most`` or fewer differing bits lead to."""
-    if not 0 <= most <= MOST:
-        raise ValueError(f"0 <= most <= {MOST}")
+    _check(most)
     rows = stage(fingerprints(docs, shingle))
-    distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    keys = distinct.select("fp").mapInArrow(_keys, "key long, fp long").repartition("key").sortWithinPartitions("key")
-    roots = components(keys.mapInArrow(_links(most), "a long, b long"))
-    member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    member = _roots(rows, most)
     least = member.groupBy("root").agg(F.min("first").alias("component_id"))
     named = stage(member.join(least, "root").select("fp", "component_id"))
     return rows.join(named.hint("shuffle_merge"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """Of each component the row whose doc_id is the component's; of rows that share this
-    doc_id all stay if their fingerprints differ, else the one of least text. Rows without
-    doc_id stay where no row with one is near them. Columns as they were."""
-    near = near_duplicates(docs, most)
-    stays = near.where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(stays.hint("shuffle_merge"), docs["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+def keep_one(docs: DataFrame, most: int = MOST, shingle: int = SHINGLE) -> DataFrame:
+    """Of each component one row: that of the smallest doc_id, rows without one last, and of rows
+    that share it the one of least text hash. Columns as they were, whatever their names."""
+    _check(most)
+    row, text = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce("text", F.lit(""))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_text"), F.xxhash64(text).alias("hash"))
+    rows = stage(named.mapInArrow(_fingerprints(shingle, True), "doc_id long, fp long, hash long"))
+    member = _roots(rows, most).select("fp", "root")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("best")
+    best = stage(rows.join(stage(member).hint("shuffle_merge"), "fp").groupBy("root").agg(best).select("best.doc_id", "best.hash"))
+    held = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("mark"))
+    same = (F.col("mark") == F.col("hash")) & F.col("id").eqNullSafe(F.col("doc_id"))
+    kept = held.join(small_side(best, 32), same, "left_semi").dropDuplicates(["id", "mark"])
+    return kept.select("row.*")
+
+
+def _check(most: int) -> None:
+    if not 0 <= most <= MOST:
+        raise ValueError(f"0 <= most <= {MOST}")

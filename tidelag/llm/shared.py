@@ -59,5 +59,10 @@ def all_with_marks(rows: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def tokenizer_file(name: str) -> str:
-    """A public vocabulary file, in the folder that TOKENIZER_DIR names; every node has it."""
-    return os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), name)
+    """A public vocabulary file: in the folder that TOKENIZER_DIR names if it is set, else where
+    its package has it. Every node has it."""
+    if "TOKENIZER_DIR" in os.environ:
+        return os.path.join(os.environ["TOKENIZER_DIR"], name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
