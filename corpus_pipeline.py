@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelag.llm import digest_index, letter_vectors, near_copies, piece_lattice, soft_mixing
+from tidelag.llm import digest_index, golay_simhash, letter_vectors, piece_lattice, soft_mixing
 from tidelag.llm.shared import tokenizer_file
 from tidelag.staging import shared_folder, shuffles_cleaned
 
@@ -26,8 +26,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: 5-word shingles, similarity 0.8 or more."""
-    return near_copies.keep_one(docs)
+    """One document of each group of near-duplicates: fingerprints of 3-word shingles that differ
+    in 3 or fewer bits, as in op 7."""
+    return golay_simhash.keep_one(docs, golay_simhash.MOST, golay_simhash.SHINGLE)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
