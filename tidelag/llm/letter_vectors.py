@@ -9,17 +9,18 @@ added up by language before any vector is made.
 Texts are lower-cased; runs of characters that are not letters are one gap, as are both ends.
 Null texts and texts without a letter are ``und`` with score 0; so is everything if nothing
 could be learned. Equal cosines go to the first language by name. Rows that repeat get equal
-answers; rows without doc_id are never trained on. Extra columns are ignored."""
+answers; rows without doc_id are never trained on. Extra columns are ignored.
+An empty table gives an empty result. A text is counted whole, at about 30 bytes a character."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
@@ -33,7 +34,7 @@ UNKNOWN = "und"
 #: N-grams kept before they are added up, to bound memory.
 HELD_GRAMS = 1 << 20
 HELD_OUT_OF, HELD_OUT = 4, 2
-_not_letters = re.compile(r"[\W\d_]+")
+_not_letters = regex.compile(r"\P{L}+")
 
 
 def held_out(doc_id: Column) -> Column:
