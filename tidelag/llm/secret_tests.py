@@ -3,15 +3,20 @@
 Base spans come from three patterns. Of every run of 16 or more characters that encodings of
 bytes use, the smallest alphabet that holds it is inferred, and in that alphabet three tests
 are made: chi-squared for uniform characters, runs above and below the middle, and correlation
-of neighbours. Each gives a standard score; the sum of their squares is small for noise and
-large for words. What ordinary words score is measured, not assumed: runs of letters alone are
-the controls. Within a class of lengths, a score's p-value is the share of controls that look
-as random, and the Benjamini-Hochberg rule picks the highest score whose false discoveries
-stay below ``rate``. Short strings, whose tests have little power, must thus look more random.
+of neighbours. Each gives a standard score, so for random strings the sum of their squares has a
+known distribution, whatever the alphabet and the length; for words it is large.
+
+A string of score s or less is called random. s is at most MOST, which 19 of 20 random strings
+keep to, so that few are lost. How many words keep to it too is estimated for each alphabet and
+class of lengths: scores between FAR and twice FAR, where random strings hardly ever come, are
+words, and words are no denser near 0 than there. s is the highest score at which the share of
+false discoveries among all stays below ``rate``. Runs of letters alone are strings like any
+other; where the tests have little power, as in short words, a class accepts little or nothing.
 
 SQL functions only; texts are read once. Per row, spans in code points, end exclusive. Null
-and empty texts have no spans; repeated rows are counted each; a table without controls in a
-class gets no spans from the tests there. Extra columns are ignored."""
+and empty texts have no spans; repeated rows are counted each; strings of equal score share their
+verdict. Empty tables give empty results. Extra columns are ignored. A very long text is one row;
+its matches are arrays of that row."""
 
 from __future__ import annotations
 
@@ -31,17 +36,18 @@ ASSIGN_LEAST = 6
 
 TOKEN = "[A-Za-z0-9+/_=-]{16,}"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Encodings by what holds the whole run, smallest alphabet first; letters alone are controls.
+#: Encodings by what holds the whole run, smallest alphabet first.
 ALPHABETS = (
     ("[0-9]+", DIGITS), ("[0-9a-f]+", DIGITS + "abcdef"), ("[0-9A-F]+", DIGITS + "ABCDEF"), ("[a-z]+", LOWER), ("[A-Z]+", UPPER),
     ("[A-Z2-7]+", UPPER + "234567"), ("[a-z0-9]+", DIGITS + LOWER), ("[A-Z0-9]+", DIGITS + UPPER), ("[A-Za-z]+", UPPER + LOWER),
     ("[A-Za-z0-9]+", UPPER + LOWER + DIGITS), ("[A-Za-z0-9+/]+", UPPER + LOWER + DIGITS + "+/"),
 )
 WEB_ALPHABET = UPPER + LOWER + DIGITS + "-_"
-CONTROL = "[A-Za-z]+"
 #: Classes of lengths begin here.
 LENGTHS = (16, 20, 24, 32, 48, 64)
 STEPS, TOP = 10, 200
+#: 95 % of random strings score less than MOST, all but one in a thousand less than FAR.
+MOST, FAR = 7.4, 16.0
 RATE = 0.05
 BLOCK = 256
 
@@ -85,7 +91,7 @@ def _base_spans(rows: DataFrame) -> DataFrame:
 
 
 def _scored(rows: DataFrame) -> DataFrame:
-    """tokens: array of (start, end, control, class, score)."""
+    """tokens: array of (start, end, class, score)."""
     rows = _matches(rows, "_tokens", TOKEN)
     body = "regexp_replace(m.text, '=+$', '')"
     alphabet = "CASE " + " ".join(f"WHEN {body} RLIKE '^{p}$' THEN '{a}'" for p, a in ALPHABETS) + f" ELSE '{WEB_ALPHABET}' END"
@@ -99,7 +105,7 @@ def _scored(rows: DataFrame) -> DataFrame:
     products = f"aggregate({pairs.format('(x - (m.a - 1) / 2D) * (y - (m.a - 1) / 2D)')}, 0D, (s, c) -> s + c)"
     low = "size(filter(m.v, x -> 2 * x < m.a))"
     rows = rows.withColumn("_tokens", F.expr(
-        f"transform(_tokens, m -> struct(m.start, m.text, m.body RLIKE '^{CONTROL}$' AS control, m.a AS a, CAST(size(m.v) AS DOUBLE) AS n, "
+        f"transform(_tokens, m -> struct(m.start, m.text, m.a AS a, CAST(size(m.v) AS DOUBLE) AS n, "
         f"{squares} AS squares, {changes} AS changes, {products} AS products, CAST({low} AS DOUBLE) AS low))"
     ))
     uniform = "(power((m.a / m.n * m.squares - m.n) / (m.a - 1), 1D / 3) - (1 - 2D / (9 * (m.a - 1)))) / sqrt(2D / (9 * (m.a - 1)))"
@@ -109,26 +115,20 @@ def _scored(rows: DataFrame) -> DataFrame:
     score = f"power(greatest(0D, {uniform}), 2) + power({turns}, 2) + power({serial}, 2)"
     length = "CASE " + " ".join(f"WHEN m.n >= {n} THEN {n}" for n in reversed(LENGTHS)) + " ELSE 0 END"
     return rows.withColumn("tokens", F.expr(
-        f"transform(_tokens, m -> struct(m.start AS start, m.start + char_length(m.text) AS end, m.control AS control, {length} AS class, "
+        f"transform(_tokens, m -> struct(m.start AS start, m.start + char_length(m.text) AS end, 100 * m.a + ({length}) AS class, "
         f"CAST(floor(least({TOP}D, {score}) * {STEPS}) AS INT) AS score))"
     ))
 
 
 def thresholds(found: DataFrame, rate: float) -> DataFrame:
-    """class, most: the largest score accepted. Sums over at most 2,001 scores a class."""
-    counts = found.select(F.explode("tokens").alias("t")).groupBy("t.class", "t.score").agg(
-        F.count_if(F.col("t.control")).alias("controls"), F.count_if(~F.col("t.control")).alias("candidates")
-    )
-    classes = f"filter(array(0, {', '.join(map(str, LENGTHS))}), c -> c >= class)"
-    counts = counts.selectExpr("*", f"explode({classes}) AS own").selectExpr("score", "controls", "IF(own = class, candidates, 0) AS candidates", "own AS class").groupBy(
-        "class", "score"
-    ).agg(F.sum("controls").alias("controls"), F.sum("candidates").alias("candidates"))
-    upto = "PARTITION BY class ORDER BY score"
+    """class, most: the largest score accepted. Sums over at most 2,001 scores a class, and as many
+    classes as alphabets and lengths."""
+    counts = found.select(F.explode("tokens").alias("t")).groupBy("t.class", "t.score").agg(F.count("*").alias("n"))
+    far = f"score >= {FAR * STEPS} AND score < {2 * FAR * STEPS}"
     sums = counts.selectExpr(
-        "class", "score", f"sum(controls) OVER ({upto}) AS k", f"sum(candidates) OVER ({upto}) AS c",
-        "sum(controls) OVER (PARTITION BY class) AS all_k", "sum(candidates) OVER (PARTITION BY class) AS all_c",
-    )
-    accepted = sums.where(f"c > 0 AND (1 + k) * all_c <= {rate} * c * (1 + all_k)")
+        "class", "score", "sum(n) OVER (PARTITION BY class ORDER BY score) AS c", f"sum(IF({far}, n, 0)) OVER (PARTITION BY class) AS words"
+    )
+    accepted = sums.where(f"score < {MOST * STEPS} AND words * (score + 1) / {FAR * STEPS} <= {rate} * c")
     return accepted.groupBy("class").agg(F.max("score").alias("most"))
 
 
@@ -138,11 +138,11 @@ def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     span holds. Eager: spans and scores of all rows are written when this is called."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
     found = stage(_scored(_base_spans(rows)).select("doc_id", "base", "tokens"))
-    # one number per class of lengths, of which there are few whatever the input
+    # one number per alphabet and class of lengths, of which there are few whatever the input
     most = {r["class"]: r["most"] for r in thresholds(found, rate).collect()}
     accept = " OR ".join(f"(t.class = {c} AND t.score <= {m})" for c, m in sorted(most.items())) or "false"
     held = "exists(base, b -> b.start <= t.start AND t.end <= b.end)"
-    random = f"filter(tokens, t -> NOT t.control AND ({accept}) AND NOT {held})"
+    random = f"filter(tokens, t -> ({accept}) AND NOT {held})"
     spans = f"array_sort(concat(base, transform({random}, t -> struct(t.start AS start, 3 AS rank, 'random' AS kind, t.end AS end))))"
     return found.select("doc_id", "base", F.expr(spans).alias("found"))
 
