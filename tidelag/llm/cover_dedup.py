@@ -10,7 +10,8 @@ each kind of surroundings. No pair of places is ever made.
 
 Documents are rows: rows that share a doc_id and a text are one place, so a repeated row
 is no copy of itself; rows without doc_id differ by their text. Null and empty texts have no
-words. Documents shorter than a window lose nothing. Extra columns are ignored."""
+words. Documents shorter than a window lose nothing. Extra columns are ignored.
+An empty table gives an empty result. A very long text is a slice of its own, at up to 70 bytes a byte."""
 
 from __future__ import annotations
 

@@ -9,7 +9,8 @@ lengths find any id without expanding what lies before it.
 
 Null and empty texts have the end id alone. Rows without doc_id come first; rows that share
 one are in the order of their texts' hashes. An empty table gives no shards. Extra columns are
-ignored."""
+ignored. Pairs replaced in one round are numbered by their
+ids; of overlapping places every second one counts, from the left. A very long text is encoded in one call."""
 
 from __future__ import annotations
 

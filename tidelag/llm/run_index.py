@@ -18,7 +18,8 @@ counted with partial sums, so no key has to fit in one task.
 
 Null and empty texts have no bytes. Documents compare by (doc_id, place): rows that share a
 doc_id and a text are one document, so neither is earlier and a repeated row is not removed;
-rows without doc_id come first and differ by their text. Extra columns are ignored."""
+rows without doc_id come first and differ by their text. Extra columns are ignored.
+An empty table gives an empty result. Texts go in slices of 1 MB; a longer one is a slice of its own, at up to 70 bytes a byte."""
 
 from __future__ import annotations
 
