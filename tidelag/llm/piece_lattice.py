@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding by a batched Viterbi search.
 
-The search goes over the words of a text, cut where a space begins; no piece spans such a cut.
+The search goes over the words of a text, cut where a space begins, and before and after each
+character that only stands alone in pieces; no piece spans such a cut.
 Words of one length advance together: for every end place and piece length the hashes of all
 words' substrings are looked up among the sorted hashes of the pieces. A pair model merges
 pieces in a fixed order, so among all ways to cut a prefix exactly one can come out: the one
@@ -10,7 +11,8 @@ the maximum over the open steps is stored as the backpointer. Ids equal the libr
 
 Characters without a piece become their UTF-8 bytes' pieces. Null and empty texts have no ids.
 Decoding gives the text back, with U+2581 as a space. Rows are independent, so repeated rows
-get equal ids. Extra columns are ignored."""
+get equal ids. Extra columns are ignored. An empty table gives an empty result. A very
+long text is a slice of its own; of words over 32 characters each is searched alone."""
 
 from __future__ import annotations
 
@@ -31,9 +33,11 @@ BASE, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 FIRST, NONE, UNKNOWN = -3, -2, -1
 #: Words longer than this go one by one; so many words go together.
 LONG, TOGETHER = 32, 1 << 15
-KNOWN_WORDS = 1 << 18
+#: Bytes of words whose ids a task keeps, and what one takes beside its text and its ids.
+KNOWN_BYTES, WORD_BYTES = 16 << 20, 200
+#: Bits of the table that says which hashes may be a piece's, and of the one of pairs decided before.
+MAYBE_BITS, PAIR_BITS = 22, 18
 TEXT_BYTES = 1 << 20
-_units = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 class Pieces:
@@ -74,11 +78,15 @@ class Pieces:
                 able.append(i)
                 if len(parts) > 1:
                     self.left[i], self.right[i] = parts[-2]
+        joined = re.escape("".join(sorted({c for i in able if len(self.text[i]) > 1 for c in self.text[i]} - {SPACE}))) or SPACE
+        self.units = re.compile(f"{SPACE}*[{joined}]+|{SPACE}+|[^{joined}]", re.DOTALL)
         self.longest = max(len(self.text[i]) for i in able)
         self.able = {self.text[i]: i for i in able}
         hashes = np.array([string_hash(self.text[i]) for i in able], np.uint64)
         by = np.argsort(hashes)
         self.keys, self.piece = hashes[by], np.array(able)[by]
+        self.maybe = np.zeros(1 << MAYBE_BITS, bool)
+        self.maybe[self.keys >> np.uint64(64 - MAYBE_BITS)] = True
         self.size = size
         self.out = [self.text[i].replace(SPACE, " ").encode() for i in range(size)]
         for b in range(256):
@@ -121,30 +129,45 @@ class Pieces:
             a, b, at = np.where(undo_a, self.right[a], a)[go], np.where(undo_a, b, self.left[b])[go], at[go]
         return result
 
-    def encode_words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pieces_of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are a piece's, and its number. Few are, so a table of their first bits is
+        asked before the sorted keys."""
+        some = np.flatnonzero(self.maybe[hashes >> np.uint64(64 - MAYBE_BITS)])
+        place = np.minimum(np.searchsorted(self.keys, hashes[some]), len(self.keys) - 1)
+        right = self.keys[place] == hashes[some]
+        return some[right], self.piece[place[right]]
+
+    def encode_words(self, words: np.ndarray, pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
         """``words``: a row of code points per word. For each end place the last piece (UNKNOWN
         for a character without one) and its length."""
         count, length = words.shape
         power = np.array([pow(BASE, j, 1 << 64) for j in range(length + 1)], np.uint64)
         back = np.array([pow(pow(BASE, -1, 1 << 64), j, 1 << 64) for j in range(length + 1)], np.uint64)
-        sums = np.zeros((count, length + 1), np.uint64)
-        np.cumsum((words.astype(np.uint64) + np.uint64(1)) * power[:length], axis=1, out=sums[:, 1:])
-        last = np.full((count, length + 1), NONE)
-        last[:, 0] = FIRST
-        step = np.zeros((count, length + 1), np.int64)
+        # a row per place, so that all words' sums at a place lie together
+        sums = np.zeros((length + 1, count), np.uint64)
+        np.cumsum((words.T.astype(np.uint64) + np.uint64(1)) * power[:length, None], axis=0, out=sums[1:])
+        last = np.full((length + 1, count), NONE)
+        last[0] = FIRST
+        step = np.zeros((length + 1, count), np.int64)
         for end in range(1, length + 1):
-            scores = np.full((min(end, self.longest), count), NONE)
-            for size in range(1, len(scores) + 1):
-                key = (sums[:, end] - sums[:, end - size]) * back[end - size] + np.uint64(size)
-                place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                piece = np.where(self.keys[place] == key, self.piece[place], UNKNOWN if size == 1 else NONE)
-                some = np.flatnonzero(piece != NONE)
-                some = some[self.follows(last[some, end - size], piece[some])]
-                scores[size - 1, some] = piece[some]
-            best = np.argmax(scores > NONE, axis=0)
-            last[:, end] = scores[best, np.arange(count)]
-            step[:, end] = best + 1
-        return last, step
+            # one step is open at each place, so a word that has it is done with the place
+            left = np.arange(count)
+            for size in range(1, min(end, self.longest) + 1):
+                hashes = (sums[end, left] - sums[end - size, left]) * back[end - size] + np.uint64(size)
+                some, piece = self.pieces_of(hashes)
+                if size == 1:
+                    every = np.full(count, UNKNOWN)
+                    every[some] = piece
+                    some, piece = left, every
+                stays = np.flatnonzero(pairs.follow(last[end - size, left[some]], piece))
+                rows = left[some[stays]]
+                last[end, rows], step[end, rows] = piece[stays], size
+                if len(rows) == len(left):
+                    break
+                waits = np.ones(len(left), bool)
+                waits[some[stays]] = False
+                left = left[waits]
+        return last.T, step.T
 
     @lru_cache(maxsize=1 << 16)  # noqa: B019
     def _pair(self, a: int, b: int) -> bool:
@@ -172,28 +195,44 @@ class Pieces:
             return (piece,)
         return tuple(self.bytes_at + b for b in character.encode("utf-8", "replace"))
 
-    def encode_all(self, words: list[str]) -> dict[str, list[int]]:
-        out, by_length = {}, {}
+    def encode_all(self, words: list[str], pairs: Pairs | None = None) -> dict[str, bytes]:
+        """The ids of each word, as the bytes of 32-bit numbers."""
+        pairs = pairs or Pairs(self)
+        out: dict[str, bytes] = {}
+        by_length: dict[int, list[str]] = {}
         for w in words:
             if len(w) > LONG:
-                out[w] = self.encode_long(w)
+                out[w] = array("i", self.encode_long(w)).tobytes()
             else:
                 by_length.setdefault(len(w), []).append(w)
         for length, same in by_length.items():
             for at in range(0, len(same), TOGETHER):
                 part = same[at : at + TOGETHER]
                 codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), length)
-                last, step = self.encode_words(codes)
-                ids: list[list[int]] = [[] for _ in part]
-                end, left = np.full(len(part), length), np.arange(len(part))
-                while len(left):
-                    for k, piece, e in zip(left.tolist(), last[left, end].tolist(), end.tolist()):
-                        ids[k].extend(reversed(self._ids(piece, part[k][e - 1])) if piece == UNKNOWN else (piece,))
-                    end = end - step[left, end]
-                    left, end = left[end > 0], end[end > 0]
-                out.update((w, found[::-1]) for w, found in zip(part, ids))
+                ids, strange = self._backward(*self.encode_words(codes, pairs))
+                held = ids != NONE
+                flat = ids[held].tobytes()
+                ends = (4 * np.cumsum(held.sum(axis=1))).tolist()
+                out.update(zip(part, [flat[s:e] for s, e in zip([0, *ends], ends)]))
+                for k in strange.tolist():
+                    out[part[k]] = array("i", self.encode_long(part[k])).tobytes()
         return out
 
+    @staticmethod
+    def _backward(last: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces that the backpointers name, in order, at the right of each word's row; and
+        the words with a character that has no piece."""
+        count, length = len(last), last.shape[1] - 1
+        ids = np.full((count, length), NONE, np.int32)
+        end, left = np.full(count, length), np.arange(count)
+        for place in range(length - 1, -1, -1):
+            if not len(left):
+                break
+            ids[left, place] = last[left, end]
+            end = end - step[left, end]
+            left, end = left[end > 0], end[end > 0]
+        return ids, np.flatnonzero((ids == UNKNOWN).any(axis=1))
+
     def decode(self, ids: list[int]) -> str:
         text = b"".join([self.out[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
@@ -203,30 +242,50 @@ def string_hash(text: str) -> int:
     return (sum((ord(c) + 1) * pow(BASE, j, 1 << 64) for j, c in enumerate(text)) + len(text)) & MASK
 
 
+class Pairs:
+    """Remembers which pairs of pieces follow each other, as many as its table has places."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.key, self.value = np.full(1 << PAIR_BITS, -1), np.zeros(1 << PAIR_BITS, bool)
+
+    def follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = (a != NONE) & (b != NONE)
+        at = np.flatnonzero(out & (a >= 0) & (b >= 0))
+        a, b = a[at], b[at]
+        key = a * self.pieces.size + b
+        slot = ((key.astype(np.uint64) * np.uint64(BASE)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        known = self.key[slot] == key
+        out[at[known]] = self.value[slot[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            found = self.pieces.follows(a[new], b[new])
+            out[at[new]] = found
+            self.key[slot[new]], self.value[slot[new]] = key[new], found
+        return out
+
+
 class Encoder:
-    """Keeps the ids of words seen until there are KNOWN_WORDS, by when the common ones are
-    among them. ``known`` may outlive one task."""
+    """Keeps the ids of words seen until they fill KNOWN_BYTES, by when the common ones are among
+    them. A task has its own, which goes with it."""
 
-    def __init__(self, pieces: Pieces, known: dict[str, bytes] | None = None):
-        self.pieces, self.known = pieces, {} if known is None else known
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.known, self.bytes, self.pairs = pieces, {}, 0, Pairs(pieces)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [_units.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        parts = [self.pieces.units.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         distinct = {u for p in parts for u in p}
-        found = self.pieces.encode_all(list(distinct - self.known.keys()))
-        table = {w: array("i", ids).tobytes() for w, ids in found.items()}
-        if len(self.known) + len(table) <= KNOWN_WORDS:
+        table = self.pieces.encode_all(list(distinct - self.known.keys()), self.pairs)
+        more = sum([WORD_BYTES + 4 * len(w) + len(ids) for w, ids in table.items()])
+        if self.bytes + more <= KNOWN_BYTES:
             self.known.update(table)
+            self.bytes += more
             table = self.known
         else:
             table.update((w, self.known[w]) for w in distinct - table.keys())
         return [np.frombuffer(b"".join(map(table.__getitem__, p)), np.int32) for p in parts]
 
 
-#: Of this worker process, for all its tasks; by the vocabulary they belong to.
-_known_words: dict[int, dict[str, bytes]] = {}
-
-
 def _lists(ids: list[np.ndarray]) -> pa.Array:
     bounds = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
@@ -234,7 +293,7 @@ def _lists(ids: list[np.ndarray]) -> pa.Array:
 
 def _encode(pieces: Pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(pieces, _known_words.setdefault(hash(pieces.keys.tobytes()), {}))
+        encoder = Encoder(pieces)
         for part in slices(batches, limit=TEXT_BYTES):
             ids = encoder.encode(part.rows.column("_text").to_pylist())
             yield pa.record_batch({"doc_id": part.rows.column("doc_id"), "ids": _lists(ids)})
