@@ -37,7 +37,7 @@ LONG, TOGETHER = 32, 1 << 15
 KNOWN_BYTES, WORD_BYTES = 16 << 20, 200
 #: Bits of the table that says which hashes may be a piece's, and of the one of pairs decided before.
 MAYBE_BITS, PAIR_BITS = 22, 18
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 21
 
 
 class Pieces:
