@@ -10,7 +10,7 @@ from test_cross_map import coupled, frame, mixed_series
 
 from tidelag import Spec, cross_map, neighbours
 from tidelag.functions import permuted
-from tidelag.operators import draw_libraries, embed, explode_neighbors, knn_in_library, lengths, neighbors, tiles
+from tidelag.operators import draw_libraries, embed, explode_neighbors, knn_in_library, lengths, library_points, neighbors, tiles
 
 
 def test_permutation_of_every_length():
@@ -170,3 +170,14 @@ def test_ties_rank_no_deeper():
             limit = np.sort(d[r, members])[3]
             want = [c for c in members[np.argsort(d[r, members], kind="stable")] if d[r, c] <= limit]
             assert cols[ends[i] - sizes[i] : ends[i]].tolist() == want
+
+
+def test_drawn_numbers_are_never_null(spark):
+    """Else a join on them brings a test for NULL, which moves down through all rounds and repeats them."""
+    spec = Spec(E=(2,), L=(5,), samples=2, replacement=False)
+    series = frame(spark, {"a": coupled(30)})
+    drawn = draw_libraries(lengths(series, spec.pairs), spec)
+    assert not drawn.schema["pos"].nullable
+    joined = library_points(drawn, embed(series, spec.pairs))
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "shiftright" in line]
