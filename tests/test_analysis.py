@@ -97,3 +97,42 @@ def test_rowwise_pearson(spark):
     far = spark.createDataFrame([(1, [1e9 + v for v in (1.0, 2.0, 4.0)], [1.0, 3.0, 2.0])], "id int, a array<double>, b array<double>")
     got = far.select(array_pearson(F.col("a"), F.col("b")).alias("r")).first().r
     assert got == pytest.approx(float(np.corrcoef([1, 2, 4], [1, 3, 2])[0, 1]), abs=1e-12)
+
+
+def test_pair_summaries_in_few_blocks(spark, monkeypatch):
+    """Summaries ship each block to a bounded number of others; near copies, missing numbers, repeated ids
+    and values far from 0 keep their distances."""
+    from tidelag.operators import neighbors, tiles
+
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(90, 5)) + 1000.0
+    v[10] = v[3] + 1e-7
+    v[11] = v[4]
+    v[12, 2], v[13, 0] = np.nan, np.inf
+    v[14] = 0.0
+    ids = np.arange(90)
+    ids[21] = 20
+    units = []
+
+    def counted(rows, *keys, deal=neighbors.deal_out):
+        units.append(rows.count())
+        return deal(rows, *keys)
+
+    monkeypatch.setattr(neighbors, "POINTS", 7)
+    monkeypatch.setattr(neighbors, "BLOCKS", "(n + 6) div 7")
+    monkeypatch.setattr(neighbors, "SIDES", 4)
+    monkeypatch.setattr(neighbors, "deal_out", counted)
+    monkeypatch.setattr(tiles, "PART", (5, 9))
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)], "id bigint, v array<double>")
+    for measure, found in (("euclidean", pairwise_euclidean(df, "id", "v", True)), ("pearson", pairwise_pearson(df, "id", "v", True))):
+        cells = tiles.distances(v, v) if measure == "euclidean" else tiles._standardised(v) @ tiles._standardised(v).T
+        cells[(ids[:, None] == ids) | ~np.isfinite(cells)] = np.nan
+        rows = {r.id: r for r in found.collect()}
+        assert sorted(rows) == sorted(set(ids.tolist())) and units.pop() == 10
+        for i, r in rows.items():
+            mine = cells[ids == i]
+            assert r.pairs == np.isfinite(mine).sum()
+            if r.pairs:
+                assert np.allclose([r.mean, r.low, r.high], [np.nanmean(mine), np.nanmin(mine), np.nanmax(mine)], rtol=1e-9, atol=1e-12)
+            else:
+                assert (r.mean, r.low, r.high) == (None, None, None)
