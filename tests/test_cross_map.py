@@ -3,12 +3,13 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidelag import Spec, cross_map, neighbours
-from tidelag.operators import embed, explode_neighbors, pair_distances, rank_neighbors, simplex_forecast
+from tidelag.operators import embed, explode_neighbors, knn_in_library, lengths, pair_distances, rank_neighbors, simplex_forecast
 from tidelag.operators import neighbors, simplex_predict, simplex_weights, tiles
 
 # The nine-point series of the reference's worked example.
@@ -231,3 +232,32 @@ def test_thin_draws_fall_back_to_all_distances():
         for r in range(50):
             at = 3 * (50 * s + r)
             assert picked[at : at + 3].tolist() == members[np.argsort(d[r, members], kind="stable")[:3]].tolist()
+
+
+def test_short_series_are_answered_together(spark, monkeypatch):
+    """Many short series, some with missing values or too few steps, share calls and keep their answers."""
+    rng = np.random.default_rng(11)
+    series = {f"s{j}": [(None if rng.random() < 0.1 else float(rng.integers(0, 9)), float(rng.random())) for _ in range(2 + j % 20)] for j in range(30)}
+    df = spark.createDataFrame(
+        [(name, i, x, y) for name, rows in series.items() for i, (x, y) in enumerate(rows)], "series_id string, i bigint, x double, y double"
+    )
+    columns = [*neighbors.POINT, "q", "d", "m", "yq"]
+    for options in ({}, {"replacement": False}, {"distinct_library": True}, {"exclude_zero_distance": True}):
+        spec = Spec(E=(2, 3), tau=(2,), L=(3, 9), samples=2, strategy="shared", **options)
+        points = embed(df, spec.pairs)
+        found = []
+        for longest in (tiles.SHORT_SERIES, 0):
+            with monkeypatch.context() as m:
+                m.setattr(tiles, "SHORT_SERIES", longest)
+                rows = knn_in_library(points, spec, sizes=lengths(df, spec.pairs), pairs=spec.pairs).select(*columns).collect()
+            found.append(sorted(map(tuple, rows), key=lambda r: r[:6]))
+        assert found[0] == found[1] and len(found[0]) > 1000
+    calls = []
+    monkeypatch.setattr(tiles, "_by_dimension", lambda *a: calls.append(a))
+    packed = [
+        {"series_id": f"s{j}", "tau": 1, "n": 6, "block": 0, "grp": 0, "chunk": chunk, "points": [{"i": i, "y": 0.0, "v": [float(i), float(i)]} for i in range(1, 6)],
+         "draws": [{"E": 2, "n": 5, "L": 3, "size": 3, "sample": 0, "ticket": 7}] if chunk < 0 else None}
+        for j in range(40) for chunk in (-1, 0)
+    ]
+    out = list(tiles.lag_kernel(None, False, False, False, True)([pa.RecordBatch.from_pylist(packed)]))
+    assert not calls and sum(b.num_rows for b in out) == 40 * 5
