@@ -181,3 +181,38 @@ def test_drawn_numbers_are_never_null(spark):
     joined = library_points(drawn, embed(series, spec.pairs))
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and "shiftright" in line]
+
+
+def test_few_columns_are_the_nearest():
+    """Ties go to the first column, infinite distances to none; what was measured stays as it is."""
+    rng = np.random.default_rng(3)
+    d = rng.integers(0, 6, (200, 40)).astype(float)
+    d[rng.random(d.shape) < 0.2] = np.inf
+    d[0], d[1, 1:] = np.inf, np.inf
+    before = d.copy()
+    order, near = tiles.nearest_columns(d, 3)
+    assert (d == before).all()
+    want = np.argsort(d, axis=1, kind="stable")[:, :3]
+    assert (near == np.take_along_axis(d, want, 1)).all()
+    held = np.isfinite(near)
+    assert (order[held] == want[held]).all()
+
+
+def test_whole_draws_rank_no_deeper_than_needed():
+    held = np.ones((1, 50), np.int32)
+    assert tiles.depth_for(held, 3) == 3
+    assert tiles.depth_for(held, 3, ties=True) > 3
+
+
+def test_points_are_packed_many_at_a_time(spark):
+    """Not row by row in an aggregate's buffers; keys may be null, or come in no order."""
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(4), i, [float(i), None], rng.choice([None, 0.5])) for i in range(300)]
+    packed = neighbors.pack(spark.createDataFrame(rows, "s string, b bigint, i bigint, v array<double>, y double").repartition(3), ["s", "b"], hits=True)
+    got = {(r.s, r.b): sorted((p.i, p.v, p.y, p.hits) for p in r.points) for r in packed.collect()}
+    assert len(got) == packed.count() == len({row[:2] for row in rows})
+    for key, points in got.items():
+        assert points == sorted((i, v, y, None) for s, b, i, v, y in rows if (s, b) == key)
+    found = neighbours(frame(spark, {"a": coupled(60)}), Spec(E=(2,), L=(5,), strategy="library_first"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "flatten(collect_list(points" in plan
