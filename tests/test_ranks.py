@@ -1,12 +1,13 @@
 """Stored rank tables: what is read equals what is measured."""
 
+import math
 import uuid
 
 import pytest
 from test_cross_map import OPTIONS, coupled, frame, mixed_series
 
 from tidelag import Spec, cross_map, neighbours
-from tidelag.operators import RankTable, embed, neighbors
+from tidelag.operators import RankTable, embed, neighbors, rank_neighbors
 from tidelag.staging import shared_folder
 
 
@@ -75,3 +76,22 @@ def test_a_second_run_measures_nothing(spark, table, monkeypatch):
     assert neighbours(series, spec, ranks=again).count() == 3 * 79
     plan = again.points()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Bucketed: true" in plan
+
+
+@pytest.mark.parametrize("no_zero", [False, True])
+def test_copies_are_told_apart_by_hash(spark, small_blocks, no_zero):
+    """Many copies of one vector, with 0 and -0 for the same number; those that go into no box are
+    found without taking all others away from all points."""
+    x = [0.0, -0.0, 1.0, 2.0] * 20 + [float(i * i % 31) for i in range(60)]
+    points = embed(frame(spark, {"a": (x, x)}), [(2, 1)])
+    ranked = rank_neighbors(points, 2, exclude_zero_distance=no_zero)
+    got = {}
+    for r in sorted(ranked.collect(), key=lambda r: (r.p, r.r)):
+        got.setdefault(r.p, []).append((r.d, r.q))
+    at = {i: (x[i], x[i - 1]) for i in range(1, len(x))}
+    for p, v in at.items():
+        every = sorted((math.dist(v, w), q) for q, w in at.items() if q != p)
+        want = [(d, q) for d, q in every if d > 0 or not no_zero][:2]
+        assert [q for _, q in got[p]] == [q for _, q in want] and [d for d, _ in got[p]] == pytest.approx([d for d, _ in want])
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan
