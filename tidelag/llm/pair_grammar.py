@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -24,16 +23,22 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .rolling import Slice, ranges, slices, text_array
+
 END = 2
 SHARD_TOKENS = 1 << 20
 #: Pairs seen less often stay; each round takes all pairs down to a share of the best one.
 LEAST, SHARE = 6, 16
-COUNTERS = 1 << 20
 KNOWN_WORDS = 3 << 18
+#: So many new words are one text for the tokenizer.
+TOGETHER = 1 << 8
+#: Texts are encoded in slices of so many bytes.
+TEXT_BYTES = 1 << 22
 SHARDS = (
     "part int, seq int, n_tokens long, base int, doc_ids array<long>, tokens array<int>, symbols array<int>, "
     "left array<int>, right array<int>, lengths array<int>, body array<int>"
@@ -72,6 +77,17 @@ class Grammar:
     def expand(self, start: int = 0, end: int | None = None) -> np.ndarray:
         """Ids of body[start:end]."""
         out = self.body[start:end]
+        if len(out) <= len(self.left):
+            return self._unfold(out)
+        # every rule once, and the symbols behind them
+        rules = self._unfold(np.arange(self.base, self.base + len(self.left), dtype=out.dtype))
+        rule = out >= self.base
+        at, count = np.arange(len(rules), len(rules) + len(out)), np.ones(len(out), np.int64)
+        which = out[rule] - self.base
+        at[rule], count[rule] = (np.cumsum(self.lengths) - self.lengths)[which], self.lengths[which]
+        return np.append(rules, out)[ranges(at, count)]
+
+    def _unfold(self, out: np.ndarray) -> np.ndarray:
         while True:
             rule = out >= self.base
             if not rule.any():
@@ -92,103 +108,226 @@ class Grammar:
         return self.expand(first, last + 1)[skip : skip + count]
 
 
+def _sorted_pairs(key: np.ndarray, place: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, and their places; ``bits``: what places need."""
+    if int(key.max(initial=0)).bit_length() + bits > 63:
+        order = np.argsort(key, kind="stable")
+        return key[order], place[order].astype(np.int32)
+    key = key << bits | place
+    key.sort()
+    return key >> bits, (key & ((1 << bits) - 1)).astype(np.int32)
+
+
 def compress(ids: np.ndarray, doc: np.ndarray) -> tuple[Grammar, np.ndarray]:
-    """Grammar of ``ids``, and the document of each symbol of its body."""
-    body, doc = ids.astype(np.int32), doc.astype(np.int32)
-    base = int(body.max()) + 1 if len(body) else 1
+    """Grammar of ``ids``, and the document of each symbol of its body.
+
+    A pair of old symbols never gets more places, so a round counts only the pairs that the last one's
+    new symbols made; of those seen LEAST times the places are listed, and their number kept up to date."""
+    n = len(ids)
+    base = int(ids.max()) + 1 if n else 1
+    # symbols stay where they begin; n: nothing comes before or after in the document
+    body = np.append(ids, -1).astype(np.int32)
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    inner = doc[1:] == doc[:-1]
+    edge = np.flatnonzero(~inner)
+    after[edge] = after[-2:] = before[edge + 1] = before[0] = n
+    place_bits, bits = n.bit_length(), (base + n // 2).bit_length()
+    key, new = (body[:-2].astype(np.int64) << bits | body[1:-1])[inner], np.flatnonzero(inner)
+    # of each listed pair how many places it has, how many it had, and where these stand in spots
+    pairs, counts, sizes, starts = (np.zeros(0, np.int64) for _ in range(4))
+    spots, listed = np.zeros(0, np.int32), np.full(n + 1, -1, np.int32)
     left, right, size = [], [], base
     while True:
-        inner = np.flatnonzero(doc[:-1] == doc[1:])
-        key = body[inner].astype(np.int64) * size + body[inner + 1]
-        # a slot's count is no less than that of any of its pairs; only pairs in slots of
-        # LEAST or more are counted one by one
-        slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).view(np.int64)
-        often = np.flatnonzero(np.bincount(slot, minlength=COUNTERS)[slot] >= LEAST)
-        pairs, which, count = np.unique(key[often], return_inverse=True, return_counts=True)
-        chosen = count >= max(LEAST, int(count.max(initial=0)) // SHARE)
-        if not chosen.any():
+        key, new = _sorted_pairs(key, new, place_bits)
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        count = np.diff(np.append(head, len(key)))
+        often = count >= LEAST
+        held, count = new[np.repeat(often, count)], count[often]
+        listed[held] = np.repeat(np.arange(len(pairs), len(pairs) + len(count), dtype=np.int32), count)
+        pairs, starts = np.append(pairs, key[head[often]]), np.append(starts, len(spots) + np.cumsum(count) - count)
+        counts, sizes, spots = np.append(counts, count), np.append(sizes, count), np.append(spots, held)
+        best = int(counts.max(initial=0))
+        if best < LEAST:
             break
-        hit = np.flatnonzero(chosen[which])
-        place, which = inner[often[hit]], which[hit]
+        chosen = np.flatnonzero(counts >= max(LEAST, best // SHARE))
+        chosen = chosen[np.argsort(pairs[chosen])]
+        place, which = spots[ranges(starts[chosen], sizes[chosen])], np.repeat(np.arange(len(chosen)), sizes[chosen])
+        still = listed[place] == chosen[which]
+        place, which = _sorted_pairs(place[still].astype(np.int64), which[still], len(chosen).bit_length())
         # of pairs that overlap, every second one from the left
-        run = np.append(True, place[1:] != place[:-1] + 1)
-        offset = np.arange(len(place)) - np.flatnonzero(run)[np.cumsum(run) - 1]
-        place, which = place[offset % 2 == 0], which[offset % 2 == 0]
+        run = np.flatnonzero(np.append(True, after[place[:-1]] != place[1:]))
+        odd = (np.arange(len(place)) - np.repeat(run, np.diff(np.append(run, len(place))))) & 1
+        place, which = place[odd == 0], which[odd == 0]
         # half of the places or more are left, LEAST / 2 a pair on average; pairs with one wait
-        used = np.bincount(which, minlength=len(pairs)) > 1
+        used = np.bincount(which, minlength=len(chosen)) > 1
         place, which = place[used[which]], (np.cumsum(used) - 1)[which[used[which]]]
-        pairs = pairs[used]
-        left.append(pairs // size)
-        right.append(pairs % size)
-        body[place] = size + which
-        keep = np.ones(len(body), bool)
-        keep[place + 1] = False
-        body, doc = body[keep], doc[keep]
-        size += len(pairs)
+        rules = pairs[chosen[used]]
+        left.append(rules >> bits)
+        right.append(rules & ((1 << bits) - 1))
+        second = after[place]
+        rest = after[second]
+        body[place], body[second] = size + which, -1
+        after[place], before[rest] = rest, place
+        prior = before[place]
+        prior = prior[(prior < n) & (body[prior] < size)]
+        for gone in (place, second, prior):
+            lost = listed[gone]
+            counts -= np.bincount(lost[lost >= 0], minlength=len(counts))
+            listed[gone] = -1
+        new = np.concatenate([place[rest < n], prior])
+        key = body[new].astype(np.int64) << bits | body[after[new]]
+        size += len(rules)
     none = np.zeros(0, np.int32)
-    grammar = Grammar(base, *(np.concatenate(x).astype(np.int32) if x else none for x in (left, right)), body)
-    return grammar, doc
+    kept = np.flatnonzero(body[:n] >= 0)
+    grammar = Grammar(base, *(np.concatenate(x).astype(np.int32) if x else none for x in (left, right)), body[kept])
+    return grammar, doc[kept].astype(np.int32)
+
+
+#: What a byte is: a separator, a letter, a digit, other ASCII, or one that only the library can judge
+#: (beyond ASCII, control characters, apostrophes of contractions, bars of special tokens).
+BREAK, LETTER, DIGIT, OTHER, OPEN = range(5)
+_kinds = np.full(256, OPEN, np.uint8)
+_kinds[0x21:0x7F] = OTHER
+for _kind, _characters in ((BREAK, b" \n"), (LETTER, bytes(range(0x41, 0x5B)) + bytes(range(0x61, 0x7B))), (DIGIT, b"0123456789"), (OPEN, b"'|")):
+    _kinds[list(_characters)] = _kind
+_lower = np.arange(256, dtype=np.uint8)
+_lower[0x41:0x5B] += 32
+
+
+def _units(part: Slice) -> tuple[pa.Array, np.ndarray]:
+    """The units of a slice, which the tokenizer encodes alone, and each document's first one, and the end.
+    It parts words at spaces and line feeds, letters, digits and other characters from each other, and
+    digits; it lower-cases, which is left to it in units that hold a byte of kind OPEN."""
+    n = len(part.buf)
+    kind = _kinds[part.buf]
+    solid = kind != BREAK
+    begins = solid.copy()
+    begins[1:] &= (kind[1:] != kind[:-1]) & (kind[1:] != OPEN) & (kind[:-1] != OPEN) | (kind[1:] == DIGIT) & (kind[:-1] == DIGIT) | ~solid[:-1]
+    edge = part.off[:-1][part.sizes > 0]
+    begins[edge] = solid[edge]
+    start = np.flatnonzero(begins)
+    # bytes up to each unit without the separators
+    at = np.append(np.cumsum(solid, dtype=np.int32)[start] - 1, np.count_nonzero(solid))
+    data = _lower[part.buf]
+    opened = np.zeros(len(start), bool)
+    opened[np.searchsorted(start, np.flatnonzero(kind == OPEN), side="right") - 1] = True
+    same = ranges(start[opened], np.diff(at)[opened])
+    data[same] = part.buf[same]
+    return text_array(data[solid], np.diff(at), pa.binary()), np.searchsorted(start, part.off)
 
 
 class Encoder:
-    """Ids of texts by the tokenizer in a file. It never joins what spaces or line feeds
-    part, so ids are looked up by word; words not seen yet are encoded in one batch, and
-    kept until there are KNOWN_WORDS, by when the common ones are among them."""
+    """Ids of texts by the tokenizer in a file, looked up by unit. Units not seen yet are
+    encoded together, and kept until there are KNOWN_WORDS, by when the common ones are among them.
+    Unit 0 stands for the end of a document."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        distinct = set(chain.from_iterable(parts))
-        new = list(distinct - self.known.keys())
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        table = {w: array("i", e.ids).tobytes() for w, e in zip(new, found)}
-        if len(self.known) + len(table) <= KNOWN_WORDS:
-            self.known.update(table)
-            table = self.known
-        else:
-            table.update((w, self.known[w]) for w in distinct - table.keys())
-        return [np.frombuffer(b"".join(map(table.__getitem__, p)), np.int32) for p in parts]
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known = pa.array([], pa.binary())
+        self.ids, self.bounds, self.size = np.full(1, end, np.int32), np.array([0, 1]), 1
+
+    def _batch(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _look_up(self, new: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """The units' numbers in some order, all ids in that order, and how many each unit has."""
+        words, alone = [k for k, w in enumerate(new) if w.isalpha()], [k for k, w in enumerate(new) if not w.isalpha()]
+        order, ids, counts = [], [], []
+        parts = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
+        for part, found in zip(parts, self._batch([" ".join([new[k] for k in p]) for p in parts])):
+            found = np.array(found, np.int32)
+            # the last id of a word of letters closes it, no other does
+            stops = np.flatnonzero(self.closes[found]) + 1
+            if len(stops) == len(part) and stops[-1] == len(found):
+                order += part
+                ids.append(found)
+                counts.append(np.diff(stops, prepend=0))
+            else:
+                alone += part
+        rest = self._batch([new[k] for k in alone])
+        ids.append(np.array(list(chain.from_iterable(rest)), np.int32))
+        counts.append(np.array([len(x) for x in rest], np.int64))
+        return order + alone, np.concatenate(ids), np.concatenate(counts)
+
+    def _keep(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Append, in room that doubles."""
+        used, have = int(self.bounds[self.size]), self.size
+        if used + len(ids) > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros(used + len(ids), np.int32))
+        if have + len(counts) >= len(self.bounds):
+            self.bounds = np.append(self.bounds, np.zeros(have + len(counts), np.int64))
+        self.ids[used : used + len(ids)] = ids
+        self.bounds[have + 1 : have + 1 + len(counts)] = used + np.cumsum(counts)
+        self.size += len(counts)
+
+    def encode(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all documents of a slice, each with the end id, and how many each has."""
+        units, first = _units(part)
+        found = pc.index_in(units, self.known)
+        number = found.fill_null(-1).to_numpy() + 1
+        kept = self.size
+        if found.null_count:
+            coded = units.filter(found.is_null()).dictionary_encode()
+            new = coded.dictionary.cast(pa.string())
+            order, ids, counts = self._look_up(new.to_pylist())
+            self._keep(ids, counts)
+            place = np.empty(len(new), np.int64)
+            place[order] = np.arange(kept, self.size)
+            number[number == 0] = place[coded.indices.to_numpy()]
+            if self.size <= KNOWN_WORDS:
+                self.known = pa.concat_arrays([self.known, coded.dictionary.take(pa.array(order))])
+            else:
+                self.size = kept
+        number = np.insert(number, first[1:], 0)
+        start = self.bounds[number]
+        counts = self.bounds[number + 1] - start
+        stop = np.cumsum(counts)[first[1:] + np.arange(len(part.sizes))]
+        return self.ids[ranges(start, counts)], np.diff(stop, prepend=0)
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, end: int) -> Encoder:
     """One per worker process, for all its tasks."""
-    return Encoder(path)
+    return Encoder(path, end)
 
 
 def _shards(path: str, end: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        ids: list[np.ndarray] = []
-        docs: list[int | None] = []
+        # ids, sizes and doc_ids of the documents that are in no shard yet
+        open_: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
         size = 0
 
         def shard() -> pa.RecordBatch:
-            tokens = np.array([len(x) for x in ids])
-            grammar, doc = compress(np.concatenate(ids), np.repeat(np.arange(len(ids)), tokens))
-            symbols = np.bincount(doc, minlength=len(ids))
-            columns = {"part": [part], "seq": [seq], "n_tokens": [int(tokens.sum())], "base": [grammar.base], "doc_ids": [docs], "tokens": [tokens], "symbols": [symbols]}
+            ids, tokens = (np.concatenate([x[k] for x in open_]) for k in (0, 1))
+            docs = pa.concat_arrays([x[2] for x in open_])
+            grammar, doc = compress(ids, np.repeat(np.arange(len(tokens)), tokens))
+            symbols = np.bincount(doc, minlength=len(tokens))
+            columns = {"part": [part], "seq": [seq], "n_tokens": [int(tokens.sum())], "base": [grammar.base], "doc_ids": [docs.to_pylist()], "tokens": [tokens], "symbols": [symbols]}
             columns |= {"left": [grammar.left], "right": [grammar.right], "lengths": [grammar.lengths], "body": [grammar.body]}
             kinds = {"part": pa.int32(), "seq": pa.int32(), "n_tokens": pa.int64(), "base": pa.int32(), "doc_ids": pa.list_(pa.int64())}
             return pa.record_batch({k: pa.array(v, kinds.get(k, pa.list_(pa.int32()))) for k, v in columns.items()})
 
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                rows = batch.slice(at, 256)
-                for doc, found in zip(rows.column("doc_id").to_pylist(), encoder(path).encode(rows.column("_text").to_pylist())):
-                    ids.append(np.append(found, np.int32(end)))
-                    docs.append(doc)
-                    size += len(ids[-1])
-                    if size >= shard_tokens:
-                        yield shard()
-                        ids, docs, size, seq = [], [], 0, seq + 1
-        if ids:
+        for piece in slices(batches, limit=TEXT_BYTES):
+            ids, tokens = encoder(path, end).encode(piece)
+            docs, stop, at = piece.rows.column("doc_id"), np.cumsum(tokens), 0
+            while at < len(tokens):
+                gone = int(stop[at - 1]) if at else 0
+                # the document that fills the shard is its last one
+                to = min(len(tokens), int(np.searchsorted(stop, gone + shard_tokens - size)) + 1)
+                open_.append((ids[gone : stop[to - 1]], tokens[at:to], docs.slice(at, to - at)))
+                size += int(stop[to - 1]) - gone
+                if size >= shard_tokens:
+                    yield shard()
+                    open_, size, seq = [], 0, seq + 1
+                at = to
+        if open_:
             yield shard()
 
     return run
