@@ -187,6 +187,49 @@ def test_grammar_leaves_no_frequent_pair():
     assert grammar.lengths.max() >= 290
 
 
+def test_units_give_the_ids_of_the_library():
+    """Texts with what the tokenizer treats in its own way; words that differ in case or in ASCII
+    marks around them are encoded once."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tidelag.llm.rolling import slices
+
+    model = tokenizer_file("word_bpe_49k.json")
+    parts = ["Don't", "we'LL", "'re", "''s", "<|startoftext|>", "<|ENDOFTEXT|>", "a<|endoftext|>b", "12,34", "x1y", "J\u030c", "\u0130stanbul", "\ufb01n", "\u2167", "\xbd", "a\u0301,", "a,\u0301"]
+    parts += ["=\u0338", "\u2014,", "\u4e00\u4e8c", "\ud55c\uae00", "\u0661\u0662", "\u2019s", "</w>", "\x00a", "\xa0b", "Stra\xdfe.", "\xc9T\xc9,", "...", "\t", "a\x85b", "ok\r", "\u1100\u1161", "\U0001f926"]
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", "\n", "", ",", " "]) for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    library = Tokenizer.from_file(model)
+    want = [e.ids + [7] for e in library.encode_batch(texts, add_special_tokens=False)]
+    encoder, got = pair_grammar.Encoder(model, 7), []
+    for piece in slices(iter([pa.record_batch({"_text": pa.array(texts)})]), limit=2000):
+        ids, sizes = encoder.encode(piece)
+        got += [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert got == want
+    asked, batch, encoder = [], encoder._batch, pair_grammar.Encoder(model, 7)
+    encoder._batch = lambda texts: asked.extend(" ".join(texts).split()) or batch(texts)
+    for text in ("Hello, hello (HELLO) hello!", "hello. World"):
+        for piece in slices(iter([pa.record_batch({"_text": pa.array([text])})])):
+            encoder.encode(piece)
+    assert sorted(asked) == sorted(["hello", ",", "(", ")", "!", ".", "world"])
+
+
+def test_grammar_counts_only_new_pairs(monkeypatch):
+    """Pairs below the share of the best one wait for their round without being sorted again."""
+    rng = np.random.default_rng(7)
+    ids = rng.zipf(1.2, 60000).astype(np.int64) % 30000
+    sort, sizes = pair_grammar._sorted_pairs, []
+    monkeypatch.setattr(pair_grammar, "_sorted_pairs", lambda key, *more: sizes.append(len(key)) or sort(key, *more))
+    grammar, _ = pair_grammar.compress(ids.astype(np.int32), np.zeros(len(ids), np.int64))
+    assert (grammar.expand() == ids).all()
+    # a replaced place makes two new pairs, and is listed in at most two more
+    assert len(sizes) > 6 and sum(sizes) < 3 * len(ids)
+    # keys too wide to be sorted with their places
+    key, place = np.array([1 << 61, 5, 1 << 61, 0]), np.array([3, 9, 4, 1])
+    assert [x.tolist() for x in sort(key, place, 4)] == [[0, 5, 1 << 61, 1 << 61], [1, 9, 3, 4]]
+
+
 # languages
 
 

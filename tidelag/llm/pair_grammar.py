@@ -19,11 +19,10 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -206,14 +205,15 @@ def _units(part: Slice) -> tuple[pa.Array, np.ndarray]:
     edge = part.off[:-1][part.sizes > 0]
     begins[edge] = solid[edge]
     start = np.flatnonzero(begins)
-    # bytes up to each unit without the separators
-    at = np.append(np.cumsum(solid, dtype=np.int32)[start] - 1, np.count_nonzero(solid))
+    ends = solid.copy()
+    ends[:-1] &= begins[1:] | ~solid[1:]
+    size = np.flatnonzero(ends) + 1 - start
     data = _lower[part.buf]
     opened = np.zeros(len(start), bool)
     opened[np.searchsorted(start, np.flatnonzero(kind == OPEN), side="right") - 1] = True
-    same = ranges(start[opened], np.diff(at)[opened])
+    same = ranges(start[opened], size[opened])
     data[same] = part.buf[same]
-    return text_array(data[solid], np.diff(at), pa.binary()), np.searchsorted(start, part.off)
+    return text_array(data[solid], size, pa.binary()), np.searchsorted(start, part.off)
 
 
 class Encoder:
@@ -229,7 +229,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known = pa.array([], pa.binary())
+        self.known: dict[bytes, int] = {}
         self.ids, self.bounds, self.size = np.full(1, end, np.int32), np.array([0, 1]), 1
 
     def _batch(self, texts: list[str]) -> list[list[int]]:
@@ -237,7 +237,9 @@ class Encoder:
 
     def _look_up(self, new: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
         """The units' numbers in some order, all ids in that order, and how many each unit has."""
-        words, alone = [k for k, w in enumerate(new) if w.isalpha()], [k for k, w in enumerate(new) if not w.isalpha()]
+        words, alone = [], []
+        for k, w in enumerate(new):
+            (words if w.isalpha() else alone).append(k)
         order, ids, counts = [], [], []
         parts = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
         for part, found in zip(parts, self._batch([" ".join([new[k] for k in p]) for p in parts])):
@@ -269,21 +271,20 @@ class Encoder:
     def encode(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents of a slice, each with the end id, and how many each has."""
         units, first = _units(part)
-        found = pc.index_in(units, self.known)
-        number = found.fill_null(-1).to_numpy() + 1
-        kept = self.size
-        if found.null_count:
-            coded = units.filter(found.is_null()).dictionary_encode()
-            new = coded.dictionary.cast(pa.string())
-            order, ids, counts = self._look_up(new.to_pylist())
+        coded = units.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new, kept = np.flatnonzero(number < 0), self.size
+        if len(new):
+            words = [distinct[k] for k in new.tolist()]
+            order, ids, counts = self._look_up([w.decode() for w in words])
             self._keep(ids, counts)
-            place = np.empty(len(new), np.int64)
-            place[order] = np.arange(kept, self.size)
-            number[number == 0] = place[coded.indices.to_numpy()]
+            number[new[order]] = np.arange(kept, self.size)
             if self.size <= KNOWN_WORDS:
-                self.known = pa.concat_arrays([self.known, coded.dictionary.take(pa.array(order))])
+                self.known.update(zip(words, number[new].tolist()))
             else:
                 self.size = kept
+        number = number[coded.indices.to_numpy()]
         number = np.insert(number, first[1:], 0)
         start = self.bounds[number]
         counts = self.bounds[number + 1] - start
