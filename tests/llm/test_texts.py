@@ -279,6 +279,27 @@ def test_pieces_equal_the_library(edges, nothing):
     assert piece_lattice.encode(nothing, model).collect() == []
 
 
+def test_pieces_are_searched_and_decoded_together(monkeypatch):
+    """Words of all lengths share their steps; ids become texts a batch at a time."""
+    import sentencepiece
+
+    model = tokenizer_file("piece_bpe_32k.model")
+    library, rng = sentencepiece.SentencePieceProcessor(model_file=model), random.Random(9)
+    pieces = piece_lattice.Pieces(model)
+    words = sorted({"".join(rng.choice("aeinrst\u00e9\u4e00") for _ in range(rng.randint(1, 30))) for _ in range(500)})
+    calls, search = [], piece_lattice.Pieces.encode_words
+    monkeypatch.setattr(piece_lattice.Pieces, "encode_words", lambda self, *more: calls.append(1) or search(self, *more))
+    found = pieces.encode_all(["\u2581" + w for w in words])
+    assert len(calls) == 1
+    assert [np.frombuffer(found["\u2581" + w], np.int32).tolist() for w in words] == library.encode(words)
+    texts = ["", "a  b", "\U0001f926 \u4e00\n", "", " x"]
+    ids = library.encode(texts)
+    flat, counts = np.array([i for x in ids for i in x]), np.array([len(x) for x in ids])
+    assert pieces.decode_all(flat, counts) == texts
+    # half a character
+    assert pieces.decode([pieces.bytes_at + 0xC3]) == "\ufffd" and pieces.decode([]) == ""
+
+
 # secrets
 
 ASSIGN = re.compile(

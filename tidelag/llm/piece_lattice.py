@@ -2,7 +2,7 @@
 
 The search goes over the words of a text, cut where a space begins, and before and after each
 character that only stands alone in pieces; no piece spans such a cut.
-Words of one length advance together: for every end place and piece length the hashes of all
+Words advance together, sorted by length: for every end place and piece length the hashes of all
 words' substrings are looked up among the sorted hashes of the pieces. A pair model merges
 pieces in a fixed order, so among all ways to cut a prefix exactly one can come out: the one
 in which every two neighbours would also come out if encoded alone. That is what the search
@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rolling import slices
+from .rolling import lists, ranges, slices
 
 SPACE = "▁"
 BASE, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 FIRST, NONE, UNKNOWN = -3, -2, -1
-#: Words longer than this go one by one; so many words go together.
-LONG, TOGETHER = 32, 1 << 15
+#: Words longer than this go one by one; words of so many characters, filled up, go together.
+LONG, TOGETHER = 32, 1 << 17
 #: Bytes of words whose ids a task keeps, and what one takes beside its text and its ids.
 KNOWN_BYTES, WORD_BYTES = 16 << 20, 200
 #: Bits of the table that says which hashes may be a piece's, and of the one of pairs decided before.
@@ -94,6 +94,9 @@ class Pieces:
         for i in range(size):
             if lib.is_control(i):
                 self.out[i] = b""
+        self.out_bytes = np.frombuffer(b"".join(self.out), np.uint8)
+        self.out_size = np.array([len(x) for x in self.out])
+        self.out_start = np.cumsum(self.out_size) - self.out_size
 
     def _merge(self, text: str, number: dict[str, int]) -> list[tuple[int, ...]]:
         """The states that merging goes through."""
@@ -137,29 +140,29 @@ class Pieces:
         right = self.keys[place] == hashes[some]
         return some[right], self.piece[place[right]]
 
-    def encode_words(self, words: np.ndarray, pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
-        """``words``: a row of code points per word. For each end place the last piece (UNKNOWN
-        for a character without one) and its length."""
+    def encode_words(self, words: np.ndarray, lengths: np.ndarray, pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
+        """``words``: a row of code points per word, filled up behind its length, longest first. For each end place
+        the last piece (UNKNOWN for a character without one) and its length."""
         count, length = words.shape
         power = np.array([pow(BASE, j, 1 << 64) for j in range(length + 1)], np.uint64)
         back = np.array([pow(pow(BASE, -1, 1 << 64), j, 1 << 64) for j in range(length + 1)], np.uint64)
         # a row per place, so that all words' sums at a place lie together
         sums = np.zeros((length + 1, count), np.uint64)
         np.cumsum((words.T.astype(np.uint64) + np.uint64(1)) * power[:length, None], axis=0, out=sums[1:])
-        last = np.full((length + 1, count), NONE)
+        last = np.full((length + 1, count), NONE, np.int32)
         last[0] = FIRST
-        step = np.zeros((length + 1, count), np.int64)
+        step = np.zeros((length + 1, count), np.int32)
         for end in range(1, length + 1):
             # one step is open at each place, so a word that has it is done with the place
-            left = np.arange(count)
+            left = np.arange(np.searchsorted(-lengths, -end, side="right"))
             for size in range(1, min(end, self.longest) + 1):
                 hashes = (sums[end, left] - sums[end - size, left]) * back[end - size] + np.uint64(size)
                 some, piece = self.pieces_of(hashes)
                 if size == 1:
-                    every = np.full(count, UNKNOWN)
+                    every = np.full(len(left), UNKNOWN)
                     every[some] = piece
                     some, piece = left, every
-                stays = np.flatnonzero(pairs.follow(last[end - size, left[some]], piece))
+                stays = np.flatnonzero(pairs.follow(last[end - size, left[some]].astype(np.int64), piece))
                 rows = left[some[stays]]
                 last[end, rows], step[end, rows] = piece[stays], size
                 if len(rows) == len(left):
@@ -199,32 +202,35 @@ class Pieces:
         """The ids of each word, as the bytes of 32-bit numbers."""
         pairs = pairs or Pairs(self)
         out: dict[str, bytes] = {}
-        by_length: dict[int, list[str]] = {}
+        short = []
         for w in words:
             if len(w) > LONG:
                 out[w] = array("i", self.encode_long(w)).tobytes()
             else:
-                by_length.setdefault(len(w), []).append(w)
-        for length, same in by_length.items():
-            for at in range(0, len(same), TOGETHER):
-                part = same[at : at + TOGETHER]
-                codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), length)
-                ids, strange = self._backward(*self.encode_words(codes, pairs))
-                held = ids != NONE
-                flat = ids[held].tobytes()
-                ends = (4 * np.cumsum(held.sum(axis=1))).tolist()
-                out.update(zip(part, [flat[s:e] for s, e in zip([0, *ends], ends)]))
-                for k in strange.tolist():
-                    out[part[k]] = array("i", self.encode_long(part[k])).tobytes()
+                short.append(w)
+        short.sort(key=len, reverse=True)
+        at = 0
+        while at < len(short):
+            part = short[at : at + TOGETHER // len(short[at])]
+            at += len(part)
+            lengths, width = np.fromiter(map(len, part), np.int64, len(part)), len(part[0])
+            codes = np.frombuffer("".join([w.ljust(width) for w in part]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), width)
+            ids, strange = self._backward(*self.encode_words(codes, lengths, pairs), lengths)
+            held = ids != NONE
+            flat = ids[held].tobytes()
+            ends = (4 * np.cumsum(held.sum(axis=1))).tolist()
+            out.update(zip(part, [flat[s:e] for s, e in zip([0, *ends], ends)]))
+            for k in strange.tolist():
+                out[part[k]] = array("i", self.encode_long(part[k])).tobytes()
         return out
 
     @staticmethod
-    def _backward(last: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _backward(last: np.ndarray, step: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pieces that the backpointers name, in order, at the right of each word's row; and
         the words with a character that has no piece."""
         count, length = len(last), last.shape[1] - 1
         ids = np.full((count, length), NONE, np.int32)
-        end, left = np.full(count, length), np.arange(count)
+        end, left = lengths, np.arange(count)
         for place in range(length - 1, -1, -1):
             if not len(left):
                 break
@@ -234,8 +240,15 @@ class Pieces:
         return ids, np.flatnonzero((ids == UNKNOWN).any(axis=1))
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join([self.out[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return self.decode_all(np.array(ids, np.int64), np.array([len(ids)]))[0]
+
+    def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """Texts of lists of ids: all ids, and how many each list has."""
+        sizes = self.out_size[ids]
+        data = memoryview(self.out_bytes[ranges(self.out_start[ids], sizes)])
+        ends = np.append(0, np.cumsum(sizes))[np.cumsum(counts)].tolist()
+        texts = [str(data[s:e], "utf-8", "replace") for s, e in zip([0, *ends], ends)]
+        return [t[1:] if t.startswith(" ") else t for t in texts]
 
 
 def string_hash(text: str) -> int:
@@ -276,7 +289,9 @@ class Encoder:
         parts = [self.pieces.units.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         distinct = {u for p in parts for u in p}
         table = self.pieces.encode_all(list(distinct - self.known.keys()), self.pairs)
-        more = sum([WORD_BYTES + 4 * len(w) + len(ids) for w, ids in table.items()])
+        more = WORD_BYTES * len(table)
+        if self.bytes + more <= KNOWN_BYTES:
+            more += sum([4 * len(w) + len(ids) for w, ids in table.items()])
         if self.bytes + more <= KNOWN_BYTES:
             self.known.update(table)
             self.bytes += more
@@ -306,7 +321,8 @@ def _decode(pieces: Pieces):
         for batch in batches:
             for at in range(0, len(batch), 256):
                 rows = batch.slice(at, 256)
-                texts = [pieces.decode(x or []) for x in rows.column("ids").to_pylist()]
+                parts = [lists(rows.column("ids").slice(k, 32)) for k in range(0, len(rows), 32)]
+                texts = [t for counts, ids in parts for t in pieces.decode_all(ids, counts)]
                 yield pa.record_batch({"doc_id": rows.column("doc_id"), "ids": rows.column("ids"), "text": pa.array(texts, pa.string())})
 
     return run
