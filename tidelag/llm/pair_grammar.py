@@ -134,7 +134,8 @@ def compress(ids: np.ndarray, doc: np.ndarray) -> tuple[Grammar, np.ndarray]:
     key, new = (body[:-2].astype(np.int64) << bits | body[1:-1])[inner], np.flatnonzero(inner)
     # of each listed pair how many places it has, how many it had, and where these stand in spots
     pairs, counts, sizes, starts = (np.zeros(0, np.int64) for _ in range(4))
-    spots, listed = np.zeros(0, np.int32), np.full(n + 1, -1, np.int32)
+    # a place is new at the start and twice for each replaced one, of which there are fewer than n
+    spots, filled, listed = np.empty(3 * n, np.int32), 0, np.full(n + 1, -1, np.int32)
     left, right, size = [], [], base
     while True:
         key, new = _sorted_pairs(key, new, place_bits)
@@ -143,20 +144,25 @@ def compress(ids: np.ndarray, doc: np.ndarray) -> tuple[Grammar, np.ndarray]:
         often = count >= LEAST
         held, count = new[np.repeat(often, count)], count[often]
         listed[held] = np.repeat(np.arange(len(pairs), len(pairs) + len(count), dtype=np.int32), count)
-        pairs, starts = np.append(pairs, key[head[often]]), np.append(starts, len(spots) + np.cumsum(count) - count)
-        counts, sizes, spots = np.append(counts, count), np.append(sizes, count), np.append(spots, held)
+        pairs, starts = np.append(pairs, key[head[often]]), np.append(starts, filled + np.cumsum(count) - count)
+        counts, sizes = np.append(counts, count), np.append(sizes, count)
+        spots[filled : filled + len(held)] = held
+        filled += len(held)
         best = int(counts.max(initial=0))
         if best < LEAST:
             break
         chosen = np.flatnonzero(counts >= max(LEAST, best // SHARE))
         chosen = chosen[np.argsort(pairs[chosen])]
         place, which = spots[ranges(starts[chosen], sizes[chosen])], np.repeat(np.arange(len(chosen)), sizes[chosen])
-        still = listed[place] == chosen[which]
+        still = listed[place] == np.repeat(chosen.astype(np.int32), sizes[chosen])
         place, which = _sorted_pairs(place[still].astype(np.int64), which[still], len(chosen).bit_length())
         # of pairs that overlap, every second one from the left
-        run = np.flatnonzero(np.append(True, after[place[:-1]] != place[1:]))
-        odd = (np.arange(len(place)) - np.repeat(run, np.diff(np.append(run, len(place))))) & 1
-        place, which = place[odd == 0], which[odd == 0]
+        linked = np.flatnonzero(after[place[:-1]] == place[1:]) + 1
+        run = np.flatnonzero(np.append(True, linked[1:] != linked[:-1] + 1)[: len(linked)])
+        even = (np.arange(len(linked)) - np.repeat(run, np.diff(np.append(run, len(linked))))) & 1 == 0
+        odd = np.zeros(len(place), bool)
+        odd[linked[even]] = True
+        place, which = place[~odd], which[~odd]
         # half of the places or more are left, LEAST / 2 a pair on average; pairs with one wait
         used = np.bincount(which, minlength=len(chosen)) > 1
         place, which = place[used[which]], (np.cumsum(used) - 1)[which[used[which]]]
@@ -169,7 +175,9 @@ def compress(ids: np.ndarray, doc: np.ndarray) -> tuple[Grammar, np.ndarray]:
         after[place], before[rest] = rest, place
         prior = before[place]
         prior = prior[(prior < n) & (body[prior] < size)]
-        for gone in (place, second, prior):
+        listed[place] = -1
+        counts[chosen[used]] -= np.bincount(which, minlength=len(rules))
+        for gone in (second, prior):
             lost = listed[gone]
             counts -= np.bincount(lost[lost >= 0], minlength=len(counts))
             listed[gone] = -1
@@ -185,12 +193,11 @@ def compress(ids: np.ndarray, doc: np.ndarray) -> tuple[Grammar, np.ndarray]:
 #: What a byte is: a separator, a letter, a digit, other ASCII, or one that only the library can judge
 #: (beyond ASCII, control characters, apostrophes of contractions, bars of special tokens).
 BREAK, LETTER, DIGIT, OTHER, OPEN = range(5)
-_kinds = np.full(256, OPEN, np.uint8)
-_kinds[0x21:0x7F] = OTHER
+_kinds = bytearray([OPEN]) * 256
+_kinds[0x21:0x7F] = bytes([OTHER]) * 0x5E
 for _kind, _characters in ((BREAK, b" \n"), (LETTER, bytes(range(0x41, 0x5B)) + bytes(range(0x61, 0x7B))), (DIGIT, b"0123456789"), (OPEN, b"'|")):
-    _kinds[list(_characters)] = _kind
-_lower = np.arange(256, dtype=np.uint8)
-_lower[0x41:0x5B] += 32
+    for _character in _characters:
+        _kinds[_character] = _kind
 
 
 def _units(part: Slice) -> tuple[pa.Array, np.ndarray]:
@@ -198,7 +205,8 @@ def _units(part: Slice) -> tuple[pa.Array, np.ndarray]:
     It parts words at spaces and line feeds, letters, digits and other characters from each other, and
     digits; it lower-cases, which is left to it in units that hold a byte of kind OPEN."""
     n = len(part.buf)
-    kind = _kinds[part.buf]
+    text = part.buf.tobytes()
+    kind = np.frombuffer(text.translate(_kinds), np.uint8)
     solid = kind != BREAK
     begins = solid.copy()
     begins[1:] &= (kind[1:] != kind[:-1]) & (kind[1:] != OPEN) & (kind[:-1] != OPEN) | (kind[1:] == DIGIT) & (kind[:-1] == DIGIT) | ~solid[:-1]
@@ -208,7 +216,7 @@ def _units(part: Slice) -> tuple[pa.Array, np.ndarray]:
     ends = solid.copy()
     ends[:-1] &= begins[1:] | ~solid[1:]
     size = np.flatnonzero(ends) + 1 - start
-    data = _lower[part.buf]
+    data = np.frombuffer(bytearray(text).lower(), np.uint8)
     opened = np.zeros(len(start), bool)
     opened[np.searchsorted(start, np.flatnonzero(kind == OPEN), side="right") - 1] = True
     same = ranges(start[opened], size[opened])
