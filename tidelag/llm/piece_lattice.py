@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rolling import lists, ranges, slices
+from .rolling import ranges, slices
 
 SPACE = "▁"
 BASE, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -321,8 +321,10 @@ def _decode(pieces: Pieces):
         for batch in batches:
             for at in range(0, len(batch), 256):
                 rows = batch.slice(at, 256)
-                parts = [lists(rows.column("ids").slice(k, 32)) for k in range(0, len(rows), 32)]
-                texts = [t for counts, ids in parts for t in pieces.decode_all(ids, counts)]
+                texts = []
+                for k in range(0, len(rows), 32):
+                    some = rows.column("ids").slice(k, 32)
+                    texts += pieces.decode_all(np.asarray(some.flatten(), np.int32), np.asarray(some.value_lengths().fill_null(0)))
                 yield pa.record_batch({"doc_id": rows.column("doc_id"), "ids": rows.column("ids"), "text": pa.array(texts, pa.string())})
 
     return run
