@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidelag.llm import cover_dedup, run_index
@@ -128,6 +129,69 @@ def test_index_marks_all_but_the_first():
     assert set(zip(phrase.tolist(), offset.tolist())) == want
 
 
+def edited_pieces(rng, alphabet, n):
+    """Numbers of 5 texts, each with a piece of that text; half are edited, and some come again."""
+    base = [bytes(rng.choice(alphabet) for _ in range(240)) for _ in range(5)]
+    pieces = []
+    for _ in range(n):
+        b, s = rng.randrange(5), rng.randrange(80)
+        t = bytearray(base[b][s : s + rng.randint(100, 160)])
+        if rng.random() < 0.5:
+            t[rng.randrange(len(t))] = rng.choice(alphabet)
+        pieces.append((b, bytes(t)))
+    return pieces + rng.choices(pieces, k=n)
+
+
+def test_equal_phrases_are_indexed_once(monkeypatch):
+    """The suffix order of a block grows with its different texts, not with their places."""
+    built = []
+    build = run_index.RunIndex.build
+    monkeypatch.setattr(run_index.RunIndex, "build", lambda text, order, *more: built.append(len(order)) or build(text, order, *more))
+    texts = [bytes(random.Random(i % 4).choices(range(256), k=150)) for i in range(40)]
+    phrase, offset = run_index.later_windows(texts, 100)
+    assert set(zip(phrase.tolist(), offset.tolist())) == {(i, j) for i in range(4, 40) for j in range(51)}
+    assert built == [4 * 151]
+
+
+@pytest.mark.parametrize("alphabet", [b"ab", b"abcdefghijklmnop \0", bytes(range(256))])
+def test_parts_of_a_block(monkeypatch, alphabet):
+    """Windows under one key meet in one part, whatever its size; a repeated row is one place."""
+    rng = random.Random(3)
+    rows = [(b, i, -i, 1000 * i << run_index.START, t) for i, (b, t) in enumerate(edited_pieces(rng, alphabet, 60))]
+    want, seen = set(), set()
+    for key, doc, tag, at, t in rows:
+        for j in range(len(t) - 99):
+            (want.add((doc, tag, (at >> run_index.START) + j)) if (key, t[j : j + 100]) in seen else seen.add((key, t[j : j + 100])))
+    rows += rows[5:20]
+    rng.shuffle(rows)
+    block = pa.table({c: pa.array(v) for c, v in zip(("key", "doc", "tag", "at", "text"), zip(*rows))})
+    for size in (1, 4000, 1 << 20):
+        monkeypatch.setattr(run_index, "PART_BYTES", size)
+        got = run_index._index_block(100)(block)
+        spans = list(zip(*(got.column(c).to_pylist() for c in ("doc", "tag", "at"))))
+        found = [(d, t, (a >> run_index.START) + j) for d, t, a in spans for j in range((a & 255) - 99)]
+        assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_phrases_of_a_slice():
+    """Consecutive windows of one document whose smallest gram stands at one place are one phrase."""
+    rng = random.Random(8)
+    sizes = [0, 30, 100, 99, 101, 500, 0, 130, 163, 5]
+    texts = [bytes(rng.choices(b"abc", k=n)) for n in sizes] + [b"x" * 300]
+    for chosen in (texts, texts[:2], [b""]):
+        part = Slice(None, np.frombuffer(b"".join(chosen), np.uint8), np.append(0, np.cumsum([len(t) for t in chosen])))
+        doc, start, windows, anchor, hashes, _ = run_index._phrases(part, 100, 39)
+        want = []
+        for d, t in enumerate(chosen):
+            for s in range(part.off[d], part.off[d] + len(t) - 99):
+                a = min(range(s, s + 62), key=lambda i: (hashes[i] >> np.uint64(32), i))
+                if want and want[-1][0] == d and want[-1][3] == a:
+                    want[-1][2] += 1
+                else:
+                    want.append([d, s, 1, a])
+        assert [list(r) for r in zip(doc.tolist(), start.tolist(), windows.tolist(), anchor.tolist())] == want
+
+
 def many_without_id():
     """A few thousand different texts without doc_id, some pairs alike at one offset, and some that share an id."""
     rng = random.Random(17)
@@ -169,6 +233,8 @@ def test_kernels():
     assert found.counts.tolist() == [2, 0, 2, 1]
     hashes = byte_spans(buf).hash(found.start, found.end)
     assert hashes[1] == hashes[4] and len(set(hashes.tolist())) == 4
+    assert byte_spans(buf).windows(2).tolist() == byte_spans(buf).hash(np.arange(len(buf) - 1), np.arange(2, len(buf) + 1)).tolist()
+    assert len(byte_spans(buf).windows(50)) == 0
     pairs = Spans(hashes).hash(np.array([0, 1]), np.array([2, 3]))
     assert pairs[0] != pairs[1]
     mask = covered(6, np.array([0, 1, 4]), np.array([2, 3, 6]))

@@ -85,6 +85,11 @@ class Spans:
         length = (np.asarray(end) - start).astype(np.uint64)
         return mix((self.sums[end] - self.sums[start]) * self.back[start] + length * FOLD)
 
+    def windows(self, width: int) -> np.ndarray:
+        """Hashes of [0, width), [1, width + 1), ..."""
+        count = max(0, len(self.sums) - width)
+        return mix((self.sums[width:] - self.sums[:count]) * self.back[:count] + np.uint64(width * int(FOLD) % 2**64))
+
 
 def byte_spans(buf: np.ndarray) -> Spans:
     return Spans(BYTE_VALUES[buf])

@@ -8,10 +8,12 @@ document they are in, and the parse is a dictionary of phrases with the places o
 
 Only phrases whose gram occurs again are looked at. Equal phrases under a key are one entry of
 the dictionary, indexed at its first and its last place; the places between are copies that
-would only lengthen runs, and share the last one's answer. The entries are dealt into blocks. Each block builds a suffix order, its Burrows-Wheeler transform as runs with the text
-places sampled at both ends of every run, takes the match lengths at the run heads and
-streams them through the text: inside a run the length falls by one per step. Neighbours in
-suffix order that match for ``length`` bytes form a class, and all but its earliest window go.
+would only lengthen runs, and share the last one's answer. The entries are dealt into blocks, and
+the keys of a block into parts. Each part builds a suffix order of its texts, those that are equal
+once, and their Burrows-Wheeler transform as runs with the text places sampled at both ends of
+every run, takes the match lengths at the run heads and streams them through the text: inside a
+run the length falls by one per step. Neighbours in suffix order that match for ``length`` bytes
+form a class, and all but its earliest window go.
 
 Keys with more entries than a block holds are split by the windows' hash (128 bits) instead,
 counted with partial sums, so no key has to fit in one task.
@@ -19,7 +21,7 @@ counted with partial sums, so no key has to fit in one task.
 Null and empty texts have no bytes. Documents compare by (doc_id, place): rows that share a
 doc_id and a text are one document, so neither is earlier and a repeated row is not removed;
 rows without doc_id come first and differ by their text. Extra columns are ignored.
-An empty table gives an empty result. Texts go in slices of 1 MB; a longer one is a slice of its own, at up to 70 bytes a byte."""
+An empty table gives an empty result. Texts go in slices of 64 KB; a longer one is a slice of its own, at up to 70 bytes a byte."""
 
 from __future__ import annotations
 
@@ -27,48 +29,50 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import stage
-from .rolling import byte_spans, covered, lists, mix, ranges, runs, slices, text_array
+from .rolling import Slice, byte_spans, covered, lists, mix, ranges, runs, slices, text_array
 from .shared import all_with_marks, by_document, only_marked, places
 
 LENGTH = 100
 GRAM = 39
 #: Bytes of phrases per block of the index.
 BLOCK_BYTES = 1 << 20
+#: Bytes of text parsed, or indexed, at a time: the arrays stay in a core's cache.
+PART_BYTES = 1 << 16
 #: A key with more entries is split by window hash.
 KEY_ENTRIES = 1 << 12
 #: at = start << 8 | windows
 START = 8
 
 
-def _grams(part, gram: int) -> np.ndarray:
-    n = len(part.buf)
-    begin = np.arange(max(0, n - gram + 1))
-    return byte_spans(part.buf).hash(begin, begin + gram)
-
-
-def _phrases(part, length: int, gram: int):
-    """doc, start, windows, anchor of each phrase of a slice, and the gram hashes."""
-    hashes = _grams(part, gram)
+def _phrases(part: Slice, length: int, gram: int):
+    """doc, start, windows, anchor of each phrase of a slice, the gram hashes, and the hashes of any span."""
+    spans = byte_spans(part.buf)
+    hashes = spans.windows(gram)
     place = (hashes & ~np.uint64(0xFFFFFFFF)) | np.arange(len(hashes), dtype=np.uint64)
     width, reach = 1, length - gram + 1
     while width < reach:
         step = min(width, reach - width)
         place = np.minimum(place[:-step], place[step:]) if len(place) > step else place[:0]
         width += step
-    anchor = (place & np.uint64(0xFFFFFFFF)).astype(np.int64)
     number = np.maximum(0, part.sizes - length + 1)
-    doc = np.repeat(np.arange(len(number)), number)
-    start = ranges(part.off[:-1], number)
-    anchor = anchor[start]
-    head = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
-    windows = np.diff(np.append(head, len(doc)))
-    return doc[head], start[head], windows, anchor[head], hashes
+    begins = np.zeros(len(place), bool)
+    begins[1:] = place[1:] != place[:-1]
+    begins[part.off[:-1][number > 0]] = True
+    head = np.flatnonzero(begins)
+    # places whose windows would cross the end of a document begin nothing
+    doc = np.searchsorted(part.off, head, side="right") - 1
+    last = part.off[doc] + number[doc]
+    windows = np.minimum(np.append(head[1:], len(place)), last) - head
+    whole = windows > 0
+    head = head[whole]
+    anchor = (place[head] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return doc[whole], head, windows[whole], anchor, hashes, spans
 
 
 def _places(part, doc: np.ndarray, start: np.ndarray, windows) -> dict:
@@ -78,13 +82,13 @@ def _places(part, doc: np.ndarray, start: np.ndarray, windows) -> dict:
 
 def _scan(length: int, gram: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            doc, start, windows, anchor, hashes = _phrases(part, length, gram)
+        for part in slices(batches, limit=PART_BYTES):
+            doc, start, windows, anchor, hashes, spans = _phrases(part, length, gram)
             key = hashes[anchor].view(np.int64)
             if not whole:
                 yield pa.record_batch({"key": key})
                 continue
-            around = byte_spans(part.buf).hash(start, start + windows + length - 1) ^ mix((anchor - start).astype(np.uint64))
+            around = spans.hash(start, start + windows + length - 1) ^ mix((anchor - start).astype(np.uint64))
             yield pa.record_batch({"key": key, "around": around.view(np.int64)} | _places(part, doc, start, windows))
 
     return run
@@ -101,9 +105,9 @@ def _texts(length: int, gram: int):
     """Key, place and bytes of the marked phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=PART_BYTES):
             doc, start, windows = _marked(part)
-            found_doc, found_start, _, anchor, hashes = _phrases(part, length, gram)
+            _, found_start, _, anchor, hashes, _ = _phrases(part, length, gram)
             key = hashes[anchor][np.searchsorted(found_start, start)].view(np.int64)
             size = windows + length - 1
             data = part.buf[ranges(start, size)]
@@ -116,7 +120,7 @@ def _windows(length: int):
     """Both hashes and the place of every window of the marked phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=PART_BYTES):
             doc, start, windows = _marked(part)
             begin, doc = ranges(start, windows), np.repeat(doc, windows)
             one = byte_spans(part.buf).hash(begin, begin + length)
@@ -138,12 +142,12 @@ class RunIndex:
     shared: np.ndarray
 
     @classmethod
-    def build(cls, text: np.ndarray, order: np.ndarray, ranks: list[tuple[int, np.ndarray]]) -> RunIndex:
+    def build(cls, text: np.ndarray, order: np.ndarray, words: Packed) -> RunIndex:
         before = text[order - 1]
         row = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
         end = order[np.append(row[1:], len(order)) - 1]
         head = order[row]
-        return cls(before[row], row, head, end, np.append(0, _common([(1, text), *ranks], head[1:], end[:-1])))
+        return cls(before[row], row, head, end, np.append(0, words.common(head[1:], end[:-1])))
 
     def match_lengths(self, size: int) -> np.ndarray:
         """For each text place the symbols shared with the suffix ordered just before it:
@@ -153,111 +157,159 @@ class RunIndex:
         return np.maximum.accumulate(value) - np.arange(size)
 
 
-def _common(ranks: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many symbols the suffixes at a and b share, by ranks of falling depth. Separators
-    are all different, so equal ranks of depth d are d equal symbols of text."""
-    same = np.zeros(len(a), np.int64)
-    for depth, rank in reversed(ranks):
-        alive = np.arange(len(a))
+@dataclass
+class Packed:
+    """The ``depth`` symbols from each place on as one number, zeros behind the end of its phrase.
+    ``left``: symbols up to and with the phrase's separator."""
+
+    value: np.ndarray
+    left: np.ndarray
+    bits: int
+    depth: int
+
+    @classmethod
+    def pack(cls, symbols: np.ndarray, left: np.ndarray) -> Packed:
+        bits = max(1, int(symbols.max()).bit_length())
+        # a number is sorted with a place behind it, and has to be exact as a float
+        depth = max(1, min(53, 63 - len(symbols).bit_length()) // bits)
+        value, width = symbols.astype(np.int64), 1
+        while width < depth:
+            # the last ``step`` symbols of both halves may be the same ones
+            step = min(width, depth - width)
+            more = np.zeros_like(value)
+            more[:-width] = value[width:] >> (width - step) * bits
+            more[left <= width] = 0
+            value = value << step * bits | more
+            width += step
+        return cls(value, left, bits, depth)
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many symbols of text the suffixes at a and b share."""
+        most = np.minimum(self.left[a], self.left[b]) - 1
+        same = np.zeros(len(a), np.int64)
+        alive = np.flatnonzero(most > 0)
+        at, to, step = a[alive], b[alive], 0
         while len(alive):
-            x, y = a[alive] + same[alive], b[alive] + same[alive]
-            alive = alive[rank[np.minimum(x, len(rank) - 1)] == rank[np.minimum(y, len(rank) - 1)]]
-            same[alive] += depth
-    return same
-
-
-def suffix_order(symbols: np.ndarray, phrase: np.ndarray, left: np.ndarray):
-    """Order of all suffixes, and ranks by their first symbols for some depths. ``left``: symbols up to and with the phrase's separator, which
-    sorts by phrase number, so no two suffixes are equal. Ranks of depth d give ranks of 3 d."""
-    n = len(symbols)
-    bits = max(1, int(symbols.max()).bit_length())
-    depth = max(1, 42 // bits)
-    padded = np.append(symbols, np.zeros(depth, symbols.dtype)).astype(np.int64)
-    key = np.zeros(n, np.int64)
-    for j in range(depth):
-        key = (key << bits) | np.where(left > j, padded[j : n + j], 0)
-    key = (key << 21) | np.where(left <= depth, phrase + 1, 0)
-    ranks = []
+            other = self.value[at] ^ self.value[to]
+            ends = np.flatnonzero(other)
+            # a difference of k bits leaves the symbols above it equal
+            high = np.frexp(other[ends].astype(np.float64))[1]
+            same[alive[ends]] = step + self.depth - 1 - (high - 1) // self.bits
+            step += self.depth
+            go = other == 0
+            same[alive[go]] = step
+            go &= most[alive] > step
+            alive, at, to = alive[go], at[go] + self.depth, to[go] + self.depth
+        return np.minimum(same, most)
+
+
+def suffix_order(words: Packed) -> np.ndarray:
+    """Order of all suffixes up to the ends of their phrases, equal ones by place. Ranks of
+    depth d give ranks of 2 d; only suffixes that are not yet alone are sorted again. Three
+    numbers up to n share 63 bits; PART_BYTES and KEY_ENTRIES keep n below 2 ** 21."""
+    n, depth = len(words.value), words.depth
+    bits = n.bit_length()
+    low = (1 << bits) - 1
+    key = words.value << bits | np.arange(n)
+    key.sort()
+    order = key & low
+    key >>= bits
+    rows = np.arange(n)
+    fresh = np.append(True, key[1:] != key[:-1])
+    rank = np.empty(n, np.int64)
     while True:
-        order = np.argsort(key)
-        ranked = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.append(1, ranked[1:] != ranked[:-1]))
-        if rank[order[-1]] == n:
-            return order, ranks
-        ranks.append((depth, rank))
-        far = np.append(rank, np.zeros(2 * depth, np.int64))
-        key = (rank << 42) | (far[depth : n + depth] << 21) | far[2 * depth : n + 2 * depth]
-        depth *= 3
-
-
-def later_windows(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+        # the rank of a group of equal suffixes is its first row
+        group = np.maximum.accumulate(np.where(fresh, rows, 0))
+        rank[order[rows]] = group
+        # groups that end within this depth are equal to their ends
+        tied = ~(fresh & np.append(fresh[1:], True)) & (words.left[order[rows]] > depth)
+        rows, group = rows[tied], group[tied]
+        if not len(rows):
+            return order
+        at = order[rows]
+        key = (group << bits | rank[at + depth]) << bits | np.arange(len(rows))
+        key.sort()
+        order[rows] = at[key & low]
+        key >>= bits
+        fresh = np.append(True, key[1:] != key[:-1])
+        depth *= 2
+
+
+def later_windows(texts: list[bytes] | pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Phrase number and offset of each window that also starts in an earlier phrase, or
-    earlier in its own."""
-    sizes = np.array([len(t) for t in texts])
-    data = np.frombuffer(b"".join(t + b"\0" for t in texts), np.uint8)
+    earlier in its own. Equal phrases are one text of the index."""
+    coded = (pa.array(texts, pa.binary()) if isinstance(texts, list) else texts).dictionary_encode()
+    number, kinds = np.asarray(coded.indices), coded.dictionary
+    ends = np.frombuffer(kinds.buffers()[1], np.int32)[kinds.offset : kinds.offset + len(kinds) + 1].astype(np.int64)
+    data = np.frombuffer(kinds.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    sizes = np.diff(ends)
     stop = np.cumsum(sizes + 1) - 1
-    phrase = np.repeat(np.arange(len(texts)), sizes + 1)
-    at = np.arange(len(data))
-    values = np.zeros(256, np.int64)
-    is_text = np.ones(len(data), bool)
+    kind = np.repeat(np.arange(len(kinds)), sizes + 1)
+    is_text = np.ones(len(kind), bool)
     is_text[stop] = False
-    used = np.unique(data[is_text])
-    values[used] = np.arange(1, len(used) + 1)
-    symbols = np.where(is_text, values[data], 0)
-    order, ranks = suffix_order(symbols, phrase, stop[phrase] - at + 1)
-    distinct = np.where(is_text, symbols, 256 + phrase)
-    shared = RunIndex.build(distinct, order, ranks).match_lengths(len(data))
+    used = np.bincount(data, minlength=256) > 0
+    symbols = np.zeros(len(kind), np.int64)
+    symbols[is_text] = np.cumsum(used)[data]
+    words = Packed.pack(symbols, stop[kind] - np.arange(len(kind)) + 1)
+    order = suffix_order(words)
+    distinct = np.where(is_text, symbols, 256 + kind)
+    shared = RunIndex.build(distinct, order, words).match_lengths(len(kind))
     fresh = np.flatnonzero(shared[order] < length)
     first = np.repeat(np.minimum.reduceat(order, fresh), np.diff(np.append(fresh, len(order))))
     again = np.sort(order[order != first])
-    return phrase[again], again - (stop - sizes)[phrase[again]]
+    # a kind's first phrase keeps the windows that are the first of their class; its other phrases keep none
+    shown = np.zeros(len(kinds), np.int64)
+    shown[number[::-1]] = np.arange(len(number))[::-1]
+    copy = np.flatnonzero(shown[number] != np.arange(len(number)))
+    windows = np.maximum(0, sizes[number[copy]] - length + 1)
+    phrase = np.append(shown[kind[again]], np.repeat(copy, windows))
+    offset = np.append(again - (stop - sizes)[kind[again]], ranges(np.zeros(len(copy), np.int64), windows))
+    at = np.argsort(phrase, kind="stable")
+    return phrase[at], offset[at]
 
 
 def _index_block(length: int):
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        # a repeated row gives its phrases again, at the same place
-        block = block.drop_duplicates(["key", "doc", "tag", "at"]).sort_values(["doc", "tag", "at"], kind="stable", ignore_index=True)
-        phrases, offsets = [], []
-        size = block["text"].str.len().to_numpy()
-        # keys are independent of each other: parts of whole keys, each of one block's size
-        rank = block["key"].rank(method="dense").to_numpy().astype(np.int64) - 1
+    def run(block: pa.Table) -> pa.Table:
+        key, doc, tag, at = (np.asarray(block.column(c)) for c in ("key", "doc", "tag", "at"))
+        # keys are independent of each other: parts of whole keys, each the text of one index
+        size = np.asarray(pc.binary_length(block.column("text"))).astype(np.int64)
+        rank = np.unique(key, return_inverse=True)[1]
         weight = np.bincount(rank, size)
-        part = ((np.cumsum(weight) - weight) // BLOCK_BYTES)[rank]
-        for p in np.unique(part):
-            rows = np.flatnonzero(part == p)
-            phrase, offset = later_windows(block["text"].iloc[rows].tolist(), length)
-            phrases.append(rows[phrase])
-            offsets.append(offset)
-        phrase, offset = np.concatenate(phrases), np.concatenate(offsets)
-        at = block["at"].to_numpy()[phrase]
-        doc, tag = (block[c].to_numpy()[phrase] for c in ("doc", "tag"))
-        return pd.DataFrame({"doc": doc, "tag": tag, "at": (at >> START << START) + (offset << START) + 1})
+        part = ((np.cumsum(weight) - weight) // PART_BYTES).astype(np.int64)[rank]
+        order = np.lexsort((at, tag, doc, key, part))
+        part, key, doc, tag, at = part[order], key[order], doc[order], tag[order], at[order]
+        # a repeated row gives its phrases again, at the same place
+        same = (key[1:] == key[:-1]) & (doc[1:] == doc[:-1]) & (tag[1:] == tag[:-1]) & (at[1:] == at[:-1])
+        once = np.append(True, ~same)
+        texts = block.column("text").cast(pa.binary()).combine_chunks().take(pa.array(order[once]))
+        part, doc, tag, at = part[once], doc[once], tag[once], at[once]
+        edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist() + [len(part)]
+        spans = []
+        for lo, hi in zip(edges, edges[1:]):
+            place = np.lexsort((at[lo:hi], tag[lo:hi], doc[lo:hi]))
+            phrase, offset = later_windows(texts.slice(lo, hi - lo).take(pa.array(place)), length)
+            phrase = lo + place[phrase]
+            spans.append(_joined(doc[phrase], tag[phrase], (at[phrase] >> START) + offset, length))
+        return pa.table({c: np.concatenate([s[c] for s in spans]) for c in ("doc", "tag", "at")})
 
     return run
 
 
-def _joined_windows(length: int):
+def _joined(doc: np.ndarray, tag: np.ndarray, begin: np.ndarray, length: int) -> dict:
     """Windows as spans of at most 255 bytes: consecutive ones are one span."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, tag, at = (np.asarray(batch.column(c)) for c in ("doc", "tag", "at"))
-            begin, long = at >> START, 255 - length + 1
-            breaks = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (begin[1:] != begin[:-1] + 1)
-            run_at = np.flatnonzero(np.append(True, breaks)) if len(at) else np.zeros(0, np.int64)
-            sizes = np.diff(np.append(run_at, len(at)))
-            pieces = -(-sizes // long)
-            piece = ranges(np.zeros(len(pieces), np.int64), pieces) * long
-            first = np.repeat(run_at, pieces) + piece
-            count = np.minimum(long, np.repeat(sizes, pieces) - piece)
-            yield pa.record_batch({"doc": doc[first], "tag": tag[first], "at": (at[first] >> START << START) + count + length - 1})
-
-    return run
+    long = 255 - length + 1
+    breaks = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (begin[1:] != begin[:-1] + 1)
+    run_at = np.flatnonzero(np.append(True, breaks)) if len(begin) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(run_at, len(begin)))
+    pieces = -(-sizes // long)
+    piece = ranges(np.zeros(len(pieces), np.int64), pieces) * long
+    first = np.repeat(run_at, pieces) + piece
+    count = np.minimum(long, np.repeat(sizes, pieces) - piece)
+    return {"doc": doc[first], "tag": tag[first], "at": (begin[first] << START) + count + length - 1}
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches):
+    for part in slices(batches, limit=PART_BYTES):
         doc, start, size = _marked(part)
         gone = covered(len(part.buf), start, start + size)
         lo, hi, doc = runs(gone, part.off)
@@ -283,9 +335,9 @@ def later_marks(rows: DataFrame, length: int, gram: int) -> DataFrame:
     found = rows.mapInArrow(_scan(length, gram, True), "key long, around long, doc long, tag long, at long")
     found = stage(found.join(twice.hint("shuffle_merge"), "key", "left_semi"))
     place = F.struct("doc", "tag", "at")
-    entries = stage(found.groupBy("key", "around").agg(F.min(place).alias("first"), F.max(place).alias("last")))
-    copied = entries.where("first < last").select("key", "around", "first")
-    copies = found.join(copied.hint("shuffle_merge"), ["key", "around"]).where(place > F.col("first"))
+    entries = stage(found.groupBy("key", "around").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")))
+    copied = entries.where("first < last AND n > 2").select("key", "around", "first", "last")
+    copies = found.join(copied.hint("shuffle_merge"), ["key", "around"]).where((place > F.col("first")) & (place < F.col("last")))
     copies = copies.select("doc", "tag", (F.col("at") + (length - 1)).alias("at"))
 
     spots = F.when(F.col("first") < F.col("last"), F.array("first", "last")).otherwise(F.array("first"))
@@ -297,8 +349,7 @@ def later_marks(rows: DataFrame, length: int, gram: int) -> DataFrame:
     blocks = max(1, total * (2 * length) // BLOCK_BYTES)
     texts = only_marked(rows, stage(indexed)).mapInArrow(_texts(length, gram), "key long, doc long, tag long, at long, text binary")
     texts = texts.withColumn("block", F.pmod(F.hash("key"), F.lit(blocks)))
-    later = texts.groupBy("block").applyInPandas(_index_block(length), "doc long, tag long, at long")
-    later = later.mapInArrow(_joined_windows(length), "doc long, tag long, at long")
+    later = texts.groupBy("block").applyInArrow(_index_block(length), "doc long, tag long, at long")
 
     windows = stage(only_marked(rows, stage(split)).mapInArrow(_windows(length), "one long, two long, doc long, tag long, at long"))
     again = windows.groupBy("one", "two").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
